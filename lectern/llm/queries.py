@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import binpack, mixing, quality, simhash
+from lectern.llm import binpack, mixing, quality, simhash, topk
 from lectern.llm.common import crc_remainder
 
 
@@ -21,6 +21,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_step=50, scale=256)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return out.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -40,10 +44,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE}
