@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from lectern.llm.common import ceil_div, materialise
 
 #: Chunks of text between white space whose ids a worker keeps; it forgets them all when there are more.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ CORE_WORDS = 20_000
 SHAPES = 2_000
 DIMENSIONS = 48
 #: Distinct words whose ids a worker keeps; it forgets them all when there are more.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def shape(word: str) -> str:
@@ -187,21 +187,20 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: in
     return bytes(rows[0]["model"]) if rows else fit_model([], np.empty(0))
 
 
-def with_score(docs: DataFrame, model: bytes, out: str = "score") -> DataFrame:
-    """The frame with the probability that a text has label 1 as one more column; null texts score as empty ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+def text_score(spark: SparkSession, text: Column, model: bytes) -> Column:
+    """The probability that a text has label 1; null texts score as empty ones. Only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, network, constant = pickle.loads(shared.value)
-        for b in batches:
-            text = b.column("text")
-            if constant is not None or not b.num_rows:
-                score = np.full(b.num_rows, constant if constant is not None else 0.5)
+        for texts in batches:
+            if constant is not None or not len(texts):
+                yield pa.array(np.full(len(texts), constant if constant is not None else 0.5))
             else:
-                score = network.score(np.array([features(t.as_py()) for t in text]))
-            yield b.append_column(out, pa.array(score, pa.float64()))
+                yield pa.array(network.score(np.array([features(t.as_py()) for t in texts])))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return run(text.cast("string"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, **bounds) -> DataFrame:
@@ -210,11 +209,11 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     Labels (doc_id, quality) of rows that are held out are never learned from; the texts alone decide a score.
     Empty and null texts, null ids and repeated rows are scored like any other row; without labels every score is 0.5."""
     model = train(docs, labels, ~held_out, **bounds)
-    scored = with_score(docs.select("doc_id", "text"), model)
+    scored = docs.select("doc_id", text_score(docs.sparkSession, F.col("text"), model).alias("score"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, **bounds) -> DataFrame:
     """The rows of `docs`, all columns, whose score reaches the threshold."""
-    scored = with_score(docs, train(docs, labels, ~held_out, **bounds), "_score")
-    return scored.where(F.col("_score") >= threshold).drop("_score")
+    score = text_score(docs.sparkSession, F.col("text"), train(docs, labels, ~held_out, **bounds))
+    return docs.where(score >= threshold)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -36,17 +36,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 3, text: str = "text", out: str = "fp") -> DataFrame:
-    """The frame with one more column: the fingerprint's 64 bits as a signed long. A null text is an empty one.
+def text_fingerprint(text: Column, shingle: int = 3) -> Column:
+    """The fingerprint of a text column, its 64 bits as a signed long; a null text counts as an empty one."""
 
-    Rows are neither added, dropped nor moved."""
+    @F.arrow_udf(T.LongType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), dtype="<u8", count=len(texts)).view("<i8"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(text)), dtype="<u8", count=b.num_rows)
-            yield b.append_column(out, pa.array(fps.view("<i8")))
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+    return run(text.cast("string"))
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: in
     - component_id is the smallest doc_id reachable over links of `radius` differing bits or fewer.
     - A null doc_id is kept, is never the smallest while its component has another, and is null where all are null.
     - An empty table gives an empty result; repeated rows give repeated rows."""
-    fps = materialise(with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "doc-fingerprints")
+    fps = materialise(docs.select("doc_id", text_fingerprint(F.col("text"), shingle).alias("fp")), "doc-fingerprints")
     roots = connect(fingerprint_links(fps, radius, tile), "node", "root")
     smallest = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     # Only linked fingerprints need the second grouping; a fingerprint of its own keeps its smallest document.
