@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import binpack, mixing, quality, simhash, topk
+from lectern.llm import ann, binpack, mixing, ngram, quality, simhash, topk
 from lectern.llm.common import crc_remainder
 
 
@@ -25,6 +25,14 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_step=50, scale=256)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, query_step=50)
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 7) == 2)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return out.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -45,6 +53,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_ann": op2_ann,
+    "op3_lm": op3_lm,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op9_quality": op9_quality,
