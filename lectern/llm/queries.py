@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, binpack, mixing, ngram, quality, simhash, topk
+from lectern.llm import ann, binpack, hostrep, mixing, ngram, quality, simhash, topk, warc
 from lectern.llm.common import crc_remainder
 
 
@@ -42,6 +42,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
 
 
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # A page's outcome is the label of the document that it shows, whose number is in its path.
+    _, path = hostrep.host_and_path(F.col("url"))
+    shown = pages.select("page_id", F.regexp_extract(path, r"/([0-9]+)", 1).try_cast("long").alias("doc_id")).where("page_id IS NOT NULL AND doc_id IS NOT NULL")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    return hostrep.judge(pages, shown.join(labels, "doc_id").select("page_id", bad))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_remainder(F.col("doc_id"), 5) == 0
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.3)
@@ -57,8 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm": op3_lm,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
+    "op7_host_reputation": op7_host_reputation,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE, "op7_host_reputation": hostrep.ORACLE, "op8_warc": warc.ORACLE}
