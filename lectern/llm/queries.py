@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, binpack, hostrep, mixing, ngram, quality, simhash, topk, warc
+from lectern.llm import ann, binpack, hostrep, mixing, ngram, quality, simhash, sitetree, topk, warc
 from lectern.llm.common import crc_remainder
 
 
@@ -33,6 +33,10 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 7) == 2)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return out.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_ann": op2_ann,
     "op3_lm": op3_lm,
+    "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_host_reputation": op7_host_reputation,
