@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans import text
+
+_PLANS = (text,)
+QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
