@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import search, text
+from lectern.plans import corpus, search, text
 
-_PLANS = (text, search)
+_PLANS = (text, search, corpus)
 QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
