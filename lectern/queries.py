@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import corpus, search, text
+from lectern.plans import corpus, records, search, star, text
 
-_PLANS = (text, search, corpus)
+_PLANS = (text, search, corpus, records, star)
 QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
