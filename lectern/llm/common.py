@@ -38,6 +38,15 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if file in _written or any(file.endswith(w.rpartition("/")[2]) for w in _written):
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that materialise() wrote; call it once the results made from them are stored."""
     jvm, gone = spark._jvm, 0

@@ -16,9 +16,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from lectern.llm.common import ceil_div, materialise
+from lectern.llm.common import ceil_div, drop, materialise
 
 #: Tokens that a task encodes together, and pairs of tokens of a shard of the model.
 BATCH_TOKENS = 2_000_000
@@ -143,9 +142,9 @@ class Trie:
     def pack(context: np.ndarray, word: np.ndarray, probability: np.ndarray) -> bytes:
         """From pairs sorted by (context, word), words from 1."""
         ids, first = np.unique(context, return_index=True)
-        ends = np.append(first[1:], len(context)).astype(np.int64)
+        ends = np.append(first[1:], len(context)).astype(np.int64)[: len(ids)]
         last = np.cumsum(word[ends - 1]) if len(ids) else np.empty(0, np.int64)
-        base = np.concatenate([[0], last[:-1]]).astype(np.int64)
+        base = np.concatenate([[0], last[:-1]]).astype(np.int64)[: len(ids)]
         relative = word + np.repeat(base, ends - first)
         codes = _words(quantise(probability), CODE_BITS)
         pointers = np.concatenate([[0], ends]).astype(np.int64)
@@ -190,31 +189,41 @@ def probability(code: np.ndarray) -> np.ndarray:
 
 
 def _zip(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    """An array's bytes by significance, compressed: small numbers cost little."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.reshape(-1).view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
 def _unzip(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+ENCODED = pa.schema([("batch", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary()), ("end", pa.int32()), ("n", pa.int64()), ("train", pa.int64())])
+ENCODED_SQL = "batch long, docs binary, tokens binary, words binary, end int, n long, train long"
 
 
 def _encode(batch_tokens: int):
-    """Rows (doc_id, text, held) to batches: the documents' tokens as numbers of the batch's own list of words."""
+    """Rows (doc_id, text, held) to batches: the documents' tokens as numbers of the batch's own words, in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
+        words, docs, parts, total = {END: 0}, [], [], 0
 
-        def out():
+        def out() -> pa.RecordBatch:
             nonlocal number
             number += 1
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), "<u8", len(words)).view("<i8")
-            tokens = np.concatenate(parts)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), "<u8", len(words))
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), "<i4")
+            place[order] = np.arange(len(order))
+            tokens = place[np.concatenate(parts)]
+            about = np.array([(0 if d is None else d, d is None, h, n) for d, h, n in docs], dtype="<i8")
             row = {
-                "batch": (part << 24) + number, "doc_ids": pa.array(docs, pa.int64()), "held": held, "lengths": lengths, "tokens": _zip(tokens), "words": _zip(hashes),
-                "n": len(tokens), "train": int(sum(n for n, h in zip(lengths, held, strict=True) if not h)),
+                "batch": (part << 24) + number, "docs": _zip(about.T), "tokens": _zip(tokens), "words": _zip(np.diff(hashes[order], prepend=np.uint64(0))), "end": int(place[0]),
+                "n": len(tokens), "train": int(about[about[:, 2] == 0, 3].sum()),
             }
-            return pa.RecordBatch.from_pylist([row | {"doc_ids": docs}], schema=ENCODED)
+            return pa.RecordBatch.from_pylist([row], schema=ENCODED)
 
-        words, docs, held, lengths, parts, total = {END: 0}, [], [], [], [], 0
         for b in batches:
             for doc, text, h in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("held").to_pylist(), strict=True):
                 found = (text.as_py() or "").encode().lower().split()
@@ -223,33 +232,59 @@ def _encode(batch_tokens: int):
                     if w not in words:
                         words[w] = len(words)
                 parts.append(np.fromiter(map(words.__getitem__, found), "<i4", len(found)))
-                docs.append(doc)
-                held.append(h)
-                lengths.append(len(found))
+                docs.append((doc, h, len(found)))
                 total += len(found)
                 if total >= batch_tokens:
                     yield out()
-                    words, docs, held, lengths, parts, total = {END: 0}, [], [], [], [], 0
+                    words, docs, parts, total = {END: 0}, [], [], 0
         if docs:
             yield out()
 
     return run
 
 
-ENCODED = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("n", pa.int64()), ("train", pa.int64())])
-ENCODED_SQL = "batch long, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words binary, n long, train long"
+def _bounds(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Where each of the shards, equal ranges of the hash, begins and the last ends in sorted hashes."""
+    return np.searchsorted(hashes, np.array([(k << 64) // shards for k in range(shards)], dtype=np.uint64)).tolist() + [len(hashes)]
+
+
+def _vocabulary(shards: int):
+    """Batches to (shard, batch, words, counts): the batch's words of each range of hashes and their counts in its training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                tokens, hashes = _unzip(row["tokens"], "<i4"), np.cumsum(_unzip(row["words"], "<u8"), dtype=np.uint64)
+                about = _unzip(row["docs"], "<i8").reshape(4, -1)
+                counts = np.bincount(tokens[np.repeat(about[2] == 0, about[3])], minlength=len(hashes)).astype("<u4")
+                at = _bounds(hashes, shards)
+                rows = [{"shard": k, "batch": row["batch"], "words": _zip(np.diff(hashes[i:j], prepend=np.uint64(0))), "counts": _zip(counts[i:j])} for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if i < j]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
+
+    return run
+
+
+def _number(shards: int):
+    """All batches' words of a range to (of, shard, totals, ids, seen): for each batch its words' counts in training and their numbers.
+
+    Numbers are from 1 and the commonest words of a range have the smallest; words that training does not have are 0. The
+    number of words that it has goes with the first row."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [np.cumsum(_unzip(w, "<u8"), dtype=np.uint64) for w in pdf["words"]]
+        sizes = np.cumsum([0, *map(len, words)])
+        distinct, back = np.unique(np.concatenate(words), return_inverse=True)
+        del words
+        totals = np.bincount(back, weights=np.concatenate([_unzip(c, "<u4") for c in pdf["counts"]]), minlength=len(distinct)).astype("<u4")
+        shard = int(pdf["shard"].iloc[0])
+        ids = np.zeros(len(distinct), dtype="<u4")
+        order = np.argsort(-totals.astype(np.int64), kind="stable")[: int((totals > 0).sum())]
+        ids[order] = np.arange(len(order)) * shards + shard + 1
+        rows = [(int(b), shard, _zip(totals[back[i:j]]), _zip(ids[back[i:j]]), 0) for b, i, j in zip(pdf["batch"], sizes[:-1], sizes[1:], strict=True)]
+        rows[0] = (*rows[0][:4], len(order))
+        return pd.DataFrame(rows, columns=["of", "shard", "totals", "ids", "seen"])
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches to (batch, word, hash, count): each word of the batch and its count in the batch's training documents."""
-    for b in batches:
-        for row in b.to_pylist():
-            tokens, hashes = _unzip(row["tokens"], "<i4"), _unzip(row["words"], "<i8")
-            train = np.repeat(~np.array(row["held"], dtype=bool), row["lengths"])
-            counts = np.bincount(tokens[train], minlength=len(hashes))
-            for at in range(0, len(hashes), 100_000):
-                h, c = hashes[at : at + 100_000], counts[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["batch"])), pa.array(np.arange(at, at + len(h), dtype=np.int32)), pa.array(h), pa.array(c.astype(np.int64))], ["batch", "word", "hash", "count"])
+    return run
 
 
 def _spread(context: np.ndarray, count: np.ndarray, word: np.ndarray, shards: int, most: int) -> np.ndarray:
@@ -260,117 +295,111 @@ def _spread(context: np.ndarray, count: np.ndarray, word: np.ndarray, shards: in
     return (mixed % np.uint64(shards)).astype(np.int64)
 
 
-def _prepare(shards: int, most: int, total: int, distinct: int, mu: float):
-    """A batch and the corpus counts of its words to one row for the batch ('docs') and one for each shard it asks ('ask')."""
+class _Pairs:
+    """The distinct pairs of neighbours in a batch, in the order of their shard and then of their words' numbers; those with a word
+    that training does not have come first, under shard -1."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        tokens = _unzip(row["tokens"], "<i4")
-        lengths, train = np.asarray(row["lengths"], dtype=np.int64), ~np.asarray(row["held"], dtype=bool)
-        size = len(right)
-        count, ids = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        count[right["word"].to_numpy()], ids[right["word"].to_numpy()] = right["total"].to_numpy(), right["id"].to_numpy()
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        previous = np.empty_like(tokens)
-        previous[1:] = tokens[:-1]
-        previous[starts] = 0  # a text begins after an end
-        uni = np.log10((count + 1) / (total + distinct + 1))
-        base = np.add.reduceat(uni[tokens], starts)
-        known = np.add.reduceat((count > 0)[tokens].astype(np.int64), starts)
-        key, pair, inverse_count = np.unique(previous.astype(np.int64) << 32 | tokens, return_inverse=True, return_counts=True)
-        del inverse_count
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, end: int, count: np.ndarray, ids: np.ndarray, shards: int, most: int):
+        self.starts = np.cumsum(lengths) - lengths
+        key = np.empty(len(tokens), dtype=np.int64)
+        key[1:] = tokens[:-1]
+        key[self.starts] = end  # a text begins after an end
+        key <<= 32
+        key |= tokens
+        key, self.of = np.unique(key, return_inverse=True)
         a, b = key >> 32, key & 0xFFFFFFFF
-        seen = np.bincount(pair[np.repeat(train, lengths)], minlength=len(key))
-        # What the pair's probability gets from the unigram model, whatever the shard answers.
-        back = mu / (count[a] + mu) * (count[b] + 1) / (total + distinct + 1)
-        shard = np.where((ids[a] > 0) & (ids[b] > 0), _spread(ids[a], count[a], ids[b], shards, most), -1)
+        shard = np.where((ids[a] > 0) & (ids[b] > 0), _spread(ids[a].astype(np.int64), count[a].astype(np.int64), ids[b].astype(np.int64), shards, most), -1)
         order = np.lexsort((ids[b], ids[a], shard))
-        place = np.empty_like(order)
+        self.a, self.b = a[order], b[order]
+        place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order))
-        a, b, seen, shard = a[order], b[order], seen[order], shard[order]
-        asked, first = np.unique(shard, return_index=True)
-        last = np.append(first[1:], len(shard))
-        out = {k: [] for k in ("batch", "shard", "a", "b", "c", "d")}
-        held_ids = row["doc_ids"]
-        body = {
-            "doc_ids": np.array([0 if x is None or x != x else int(x) for x in held_ids], dtype="<i8"),
-            "null": np.array([x is None or x != x for x in held_ids], dtype="u1"),
-            "held": (~train).astype("u1"), "lengths": lengths.astype("<i8"), "known": known.astype("<i8"), "base": base.astype("<f8"),
-        }
-        info = b"".join(v.tobytes() for v in body.values())
-        rows = [(-1, _zip(place[pair].astype("<i4")), _zip(back[order].astype("<f8")), zstandard.compress(info, 1), np.stack([asked, first]).astype("<i8").tobytes())]
-        for s, i, j in zip(asked.tolist(), first.tolist(), last.tolist(), strict=True):
-            if s >= 0:
-                x, run_ = np.unique(a[i:j], return_counts=True)
-                by = np.argsort(ids[x])  # runs stand in the order of the context's number in the corpus
-                x, run_ = x[by], run_[by]
-                rows.append((s, _zip(np.stack([ids[x], count[x], run_]).astype("<i8")), _zip(ids[b[i:j]].astype("<u4")), _zip(seen[i:j].astype("<u4")), b""))
-        for r in rows:
-            out["batch"].append(int(row["batch"]))
-            for k, v in zip(("shard", "a", "b", "c", "d"), r, strict=True):
-                out[k].append(v)
-        return pd.DataFrame(out)
+        self.of = place[self.of]
+        asked, first = np.unique(shard[order], return_index=True)
+        self.shards = {int(s): (int(i), int(j)) for s, i, j in zip(asked, first, np.append(first[1:], len(order)), strict=True)}
 
-    return run
 
+def _joined(right: pd.DataFrame, column: str) -> np.ndarray:
+    """A column of blobs in the order of their shards."""
+    return np.concatenate([_unzip(x, "<u4") for x in right.sort_values("shard")[column]])
+
+
+PREPARED = "batch long, shard long, a binary, b binary, c binary, d binary, end int"
+
+
+def _prepare(shards: int, most: int):
+    """A batch and its words' counts to one row of what scoring it needs (shard -1) and one for each shard of the model that it asks."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = left.iloc[0]
+        tokens, about = _unzip(row["tokens"], "<i4"), _unzip(row["docs"], "<i8").reshape(4, -1)
+        count, ids = _joined(right, "totals"), _joined(right, "ids")
+        pairs = _Pairs(tokens, about[3], int(row["end"]), count, ids, shards, most)
+        seen = np.bincount(pairs.of[np.repeat(about[2] == 0, about[3])], minlength=len(pairs.a)).astype("<u4")
+        rows = [(-1, row["docs"], row["tokens"], _zip(count), _zip(ids))]
+        for s, (i, j) in pairs.shards.items():
+            if s >= 0:
+                first = np.flatnonzero(np.diff(pairs.a[i:j], prepend=-1))
+                context = pairs.a[i:j][first]
+                runs = np.diff(np.append(first, j - i))
+                rows.append((s, _zip(np.stack([ids[context], count[context], runs]).astype("<u4")), _zip(ids[pairs.b[i:j]].astype("<u4")), _zip(seen[i:j]), None))
+        return pd.DataFrame([(int(row["batch"]), *r, int(row["end"])) for r in rows], columns=["batch", "shard", "a", "b", "c", "d", "end"])
 
-PREPARED = "batch long, shard long, a binary, b binary, c binary, d binary"
+    return run
 
 
 def _answer(mu: float):
     """All batches' pairs of a shard: the trie of those seen in training, and its code for each pair of each batch."""
 
+    def keys(row) -> tuple[np.ndarray, np.ndarray]:
+        about = _unzip(row.a, "<u4").reshape(3, -1).astype(np.int64)
+        return np.repeat(about[0], about[2]) << 32 | _unzip(row.b, "<u4"), about
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, seen, totals = [], [], {}
-        asked = []
+        found, seen, contexts = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], []
         for row in pdf.itertuples():
-            ids, count, runs = _unzip(row.a, "<i8").reshape(3, -1)
-            words, c = _unzip(row.b, "<u4").astype(np.int64), _unzip(row.c, "<u4").astype(np.int64)
-            key = np.repeat(ids, runs) << 32 | words
-            asked.append((int(row.batch), key))
-            some = c > 0
-            keys.append(key[some])
-            seen.append(c[some])
-            totals[len(totals)] = np.stack([ids, count])
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        number = np.bincount(back, weights=np.concatenate(seen), minlength=len(key)) if len(key) else np.empty(0)
-        contexts = np.concatenate(list(totals.values()), axis=1)
-        ids, first = np.unique(contexts[0], return_index=True)
-        count = contexts[1][first]
-        del keys, seen, back, totals
-        context = key >> 32
-        share = number / (count[np.searchsorted(ids, context)] + mu) if len(key) else number
-        trie = Trie.mapped(Trie.pack(context, key & 0xFFFFFFFF, share))
-        shard = int(pdf["shard"].iloc[0])
-        rows = [(batch, shard, _zip(trie.code(key >> 32, key & 0xFFFFFFFF).astype("<u2"))) for batch, key in asked]
-        return pd.DataFrame(rows, columns=["batch", "shard", "codes"])
+            key, about = keys(row)
+            c = _unzip(row.c, "<u4")
+            found.append(key[c > 0])
+            seen.append(c[c > 0])
+            contexts.append(about[:2])
+        key, back = np.unique(np.concatenate(found), return_inverse=True)
+        number = np.bincount(back, weights=np.concatenate(seen), minlength=len(key))
+        about = np.concatenate(contexts, axis=1)
+        ids, first = np.unique(about[0], return_index=True)
+        count = about[1][first]
+        del found, seen, back, contexts
+        trie = Trie.mapped(Trie.pack(key >> 32, key & 0xFFFFFFFF, number / (count[np.searchsorted(ids, key >> 32)] + mu)))
+        del key, number
+        shard, rows = int(pdf["shard"].iloc[0]), []
+        for row in pdf.itertuples():
+            key, _ = keys(row)
+            rows.append((int(row.batch), shard, _zip(trie.code(key >> 32, key & 0xFFFFFFFF).astype("<u2"))))
+        return pd.DataFrame(rows, columns=["of", "shard", "codes"])
 
     return run
 
 
-def _finish(total: int):
+def _finish(shards: int, most: int, total: int, distinct: int, mu: float):
+    """A batch and the shards' answers to its documents' scores."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
-        pair, back = _unzip(row["a"], "<i4"), _unzip(row["b"], "<f8")
-        asked, first = np.frombuffer(row["d"], "<i8").reshape(2, -1)
-        last = np.append(first[1:], len(back))
-        place = {int(s): (int(i), int(j)) for s, i, j in zip(asked, first, last, strict=True)}
-        codes = np.zeros(len(back), dtype=np.int64)
+        about, tokens = _unzip(row["a"], "<i8").reshape(4, -1), _unzip(row["b"], "<i4")
+        count, ids = _unzip(row["c"], "<u4"), _unzip(row["d"], "<u4")
+        pairs = _Pairs(tokens, about[3], int(row["end"]), count, ids, shards, most)
+        codes = np.zeros(len(pairs.a), dtype=np.int64)
         for s, data in zip(right["shard"], right["codes"], strict=True):
-            i, j = place[int(s)]
+            i, j = pairs.shards[int(s)]
             codes[i:j] = _unzip(data, "<u2")
-        logs = np.log10(probability(codes) + back)
-        info = zstandard.decompress(row["c"])
-        n, out, at = len(info) // 34, {}, 0
-        for name, kind in (("doc_ids", "<i8"), ("null", "u1"), ("held", "u1"), ("lengths", "<i8"), ("known", "<i8"), ("base", "<f8")):
-            out[name] = np.frombuffer(info, kind, n, at)
-            at += n * np.dtype(kind).itemsize
-        ends = np.cumsum(out["lengths"])
-        score = np.add.reduceat(logs[pair], ends - out["lengths"])
-        ids = pd.array(out["doc_ids"], dtype="Int64")
-        ids[out["null"].astype(bool)] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "held_out": out["held"].astype(bool), "n_tokens": out["lengths"], "n_known": out["known"], "train_tokens": total, "base_score": out["base"], "score": score})
+        count = count.astype(np.float64)
+        share = (count + 1) / (total + distinct + 1)
+        logs = np.log10(probability(codes) + mu / (count[pairs.a] + mu) * share[pairs.b])
+        doc = pd.array(about[0], dtype="Int64")
+        doc[about[1].astype(bool)] = pd.NA
+        return pd.DataFrame({
+            "doc_id": doc, "held_out": about[2].astype(bool), "n_tokens": about[3], "n_known": np.add.reduceat((count > 0)[tokens].astype(np.int64), pairs.starts), "train_tokens": total,
+            "base_score": np.add.reduceat(np.log10(share)[tokens], pairs.starts), "score": np.add.reduceat(logs[pairs.of], pairs.starts),
+        })
 
     return run
 
@@ -381,30 +410,27 @@ def score(docs: DataFrame, held_out: Column, mu: float = MU, batch_tokens: int =
     The model learns from all rows that are not held out and scores all rows. A token's probability after another is
     (pairs seen + mu * unigram) / (contexts seen + mu), the unigram that of the base; the first part is quantised in the trie.
 
-    Texts become numbers once, in batches. Counts of words meet by word; pairs of words meet in the shard of their context, where
-    the trie is built from those of training and answers each batch's pairs. A context with very many occurrences has several shards.
+    Texts become numbers once, in batches. Counts of words meet by range of hash; pairs of words meet in the shard of their context,
+    where the trie is built from those of training and answers each batch's pairs. A context with very many occurrences has
+    several shards. Batches, ranges and shards have a bounded size; there are more of them on more text.
 
     - A null or empty text is one end. Without training rows every count is 0, base_score and score are 0.
     - A null doc_id stays null; repeated rows are scored each, and count each in training. An empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     encoded = materialise(rows.mapInArrow(_encode(batch_tokens), ENCODED_SQL), "batches")
     size = encoded.agg(F.count("*").alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
-    shards, buckets = ceil_div(size["n"], shard_tokens), ceil_div(size["n"], batch_tokens)
-    words = encoded.select("batch", "held", "lengths", "tokens", "words").mapInArrow(_vocabulary, "batch long, word int, hash long, count long")
+    shards, ranges, parts, train = ceil_div(size["n"], shard_tokens), ceil_div(size["n"], 2 * shard_tokens), max(1, size["batches"]), int(size["train"])
+    most = max(1, shard_tokens // 8)
+    words = encoded.select("batch", "docs", "tokens", "words").mapInArrow(_vocabulary(ranges), "shard int, batch long, words binary, counts binary")
+    words = words.repartition(ranges, "shard").groupBy("shard").applyInPandas(_number(ranges), "of long, shard int, totals binary, ids binary, seen long")
     words = materialise(words, "words")
-    totals = words.where("count > 0").groupBy("hash").agg(F.sum("count").alias("total"))
-    # Numbers from 1 without gaps but for the buckets' different lengths: small ones make small tries.
-    number = F.row_number().over(W.partitionBy(F.pmod("hash", F.lit(buckets))).orderBy(F.col("total").desc(), "hash"))
-    totals = materialise(totals.withColumn("id", (number - 1).cast("long") * buckets + F.pmod("hash", F.lit(buckets)) + 1), "vocabulary")
-    distinct = totals.count()
-    counted = words.select("batch", "word", "hash").join(totals, "hash", "left")
-    counted = counted.select(F.col("batch").alias("of"), "word", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("id", F.lit(0)).alias("id"))
-    prepare = _prepare(shards, max(1, shard_tokens // 8), int(size["train"]), distinct, mu)
-    parts = max(size["batches"], 1)
-    left = encoded.repartition(parts, "batch").groupBy("batch")
-    prepared = materialise(left.cogroup(counted.repartition(parts, "of").groupBy("of")).applyInPandas(prepare, PREPARED), "asked")
-    answers = prepared.where("shard >= 0").select("batch", "shard", "a", "b", "c").repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(mu), "batch long, shard long, codes binary")
-    answers = answers.withColumnRenamed("batch", "of")
-    kept = prepared.where("shard < 0")
+    distinct = int(words.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
+    left = encoded.select("batch", "docs", "tokens", "end").repartition(parts, "batch").groupBy("batch")
+    asked = left.cogroup(words.drop("seen").repartition(parts, "of").groupBy("of")).applyInPandas(_prepare(shards, most), PREPARED)
+    asked = materialise(asked, "asked")
+    drop(encoded)
+    drop(words)
+    answers = asked.where("shard >= 0").select("batch", "shard", "a", "b", "c").repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(mu), "of long, shard long, codes binary")
+    kept = asked.where("shard < 0").repartition(parts, "batch").groupBy("batch")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return kept.repartition(parts, "batch").groupBy("batch").cogroup(answers.repartition(parts, "of").groupBy("of")).applyInPandas(_finish(int(size["train"])), out)
+    return kept.cogroup(answers.repartition(parts, "of").groupBy("of")).applyInPandas(_finish(shards, most, train, distinct, mu), out)
