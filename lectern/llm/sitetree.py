@@ -21,16 +21,18 @@ from lectern.llm.hostrep import host_and_path
 
 #: Fixed values of HTML: elements without content, with raw text, that flow inside a line, and those whose start ends an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe xmp noembed noframes noscript template svg math object select button canvas audio video".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 #: What names a part of a page that is not its article, as an element, a role or a word of a class or id.
-NOISE_TAGS = frozenset("nav footer aside form dialog menu".split())
+NOISE_TAGS = frozenset("nav footer aside form dialog menu svg math object select button canvas audio video".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "header masthead footer sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
-    "search share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager widget widgets toolbar copyright".split()
+    "search share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager toolbar copyright".split()
 )
+#: What begins a class that tells of something beside the element ("with-sidebar").
+BESIDE = frozenset("has with without no is not".split())
 LANDMARKS = frozenset(("article", "main"))
 ROOTS = frozenset(("html", "body"))
 
@@ -94,10 +96,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 class Node:
     """An open element."""
 
-    __slots__ = ("name", "key", "dropped", "landmark", "kept", "children", "hash", "chars")
+    __slots__ = ("name", "key", "dropped", "landmark", "form")
 
-    def __init__(self, name: str, key: int, dropped: bool, landmark: bool):
-        self.name, self.key, self.dropped, self.landmark = name, key, dropped, landmark
+    def __init__(self, name: str, key: int, dropped: bool, landmark: bool, form: bool = False):
+        self.name, self.key, self.dropped, self.landmark, self.form = name, key, dropped, landmark, form
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -112,8 +114,11 @@ def names_noise(name: str, attributes: dict[str, str], in_landmark: bool) -> boo
         return True
     if not attributes:
         return False
-    words = _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return any(w in NOISE_WORDS and not (w == "header" and in_landmark) for w in words)
+    for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = _WORDS.findall(label)
+        if words and words[0] not in BESIDE and any(w in NOISE_WORDS and not (w == "header" and in_landmark) for w in words):
+            return True
+    return False
 
 
 class Page:
@@ -174,7 +179,10 @@ class Page:
                 attributes = _attributes(rest)
                 key = xxhash.xxh64_intdigest(f"{name} {attributes.get('class', '')}", top.key) >> 1
                 landmark = top.landmark or name in LANDMARKS or attributes.get("role", "").lower() == "main"
-                node = Node(name, key, top.dropped or names_noise(name, attributes, top.landmark), landmark)
+                # Some sites put the whole page into a form: an article in nothing but a form is one.
+                inherited = top.dropped and not (top.form and name in LANDMARKS)
+                own = names_noise(name, attributes, top.landmark)
+                node = Node(name, key, inherited or own, landmark, (own and name == "form" and not inherited) or (top.form and inherited and not own))
                 self.presentation[top.key].append(key)
                 self.parents[key] = top.key
                 if landmark or name in ROOTS:

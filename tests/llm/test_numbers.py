@@ -107,5 +107,7 @@ def test_page_text():
     assert sitetree.Page(page).text() == "T & Q Hello wörld two three 4 a b 1 2 1 < 2 <b>"
     assert sitetree.Page("").text() == "" and sitetree.Page("plain <b>x</b>y").text() == "plain xy"
     assert sitetree.Page("<p>a<div>b</div>c</p>d").text() == "a b c d"
+    assert sitetree.Page("<form><div>in</div><article>a<button>b</button></article><aside><article>c</article></aside></form>").text() == "a"
+    assert sitetree.Page('<div class="content with-sidebar">a<div class="left-sidebar">b</div></div>').text() == "a"
     deep = "<div>" * 3000 + "text" + "</div>" * 3000
     assert sitetree.Page(deep).text() == "text"
