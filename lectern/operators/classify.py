@@ -25,14 +25,13 @@ def signals(works: DataFrame, concepts: DataFrame, names: DataFrame, fields: lis
     concepts: label, term; each counts its field's weight. names: label, term; each counts weight * min(1.5 * length, 6) / 3. The
     taxonomy is closed and small: its terms, a few hundred, are held against each text where it is read."""
     rows = [(r["label"], r["term"], False) for r in concepts.select("label", "term").distinct().collect()] + [(r["label"], r["term"], True) for r in names.select("label", "term").distinct().collect()]
+    folded = works.select("doc_id", *[F.concat(F.lit(" "), t.fold(F.col(f)), F.lit(" ")).alias(f) for f in fields])
     found = []
     for f in fields:
-        w = FIELD_WEIGHTS[f]
-        text = F.concat(F.lit(" "), t.fold(F.col(f)), F.lit(" "))
         for label, term, named in sorted(rows):
-            weight = w * min(1.5 * len(term), 6.0) / 3 if named else w
-            found.append(F.when(text.contains(f" {term} "), F.struct(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.lit(named).alias("named"))))
-    hits = works.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("h"))
+            weight = FIELD_WEIGHTS[f] * (min(1.5 * len(term), 6.0) / 3 if named else 1.0)
+            found.append(F.when(F.col(f).contains(f" {term} "), F.struct(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.lit(named).alias("named"))))
+    hits = folded.select("doc_id", F.explode(F.array(*found)).alias("h")).where("h IS NOT NULL")
     return hits.groupBy("doc_id", "h.label").agg(F.round(F.sum("h.weight"), 6).alias("score"), F.bool_or("h.named").alias("named"))
 
 
