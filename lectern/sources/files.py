@@ -13,8 +13,11 @@ from pyspark.sql.window import Window as W
 def read_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): the rows of a JSON Lines file and the lines that are not rows of the schema, with their file."""
     wide = StructType([*schema.fields, StructField("_bad", StringType())])
-    raw = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.col("_metadata.file_path"))
-    return raw.where("_bad IS NULL").drop("_bad", "_file"), raw.where("_bad IS NOT NULL").select(F.col("_file").alias("file"), F.col("_bad").alias("line"))
+    line = F.regexp_replace("value", "^\ufeff", "")
+    lines = spark.read.text(path).where(F.trim(line) != "").select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
+    parsed = lines.withColumn("row", F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    good = F.col("row").isNotNull() & F.col("row._bad").isNull()
+    return parsed.where(good).select("row.*").drop("_bad"), parsed.where(~good).select("file", "line")
 
 
 def read_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -23,7 +23,9 @@ def duck():
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or v != v:
         return None
-    return round(float(v), 6) if isinstance(v, float) else str(v)
+    if isinstance(v, float):
+        return str(int(v)) if v.is_integer() else str(round(float(v), 6))  # pandas holds integers beside nulls as floats
+    return str(v)
 
 
 def rows(df):
@@ -37,7 +39,7 @@ def test_matches_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     got, want = rows(got), rows(want)
     assert len(got) == len(want)
-    assert [[str(x) for x in r] for r in got] == [[str(x) for x in r] for r in want]
+    assert got == want
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
