@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -9,14 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.llm.common import ceil_div, materialise
 
-#: Chunks of text between white space whose ids a worker keeps; it forgets them all when there are more.
-CACHE = 100_000
+#: Chunks of text between white space, and parts of them, whose ids a worker keeps: twice as many at most.
+CHUNKS, PARTS = 250_000, 300_000
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -81,52 +84,109 @@ def slots(counts: dict[int, int], capacity: int) -> dict[int, tuple[list[int], l
     return dict(table)
 
 
+class Recent:
+    """What was used lately: two generations of a dictionary, the older of which is dropped when the younger is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class ChunkTokenizer:
-    """Ids of texts. A tokenizer that drops white space and never joins across it gives the ids of the chunks in turn,
-    so each distinct chunk is encoded once and kept. Chunks end at ASCII white space; what else may count as white space
-    is left to the tokenizer."""
+    """Ids of texts. A tokenizer that drops white space and never joins across it gives the ids of the chunks in turn, and one
+    that splits words by `PARTS_OF` before anything else those of a chunk's parts: each is encoded once and kept while in use.
+
+    Chunks end at ASCII white space; what else may count as white space, and chunks with letters past Latin, whose
+    normal forms may join, are left to the tokenizer whole."""
+
+    PARTS_OF = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    WHOLE = regex.compile(r"[^\x21-\x7e\xa1-\xac\xae-\u017f]|<\|")
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers", [])
+        pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        self.splits = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == pattern
+        # Byte-level vocabularies write a byte as its own character where that is visible, the others as those from U+0100 on.
+        seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.visible = {c: 256 + n for n, c in enumerate(c for c in range(256) if c not in seen)}
         self.end = end_id.to_bytes(4, "little")
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.chunks, self.parts = Recent(CHUNKS), Recent(PARTS)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _split(self, text: str) -> list[str] | None:
+        """The parts of a chunk, None if the tokenizer has to see it whole. Most chunks are letters and perhaps one mark after them."""
+        if not self.splits or "\u0130" in text:  # its lower case is two characters
+            return None
+        if text.isalpha() and max(text) < "\u0180":
+            return [text.lower()]
+        if text[:-1].isalpha() and text[-1] in ".,;:!?|-)" and max(text) < "\u0180":
+            return [text[:-1].lower(), text[-1]]
+        return None if self.WHOLE.search(text) else self.PARTS_OF.findall(text.lower())
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        parts = self._split(text)
+        if parts is None:
+            return self._encode(text)
+        out = []
+        for part in parts:
+            ids = self.parts.get(part)
+            if ids is None:
+                seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.visible)
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(seen)], dtype="<u4").tobytes()
+                self.parts.put(part, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text and the end id; a null text has the end id alone."""
         chunks = (text or "").encode().split()
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                known.update(zip(part, self._encode([c.decode() for c in part]), strict=True))
-        out = b"".join(map(known.__getitem__, chunks)) + self.end
-        if len(known) > CACHE:  # one text with more chunks than are kept
-            known.clear()
-        return out
+        out = list(map(self.chunks.young.get, chunks))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            ids = self.chunks.get(chunks[k])
+            if ids is None:
+                ids = self._chunk(chunks[k])
+                self.chunks.put(chunks[k], ids)
+            out[k] = ids
+        out.append(self.end)
+        return b"".join(out)
+
+
+_CODERS: dict[tuple[str, int], ChunkTokenizer] = {}  # a worker's, kept from task to task
+
+
+def coder(path: str, end_id: int) -> ChunkTokenizer:
+    if (path, end_id) not in _CODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its threads
+        _CODERS[path, end_id] = ChunkTokenizer(path, end_id)
+    return _CODERS[path, end_id]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every row, map-side only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = ChunkTokenizer(tokenizer, end_id)
+        code = coder(tokenizer, end_id).encode
         for b in batches:
             rows: list[tuple] = []
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             for k, doc in enumerate(ids):
-                data = coder.encode(texts[k].as_py())
+                data = code(texts[k].as_py())
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of what is fitted: labelled rows, bytes of a text that may be one of them, and rows of the two tables of vectors.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 200_000
 CORE_WORDS = 20_000
 SHAPES = 2_000
@@ -62,12 +62,16 @@ class Vectors:
         known = sorted((t for t, n in counts.items() if n >= self.least), key=lambda t: (-counts[t], t))[: self.most]
         self.row = {t: k + 1 for k, t in enumerate(known)}  # row 0 stands for all others
         base = np.stack([index_vector("\0"), *(index_vector(t) for t in known)])
+        ids = [np.fromiter((self.row.get(t, 0) for t in text), dtype=np.int64, count=len(text)) for text in texts]
+        near = [np.empty(0, np.int64)]
+        for gap in range(1, self.window + 1):
+            near += [x[gap:] * len(base) + x[:-gap] for x in ids] + [x[:-gap] * len(base) + x[gap:] for x in ids]
+        pairs, counts = np.unique(np.concatenate(near), return_counts=True)
         sums = np.zeros_like(base)
-        for text in texts:
-            ids = np.fromiter((self.row.get(t, 0) for t in text), dtype=np.int64, count=len(text))
-            for gap in range(1, self.window + 1):
-                np.add.at(sums, ids[gap:], base[ids[:-gap]])
-                np.add.at(sums, ids[:-gap], base[ids[gap:]])
+        for at in range(0, len(pairs), 100_000):  # pairs are sorted by word: each word's neighbours are one run of rows
+            word, other = np.divmod(pairs[at : at + 100_000], len(base))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            sums[word[first]] += np.add.reduceat(base[other] * counts[at : at + 100_000, None].astype(np.float32), first, axis=0)
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
         self.table = unit(2 * unit(base) + unit(sums)).astype(np.float32)
         return self
@@ -113,7 +117,7 @@ class Features:
 class Network:
     """Inputs, a layer of tanh units, one logit; trained by Adam, its temperature set on rows left out."""
 
-    def __init__(self, hidden: int = 32, epochs: int = 120, rate: float = 0.01, decay: float = 1e-4, seed: int = 5):
+    def __init__(self, hidden: int = 32, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 5):
         self.hidden, self.epochs, self.rate, self.decay, self.seed = hidden, epochs, rate, decay, seed
 
     def logit(self, x: np.ndarray) -> np.ndarray:

@@ -153,20 +153,22 @@ def connect(links: DataFrame, node: str = "node", root: str = "root", rounds: in
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Near-duplicate classes of `docs` (doc_id, text and any more): doc_id, fp, component_id, one row for each row.
+    """Near-duplicate classes of `docs` (doc_id, text and any more): doc_id, text_key, fp, root, component_id, one row for each row.
 
     - A null or empty text has fingerprint 0 and links like any other; copies share a fingerprint and need no link.
-    - component_id is the smallest doc_id reachable over links of `radius` differing bits or fewer.
-    - A null doc_id is kept, is never the smallest while its component has another, and is null where all are null.
+    - component_id is the smallest doc_id reachable over links of `radius` differing bits or fewer; root is a fingerprint that
+      stands for the class, text_key the text's hash.
+    - A null doc_id is kept, is never the smallest while its component has another, and component_id is null where all are null.
     - An empty table gives an empty result; repeated rows give repeated rows."""
-    fps = materialise(docs.select("doc_id", text_fingerprint(F.col("text"), shingle).alias("fp")), "doc-fingerprints")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    fps = materialise(docs.select("doc_id", F.xxhash64(text).alias("text_key"), text_fingerprint(F.col("text"), shingle).alias("fp")), "doc-fingerprints")
     roots = connect(fingerprint_links(fps, radius, tile), "node", "root")
     smallest = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     # Only linked fingerprints need the second grouping; a fingerprint of its own keeps its smallest document.
     placed = smallest.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     by_root = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialise(placed.select("fp", "root").join(by_root, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialise(placed.select("fp", "root").join(by_root, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp="fp"):
@@ -174,14 +176,26 @@ def fingerprint_hex(fp="fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
+#: Rows to remove, some 50 bytes each, up to which their keys are broadcast; beyond, the join shuffles.
+BROADCAST_REMOVED = 1_000_000
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents without near copies: of each class the row of its smallest doc_id stays, with all its columns.
-
-    Of rows that repeat that doc_id one stays, the first by text, nulls first; of a class without any doc_id likewise."""
-    classes = materialise(near_duplicates(docs, shingle, radius).select("doc_id", "component_id"), "members")
-    first = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
-    if not classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return kept  # the usual case: texts are not sorted for the sake of a rule that no row needs
-    order = W.partitionBy("doc_id").orderBy("text")
+    """The documents without near copies: one row of each class stays, with all its columns.
+
+    It is that of the smallest doc_id, rows without doc_id last; of several texts under one doc_id that of the smallest hash; of
+    rows that repeat doc_id and text any one."""
+    members = materialise(near_duplicates(docs, shingle, radius).select("doc_id", "text_key", "root"), "members")
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+    first = members.groupBy("root").agg(F.min(rank).alias("first")).withColumnRenamed("root", "_root")
+    rows = members.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    rows = materialise(rows.join(first, F.col("root") == F.col("_root")).select("doc_id", "text_key", "n", (rank == F.col("first")).alias("stays")), "decisions")
+    removed = rows.where("NOT stays").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    if removed.count() <= BROADCAST_REMOVED:
+        removed = F.broadcast(removed)
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left_anti")
+    if not rows.where("stays AND n > 1").limit(1).count():
+        return kept  # the usual case: texts are not sorted for the sake of rows that repeat
+    order = W.partitionBy("doc_id", key).orderBy(F.lit(0))
     return kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
