@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import binpack, mixing, quality, simhash
+from lectern.llm import binpack, mixing, quality, shinglesim
 from lectern.llm.common import crc_remainder, materialise
 from lectern.llm.queries import table, tokenizer_path
 
@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    return simhash.keep_one(docs, shingle=3, radius=3)
+    """One document of each class of texts whose five-word shingles are 0.8 or more alike."""
+    return shinglesim.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

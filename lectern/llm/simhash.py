@@ -185,7 +185,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
 
     It is that of the smallest doc_id, rows without doc_id last; of several texts under one doc_id that of the smallest hash; of
     rows that repeat doc_id and text any one."""
-    members = materialise(near_duplicates(docs, shingle, radius).select("doc_id", "text_key", "root"), "members")
+    return keep_first(docs, materialise(near_duplicates(docs, shingle, radius).select("doc_id", "text_key", "root"), "members"))
+
+
+def keep_first(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of docs that stay when each root of `members` (doc_id, text_key, root; one row for each of docs) keeps its first."""
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
     first = members.groupBy("root").agg(F.min(rank).alias("first")).withColumnRenamed("root", "_root")
     rows = members.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
