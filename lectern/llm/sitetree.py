@@ -24,7 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe xmp noembed noframes noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 #: What names a part of a page that is not its article, as an element, a role or a word of a class or id.
-NOISE_TAGS = frozenset("nav footer aside form dialog menu svg math object select button canvas audio video".split())
+NOISE_TAGS = frozenset("nav footer aside form dialog menu svg object select button canvas audio video".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -34,6 +34,9 @@ NOISE_WORDS = frozenset(
 #: What begins a class that tells of something beside the element ("with-sidebar").
 BESIDE = frozenset("has with without no is not".split())
 LANDMARKS = frozenset(("article", "main"))
+#: Headings, whose class or id is a slug of what they say, and what else an id says of a part that is noise ("left-sidebar").
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLACES = frozenset("left right top bottom main site page global primary secondary".split())
 ROOTS = frozenset(("html", "body"))
 
 #: A branch of less importance is noise, where at least so many pages of its site have it.
@@ -42,6 +45,8 @@ LEAST_PAGES = 5
 GAMMA = 0.9
 #: Hosts and noise nodes up to which their table, some 20 bytes a node, is broadcast; beyond, the join shuffles.
 BROADCAST_HOSTS, BROADCAST_NODES = 20_000, 200_000
+#: Pages that a host repeats up to which their table is broadcast.
+BROADCAST_COPIES = 200_000
 #: Counts that a task holds before it passes them on.
 HELD_COUNTS = 200_000
 
@@ -96,29 +101,35 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 class Node:
     """An open element."""
 
-    __slots__ = ("name", "key", "dropped", "landmark", "form")
+    __slots__ = ("name", "key", "dropped", "landmark", "form", "named", "hard")
 
-    def __init__(self, name: str, key: int, dropped: bool, landmark: bool, form: bool = False):
-        self.name, self.key, self.dropped, self.landmark, self.form = name, key, dropped, landmark, form
+    def __init__(self, name: str, key: int, dropped: bool, landmark: bool, form: bool = False, named: bool = False, hard: bool = False):
+        self.name, self.key, self.dropped, self.landmark, self.form, self.named, self.hard = name, key, dropped, landmark, form, named, hard
 
 
 def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest else {}
 
 
-def names_noise(name: str, attributes: dict[str, str], in_landmark: bool) -> bool:
-    """Whether an element says that it is no part of an article. The header of an article is part of it, that of a page is not."""
+def tag_noise(name: str, attributes: dict[str, str], in_landmark: bool) -> bool:
+    """Whether an element is no part of an article by its tag or role. The header of an article is part of it, that of a page is not."""
     if name in ROOTS or name in LANDMARKS:
         return False
-    if name in NOISE_TAGS or (name == "header" and not in_landmark) or "hidden" in attributes or attributes.get("role", "").lower() in NOISE_ROLES:
-        return True
-    if not attributes:
+    return name in NOISE_TAGS or (name == "header" and not in_landmark) or "hidden" in attributes or attributes.get("role", "").lower() in NOISE_ROLES
+
+
+def names_noise(name: str, attributes: dict[str, str], in_landmark: bool) -> bool:
+    """Whether a class or id says that an element is no part of an article: a class that begins or ends with such a word
+    ("left-sidebar", not "content-sidebar-wrap"), an id of nothing but such words and places (not the slug "related-work")."""
+    if not attributes or name in ROOTS or name in LANDMARKS or name in HEADINGS:
         return False
-    for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+    noise = NOISE_WORDS - {"header"} if in_landmark else NOISE_WORDS
+    for label in attributes.get("class", "").lower().split():
         words = _WORDS.findall(label)
-        if words and words[0] not in BESIDE and any(w in NOISE_WORDS and not (w == "header" and in_landmark) for w in words):
+        if words and words[0] not in BESIDE and (words[0] in noise or words[-1] in noise):
             return True
-    return False
+    words = _WORDS.findall(attributes.get("id", "").lower())
+    return any(w in noise for w in words) and all(w in noise or w in PLACES for w in words)
 
 
 class Page:
@@ -131,6 +142,7 @@ class Page:
         root = Node("", 0, False, False)
         stack = [root]
         self.pieces: list[tuple[str, tuple[int, ...], bool, bool]] = []
+        self.soft: set[int] = set()  # pieces that only the name of a class or id drops
         self.presentation: dict[int, list[int]] = defaultdict(list)
         self.parents: dict[int, int] = {}
         self.protected: set[int] = set()
@@ -146,6 +158,8 @@ class Page:
         for kind, name, rest in tokens(page):
             top = stack[-1]
             if kind == "text":
+                if top.dropped and not top.hard:
+                    self.soft.add(len(self.pieces))
                 self.pieces.append((entities.unescape(rest), path, top.dropped, top.landmark))
             elif kind == "break":
                 self.pieces.append((" ", path, True, False))
@@ -180,9 +194,13 @@ class Page:
                 key = xxhash.xxh64_intdigest(f"{name} {attributes.get('class', '')}", top.key) >> 1
                 landmark = top.landmark or name in LANDMARKS or attributes.get("role", "").lower() == "main"
                 # Some sites put the whole page into a form: an article in nothing but a form is one.
-                inherited = top.dropped and not (top.form and name in LANDMARKS)
-                own = names_noise(name, attributes, top.landmark)
-                node = Node(name, key, inherited or own, landmark, (own and name == "form" and not inherited) or (top.form and inherited and not own))
+                # So is the main element of a page in wrappers that are noise by their class or id alone.
+                inherited = top.dropped and not (top.form and name in LANDMARKS) and not (top.named and name == "main")
+                tag = tag_noise(name, attributes, top.landmark)
+                own = tag or names_noise(name, attributes, top.landmark)
+                form = (own and name == "form" and not inherited) or (top.form and inherited and not own)
+                named = not tag and ((own and not inherited) or (top.named and inherited))
+                node = Node(name, key, inherited or own, landmark, form, named, tag or (inherited and top.hard))
                 self.presentation[top.key].append(key)
                 self.parents[key] = top.key
                 if landmark or name in ROOTS:
@@ -193,16 +211,32 @@ class Page:
     def text(self, noise: frozenset[int] | set[int] = frozenset()) -> str:
         """The text of the branches that are not noise: those of the article, where the page marks one that has text."""
         low = noise - self.protected if noise else noise
-        kept, main = [], []
-        for piece, path, dropped, landmark in self.pieces:
+        # A branch with most of the page's text stays, with all in it: an article may be on many pages of its site.
+        most: set[int] = set()
+        if low:
+            inside: Counter = Counter()
+            total = 0
+            for piece, path, dropped, _ in self.pieces:
+                size = 0 if dropped else len("".join(piece.split()))
+                if size:
+                    total += size
+                    for key in low.intersection(path):
+                        inside[key] += size
+            most = {key for key, size in inside.items() if 2 * size > total}
+        kept, main, soft = [], [], []
+        for at, (piece, path, dropped, landmark) in enumerate(self.pieces):
             if piece == " ":
                 kept.append(piece)
                 main.append(piece)
-            elif not dropped and not (low and not low.isdisjoint(path)):
+                soft.append(piece)
+            elif not dropped and not (low and not low.isdisjoint(path) and most.isdisjoint(path)):
                 kept.append(piece)
                 if landmark:
                     main.append(piece)
-        return " ".join("".join(main).split()) or " ".join("".join(kept).split())
+            elif at in self.soft:
+                soft.append(piece)
+        # Where nothing else has text, the names of classes and ids were wrong about it.
+        return " ".join("".join(main).split()) or " ".join("".join(kept).split()) or " ".join("".join(soft).split())
 
     def observations(self) -> Iterator[tuple[int, int, int, int]]:
         """(node, parent, style, content) of each node of the page's style tree: equal siblings are one node; a style is the sequence
@@ -225,7 +259,7 @@ class Page:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) to counts (host, node, parent, kind, value, n) of styles (kind 0) and contents (kind 1)."""
+    """(host, html, copies) to counts (host, node, parent, kind, value, n) of styles (kind 0) and contents (kind 1); one of k copies counts 1/k."""
     counts: Counter = Counter()
 
     def out() -> pa.RecordBatch:
@@ -233,16 +267,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         columns = list(zip(*(k for k, _ in rows), strict=True)) or [()] * 5
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([n for _, n in rows], pa.int64())], ["host", "node", "parent", "kind", "value", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([n for _, n in rows], pa.float64())], ["host", "node", "parent", "kind", "value", "n"])
 
     for b in batches:
-        for host, page in zip(b.column("host"), b.column("html"), strict=True):
-            name = host.as_py()
+        for host, page, copies in zip(b.column("host"), b.column("html"), b.column("copies"), strict=True):
+            name, weight = host.as_py(), 1 / copies.as_py()
             seen = Page(page.as_py() or "")
             for node, parent, style, content in seen.observations():
                 if node not in seen.protected:
-                    counts[name, node, parent, 0, style] += 1
-                    counts[name, node, parent, 1, content] += 1
+                    counts[name, node, parent, 0, style] += weight
+                    counts[name, node, parent, 1, content] += weight
             if len(counts) >= HELD_COUNTS:
                 yield out()
     yield out()
@@ -252,10 +286,18 @@ def noise_nodes(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int
     """host, noise (array of node keys): the low-importance branches of each site's style tree, from `pages` (host, html).
 
     A node's presentation matters by the entropy of its styles over the m pages that have it, to the base m: one style everywhere
-    is 0, one for each page 1. Its content matters by one less the mean entropy of what it says: a text on one
+    is 0, one for each page 1. Copies of a page on its host count as one page. Its content matters by one less the mean entropy of what it says: a text on one
     page only counts 1, one on all pages 0. A node with children combines its own styles and its children's importance."""
-    counts = pages.select("host", "html").mapInArrow(_count, "host string, node long, parent long, kind int, value long, n long")
-    counts = counts.groupBy("host", "node", "parent", "kind", "value").agg(F.sum("n").alias("n"))
+    pages = pages.select("host", "html", F.xxhash64("html").alias("page"))
+    repeated = materialise(pages.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    repeated = repeated.select(F.col("host").alias("_host"), F.col("page").alias("_page"), "copies")
+    if repeated.count() <= BROADCAST_COPIES:
+        repeated = F.broadcast(repeated)
+    pages = pages.join(repeated, (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page")), "left")
+    pages = pages.select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counts = pages.mapInArrow(_count, "host string, node long, parent long, kind int, value long, n double")
+    # The parts of a page's copies make up 1, so the sum is a whole number but for rounding.
+    counts = counts.groupBy("host", "node", "parent", "kind", "value").agg(F.round(F.sum("n")).cast("long").alias("n"))
     n = F.col("n").cast("double")
     per = counts.groupBy("host", "node", "parent", "kind").agg(F.sum("n").alias("m"), F.count("*").alias("values"), F.sum(n * F.log(n)).alias("nlogn"), F.sum(F.log(n)).alias("logs"))
     logm = F.log(F.col("m"))
