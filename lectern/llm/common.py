@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,10 +19,13 @@ _written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none."""
+    """The shared folder that the cluster names; a temporary one only on one machine that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir has to name a shared folder on {master}")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="lectern-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
@@ -68,3 +72,21 @@ def word_count(text: Column) -> Column:
 
 def ceil_div(a: int, b: int) -> int:
     return max(1, -(-a // b))
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """The frame, marked for a broadcast if it has `most` rows at most; beyond, joins with it shuffle. Counts it: give a stored one."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of df: none that it has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -13,21 +14,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-#: Bounds of what is fitted: labelled rows, bytes of a text that may be one of them, and rows of the two tables of vectors.
+from lectern.llm.common import materialise
+
+#: Bounds of what is fitted: labelled rows, bytes of a text that may be one of them and of all together, and rows of the two tables of vectors.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 200_000
+SAMPLE_TOTAL = 16 << 20
 CORE_WORDS = 20_000
 SHAPES = 2_000
 DIMENSIONS = 48
-#: Distinct words whose ids a worker keeps; it forgets them all when there are more.
+#: Distinct words whose rows in the two tables a worker keeps; it forgets them all when there are more, and looks them up again.
 CACHE = 100_000
 
 
 def shape(word: str) -> str:
     """Classes of a word's characters, runs shortened: "Word,," is "Xx,", "A1b2" is "X9x9"."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
@@ -78,38 +83,35 @@ class Vectors:
 
 
 class Features:
-    """A document's inputs: mean vectors of its words' cores and shapes, and how much it repeats itself."""
+    """A document's inputs: mean vectors of its words' cores and shapes, and how much it repeats itself.
+
+    They depend on the text alone: what is kept from text to text are rows of fixed tables."""
 
     def __init__(self, cores: Vectors, shapes: Vectors):
         self.cores, self.shapes = cores, shapes
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.known: dict[str, tuple[int, int]] = {}
 
-    def _id(self, word: str) -> tuple[int, int, int]:
-        return self.cores.row.get(core(word), 0), self.shapes.row.get(shape(word), 0), len(self.known)
+    def _rows(self, word: str) -> tuple[int, int]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            found = self.known[word] = self.cores.row.get(core(word), 0), self.shapes.row.get(shape(word), 0)
+        return found
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
-        n = len(words)
-        known, total = self.known, np.zeros(2 * DIMENSIONS, dtype=np.float64)
-        same = distinct = chars = 0
-        last = -1
-        for at in range(0, n, 50_000):  # a very long text in bounded memory
-            part = words[at : at + 50_000]
-            if len(known) > CACHE:
-                known.clear()
-                last = -1
-            for w in part:
-                if w not in known:
-                    known[w] = self._id(w)
-            ids = np.array([known[w] for w in part], dtype=np.int64).reshape(-1, 3)
-            total[:DIMENSIONS] += self.cores.table[ids[:, 0]].sum(0, dtype=np.float64)
-            total[DIMENSIONS:] += self.shapes.table[ids[:, 1]].sum(0, dtype=np.float64)
-            runs = np.concatenate([[last], ids[:, 2]])
-            same += int((runs[1:] == runs[:-1]).sum())
-            last = int(ids[-1, 2])
-            distinct += len(np.unique(ids[:, 2]))
-            chars += sum(map(len, part))
-        m = max(1, n)
+        n, m = len(words), max(1, len(words))
+        counts = Counter(words)  # of the whole text, however long
+        times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        rows = np.array([self._rows(w) for w in counts], dtype=np.int64).reshape(-1, 2)
+        total = np.zeros(2 * DIMENSIONS)
+        for at in range(0, len(times), 20_000):
+            part = times[at : at + 20_000, None]
+            total[:DIMENSIONS] += (part * self.cores.table[rows[at : at + 20_000, 0]]).sum(0)
+            total[DIMENSIONS:] += (part * self.shapes.table[rows[at : at + 20_000, 1]]).sum(0)
+        same = sum(map(operator.eq, words, words[1:]))
+        distinct, chars = len(counts), sum(map(len, words))
         more = [np.log1p(n) / 10, same / m, distinct / m, np.log1p(distinct) / np.log1p(m), chars / m / 20, float(n == 0)]
         return np.concatenate([total / m, more])
 
@@ -171,20 +173,24 @@ def fit_model(texts: list[str], labels: np.ndarray) -> bytes:
     return pickle.dumps((features, network, constant))
 
 
-def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> bytes:
-    """The model of at most `sample_rows` labelled documents of at most `sample_bytes` bytes, those of the lowest hash of their id.
+def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, sample_total: int = SAMPLE_TOTAL) -> bytes:
+    """The model of at most `sample_rows` labelled documents of at most `sample_bytes` bytes, and `sample_total` together: those of the
+    lowest hash of their id.
 
-    Rows that are not `learnable` (a condition on doc_id), or whose label or text is null, are not learned from; the
-    bounds make the one task that fits the model as small on any corpus."""
+    Rows that are not `learnable` (a condition on doc_id), or whose label or text is null, are not learned from; of rows with one
+    doc_id the smallest text is. The bounds make the one task that fits the model as small on any corpus."""
     named = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality"))
-    short = docs.where(learnable & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes)).select("doc_id")
+    short = F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = named.join(short.distinct(), "doc_id", "left_semi").orderBy(*order).limit(sample_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample_rows rows at most
-    texts = texts.where(F.octet_length("text") <= sample_bytes)
+    chosen = named.join(docs.where(learnable & short).select("doc_id").distinct(), "doc_id", "left_semi").orderBy(*order).limit(sample_rows)
+    texts = docs.where(short).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # sample_rows rows at most
+    texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_quality").alias("_quality")), "sample")
+    upto = F.sum(F.octet_length("text")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    fits = texts.select("doc_id", upto.alias("_upto")).where(F.col("_upto") <= sample_total).select("doc_id")
+    texts = texts.join(F.broadcast(fits), "doc_id", "left_semi")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+        pdf = pdf.sort_values("doc_id")
         return pd.DataFrame({"model": [fit_model(pdf["text"].tolist(), pdf["_quality"].to_numpy())]})
 
     rows = texts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fit, "model binary").collect()
@@ -199,10 +205,9 @@ def text_score(spark: SparkSession, text: Column, model: bytes) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, network, constant = pickle.loads(shared.value)
         for texts in batches:
-            if constant is not None or not len(texts):
-                yield pa.array(np.full(len(texts), constant if constant is not None else 0.5))
-            else:
-                yield pa.array(network.score(np.array([features(t.as_py()) for t in texts])))
+            # Each text is scored by itself: products of one shape round alike, whatever rows a batch holds.
+            one = (lambda t: constant) if constant is not None else (lambda t: float(network.score(features(t.as_py())[None])[0]))
+            yield pa.array([one(t) for t in texts], pa.float64())
 
     return run(text.cast("string"))
 
@@ -211,7 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     """doc_id, held_out, score, predicted: one row for each row of `docs` (doc_id, text and any more), map-side only.
 
     Labels (doc_id, quality) of rows that are held out are never learned from; the texts alone decide a score.
-    Empty and null texts, null ids and repeated rows are scored like any other row; without labels every score is 0.5."""
+    Empty and null texts, null ids and repeated rows are scored like any other row; without labels every score is 0.5. A text of
+    any length is read whole, in one task, and its score depends on nothing but itself and the model. An empty table gives no rows."""
     model = train(docs, labels, ~held_out, **bounds)
     scored = docs.select("doc_id", text_score(docs.sparkSession, F.col("text"), model).alias("score"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

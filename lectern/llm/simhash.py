@@ -13,29 +13,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from lectern.llm.common import ceil_div, materialise
+from lectern.llm.common import ceil_div, free_names, materialise, small
 
-#: Fingerprints of a tile. Two tiles and their comparison take a few MB in a task.
-TILE = 8192
+#: Fingerprints of a tile, at least and at most: tiles grow with the table, so that fewer pairs of them are sent around.
+TILE, LARGEST_TILE = 8192, 65536
+#: Links that a task holds before it shortens them to a forest.
+HELD_LINKS = 1_000_000
+#: Classes, some 40 bytes each, up to which their table is broadcast; beyond, the join shuffles and AQE may split a large class.
+BROADCAST_CLASSES = 200_000
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the words (A-Z lowered), as an unsigned number; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words (A-Z lowered) in turn, repeats included; one run for a shorter text, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
     ends = (ends - 1).tolist()[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)], dtype="<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are set where over half of the hashes have them set; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):  # a very long text in bounded memory
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the words (A-Z lowered), as an unsigned number; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def text_fingerprint(text: Column, shingle: int = 3) -> Column:
     """The fingerprint of a text column, its 64 bits as a signed long; a null text counts as an empty one."""
 
@@ -47,15 +60,20 @@ def text_fingerprint(text: Column, shingle: int = 3) -> Column:
     return run(text.cast("string"))
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of all a[i], b[j] at `radius` differing bits or fewer."""
-    left, right = [], []
-    step = max(1, (1 << 19) // max(1, len(b)))  # half a million words of 8 bytes at a time stay in cache
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of all a[i], b[j] at `radius` differing bits or fewer, some rows of a at a time."""
+    step = max(1, (1 << 17) // max(1, len(b)))  # a MB of differences at a time stays in cache
+    shape = (min(step, len(a)), len(b))
+    differ, bits, near = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, bool)
     for at in range(0, len(a), step):
-        i, j = np.nonzero(np.bitwise_count(np.bitwise_xor.outer(a[at : at + step], b)) <= radius)
-        left.append(i + at)
-        right.append(j)
-    return np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
+        n = min(step, len(a) - at)
+        np.bitwise_xor(a[at : at + n, None], b, out=differ[:n])
+        np.bitwise_count(differ[:n], out=bits[:n])
+        np.less_equal(bits[:n], radius, out=near[:n])
+        found = np.flatnonzero(near[:n].ravel())
+        if len(found):
+            i, j = np.divmod(found, len(b))
+            yield i + at, j
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -72,64 +90,106 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _compare_tiles(radius: int):
+def _compare_tiles(radius: int, words: int, whole_radius: int, similarity: float):
+    """Rows of one or two tiles to links (a, b) between keys: a forest of the pairs within the radii."""
+    width = words + 2 if similarity else 1
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blobs = [np.frombuffer(x, dtype="<u8") for x in pdf.sort_values("side")["fps"]]
-        a = blobs[0]
-        if len(blobs) == 1:  # a tile against itself
-            i, j = close_pairs(a, a, radius)
-            up = i < j
-            i, j, nodes = i[up], j[up], a
-        else:
-            i, j = close_pairs(a, blobs[1], radius)
-            j, nodes = j + len(a), np.concatenate(blobs)
-        # Links that follow from others are left out: a forest connects the same fingerprints and is no longer than the tiles.
-        root = forest(i, j, len(nodes))
+        tiles = [np.frombuffer(x, dtype="<u8").reshape(width, -1) for x in pdf.sort_values("side")["rows"]]
+        a, b = tiles[0], tiles[-1]
+        n, own = a.shape[1], len(tiles) == 1
+        nodes = a[0] if own else np.concatenate([a[0], b[0]])
+        held, count = [], 0
+        label = np.arange(len(nodes))
+
+        def shorten() -> np.ndarray:
+            # Links that follow from others are left out: a forest connects the same rows and is no longer than the tiles.
+            i, j = (np.concatenate(x) for x in zip(*held, (np.arange(len(nodes)), label), strict=True))
+            held.clear()
+            return forest(i, j, len(nodes))
+
+        first = 2 if similarity else 0
+        for i, j in close_pairs(a[first], b[first], radius):
+            if own:
+                up = i < j
+                i, j = i[up], j[up]
+            if similarity:
+                bits = sum(np.bitwise_count(a[k][i] ^ b[k][j]).astype(np.int32) for k in range(2, width))
+                low, high = np.minimum(a[1][i], b[1][j]), np.maximum(a[1][i], b[1][j])
+                both = (bits <= whole_radius) & (low >= similarity * high - 1e-6)
+                i, j = i[both], j[both]
+            held.append((i, j if own else j + n))
+            count += len(i)
+            if count > HELD_LINKS:
+                label, count = shorten(), 0
+        root = shorten()
         at = np.flatnonzero(root != np.arange(len(nodes)))
         return pd.DataFrame({"a": nodes[at].view("<i8"), "b": nodes[root[at]].view("<i8")})
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints of column `fp` exactly as all pairs within the radius do.
-
-    Fingerprints of one population count are dealt over tiles of about `tile`; two tiles meet only if their population
-    counts differ by the radius at most, since fewer differing bits are then impossible. The driver sees 65 counts."""
-    distinct = fps.select("fp").distinct().withColumn("pc", F.bit_count("fp").cast("int"))
-    distinct = materialise(distinct, "fingerprints")
-    tiles = {r["pc"]: ceil_div(r["n"], tile) for r in distinct.groupBy("pc").agg(F.count("*").alias("n")).collect()}
-    spark = fps.sparkSession
-    # first[pc] is the number of the first tile of that count, so that numbers of tiles that may meet are one range.
-    first, total = {}, 0
-    for pc in range(66):
-        first[pc] = total
-        total += tiles.get(pc, 0)
-    meta = spark.createDataFrame(
-        [(pc, first[pc], n, first[min(pc + radius, 64) + 1] - 1, first[max(pc - radius, 0)]) for pc, n in tiles.items()],
-        "pc int, first long, n long, last_partner long, first_partner long",
-    )
-    packed = (
-        distinct.join(F.broadcast(meta), "pc")  # 65 rows at most
-        .withColumn("tile", F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")))
-        .groupBy("tile", "first_partner", "last_partner")
-        .agg(F.collect_list("fp").alias("list"))
-    )
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(columns: list[str]):
+    """Lists of equal length to one binary: the columns after each other, 8 bytes a value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("list")
-            blobs = [np.sort(lists.slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype("<i8").view("<u8")).tobytes() for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("tile"), b.column("first_partner"), b.column("last_partner"), pa.array(blobs, pa.binary())], ["tile", "first_partner", "last_partner", "fps"])
+            lists, blobs = b.column("list"), []
+            for k in range(b.num_rows):
+                rows = lists.slice(k, 1).flatten()
+                matrix = np.stack([rows.field(c).to_numpy(zero_copy_only=False).astype("<i8") for c in range(len(columns))])
+                blobs.append(matrix[:, np.argsort(matrix[0], kind="stable")].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("tile"), b.column("partners"), pa.array(blobs, pa.binary())], ["tile", "partners", "rows"])
+
+    return run
+
 
-    packed = materialise(packed.mapInArrow(pack, "tile long, first_partner long, last_partner long, fps binary"), "tiles")
+def tile_links(rows: DataFrame, columns: list[str], word: str, radius: int, whole_radius: int = 0, similarity: float = 0.0, tile: int = TILE, largest: int = LARGEST_TILE) -> DataFrame:
+    """Links (a, b) between the values of the first of `columns`, which connect them exactly as all pairs within the radii do.
+
+    Rows (distinct in that column) are dealt over tiles by the number of set bits in column `word`, and, if a similarity of sets is
+    asked for, by the size of their set. Two tiles meet only if some of their bit counts differ by the radius at most, since fewer differing
+    bits are then impossible, and some of their sizes allow the similarity. The driver sees one count for each pair of bit
+    count and magnitude of size, a few thousand at most."""
+    spark = rows.sparkSession
+    step = 1 / similarity if similarity else 2.0
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(step)))).cast("int") if similarity else F.lit(0)
+    rows = materialise(rows.select(*columns, F.bit_count(word).cast("int").alias("_pc"), F.coalesce(band, F.lit(-1)).alias("_band")), "fingerprints")
+    counts = sorted((r["_band"], r["_pc"], r["n"]) for r in rows.groupBy("_band", "_pc").agg(F.count("*").alias("n")).collect())
+    tile = max(tile, min(largest, tile * (sum(n for *_, n in counts) // (64 * tile))))
+    # A tile is a range of bit counts of one band; a count with more rows than a tile has several tiles.
+    tiles: list[list[int]] = []  # band, lowest and highest bit count
+    place = []  # band, bit count, first tile, tiles
+    filled = tile
+    for b, pc, n in counts:
+        if tiles and tiles[-1][0] == b and filled + n <= tile:
+            tiles[-1][2], filled = pc, filled + n
+            place.append((b, pc, len(tiles) - 1, 1))
+        else:
+            parts, filled = ceil_div(n, tile), n
+            place.append((b, pc, len(tiles), parts))
+            tiles += [[b, pc, pc] for _ in range(parts)]
+            filled = tile if parts > 1 else n
+    partners = [[j for j, y in enumerate(tiles) if abs(x[0] - y[0]) <= 1 and y[1] - x[2] <= radius and x[1] - y[2] <= radius] for x in tiles]
+    at = spark.createDataFrame([(b, pc, first, parts) for b, pc, first, parts in place], "_b int, _c int, first int, parts int")
+    with_partners = spark.createDataFrame([(k, p) for k, p in enumerate(partners)], "_tile int, partners array<int>")
+    dealt = rows.join(F.broadcast(at), (F.col("_band") == F.col("_b")) & (F.col("_pc") == F.col("_c")))  # a few thousand rows at most
+    dealt = dealt.select(*columns, (F.col("first") + F.pmod(F.xxhash64(columns[0]), F.col("parts"))).cast("int").alias("tile"))
+    packed = dealt.groupBy("tile").agg(F.collect_list(F.struct(*columns)).alias("list"))
+    with_partners = F.broadcast(with_partners) if len(tiles) <= 2000 else with_partners
+    packed = packed.join(with_partners, F.col("tile") == F.col("_tile")).select("tile", "partners", "list")
+    packed = materialise(packed.mapInArrow(_pack(columns), "tile int, partners array<int>, rows binary"), "tiles")
     # Each tile goes to the pairs in which it is the smaller number (side 0) and those in which it is the larger (side 1).
-    low = packed.select("fps", F.lit(0).alias("side"), F.col("tile").alias("i"), F.explode(F.sequence("tile", "last_partner")).alias("j"))
-    high = packed.select("fps", F.lit(1).alias("side"), F.explode(F.sequence("first_partner", "tile")).alias("i"), F.col("tile").alias("j")).where("i < j")
-    pairs = low.unionByName(high)
-    n_pairs = sum(n * (first[min(pc + radius, 64) + 1] - first[pc]) for pc, n in tiles.items())
-    parts = max(1, min(ceil_div(n_pairs, 4), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return pairs.repartition(parts, "i", "j").groupBy("i", "j").applyInPandas(_compare_tiles(radius), "a long, b long")
+    met = packed.select("rows", "tile", F.explode("partners").alias("other"))
+    pairs = met.select("rows", (F.col("tile") > F.col("other")).cast("int").alias("side"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    parts = max(1, min(ceil_div(sum(map(len, partners)), 4), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    words = len(columns) - 2
+    return pairs.repartition(parts, "i", "j").groupBy("i", "j").applyInPandas(_compare_tiles(radius, words, whole_radius, similarity), "a long, b long")
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints of column `fp` exactly as all pairs within the radius do."""
+    return tile_links(fps.select("fp").distinct(), ["fp"], "fp", radius, tile=tile)
 
 
 def connect(links: DataFrame, node: str = "node", root: str = "root", rounds: int = 60) -> DataFrame:
@@ -159,16 +219,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: in
     - component_id is the smallest doc_id reachable over links of `radius` differing bits or fewer; root is a fingerprint that
       stands for the class, text_key the text's hash.
     - A null doc_id is kept, is never the smallest while its component has another, and component_id is null where all are null.
+    - A very long text is read whole, in one task, some thousands of its shingles at a time.
     - An empty table gives an empty result; repeated rows give repeated rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     fps = materialise(docs.select("doc_id", F.xxhash64(text).alias("text_key"), text_fingerprint(F.col("text"), shingle).alias("fp")), "doc-fingerprints")
     roots = connect(fingerprint_links(fps, radius, tile), "node", "root")
-    smallest = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    # Only linked fingerprints need the second grouping; a fingerprint of its own keeps its smallest document.
-    placed = smallest.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    by_root = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialise(placed.select("fp", "root").join(by_root, "root").select("fp", "root", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    smallest = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "smallest")
+    # A class of very many fingerprints is one row of each part of the table before it is joined.
+    lowest = roots.join(smallest, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("low").alias("lowest")).withColumnRenamed("root", "_root")
+    linked = roots.join(small(materialise(lowest, "lowest"), BROADCAST_CLASSES), F.col("root") == F.col("_root")).select("node", "root", "lowest")
+    classes = smallest.join(linked, F.col("fp") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
+    classes = materialise(classes.select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_class"), F.coalesce("lowest", "low").alias("_low")), "classes")
+    # The others are classes of one row.
+    placed = fps.join(small(classes, BROADCAST_CLASSES), F.col("fp") == F.col("_fp"), "left")
+    own = F.when(F.col("_fp").isNull(), F.col("doc_id")).otherwise(F.col("_low"))
+    return placed.select("doc_id", "text_key", "fp", F.coalesce("_class", "fp").alias("root"), own.alias("component_id"))
 
 
 def fingerprint_hex(fp="fp"):
@@ -189,17 +254,20 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of docs that stay when each root of `members` (doc_id, text_key, root; one row for each of docs) keeps its first."""
+    """The rows of docs that stay when each root of `members` (doc_id, text_key, root; one row for each of docs) keeps its first.
+
+    Columns of docs may have any names."""
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
-    first = members.groupBy("root").agg(F.min(rank).alias("first")).withColumnRenamed("root", "_root")
-    rows = members.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    rows = materialise(rows.join(first, F.col("root") == F.col("_root")).select("doc_id", "text_key", "n", (rank == F.col("first")).alias("stays")), "decisions")
-    removed = rows.where("NOT stays").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    if removed.count() <= BROADCAST_REMOVED:
-        removed = F.broadcast(removed)
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left_anti")
+    first = members.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    first = materialise(first.where("n > 1").select(F.col("root").alias("_root"), "first"), "firsts")
+    # A row that is alone in its class stays; the others are told from their class's first, of which there are far fewer than rows.
+    ranked = members.join(small(first, BROADCAST_CLASSES), F.col("root") == F.col("_root")).select("doc_id", "text_key", (rank == F.col("first")).alias("stays"))
+    rows = materialise(ranked.groupBy("doc_id", "text_key", "stays").agg(F.count("*").alias("n")), "decisions")
+    doc, key, row = free_names(docs, "doc", "key", "row")
+    removed = small(rows.where("NOT stays").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)), BROADCAST_REMOVED)
+    hashed = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(removed, docs["doc_id"].eqNullSafe(F.col(doc)) & (hashed == F.col(key)), "left_anti")
     if not rows.where("stays AND n > 1").limit(1).count():
         return kept  # the usual case: texts are not sorted for the sake of rows that repeat
-    order = W.partitionBy("doc_id", key).orderBy(F.lit(0))
-    return kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    order = W.partitionBy("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).orderBy(F.lit(0))
+    return kept.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)

@@ -36,7 +36,7 @@ def test_pair_of_close_fingerprints():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
     b = a ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
-    i, j = simhash.close_pairs(a, b, 3)
+    i, j = (np.concatenate(x) for x in zip(*simhash.close_pairs(a, b, 3), strict=True))
     assert {(x, y) for x, y in zip(i, j, strict=True)} == {(x, y) for x in range(300) for y in range(300) if bin(int(a[x] ^ b[y])).count("1") <= 3}
     assert list(simhash.forest(np.array([1, 2, 5]), np.array([2, 3, 6]), 8)) == [0, 1, 1, 1, 4, 5, 5, 7]
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0

@@ -54,6 +54,6 @@ def test_keep_one_against_brute_force(spark):
                 old, new = root[i], root[j]
                 root = [min(old, new) if r in (old, new) else r for r in root]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, "one"), (0, texts[0])]
-    kept = shinglesim.keep_one(spark.createDataFrame(rows, FIELDS))
+    kept = shinglesim.keep_one(spark.createDataFrame(rows, FIELDS), tile=16)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
     assert shinglesim.keep_one(spark.createDataFrame([], FIELDS)).count() == 0
