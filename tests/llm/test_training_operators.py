@@ -150,6 +150,36 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark)).count() == 8
 
 
+def test_mixing_takes_documents_by_their_chances(spark):
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 12, 7, 4, 2]
+    rows = [(100 * k + i, "w " * n, "en", f"s{k:03}", 1, 1, "") for k in range(600) for i, n in enumerate(sizes)]
+    got = mixing.mix(docs(spark, rows), weights=(3, 5)).toPandas()
+    # Sources are alike and get 3/4 and 5/4 of their words in turn: 84 or 28 words are sampled in each.
+    assert set(got["target"]) == {84.0, 140.0}
+    words = np.array(sizes)
+    for target, whole, due in ((84, 0, 84), (140, 1, 28)):
+        low, high = 0.0, 1.0
+        for _ in range(60):  # sum of min(1, c * size) * size
+            c = (low + high) / 2
+            low, high = (c, high) if (np.minimum(1, c * words) * words).sum() < due else (low, c)
+        p = np.minimum(1, low * words)
+        some = got[got["target"] == target]
+        more = some["copies"] - whole
+        share = more.groupby(some["doc_id"] % 100).mean().to_numpy()
+        assert set(more) <= {0, 1} and (share[p > 0.999] == 1).all() and (p.max() > 0.999) == (target == 84)
+        assert np.abs(share - p).max() < 0.12 and np.corrcoef(share, p)[0, 1] > 0.98 and p.min() < 0.1
+    taken = got.groupby(got["doc_id"] // 100)["taken"].sum() - got.groupby(got["doc_id"] // 100)["target"].first()
+    assert taken.abs().max() <= 34 / 2
+
+
+def test_mixing_of_rows_that_tie(spark):
+    rows = [(None, "same text here", "en", "a", 1, 1, "")] * 300 + [(9, "w w", "en", "a", 1, 1, "")] * 50 + [(1, "w " * 500, "en", "b", 1, 1, "")]
+    got = mixing.mix(docs(spark, rows)).toPandas()
+    by = got.groupby("source_size")[["taken", "target"]].agg({"taken": "sum", "target": "first"})
+    assert (by["taken"] - by["target"]).abs().max() <= 250 and abs(by.loc[1000, "taken"] - by.loc[1000, "target"]) <= 1.5
+    assert mixing.mixed(docs(spark, rows)).where("source = 'a'").count() == got[got["source_size"] == 1000]["copies"].sum()
+
+
 def test_urls(spark):
     schema = "page_id long, url string, host string, verdict string"
     rows = [
