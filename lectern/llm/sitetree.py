@@ -39,11 +39,17 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PLACES = frozenset("left right top bottom main site page global primary secondary".split())
 ROOTS = frozenset(("html", "body"))
 
-#: A branch of less importance is noise, where at least so many pages of its site have it.
+#: A branch whose importance is less is removed. It is the tree's, from so many pages of its site on that have the branch, times what
+#: speaks for or against it in the page: nothing for navigation, footers, forms and the like, and less for a branch that
+#: a class or id names so, or that is outside of the article where the page marks one. Without enough pages it is NEUTRAL.
+#: So a name decides only where the tree agrees (under 0.5), where the page's article is elsewhere, or where nothing is known.
 THRESHOLD = 0.2
+NAMED, OUTSIDE, NEUTRAL = 0.4, 0.4, 0.45
 LEAST_PAGES = 5
 GAMMA = 0.9
-#: Hosts and noise nodes up to which their table, some 20 bytes a node, is broadcast; beyond, the join shuffles.
+#: Elements around a piece of text that are told apart; what is deeper counts as part of the last of them.
+DEPTH = 256
+#: Hosts and nodes up to which their table, some 20 bytes a node, is broadcast; beyond, the join shuffles.
 BROADCAST_HOSTS, BROADCAST_NODES = 20_000, 200_000
 #: Pages that a host repeats up to which their table is broadcast.
 BROADCAST_COPIES = 200_000
@@ -99,12 +105,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Node:
-    """An open element."""
+    """An open element: whether it is no part of an article by its tag or role (hard), and the key of what around it a class or id names so."""
 
-    __slots__ = ("name", "key", "dropped", "landmark", "form", "named", "hard")
+    __slots__ = ("name", "key", "hard", "form", "named", "landmark")
 
-    def __init__(self, name: str, key: int, dropped: bool, landmark: bool, form: bool = False, named: bool = False, hard: bool = False):
-        self.name, self.key, self.dropped, self.landmark, self.form, self.named, self.hard = name, key, dropped, landmark, form, named, hard
+    def __init__(self, name: str, key: int, hard: bool = False, form: bool = False, named: int = 0, landmark: bool = False):
+        self.name, self.key, self.hard, self.form, self.named, self.landmark = name, key, hard, form, named, landmark
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -136,33 +142,30 @@ class Page:
     """A page as its branches: text pieces in order, each with the keys of the elements around it.
 
     An element's key stands for the path of names and classes to it, so that the same part of two pages of a site has one key.
-    `own` says which pieces the page itself names noise, `main` which lie in an article or main element."""
+    A piece also says whether it is noise by an element's tag or role, the key of the element named noise around it
+    (0: none), and whether it lies in an article or main element."""
 
     def __init__(self, page: str):
-        root = Node("", 0, False, False)
-        stack = [root]
-        self.pieces: list[tuple[str, tuple[int, ...], bool, bool]] = []
-        self.soft: set[int] = set()  # pieces that only the name of a class or id drops
+        stack = [Node("", 0)]
+        self.pieces: list[tuple[str, tuple[int, ...], bool, int, bool]] = []
         self.presentation: dict[int, list[int]] = defaultdict(list)
         self.parents: dict[int, int] = {}
-        self.protected: set[int] = set()
         path: tuple[int, ...] = ()
+        space = (" ", (), True, 0, False)
 
         def pop_to(depth: int) -> None:
             nonlocal path
             if any(x.name not in INLINE for x in stack[depth:]):
-                self.pieces.append((" ", path, True, False))
+                self.pieces.append(space)
             del stack[depth:]
             path = path[: depth - 1]
 
         for kind, name, rest in tokens(page):
             top = stack[-1]
             if kind == "text":
-                if top.dropped and not top.hard:
-                    self.soft.add(len(self.pieces))
-                self.pieces.append((entities.unescape(rest), path, top.dropped, top.landmark))
+                self.pieces.append((entities.unescape(rest), path, top.hard, top.named, top.landmark))
             elif kind == "break":
-                self.pieces.append((" ", path, True, False))
+                self.pieces.append(space)
             elif kind == "end":
                 inline = name in INLINE
                 for depth in range(len(stack) - 1, 0, -1):
@@ -172,7 +175,7 @@ class Page:
                     if inline and stack[depth].name not in INLINE:
                         break
                 if name in ("p", "br"):
-                    self.pieces.append((" ", path, True, False))
+                    self.pieces.append(space)
             else:
                 if name not in INLINE and name not in VOID:
                     # An open paragraph ends where another block begins; so do items, cells and rows of a list or table.
@@ -184,65 +187,81 @@ class Page:
                             break
                         if open_ not in INLINE:
                             break
-                    self.pieces.append((" ", path, True, False))
+                    self.pieces.append(space)
                 elif name in VOID:
-                    self.pieces.append((" ", path, True, False)) if name in ("br", "hr") else None
+                    self.pieces.append(space) if name in ("br", "hr") else None
                     continue
                 if rest.endswith("/") and name not in INLINE and name not in LANDMARKS:
                     rest = rest[:-1]
                 attributes = _attributes(rest)
                 key = xxhash.xxh64_intdigest(f"{name} {attributes.get('class', '')}", top.key) >> 1
-                landmark = top.landmark or name in LANDMARKS or attributes.get("role", "").lower() == "main"
                 # Some sites put the whole page into a form: an article in nothing but a form is one.
                 # So is the main element of a page in wrappers that are noise by their class or id alone.
-                inherited = top.dropped and not (top.form and name in LANDMARKS) and not (top.named and name == "main")
+                around = top.hard and not (top.form and name in LANDMARKS)
                 tag = tag_noise(name, attributes, top.landmark)
-                own = tag or names_noise(name, attributes, top.landmark)
-                form = (own and name == "form" and not inherited) or (top.form and inherited and not own)
-                named = not tag and ((own and not inherited) or (top.named and inherited))
-                node = Node(name, key, inherited or own, landmark, form, named, tag or (inherited and top.hard))
+                named = 0 if name == "main" else top.named
+                if not tag and not named and names_noise(name, attributes, top.landmark):
+                    named = key
+                form = (tag and name == "form" and not around) or (top.form and around and not tag)
+                landmark = top.landmark or name in LANDMARKS or attributes.get("role", "").lower() == "main"
                 self.presentation[top.key].append(key)
-                self.parents[key] = top.key
-                if landmark or name in ROOTS:
-                    self.protected.add(key)
-                stack.append(node)
-                path = (*path, key) if len(path) < 256 else path
-
-    def text(self, noise: frozenset[int] | set[int] = frozenset()) -> str:
-        """The text of the branches that are not noise: those of the article, where the page marks one that has text."""
-        low = noise - self.protected if noise else noise
+                if name not in ROOTS:
+                    self.parents[key] = top.key
+                stack.append(Node(name, key, around or tag, form, named, landmark))
+                path = (*path, key) if len(path) < DEPTH else path
+
+    def text(self, importance: dict[int, float] | None = None) -> str:
+        """The text of the branches that matter, by the site's tree (`importance` of its nodes) and by the page's own elements and names."""
+        known = importance or {}
+        low = {key for key, v in known.items() if v < THRESHOLD}
         # A branch with most of the page's text stays, with all in it: an article may be on many pages of its site.
         most: set[int] = set()
         if low:
             inside: Counter = Counter()
             total = 0
-            for piece, path, dropped, _ in self.pieces:
-                size = 0 if dropped else len("".join(piece.split()))
+            for piece, path, hard, named, _ in self.pieces:
+                size = 0 if hard or named else len("".join(piece.split()))
                 if size:
                     total += size
                     for key in low.intersection(path):
                         inside[key] += size
             most = {key for key, size in inside.items() if 2 * size > total}
-        kept, main, soft = [], [], []
-        for at, (piece, path, dropped, landmark) in enumerate(self.pieces):
+        marked = any(landmark and not hard and not named and not piece.isspace() for piece, _, hard, named, landmark in self.pieces if piece)
+        cached: dict[tuple, bool] = {}
+
+        def matters(path: tuple[int, ...], named: int, landmark: bool) -> bool:
+            """Whether the importance of a branch that is noise by no element reaches the threshold."""
+            if not most.isdisjoint(path):
+                value = 1.0
+            else:
+                value = min((known[k] for k in path if k in known), default=1.0)
+            if named:
+                value *= NAMED * (1 if named in known else NEUTRAL)
+            if marked and not landmark:
+                value *= OUTSIDE * (1 if named or (path and path[-1] in known) else NEUTRAL)
+            return value >= THRESHOLD
+
+        kept, soft = [], []
+        for piece, path, hard, named, landmark in self.pieces:
             if piece == " ":
                 kept.append(piece)
-                main.append(piece)
-                soft.append(piece)
-            elif not dropped and not (low and not low.isdisjoint(path) and most.isdisjoint(path)):
-                kept.append(piece)
-                if landmark:
-                    main.append(piece)
-            elif at in self.soft:
                 soft.append(piece)
+            elif not hard:
+                state = (path, named, landmark)
+                if state not in cached:
+                    cached[state] = matters(*state)
+                if cached[state]:
+                    kept.append(piece)
+                elif named:
+                    soft.append(piece)
         # Where nothing else has text, the names of classes and ids were wrong about it.
-        return " ".join("".join(main).split()) or " ".join("".join(kept).split()) or " ".join("".join(soft).split())
+        return " ".join("".join(kept).split()) or " ".join("".join(soft).split())
 
     def observations(self) -> Iterator[tuple[int, int, int, int]]:
         """(node, parent, style, content) of each node of the page's style tree: equal siblings are one node; a style is the sequence
         of children without repeats in a row, the content the text inside."""
         content: dict[int, xxhash.xxh64] = {}
-        for piece, path, _, _ in self.pieces:
+        for piece, path, *_ in self.pieces:
             if piece.strip():
                 data = " ".join(piece.split()).encode("utf-8", "surrogatepass")
                 for key in dict.fromkeys(path):
@@ -274,20 +293,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, weight = host.as_py(), 1 / copies.as_py()
             seen = Page(page.as_py() or "")
             for node, parent, style, content in seen.observations():
-                if node not in seen.protected:
-                    counts[name, node, parent, 0, style] += weight
-                    counts[name, node, parent, 1, content] += weight
+                counts[name, node, parent, 0, style] += weight
+                counts[name, node, parent, 1, content] += weight
             if len(counts) >= HELD_COUNTS:
                 yield out()
     yield out()
 
 
-def noise_nodes(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, noise (array of node keys): the low-importance branches of each site's style tree, from `pages` (host, html).
+def node_importance(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, nodes (array of keys), importance (array of numbers from 0 to 1): each site's style tree, from `pages` (host, html).
 
     A node's presentation matters by the entropy of its styles over the m pages that have it, to the base m: one style everywhere
     is 0, one for each page 1. Copies of a page on its host count as one page. Its content matters by one less the mean entropy of what it says: a text on one
-    page only counts 1, one on all pages 0. A node with children combines its own styles and its children's importance."""
+    page only counts 1, one on all pages 0. A node with children combines its own styles and its children's importance.
+    A host's nodes meet in one task: there are as many as it has different paths of names and classes that `least_pages` of its pages
+    share, however many pages it has."""
     pages = pages.select("host", "html", F.xxhash64("html").alias("page"))
     repeated = materialise(pages.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     repeated = repeated.select(F.col("host").alias("_host"), F.col("page").alias("_page"), "copies")
@@ -327,20 +347,24 @@ def noise_nodes(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int
                     value[key] = max((1 - share) * r.style + share * below, r.content)
                 else:
                     value[key] = r.content
-        low = sorted(k for k, v in value.items() if v < threshold and math.isfinite(v))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "noise": [np.array(low, dtype=np.int64)]}) if low else pd.DataFrame({"host": [], "noise": []})
+        found = sorted((k, min(1.0, max(0.0, v))) for k, v in value.items() if math.isfinite(v))
+        keys, numbers = np.array([k for k, _ in found], dtype=np.int64), np.array([v for _, v in found])
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "nodes": [keys], "importance": [numbers]})
 
-    return nodes.groupBy("host").applyInPandas(combine, "host string, noise array<long>")
+    return nodes.groupBy("host").applyInPandas(combine, "host string, nodes array<long>, importance array<double>")
 
 
 @F.arrow_udf(T.StringType())
-def main_text(html: pa.Array, noise: pa.Array) -> pa.Array:
-    """The text of a page without the branches named noise, by the page or by its site."""
-    sets: dict[tuple, frozenset[int]] = {}
+def main_text(html: pa.Array, nodes: pa.Array, importance: pa.Array) -> pa.Array:
+    """The text of a page's branches that matter, by the page and by its site."""
+    sites: dict[tuple, dict[int, float]] = {}
     out = []
-    for page, keys in zip(html, noise, strict=True):
-        low = tuple(keys.as_py() or ())
-        out.append(Page(page.as_py() or "").text(sets.setdefault(low, frozenset(low))))
+    for page, keys, numbers in zip(html, nodes, importance, strict=True):
+        site = (*(keys.as_py() or ()), *(numbers.as_py() or ()))
+        if site not in sites:
+            half = len(site) // 2
+            sites[site] = dict(zip(site[:half], site[half:], strict=True))
+        out.append(Page(page.as_py() or "").text(sites[site]))
     return pa.array(out, pa.string())
 
 
@@ -348,20 +372,21 @@ def code_points(text: Column) -> Column:
     return F.char_length(text).cast("long")
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each row of `pages` (page_id, url, html and any more).
 
-    Pages of one host are merged into a style tree; branches of low importance are removed from each page, as are those that the page
-    names as something else than its article (menus, notices, forms, adverts and the like, whose importance counts as 0).
-    Inside an article or main element, whose importance counts as 1, nothing is removed for being common.
+    Pages of one host are merged into a style tree, whose entropies give each branch its importance; what elements, roles, names and the
+    place of the page's article say of a branch is multiplied with it, and branches of low importance are removed from each page.
 
     - A null or empty html has an empty text. A null url has the empty host. Repeated rows are extracted each.
-    - Sites of fewer than `least_pages` pages have no noise of their own. An empty table gives no rows."""
+    - Branches that fewer than `least_pages` pages of a site have are judged by their page alone. An empty table gives no rows.
+    - A very long page is read whole, in one task; elements nested deeper than 256 count as parts of the 256th.
+    - Columns beside the three play no part."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_and_path(F.col("url"))[0].alias("host"))
-    noise = materialise(noise_nodes(rows, threshold, least_pages), "noise").withColumnRenamed("host", "_host")
-    size = noise.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("noise")), F.lit(0)).alias("nodes")).first()
+    tree = materialise(node_importance(rows, least_pages), "importance").withColumnRenamed("host", "_host")
+    size = tree.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("nodes")).first()
     if size["hosts"] <= BROADCAST_HOSTS and size["nodes"] <= BROADCAST_NODES:
-        noise = F.broadcast(noise)
-    joined = rows.join(noise, F.col("host") == F.col("_host"), "left")
-    out = joined.select("page_id", "url", main_text("html", "noise").alias("text"))
+        tree = F.broadcast(tree)
+    joined = rows.join(tree, F.col("host") == F.col("_host"), "left")  # of two stored tables: AQE may split a large host
+    out = joined.select("page_id", "url", main_text("html", "nodes", "importance").alias("text"))
     return out.withColumn("n_chars", code_points(F.col("text")))
