@@ -103,8 +103,9 @@ class Recent:
 
 
 class ChunkTokenizer:
-    """Ids of texts. A tokenizer that drops white space and never joins across it gives the ids of the chunks in turn, and one
-    that splits words by `PARTS_OF` before anything else those of a chunk's parts: each is encoded once and kept while in use.
+    """Ids of texts. A tokenizer of the form that is checked here drops white space, never joins across it and splits words by
+    `PARTS_OF` before anything else, so it gives the ids of the chunks and of their parts in turn: each is encoded once and kept
+    while in use. A tokenizer of any other form encodes every text whole.
 
     Chunks end at ASCII white space; what else may count as white space, and chunks with letters past Latin, whose
     normal forms may join, are left to the tokenizer whole."""
@@ -116,9 +117,14 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        steps = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers", [])
+        form = json.loads(self.tokenizer.to_str())
+        steps = (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
         pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-        self.splits = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == pattern
+        split = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+        normal = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+        # Any other form is encoded whole: it may keep white space or join across it.
+        self.splits = len(steps) == 2 and steps[0] == split and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and form.get("normalizer") == normal
+        self.splits &= not form.get("truncation") and not form.get("padding")
         # Byte-level vocabularies write a byte as its own character where that is visible, the others as those from U+0100 on.
         seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         self.visible = {c: 256 + n for n, c in enumerate(c for c in range(256) if c not in seen)}
@@ -130,7 +136,7 @@ class ChunkTokenizer:
 
     def _split(self, text: str) -> list[str] | None:
         """The parts of a chunk, None if the tokenizer has to see it whole. Most chunks are letters and perhaps one mark after them."""
-        if not self.splits or "\u0130" in text:  # its lower case is two characters
+        if "\u0130" in text:  # its lower case is two characters
             return None
         if text.isalpha() and max(text) < "\u0180":
             return [text.lower()]
@@ -155,6 +161,8 @@ class ChunkTokenizer:
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text and the end id; a null text has the end id alone."""
+        if not self.splits:
+            return self._encode(text or "") + self.end
         chunks = (text or "").encode().split()
         out = list(map(self.chunks.young.get, chunks))
         for k in [k for k, ids in enumerate(out) if ids is None]:
@@ -204,18 +212,19 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
     - The choice of combinations needs only how many pieces have each length: `capacity` numbers at most, whatever the
       data. Pieces of a length are then numbered, by counts of buckets first, and the number gives a piece its place.
     - A null or empty text is one piece, the end id. A null doc_id is kept. Repeated rows are packed as often as they are there.
-    - Only documents longer than `capacity` are cut. An empty table gives no rows."""
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    - Only documents longer than `capacity` are cut; a very long text is encoded in one task. An empty table gives no rows.
+    - Columns beside doc_id and text play no part. However many rows are equal, they are dealt over all buckets."""
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     by_length = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     table = slots(by_length, capacity)
     buckets = ceil_div(int(sum(by_length.values()) ** 0.5), 4)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("length", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "piece", "ids_crc32")
-    ranked = dealt.withColumn("row", F.row_number().over(inside) - 1).join(counts, ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("row")).alias("rank"))
+    inside = W.partitionBy("length", "bucket").orderBy("row")
+    ranked = dealt.withColumn("place", F.row_number().over(inside) - 1).join(counts, ["length", "bucket"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # bounded: patterns and their slots depend on `capacity` alone
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

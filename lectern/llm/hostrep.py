@@ -7,11 +7,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import materialise, small
 
 #: (verdict, host/path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Suffixes of two labels under which a registered domain has three (fixed values).
+#: Hosts, some 50 bytes each, up to which their bounds are broadcast; beyond, the join shuffles and AQE may split a large host.
+BROADCAST_HOSTS = 200_000
+#: Suffixes of two labels under which a registered domain has three, unless the caller has a list of their own (fixed values).
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za", "com.tr", "com.tw", "com.sg")
 
 
@@ -36,12 +38,12 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
+def suffix_and_domain(host: Column, two_labels: tuple[str, ...] = TWO_LABELS) -> tuple[Column, Column]:
     """Public suffix and registered domain of a host; a host of one label is all three."""
     labels = F.split(host, r"\.")
     two = F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))
     three = F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3))
-    double = two.isin(*TWO_LABELS)
+    double = two.isin(*two_labels)
     return F.when(double, two).otherwise(F.element_at(labels, -1)), F.when(double, three).otherwise(two)
 
 
@@ -62,12 +64,12 @@ def strength(groups: DataFrame, bad: str, n: str) -> float:
     return min(1000.0, max(2.0, 1 / rho - 1)) if rho > 0 else 1000.0
 
 
-def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def reputations(outcomes: DataFrame, z: float = 1.645, two_labels: tuple[str, ...] = TWO_LABELS) -> DataFrame:
     """host, bound: for each host of `outcomes` (host, bad 0 or 1) the lower bound of its chance of a bad page.
 
     Each level's mean is shrunk to that of the level above: suffix to all, registered domain to suffix, host to domain. A host's
     posterior is a beta distribution; the bound is its mean less z deviations. Null outcomes are not counted."""
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), two_labels)
     hosts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.sum("bad").cast("double").alias("x"), F.count("*").cast("double").alias("n"))
     hosts = materialise(hosts.withColumns({"suffix": suffix, "domain": domain}), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("x").alias("dx"), F.sum("n").alias("dn"))
@@ -82,19 +84,20 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     return hosts.join(domains, "domain").select("host", bound.alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, most: float = 0.3, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, most: float = 0.3, z: float = 1.645, two_labels: tuple[str, ...] = TWO_LABELS) -> DataFrame:
     """page_id, host, path, rule, verdict: one row for each row of `pages` (page_id, url and any more).
 
     The verdict is the longest fitting rule's, else block where the bound of the host's chance of a bad page is over `most`,
     else allow. outcomes: page_id and bad (1 or 0); pages without one are not counted, and with several count as bad if one is.
 
     - A null url, or one without ://, has empty host and path, fits no rule and shares the reputation of the empty host.
-    - Repeated rows are judged each and count each; an empty table gives no rows; without outcomes all is allowed."""
+    - Repeated rows are judged each and count each; an empty table gives no rows; without outcomes all is allowed.
+    - Urls of any length are read whole; columns beside page_id and url play no part. `two_labels` are the public suffixes of two labels."""
     host, path = host_and_path(F.col("url"))
     parts = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     known = outcomes.groupBy("page_id").agg(F.max("bad").cast("int").alias("bad"))
     seen = parts.select("page_id", "host").join(known, "page_id").select("host", "bad")
-    bounds = materialise(reputations(seen, z), "reputations").withColumnRenamed("host", "_host")
+    bounds = small(materialise(reputations(seen, z, two_labels), "reputations").withColumnRenamed("host", "_host"), BROADCAST_HOSTS)
     rule = rule_for(F.col("host"), F.col("path"), rules)
     joined = parts.join(bounds, F.col("host") == F.col("_host"), "left")
     method = F.when(F.coalesce(F.col("bound") > most, F.lit(False)), "block").otherwise("allow")
@@ -115,7 +118,8 @@ WITH parts AS (
 ), hosts AS (
   SELECT host, string_split(host, '.') AS l, sum(bad)::DOUBLE AS x, count(*)::DOUBLE AS n FROM split JOIN shown USING (page_id) GROUP BY host
 ), placed AS (
-  SELECT host, x, n, l[-1] AS suffix, array_to_string(l[-2:], '.') AS domain FROM hosts
+  SELECT host, x, n, CASE WHEN array_to_string(l[-2:], '.') IN (TWO_LABELS) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix,
+    CASE WHEN array_to_string(l[-2:], '.') IN (TWO_LABELS) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM hosts
 ), domains AS (SELECT suffix, domain, sum(x) AS x, sum(n) AS n FROM placed GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(x) AS x, sum(n) AS n FROM domains GROUP BY ALL
 ), levels AS (
@@ -142,4 +146,4 @@ WITH parts AS (
 )
 SELECT page_id, host, path, f.rule AS rule, COALESCE(f.verdict, CASE WHEN bound > 0.3 THEN 'block' ELSE 'allow' END) AS verdict
 FROM split LEFT JOIN fits f USING (host, path) LEFT JOIN bounds USING (host)
-"""
+""".replace("TWO_LABELS", ", ".join(f"'{x}'" for x in TWO_LABELS))

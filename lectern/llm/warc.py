@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import materialise, small
 
 #: Bytes after which a task begins another archive, and what the reader takes at a time.
 ARCHIVE_BYTES = 8 << 20
 CHUNK = 1 << 16
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 100
-#: Groups of equal payloads, some 100 bytes each, up to which their table is broadcast; beyond, the join shuffles.
+#: Groups of equal payloads, some 100 bytes each, up to which their table is broadcast; beyond, the join shuffles, and AQE
+#: splits the rows of a payload that very many pages have: both sides are plain scans.
 BROADCAST_GROUPS = 50_000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -148,9 +149,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload"), F.sha2(html, 256).alias("digest"))
     shared = rows.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = materialise(shared.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("_digest"), "first"), "payloads")
-    if shared.count() <= BROADCAST_GROUPS:
-        shared = F.broadcast(shared)
+    shared = small(materialise(shared.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("_digest"), "first"), "payloads"), BROADCAST_GROUPS)
     rows = rows.join(shared, F.col("digest") == F.col("_digest"), "left").select("page_id", "url", "payload", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +191,11 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of `pages`, as read back from its archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of `pages`, as read back from its archives.
+
+    - A null html is an empty payload; a null page_id or url is left out of the record and comes back null.
+    - Rows that repeat a page_id have a record each, under one WARC-Record-ID. An empty table gives no rows.
+    - A very long page is one record, written and read in pieces of a task. Columns beside page_id, url and html play no part."""
     archives = materialise(write_archives(pages, archive_bytes), "archives")
     return read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
