@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import ceil_div, materialise
 from lectern.llm.vectors import best, matrix, usable
 
-#: Rows of a shard and queries that one task searches it for.
-SHARD = 8192
+#: Rows of a shard: a 64th of the table between these two, so that a search opens a smaller part of a shard the more rows there
+#: are, and no more than fit into this many bytes. Queries that one task searches a shard for.
+SHARD, LARGEST_SHARD, SHARD_BYTES = 16_384, 131_072, 128 << 20
 QUERY_GROUP = 4096
 
 
@@ -98,7 +99,9 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float =
     n = len(x)
     graph = np.full((n, degree), n, dtype=np.int64)
     order = np.random.default_rng(seed).permutation(n)
-    starts = order[: min(n, 4)]
+    middle = np.argmax(x @ x.mean(axis=0)) if n else 0
+    order = np.concatenate([[middle], order[order != middle]]).astype(np.int64) if n else order
+    starts = order[: min(n, 4)]  # the node nearest to the mean, and three at random
 
     def link(batch: np.ndarray, pool: np.ndarray) -> None:
         pool = np.concatenate([pool, graph[batch]], axis=1)
@@ -144,8 +147,11 @@ def _build(degree: int, beam: int, alpha: float):
         member = member.ravel()
         graph, starts = build_graph(_unit(node), degree, beam, alpha)
         by = np.lexsort((ids, member))
+        with np.errstate(over="ignore"):
+            half = node.astype(np.float32)
+        node = half if np.array_equal(half, node) else node  # vectors of single precision are kept as such
         return pd.DataFrame({
-            "shard": [int(pdf["shard"].iloc[0])], "dim": [dim], "vectors": [node.tobytes()], "edges": [graph.astype("<i4").tobytes()], "starts": [starts.astype("<i4").tobytes()],
+            "shard": [int(pdf["shard"].iloc[0])], "dim": [dim], "kind": [node.dtype.str], "vectors": [node.tobytes()], "edges": [graph.astype("<i4").tobytes()], "starts": [starts.astype("<i4").tobytes()],
             "ids": [ids[by].tobytes()], "ends": [np.cumsum(np.bincount(member, minlength=len(node))).tobytes()],
         })
 
@@ -165,19 +171,19 @@ def _search(k: int, beam: int):
         for row in right.itertuples():  # one index, unless there are no queries
             if left.empty:
                 break
-            x = np.frombuffer(row.vectors, dtype=np.float64).reshape(-1, row.dim)
+            x = np.frombuffer(row.vectors, dtype=row.kind).reshape(-1, row.dim)
             graph = np.frombuffer(row.edges, dtype="<i4").reshape(len(x), -1).astype(np.int64)
             starts = np.frombuffer(row.starts, dtype="<i4").astype(np.int64)
             ids, ends = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.ends, dtype=np.int64)
             begins = np.concatenate([[0], ends[:-1]])
-            unit = _unit(x)
+            unit = _unit(x.astype(np.float64))
             for at in range(0, len(left), 512):
                 part = left.iloc[at : at + 512]
                 q, names = matrix(part["q"], row.dim), part["query_id"].to_numpy()
                 found, _ = beam_search(unit, graph, _unit(q), starts, max(beam, k + 1))
                 r, c = np.nonzero(found < len(x))
                 nodes = found[r, c]
-                score = cosines(q[r], x[nodes])
+                score = cosines(q[r], x[nodes].astype(np.float64))
                 # Of a node's ids the k + 1 smallest can be among the k best besides the query's own.
                 take = np.minimum(ends[nodes] - begins[nodes], k + 1)
                 rr, ss = np.repeat(r, take), np.repeat(score, take)
@@ -195,22 +201,29 @@ def _search(k: int, beam: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, query_step: int = 50, shard: int = SHARD, degree: int = 32, build_beam: int = 64, beam: int = 128, alpha: float = 1.2) -> DataFrame:
+def build_index(rows: DataFrame, shards: int, degree: int = 32, build_beam: int = 64, alpha: float = 1.2) -> DataFrame:
+    """One row for each shard and length of vectors: its graph, its vectors and their ids. rows: vec_id, v, dim of vectors.usable()."""
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    schema = "shard int, dim int, kind string, vectors binary, edges binary, starts binary, ids binary, ends binary"
+    return materialise(dealt.repartition(shards, "shard").groupBy("dim", "shard").applyInPandas(_build(degree, build_beam, alpha), schema), "graph")
+
+
+def nearest(vectors: DataFrame, k: int = 5, query_step: int = 50, shard: int | None = None, degree: int = 32, build_beam: int = 64, beam: int = 96, alpha: float = 1.2) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `query_step` its k nearest other rows by cosine,
     as far as the search finds them, nearest first, ties to the smaller vec_id.
 
-    Rows are dealt evenly over shards of about `shard` rows; every row is in the graph of its shard and every query searches every
-    shard; what is found is scored on the original vectors in double precision.
+    Rows are dealt evenly over shards of about `shard` rows (by default more on a larger table); every row is in the graph of its shard
+    and every query searches every shard; what is found is scored on the original vectors in double precision.
 
     - Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without vec_id.
     - Rows that repeat a vec_id count once. Vectors of different lengths are not compared. An empty table gives no rows.
-    - Rows that share a vector are one node; of each node the k + 1 smallest ids are told, more cannot be among the best k."""
+    - Rows that share a vector are one node; of each node the k + 1 smallest ids are told, more cannot be among the best k.
+    - Columns beside vec_id and embedding play no part."""
     rows = materialise(usable(vectors, nonzero=True), "vectors")
-    size = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_step == 0).alias("q")).first()
+    size = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_step == 0).alias("q"), F.max("dim").alias("dim")).first()
+    shard = shard or min(max(SHARD, min(LARGEST_SHARD, size["n"] // 64)), max(1, SHARD_BYTES // (8 * (size["dim"] or 1))))
     shards, groups = ceil_div(size["n"], shard), ceil_div(size["q"], QUERY_GROUP)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    schema = "shard int, dim int, vectors binary, edges binary, starts binary, ids binary, ends binary"
-    index = materialise(dealt.repartition(shards, "shard").groupBy("dim", "shard").applyInPandas(_build(degree, build_beam, alpha), schema), "graph")
+    index = build_index(rows, shards, degree, build_beam, alpha)
     index = index.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = rows.where(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("qdim"))
     queries = queries.withColumn("qgrp", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

@@ -40,18 +40,16 @@ def _pair(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarr
     return left["query_id"].to_numpy(), right["vec_id"].to_numpy(), s
 
 
-def _histogram(k: int, bins: int):
+def _histogram(bins: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "bin": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
         if left.empty or right.empty:
             return empty
         ids, _, s = _pair(left, right)
         out = [empty]
-        for row, (query, low, high, above) in enumerate(zip(ids, left["low"].tolist(), left["high"].tolist(), left["above"].tolist(), strict=True)):
+        for row, (query, low, high) in enumerate(zip(ids, left["low"].tolist(), left["high"].tolist(), strict=True)):
             inside = s[row][(s[row] >= low) & (s[row] <= high)]
             width = -(-(high - low + 1) // bins)
-            if len(inside) > k - above:  # lower scores of this block cannot be the k-th of all
-                inside = inside[inside >= np.partition(inside, len(inside) - (k - above))[len(inside) - (k - above)]]
             b, n = np.unique((inside - low) // width, return_counts=True)
             out.append(pd.DataFrame({"query_id": query, "bin": b, "n": n}))
         return pd.concat(out, ignore_index=True)
@@ -79,7 +77,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, scale: int = 256
 
     Every pair of a query and a candidate is scored, block by block. In each round a query's histogram over its range of possible
     k-th scores is summed over all blocks, and the bin that holds the k-th becomes the range, until the range is one
-    score. Then scores from there on are kept and ties are broken. A block sends no more than k bins or rows for a query, however
+    score. Then scores from there on are kept and ties are broken. A block sends no more than `bins` counts or k rows for a query, however
     many candidates tie.
 
     - Vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id.
@@ -108,7 +106,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, scale: int = 256
         return sides.groupBy("qdim", "qb", "cb").cogroup(candidates.groupBy("dim", "qb", "cb"))
 
     for _ in range(rounds):
-        counts = pairs(state).applyInPandas(_histogram(k, bins), "query_id long, bin long, n long")
+        counts = pairs(state).applyInPandas(_histogram(bins), "query_id long, bin long, n long")
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = W.partitionBy("query_id").orderBy(F.col("bin").desc())
         counts = counts.withColumn("upto", F.sum("n").over(down)).join(state, "query_id")
