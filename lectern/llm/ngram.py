@@ -1,4 +1,4 @@
-"""Language-model scoring: a bigram model in Elias-Fano tries, sharded by context."""
+"""Language-model scoring: a trigram model in Elias-Fano tries, sharded by context."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import os
 import struct
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from lectern.llm.common import ceil_div, drop, materialise
 
 #: Tokens that a task encodes together, and pairs of tokens of a shard of the model.
-BATCH_TOKENS = 2_000_000
-SHARD_TOKENS = 3_000_000
-#: Weight of the unigram probabilities, in occurrences of the context.
+BATCH_TOKENS = 1_500_000
+SHARD_TOKENS = 1_500_000
+#: Weight of the unigram probabilities beside pairs, in occurrences of the context, and what every seen trigram's count is discounted by.
 MU = 500.0
+DISCOUNT = 0.6
 #: Bits of a quantised probability, and the power of ten that code 0 stands for.
 CODE_BITS = 12
 FLOOR = -10.0
@@ -150,17 +152,9 @@ class Trie:
         pointers = np.concatenate([[0], ends]).astype(np.int64)
         return EliasFano.pack(ids) + EliasFano.pack(pointers) + EliasFano.pack(relative) + struct.pack("<q", len(codes)) + codes.astype("<u8").tobytes()
 
-    @classmethod
-    def mapped(cls, data: bytes) -> Trie:
-        """The trie in a file that is mapped and has no name any more: it goes with the last use, however a task ends."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            return cls(mmap.mmap(f.fileno(), os.fstat(f.fileno()).st_size, prot=mmap.PROT_READ))
-
-    def code(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 for one that is not there. Any order."""
-        out = np.zeros(len(context), dtype=np.int64)
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The position of each pair among all, -1 for one that is not there. Any order."""
+        out = np.full(len(context), -1, dtype=np.int64)
         if not self.contexts.n:
             return out
         ids, back = np.unique(context, return_inverse=True)
@@ -170,9 +164,57 @@ class Trie:
         base = np.where(begin > 0, self.successors[np.maximum(begin - 1, 0)], 0)
         k, equal = self.successors.successor(base[back] + word)
         found = equal & there[back] & (k >= begin[back]) & (k < end[back])
-        out[found] = _get(self.codes, CODE_BITS, k[found])
+        out[found] = k[found]
         return out
 
+    def code(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The code of each pair, 0 for one that is not there."""
+        at = self.find(context, word)
+        out = np.zeros(len(at), dtype=np.int64)
+        out[at >= 0] = _get(self.codes, CODE_BITS, at[at >= 0])
+        return out
+
+
+class Levels:
+    """A shard of the model: a trie of pairs, whose successors are the contexts of a trie of trigrams, and the weight that each pair leaves to
+    the level below."""
+
+    def __init__(self, data):
+        size, more = struct.unpack_from("<qq", data, 0)
+        view = memoryview(data)
+        self.pairs, self.triples = Trie(view[16 : 16 + size]), Trie(view[16 + size : 16 + size + more])
+        self.rest = np.frombuffer(data, "<u8", -1, 16 + size + more)
+
+    @staticmethod
+    def pack(a: np.ndarray, b: np.ndarray, number: np.ndarray, count: np.ndarray, pair: np.ndarray, c: np.ndarray, triples: np.ndarray, mu: float, discount: float) -> bytes:
+        """From pairs sorted by (a, b), their counts and those of a; triples sorted by (position of their pair, c) and their counts."""
+        of_pair = np.bincount(pair, weights=triples, minlength=len(a))
+        kinds = np.bincount(pair, minlength=len(a))
+        rest = np.where(of_pair > 0, discount * kinds / np.maximum(of_pair, 1), 1.0)
+        first = Trie.pack(a, b, number / (count + mu))
+        second = Trie.pack(pair, c, (triples - discount) / of_pair[pair])
+        return struct.pack("<qq", len(first), len(second)) + first + second + _words(quantise(rest), CODE_BITS).astype("<u8").tobytes()
+
+    @classmethod
+    def mapped(cls, data: bytes) -> Levels:
+        """The levels in a file that is mapped and has no name any more: it goes with the last use, however a task ends."""
+        with tempfile.TemporaryFile() as f:
+            f.write(data)
+            f.flush()
+            return cls(mmap.mmap(f.fileno(), os.fstat(f.fileno()).st_size, prot=mmap.PROT_READ))
+
+    def ask(self, a: np.ndarray, b: np.ndarray, runs: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of pairs (0: not seen), of what they leave, and of triples: `runs` successors c of each pair in turn."""
+        at = self.pairs.find(a, b)
+        seen = at >= 0
+        codes, rest = np.zeros(len(at), dtype=np.int64), np.full(len(at), (1 << CODE_BITS) - 1, dtype=np.int64)
+        codes[seen], rest[seen] = _get(self.pairs.codes, CODE_BITS, at[seen]), _get(self.rest, CODE_BITS, at[seen])
+        pair = np.repeat(at, runs)
+        triples = np.zeros(len(c), dtype=np.int64)
+        asked = (pair >= 0) & (c > 0)
+        triples[asked] = self.triples.code(pair[asked], c[asked])
+        return codes, rest, triples
+
 
 def quantise(probability: np.ndarray) -> np.ndarray:
     """Codes from 1: equal steps of the logarithm between 10**FLOOR and 1."""
@@ -256,7 +298,7 @@ def _vocabulary(shards: int):
             for row in b.to_pylist():
                 tokens, hashes = _unzip(row["tokens"], "<i4"), np.cumsum(_unzip(row["words"], "<u8"), dtype=np.uint64)
                 about = _unzip(row["docs"], "<i8").reshape(4, -1)
-                counts = np.bincount(tokens[np.repeat(about[2] == 0, about[3])], minlength=len(hashes)).astype("<u4")
+                counts = np.bincount(tokens[np.repeat(about[2] == 0, about[3])], minlength=len(hashes)).astype("<u8")
                 at = _bounds(hashes, shards)
                 rows = [{"shard": k, "batch": row["batch"], "words": _zip(np.diff(hashes[i:j], prepend=np.uint64(0))), "counts": _zip(counts[i:j])} for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if i < j]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
@@ -264,29 +306,50 @@ def _vocabulary(shards: int):
     return run
 
 
+WORDS_SQL = "of long, shard int, totals binary, ids binary, seen long, hashes binary"
+
+
 def _number(shards: int):
-    """All batches' words of a range to (of, shard, totals, ids, seen): for each batch its words' counts in training and their numbers.
+    """All batches' words of a range to (of, shard, totals, ids): for each batch its words' counts in training and their numbers.
 
     Numbers are from 1 and the commonest words of a range have the smallest; words that training does not have are 0. The
-    number of words that it has goes with the first row."""
+    range's own row (of -1) has the hashes, counts and numbers of all that it has, and how many."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         words = [np.cumsum(_unzip(w, "<u8"), dtype=np.uint64) for w in pdf["words"]]
         sizes = np.cumsum([0, *map(len, words)])
         distinct, back = np.unique(np.concatenate(words), return_inverse=True)
         del words
-        totals = np.bincount(back, weights=np.concatenate([_unzip(c, "<u4") for c in pdf["counts"]]), minlength=len(distinct)).astype("<u4")
+        totals = np.zeros(len(distinct), dtype="<u8")
+        np.add.at(totals, back, np.concatenate([_unzip(c, "<u8") for c in pdf["counts"]]))
         shard = int(pdf["shard"].iloc[0])
-        ids = np.zeros(len(distinct), dtype="<u4")
+        ids = np.zeros(len(distinct), dtype="<u8")
         order = np.argsort(-totals.astype(np.int64), kind="stable")[: int((totals > 0).sum())]
-        ids[order] = np.arange(len(order)) * shards + shard + 1
-        rows = [(int(b), shard, _zip(totals[back[i:j]]), _zip(ids[back[i:j]]), 0) for b, i, j in zip(pdf["batch"], sizes[:-1], sizes[1:], strict=True)]
-        rows[0] = (*rows[0][:4], len(order))
-        return pd.DataFrame(rows, columns=["of", "shard", "totals", "ids", "seen"])
+        ids[order] = np.arange(len(order), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard + 1)
+        if len(order) and int(ids.max()) >= 1 << 31:
+            raise ValueError("a model holds fewer than 2^31 different words")
+        rows = [(int(b), shard, _zip(totals[back[i:j]]), _zip(ids[back[i:j]]), 0, None) for b, i, j in zip(pdf["batch"], sizes[:-1], sizes[1:], strict=True)]
+        held = totals > 0
+        rows.append((-1, shard, _zip(totals[held]), _zip(ids[held]), len(order), _zip(np.diff(distinct[held], prepend=np.uint64(0)))))
+        return pd.DataFrame(rows, columns=["of", "shard", "totals", "ids", "seen", "hashes"])
 
     return run
 
 
+def _look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Batches' words of a range and the range of a stored vocabulary to what _number() gives for each batch."""
+    rows = []
+    for known in right.itertuples():
+        hashes = np.cumsum(_unzip(known.hashes, "<u8"), dtype=np.uint64)
+        totals, ids = (np.append(_unzip(x, "<u8"), np.uint64(0)) for x in (known.totals, known.ids))
+        for row in left.itertuples():
+            words = np.cumsum(_unzip(row.words, "<u8"), dtype=np.uint64)
+            at = np.minimum(np.searchsorted(hashes, words), max(0, len(hashes) - 1))
+            at = np.where(hashes[at] == words, at, len(hashes)) if len(hashes) else np.zeros(len(words), dtype=np.int64)
+            rows.append((int(row.batch), int(row.shard), _zip(totals[at]), _zip(ids[at]), 0, None))
+    return pd.DataFrame(rows, columns=["of", "shard", "totals", "ids", "seen", "hashes"])
+
+
 def _spread(context: np.ndarray, count: np.ndarray, word: np.ndarray, shards: int, most: int) -> np.ndarray:
     """The shard of each pair: that of its context, or, where the context occurs more than `most` times, one of several by word."""
     turns = -(-count // most)
@@ -297,7 +360,8 @@ def _spread(context: np.ndarray, count: np.ndarray, word: np.ndarray, shards: in
 
 class _Pairs:
     """The distinct pairs of neighbours in a batch, in the order of their shard and then of their words' numbers; those with a word
-    that training does not have come first, under shard -1."""
+    that training does not have come first, under shard -1. And the distinct triples, in the order of their first pair and then of
+    their last word's number; words without one are as one."""
 
     def __init__(self, tokens: np.ndarray, lengths: np.ndarray, end: int, count: np.ndarray, ids: np.ndarray, shards: int, most: int):
         self.starts = np.cumsum(lengths) - lengths
@@ -308,7 +372,7 @@ class _Pairs:
         key |= tokens
         key, self.of = np.unique(key, return_inverse=True)
         a, b = key >> 32, key & 0xFFFFFFFF
-        shard = np.where((ids[a] > 0) & (ids[b] > 0), _spread(ids[a].astype(np.int64), count[a].astype(np.int64), ids[b].astype(np.int64), shards, most), -1)
+        shard = np.where((ids[a] > 0) & (ids[b] > 0), _spread(ids[a], count[a], ids[b], shards, most), -1)
         order = np.lexsort((ids[b], ids[a], shard))
         self.a, self.b = a[order], b[order]
         place = np.empty(len(order), dtype=np.int32)
@@ -316,14 +380,21 @@ class _Pairs:
         self.of = place[self.of]
         asked, first = np.unique(shard[order], return_index=True)
         self.shards = {int(s): (int(i), int(j)) for s, i, j in zip(asked, first, np.append(first[1:], len(order)), strict=True)}
+        # A text's first token has no pair before it.
+        self.later = np.ones(len(tokens), dtype=bool)
+        self.later[self.starts] = False
+        self.pair = self.of[np.flatnonzero(self.later) - 1].astype(np.int64)
+        self.triples, self.triple = np.unique(self.pair << 32 | ids[tokens[self.later]], return_inverse=True)
+        self.begins = np.searchsorted(self.triples >> 32, np.arange(len(order) + 1))
 
 
 def _joined(right: pd.DataFrame, column: str) -> np.ndarray:
     """A column of blobs in the order of their shards."""
-    return np.concatenate([_unzip(x, "<u4") for x in right.sort_values("shard")[column]])
+    return np.concatenate([_unzip(x, "<u8") for x in right.sort_values("shard")[column]]).astype(np.int64)
 
 
-PREPARED = "batch long, shard long, a binary, b binary, c binary, d binary, end int"
+PREPARED = "batch long, shard long, a binary, b binary, c binary, d binary, e binary, f binary, end int"
+PREPARED_COLUMNS = ["batch", "shard", "a", "b", "c", "d", "e", "f", "end"]
 
 
 def _prepare(shards: int, most: int):
@@ -334,103 +405,186 @@ def _prepare(shards: int, most: int):
         tokens, about = _unzip(row["tokens"], "<i4"), _unzip(row["docs"], "<i8").reshape(4, -1)
         count, ids = _joined(right, "totals"), _joined(right, "ids")
         pairs = _Pairs(tokens, about[3], int(row["end"]), count, ids, shards, most)
-        seen = np.bincount(pairs.of[np.repeat(about[2] == 0, about[3])], minlength=len(pairs.a)).astype("<u4")
-        rows = [(-1, row["docs"], row["tokens"], _zip(count), _zip(ids))]
+        train = np.repeat(about[2] == 0, about[3])
+        seen = np.bincount(pairs.of[train], minlength=len(pairs.a)).astype("<u4")
+        seen3 = np.bincount(pairs.triple[train[pairs.later]], minlength=len(pairs.triples)).astype("<u4")
+        rows = [(-1, row["docs"], row["tokens"], _zip(count), _zip(ids), None, None)]
         for s, (i, j) in pairs.shards.items():
             if s >= 0:
                 first = np.flatnonzero(np.diff(pairs.a[i:j], prepend=-1))
                 context = pairs.a[i:j][first]
                 runs = np.diff(np.append(first, j - i))
-                rows.append((s, _zip(np.stack([ids[context], count[context], runs]).astype("<u4")), _zip(ids[pairs.b[i:j]].astype("<u4")), _zip(seen[i:j]), None))
-        return pd.DataFrame([(int(row["batch"]), *r, int(row["end"])) for r in rows], columns=["batch", "shard", "a", "b", "c", "d", "end"])
+                x, y = pairs.begins[i], pairs.begins[j]
+                rows.append((s, _zip(np.stack([ids[context], count[context], runs]).astype("<i8")), _zip(ids[pairs.b[i:j]].astype("<u4")), _zip(seen[i:j]),
+                             _zip(np.diff(pairs.begins[i : j + 1]).astype("<u4")), _zip((pairs.triples[x:y] & 0xFFFFFFFF).astype("<u4")), _zip(seen3[x:y])))
+        return pd.DataFrame([(int(row["batch"]), *r, int(row["end"])) for r in rows], columns=PREPARED_COLUMNS)
 
     return run
 
 
-def _answer(mu: float):
-    """All batches' pairs of a shard: the trie of those seen in training, and its code for each pair of each batch."""
+ANSWERS_SQL = "of long, shard long, codes binary, rest binary, triples binary"
+
+
+def _asked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's row for a shard: contexts a (number, count), first and second words of its pairs, triples of each pair, their last words."""
+    about = _unzip(row.a, "<i8").reshape(3, -1)
+    return about[:2], np.repeat(about[0], about[2]), _unzip(row.b, "<u4").astype(np.int64), _unzip(row.d, "<u4").astype(np.int64), _unzip(row.e, "<u4").astype(np.int64)
+
 
-    def keys(row) -> tuple[np.ndarray, np.ndarray]:
-        about = _unzip(row.a, "<u4").reshape(3, -1).astype(np.int64)
-        return np.repeat(about[0], about[2]) << 32 | _unzip(row.b, "<u4"), about
+def _tell(levels: Levels, pdf: pd.DataFrame) -> list[tuple]:
+    rows = []
+    for row in pdf.itertuples():
+        _, a, b, runs, c = _asked(row)
+        rows.append((int(row.batch), int(row.shard), *(_zip(x.astype("<u2")) for x in levels.ask(a, b, runs, c))))
+    return rows
+
+
+def _answer(mu: float, discount: float):
+    """All batches' pairs and triples of a shard: the levels of those seen in training (a row of -1), and their codes for each batch."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found, seen, contexts = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], []
         for row in pdf.itertuples():
-            key, about = keys(row)
-            c = _unzip(row.c, "<u4")
-            found.append(key[c > 0])
-            seen.append(c[c > 0])
-            contexts.append(about[:2])
+            about, a, b, _, _ = _asked(row)
+            n = _unzip(row.c, "<u4")
+            found.append((a << 32 | b)[n > 0])
+            seen.append(n[n > 0])
+            contexts.append(about)
         key, back = np.unique(np.concatenate(found), return_inverse=True)
         number = np.bincount(back, weights=np.concatenate(seen), minlength=len(key))
         about = np.concatenate(contexts, axis=1)
         ids, first = np.unique(about[0], return_index=True)
         count = about[1][first]
         del found, seen, back, contexts
-        trie = Trie.mapped(Trie.pack(key >> 32, key & 0xFFFFFFFF, number / (count[np.searchsorted(ids, key >> 32)] + mu)))
-        del key, number
-        shard, rows = int(pdf["shard"].iloc[0]), []
+        found, seen = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
         for row in pdf.itertuples():
-            key, _ = keys(row)
-            rows.append((int(row.batch), shard, _zip(trie.code(key >> 32, key & 0xFFFFFFFF).astype("<u2"))))
-        return pd.DataFrame(rows, columns=["of", "shard", "codes"])
+            n = _unzip(row.f, "<u4")
+            if n.any():
+                _, a, b, runs, c = _asked(row)
+                at = np.repeat(np.searchsorted(key, a << 32 | b), runs)[n > 0]  # a triple's pair was seen where it was
+                found.append(at << 32 | c[n > 0])
+                seen.append(n[n > 0])
+        triple, back = np.unique(np.concatenate(found), return_inverse=True)
+        triples = np.bincount(back, weights=np.concatenate(seen), minlength=len(triple))
+        del found, seen, back
+        a = key >> 32
+        data = Levels.pack(a, key & 0xFFFFFFFF, number, count[np.searchsorted(ids, a)] if len(a) else np.empty(0), triple >> 32, triple & 0xFFFFFFFF, triples, mu, discount)
+        del key, number, triple, triples, a
+        rows = [(-1, int(pdf["shard"].iloc[0]), data, None, None), *_tell(Levels.mapped(data), pdf)]
+        return pd.DataFrame(rows, columns=["of", "shard", "codes", "rest", "triples"])
 
     return run
 
 
+def _answer_from(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Batches' questions to a shard and its stored levels (none, if training has nothing there) to its codes for each batch."""
+    columns = ["of", "shard", "codes", "rest", "triples"]
+    return pd.DataFrame(_tell(Levels.mapped(bytes(right["codes"].iloc[0])), left) if len(right) and len(left) else [], columns=columns)
+
+
 def _finish(shards: int, most: int, total: int, distinct: int, mu: float):
     """A batch and the shards' answers to its documents' scores."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         about, tokens = _unzip(row["a"], "<i8").reshape(4, -1), _unzip(row["b"], "<i4")
-        count, ids = _unzip(row["c"], "<u4"), _unzip(row["d"], "<u4")
+        count, ids = _unzip(row["c"], "<i8"), _unzip(row["d"], "<i8")
         pairs = _Pairs(tokens, about[3], int(row["end"]), count, ids, shards, most)
-        codes = np.zeros(len(pairs.a), dtype=np.int64)
-        for s, data in zip(right["shard"], right["codes"], strict=True):
-            i, j = pairs.shards[int(s)]
-            codes[i:j] = _unzip(data, "<u2")
+        codes, rest = np.zeros(len(pairs.a), dtype=np.int64), np.full(len(pairs.a), (1 << CODE_BITS) - 1, dtype=np.int64)
+        triples = np.zeros(len(pairs.triples), dtype=np.int64)
+        for answer in right.itertuples():
+            i, j = pairs.shards[int(answer.shard)]
+            codes[i:j], rest[i:j], triples[pairs.begins[i] : pairs.begins[j]] = (_unzip(x, "<u2") for x in (answer.codes, answer.rest, answer.triples))
         count = count.astype(np.float64)
         share = (count + 1) / (total + distinct + 1)
-        logs = np.log10(probability(codes) + mu / (count[pairs.a] + mu) * share[pairs.b])
+        after = (probability(codes) + mu / (count[pairs.a] + mu) * share[pairs.b])[pairs.of]
+        after[pairs.later] = probability(triples)[pairs.triple] + probability(rest)[pairs.pair] * after[pairs.later]
         doc = pd.array(about[0], dtype="Int64")
         doc[about[1].astype(bool)] = pd.NA
         return pd.DataFrame({
             "doc_id": doc, "held_out": about[2].astype(bool), "n_tokens": about[3], "n_known": np.add.reduceat((count > 0)[tokens].astype(np.int64), pairs.starts), "train_tokens": total,
-            "base_score": np.add.reduceat(np.log10(share)[tokens], pairs.starts), "score": np.add.reduceat(logs[pairs.of], pairs.starts),
+            "base_score": np.add.reduceat(np.log10(share)[tokens], pairs.starts), "score": np.add.reduceat(np.log10(after), pairs.starts),
         })
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, mu: float = MU, batch_tokens: int = BATCH_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of `docs` (doc_id, text and any more).
+SCORES_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    The model learns from all rows that are not held out and scores all rows. A token's probability after another is
-    (pairs seen + mu * unigram) / (contexts seen + mu), the unigram that of the base; the first part is quantised in the trie.
 
-    Texts become numbers once, in batches. Counts of words meet by range of hash; pairs of words meet in the shard of their context,
-    where the trie is built from those of training and answers each batch's pairs. A context with very many occurrences has
-    several shards. Batches, ranges and shards have a bounded size; there are more of them on more text.
+@dataclass
+class Model:
+    """A stored model: its vocabulary by range of hash, its levels by shard, and what scoring needs beside them."""
 
-    - A null or empty text is one end. Without training rows every count is 0, base_score and score are 0.
-    - A null doc_id stays null; repeated rows are scored each, and count each in training. An empty table gives no rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    encoded = materialise(rows.mapInArrow(_encode(batch_tokens), ENCODED_SQL), "batches")
+    vocabulary: DataFrame
+    levels: DataFrame
+    total: int
+    distinct: int
+    ranges: int
+    shards: int
+    most: int
+    mu: float
+
+    def _finish(self, asked: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+        kept = asked.where("shard < 0").repartition(parts, "batch").groupBy("batch")
+        answers = answers.where("of >= 0").repartition(parts, "of").groupBy("of")
+        return kept.cogroup(answers).applyInPandas(_finish(self.shards, self.most, self.total, self.distinct, self.mu), SCORES_SQL)
+
+    def score(self, docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+        """The columns of score() for the rows of other documents, from which nothing is learned; all are held out."""
+        encoded = materialise(_rows(docs, F.lit(True)).mapInArrow(_encode(batch_tokens), ENCODED_SQL), "batches")
+        parts = max(1, encoded.count())
+        words = encoded.select("batch", "docs", "tokens", "words").mapInArrow(_vocabulary(self.ranges), VOCABULARY_SQL)
+        words = words.groupBy("shard").cogroup(self.vocabulary.groupBy("shard")).applyInPandas(_look_up, WORDS_SQL)
+        left = encoded.select("batch", "docs", "tokens", "end").repartition(parts, "batch").groupBy("batch")
+        asked = materialise(left.cogroup(words.repartition(parts, "of").groupBy("of")).applyInPandas(_prepare(self.shards, self.most), PREPARED), "asked")
+        answers = asked.where("shard >= 0").groupBy("shard").cogroup(self.levels.groupBy("shard")).applyInPandas(_answer_from, ANSWERS_SQL)
+        return self._finish(asked, answers, parts)
+
+
+def _rows(docs: DataFrame, held_out: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+
+
+VOCABULARY_SQL = "shard int, batch long, words binary, counts binary"
+
+
+def train(docs: DataFrame, held_out: Column, mu: float = MU, discount: float = DISCOUNT, batch_tokens: int = BATCH_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[Model, DataFrame]:
+    """The model of the rows of `docs` that are not held out, stored in the shared folder, and the scores of all rows (see score())."""
+    encoded = materialise(_rows(docs, held_out).mapInArrow(_encode(batch_tokens), ENCODED_SQL), "batches")
     size = encoded.agg(F.count("*").alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
-    shards, ranges, parts, train = ceil_div(size["n"], shard_tokens), ceil_div(size["n"], 2 * shard_tokens), max(1, size["batches"]), int(size["train"])
-    most = max(1, shard_tokens // 8)
-    words = encoded.select("batch", "docs", "tokens", "words").mapInArrow(_vocabulary(ranges), "shard int, batch long, words binary, counts binary")
-    words = words.repartition(ranges, "shard").groupBy("shard").applyInPandas(_number(ranges), "of long, shard int, totals binary, ids binary, seen long")
-    words = materialise(words, "words")
+    shards, ranges, parts, total = ceil_div(size["n"], shard_tokens), ceil_div(size["n"], 4 * shard_tokens), max(1, size["batches"]), int(size["train"])
+    most = max(1, shard_tokens // 4)
+    words = encoded.select("batch", "docs", "tokens", "words").mapInArrow(_vocabulary(ranges), VOCABULARY_SQL)
+    words = materialise(words.repartition(ranges, "shard").groupBy("shard").applyInPandas(_number(ranges), WORDS_SQL), "words")
     distinct = int(words.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
+    vocabulary = materialise(words.where("of < 0").select("shard", "totals", "ids", "hashes"), "vocabulary")
     left = encoded.select("batch", "docs", "tokens", "end").repartition(parts, "batch").groupBy("batch")
-    asked = left.cogroup(words.drop("seen").repartition(parts, "of").groupBy("of")).applyInPandas(_prepare(shards, most), PREPARED)
-    asked = materialise(asked, "asked")
+    known = words.where("of >= 0").select("of", "shard", "totals", "ids").repartition(parts, "of").groupBy("of")
+    asked = materialise(left.cogroup(known).applyInPandas(_prepare(shards, most), PREPARED), "asked")
     drop(encoded)
     drop(words)
-    answers = asked.where("shard >= 0").select("batch", "shard", "a", "b", "c").repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(mu), "of long, shard long, codes binary")
-    kept = asked.where("shard < 0").repartition(parts, "batch").groupBy("batch")
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return kept.cogroup(answers.repartition(parts, "of").groupBy("of")).applyInPandas(_finish(shards, most, train, distinct, mu), out)
+    questions = asked.where("shard >= 0").select("batch", "shard", "a", "b", "c", "d", "e", "f")
+    answers = materialise(questions.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(mu, discount), ANSWERS_SQL), "answers")
+    model = Model(vocabulary, answers.where("of < 0").select("shard", "codes"), total, distinct, ranges, shards, most, mu)
+    return model, model._finish(asked, answers, parts)
+
+
+def score(docs: DataFrame, held_out: Column, **options) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of `docs` (doc_id, text and any more).
+
+    The model learns from all rows that are not held out and scores all rows. Seen triples of tokens have their count less a discount,
+    over that of their first two; what the discounts leave goes to the last two by their own probability, (pairs seen + mu *
+    unigram) / (contexts seen + mu), whose unigram is that of the base. A text's first token follows an end. The tries hold the
+    quantised parts: a triple's and a pair's probability, and what a pair leaves to the level below.
+
+    Texts become numbers once, in batches. Counts of words meet by range of hash; pairs and triples meet in the shard of their first
+    word, where the tries are built from those of training and answer each batch's. A word with very many occurrences has
+    several shards. Batches, ranges and shards have a bounded size; there are more of them on more text, and a batch has a row for a shard
+    only where it has a pair in it.
+
+    - A null or empty text is one end. Without training rows every count is 0, base_score and score are 0.
+    - A null doc_id stays null; repeated rows are scored each, and count each in training. An empty table gives no rows.
+    - A very long text is one batch of its own, held whole in one task. Columns beside doc_id and text play no part.
+    - Words are told apart by 64-bit hashes: two of a billion words share one with a chance of some 3 in 100. Counts have 64 bits."""
+    return train(docs, held_out, **options)[1]

@@ -25,11 +25,11 @@ def test_trie_finds_what_it_holds():
     pairs = np.unique(rng.integers(1, 60, (900, 2)), axis=0)
     held, asked = pairs[::2], pairs
     p = rng.random(len(held))
-    trie = ngram.Trie.mapped(ngram.Trie.pack(held[:, 0], held[:, 1], p))
+    trie = ngram.Trie(ngram.Trie.pack(held[:, 0], held[:, 1], p))
     code = trie.code(asked[:, 0], asked[:, 1])
     assert ((code > 0) == (np.arange(len(asked)) % 2 == 0)).all()
     assert np.abs(np.log10(ngram.probability(code[::2])) - np.log10(p)).max() < 0.002
-    assert (ngram.Trie.mapped(ngram.Trie.pack(held[:0, 0], held[:0, 1], p[:0])).code(asked[:, 0], asked[:, 1]) == 0).all()
+    assert (ngram.Trie(ngram.Trie.pack(held[:0, 0], held[:0, 1], p[:0])).code(asked[:, 0], asked[:, 1]) == 0).all()
 
 
 def test_pair_of_close_fingerprints():

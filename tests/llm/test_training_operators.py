@@ -66,19 +66,28 @@ def test_nearest(spark):
     assert ann.nearest(vectors(spark, [])).count() == 0
 
 
-def brute_score(rows, mu):
+def brute_score(rows, mu, discount, others=()):
+    """Scores of rows, or of `others` by the model of rows."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, *_ in rows]
-    texts = [(t or "").encode().lower().split() + [b"\n"] for _, t, *_ in rows]
-    uni, pairs = Counter(), Counter()
-    for t, h in zip(texts, held, strict=True):
+    split = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    uni, pairs, triples, after, kinds = Counter(), Counter(), Counter(), Counter(), Counter()
+    for (_, text), h in zip(rows, held, strict=True):
         if not h:
+            t = split(text)
             uni.update(t)
             pairs.update(zip([b"\n", *t[:-1]], t, strict=True))
+            triples.update(zip([b"\n", *t[:-2]], t[:-1], t[1:]))
+    for (a, b, _), n in triples.items():
+        after[a, b] += n
+        kinds[a, b] += 1
     n, v = sum(uni.values()), len(uni)
     p = lambda w: (uni[w] + 1) / (n + v + 1)
-    for (i, *_), t, h in zip(rows, texts, held, strict=True):
+    p2 = lambda a, b: (pairs[a, b] + mu * p(b)) / (uni[a] + mu)
+    p3 = lambda a, b, c: (max(0, triples[a, b, c] - discount) + discount * kinds[a, b] * p2(b, c)) / after[a, b] if after[a, b] else p2(b, c)
+    for (i, text), h in zip(others or rows, [True] * len(others) or held, strict=True):
+        t = split(text)
         base = sum(np.log10(p(w)) for w in t)
-        score = sum(np.log10((pairs[a, b] + mu * p(b)) / (uni[a] + mu)) for a, b in zip([b"\n", *t[:-1]], t, strict=True))
+        score = np.log10(p2(b"\n", t[0])) + sum(np.log10(p3(a, b, c)) for a, b, c in zip([b"\n", *t[:-2]], t[:-1], t[1:]))
         yield i, h, len(t), sum(uni[w] > 0 for w in t), n, base, score
 
 
@@ -86,15 +95,27 @@ def brute_score(rows, mu):
 def test_language_model(spark, batch, shard):
     frame = docs(spark).unionByName(queries.table(spark, FOLDER, "documents").limit(30).select("doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("fp"), F.lit("").alias("score")))
     rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
-    got = sorted(map(tuple, ngram.score(frame, crc_remainder(F.col("doc_id"), 7) == 2, batch_tokens=batch, shard_tokens=shard).collect()), key=repr)
-    want = sorted(brute_score(rows, ngram.MU), key=repr)
-    assert len(got) == len(want)
+    model, scores = ngram.train(frame, crc_remainder(F.col("doc_id"), 7) == 2, batch_tokens=batch, shard_tokens=shard)
+    others = [(1, "a b c d e"), (2, None), (3, rows[10][1]), (4, "nothing of this was seen"), (4, rows[12][1] + " two words")]
+    asked = model.score(docs(spark, [(i, t, "en", "s", 1, 1, "") for i, t in others]), batch_tokens=batch)
     by = lambda r: (str(r[0]), r[2], r[3])
-    for g, w in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
-        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 * max(1, abs(w[5])) and abs(g[6] - w[6]) < 0.003 * w[2]
+    for frame_of, want in ((scores, brute_score(rows, ngram.MU, ngram.DISCOUNT)), (asked, brute_score(rows, ngram.MU, ngram.DISCOUNT, others))):
+        got, want = sorted(map(tuple, frame_of.collect()), key=by), sorted(want, key=by)
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 * max(1, abs(w[5])) and abs(g[6] - w[6]) < 0.003 * w[2]
     assert ngram.score(docs(spark, []), F.lit(False)).count() == 0
 
 
+def test_counts_beyond_32_bits():
+    words = np.array([5, 9], dtype="<u8")
+    pack = lambda a: ngram._zip(np.asarray(a, dtype="<u8"))
+    batch = lambda k: (0, k, pack(np.diff(words, prepend=np.uint64(0))), pack([3_000_000_000, 1]))
+    out = ngram._number(1)(pd.DataFrame([batch(1), batch(2)], columns=["shard", "batch", "words", "counts"]))
+    assert ngram._unzip(out["totals"].iloc[0], "<u8").tolist() == [6_000_000_000, 2]
+    assert ngram._unzip(out["ids"].iloc[0], "<u8").tolist() == [1, 2] and out["seen"].tolist() == [0, 0, 2]
+
+
 def test_pages(spark):
     schema = "page_id long, url string, html string, text string, host string"
     body = lambda i: f"<html><body><div class='top'><p>Same words here</p></div><div class='c'><p>Page {i} says {i * i} things &amp; more</p></div></body></html>"
