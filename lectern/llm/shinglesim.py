@@ -15,9 +15,11 @@ from lectern.llm.common import materialise, small
 from lectern.llm.simhash import BROADCAST_CLASSES, BROADCAST_REMOVED, connect, keep_first, majority, shingle_hashes, tile_links
 
 #: Words of 64 bits of a fingerprint, and the differing bits up to which two may be alike: of the first word, and of all. Sets of
-#: similarity 0.8 differ in 39 of 256 bits, 6 more or less by chance, and in 10 of the first 64; unlike sets in 128, 8 more or less.
-FINGERPRINT_WORDS = 4
-FIRST_RADIUS, WHOLE_RADIUS = 22, 64
+#: similarity 0.8 differ in 78 of 512 bits, 8 more or less by chance, and in 10 of the first 64; unlike sets in 256, 11 more or
+#: less. Of small sets, whose bits depend on few shingles, more differ.
+FINGERPRINT_WORDS = 8
+FIRST_RADIUS, WHOLE_RADIUS = 22, 104
+SMALL_SET, SMALL_RADIUS = 24, 144
 #: By how much the pivots of a component of candidates grow from round to round.
 GROWTH = 8
 WORDS = [f"w{k}" for k in range(FINGERPRINT_WORDS)]
@@ -36,6 +38,11 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def whole_radius(size: np.ndarray) -> np.ndarray:
+    """Differing bits up to which two sets may be alike, by the size of the larger."""
+    return np.where(size <= SMALL_SET, SMALL_RADIUS, WHOLE_RADIUS)
+
+
 def set_key(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 7)
 
@@ -52,7 +59,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             rows = np.zeros((2 + FINGERPRINT_WORDS, b.num_rows), dtype="<u8")
             for k, text in enumerate(b.column("text")):
                 h = shingles(text.as_py(), shingle)
-                rows[:, k] = [set_key(h), len(h), *(majority(remixed(h, w)) for w in range(FINGERPRINT_WORDS))]
+                rows[:2, k] = set_key(h), len(h)
+                rows[2:, k] = majority(np.stack([remixed(h, w) for w in range(FINGERPRINT_WORDS)]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(r.view("<i8")) for r in rows)], ["doc_id", "text_key", "set_key", "size", *WORDS])
 
     longs = [T.StructField(c, T.LongType()) for c in ("text_key", "set_key", "size", *WORDS)]
@@ -88,7 +96,7 @@ def similar_classes(docs: DataFrame, sketched: DataFrame, similarity: float, shi
     is not compared, so a large group of near copies costs its size; a component is done when its sets that were no pivots are of
     one class. No candidate is left out otherwise."""
     distinct = materialise(sketched.groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("size", *WORDS))), "distinct-sets")
-    close = connect(tile_links(distinct, ["set_key", "size", *WORDS], "w0", FIRST_RADIUS, WHOLE_RADIUS, similarity, **tiles), "node", "bucket")
+    close = connect(tile_links(distinct, ["set_key", "size", *WORDS], "w0", FIRST_RADIUS, whole_radius, similarity, **tiles), "node", "bucket")
     spread = materialise(distinct.join(close, F.col("set_key") == F.col("node")).select(F.col("set_key").alias("key"), "size", *WORDS, "bucket"), "candidates")
     full = materialise(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("first")).withColumnRenamed("bucket", "_bucket"), "components")
     members = materialise(spread.join(small(full, BROADCAST_CLASSES), F.col("bucket") == F.col("_bucket")).drop("_bucket"), "members")
@@ -114,7 +122,7 @@ def similar_classes(docs: DataFrame, sketched: DataFrame, similarity: float, shi
         pivot = small(materialise(pivot, "pivots"), BROADCAST_CLASSES)
         differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in WORDS), F.lit(0))
         alike = (F.least("a_size", "size") >= similarity * F.greatest("a_size", "size") - 1e-6) & (F.col("a") < F.col("key")) & (F.col("a_root") != F.col("root"))
-        alike &= (F.bit_count(F.col("w0").bitwiseXOR(F.col("a_w0"))) <= FIRST_RADIUS) & (differ <= WHOLE_RADIUS)
+        alike &= (F.bit_count(F.col("w0").bitwiseXOR(F.col("a_w0"))) <= FIRST_RADIUS) & (differ <= F.when(F.greatest("a_size", "size") <= SMALL_SET, SMALL_RADIUS).otherwise(WHOLE_RADIUS))
         pairs = materialise(rooted.join(pivot, (F.col("bucket") == F.col("_bucket")) & alike).select("a", F.col("key").alias("b")), "pairs")
         left = sets.select(F.col("key").alias("a"), F.col("set").alias("a_set"))
         right = sets.select(F.col("key").alias("b"), F.col("set").alias("b_set"))
@@ -129,9 +137,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **tiles
     """The documents without near copies: one row of each class stays, with all its columns, as simhash.keep_one chooses it.
 
     A class is a component under links between texts whose sets of `shingle`-word shingles have a Jaccard similarity of
-    `similarity` or more; texts without words are one class. The tiled comparison of 256-bit SimHash fingerprints proposes pairs, and each
+    `similarity` or more; texts without words are one class. The tiled comparison of 512-bit SimHash fingerprints proposes pairs, and each
     that could still join two classes is verified. A pair of similarity 0.8 is proposed with a chance of 0.999 and more, a closer
-    one more surely (of sets of four and five shingles 0.99). The radii hold for similarities from 0.8 on.
+    one more surely. The radii hold for similarities from 0.8 on.
 
     - A null text is an empty one; null ids, repeated rows, columns of any names and an empty table are as in simhash.keep_one.
     - A very long text is read whole, in one task. 64-bit hashes stand for shingles and for sets of them."""

@@ -36,17 +36,24 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)], dtype="<u8")
 
 
-def majority(h: np.ndarray) -> int:
-    """The number whose bits are set where over half of the hashes have them set; 0 for none."""
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 65536):  # a very long text in bounded memory
-        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+#: For each byte the number whose bytes are its bits: sums of up to 255 of them count eight bits at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """The numbers whose bits are set where over half of the hashes of their row of h have them set; 0 for none."""
+    words, n = h.shape
+    ones = np.zeros((words, 64), dtype=np.int64)
+    for at in range(0, n, 255 * 32):  # a very long text in bounded memory
+        part = _SPREAD[np.ascontiguousarray(h[:, at : at + 255 * 32]).view(np.uint8)].reshape(words, -1, 8)
+        for k in range(0, part.shape[1], 255):
+            ones += part[:, k : k + 255].sum(axis=1).view(np.uint8).reshape(words, 64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash of the words (A-Z lowered), as an unsigned number; 0 for a text without words."""
-    return majority(shingle_hashes(text, shingle))
+    return int(majority(shingle_hashes(text, shingle)[None])[0])
 
 
 def text_fingerprint(text: Column, shingle: int = 3) -> Column:
@@ -90,8 +97,8 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _compare_tiles(radius: int, words: int, whole_radius: int, similarity: float):
-    """Rows of one or two tiles to links (a, b) between keys: a forest of the pairs within the radii."""
+def _compare_tiles(radius: int, words: int, whole, similarity: float):
+    """Rows of one or two tiles to links (a, b) between keys: a forest of the pairs within the radii (whole: that of all bits, by the larger size)."""
     width = words + 2 if similarity else 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +123,7 @@ def _compare_tiles(radius: int, words: int, whole_radius: int, similarity: float
             if similarity:
                 bits = sum(np.bitwise_count(a[k][i] ^ b[k][j]).astype(np.int32) for k in range(2, width))
                 low, high = np.minimum(a[1][i], b[1][j]), np.maximum(a[1][i], b[1][j])
-                both = (bits <= whole_radius) & (low >= similarity * high - 1e-6)
+                both = (bits <= whole(high)) & (low >= similarity * high - 1e-6)
                 i, j = i[both], j[both]
             held.append((i, j if own else j + n))
             count += len(i)
@@ -144,7 +151,7 @@ def _pack(columns: list[str]):
     return run
 
 
-def tile_links(rows: DataFrame, columns: list[str], word: str, radius: int, whole_radius: int = 0, similarity: float = 0.0, tile: int = TILE, largest: int = LARGEST_TILE) -> DataFrame:
+def tile_links(rows: DataFrame, columns: list[str], word: str, radius: int, whole=None, similarity: float = 0.0, tile: int = TILE, largest: int = LARGEST_TILE) -> DataFrame:
     """Links (a, b) between the values of the first of `columns`, which connect them exactly as all pairs within the radii do.
 
     Rows (distinct in that column) are dealt over tiles by the number of set bits in column `word`, and, if a similarity of sets is
@@ -184,7 +191,7 @@ def tile_links(rows: DataFrame, columns: list[str], word: str, radius: int, whol
     pairs = met.select("rows", (F.col("tile") > F.col("other")).cast("int").alias("side"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     parts = max(1, min(ceil_div(sum(map(len, partners)), 4), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     words = len(columns) - 2
-    return pairs.repartition(parts, "i", "j").groupBy("i", "j").applyInPandas(_compare_tiles(radius, words, whole_radius, similarity), "a long, b long")
+    return pairs.repartition(parts, "i", "j").groupBy("i", "j").applyInPandas(_compare_tiles(radius, words, whole, similarity), "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
