@@ -8,45 +8,77 @@ from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
 
-SUBTOPIC, DOMAIN, AUTHOR, JOURNAL, LEXICAL = 3.0, 1.0, 2.0, 0.5, 6.0
+# What shared facts of works count, and what agreement of a citation's fields counts.
+SUBTOPIC, DOMAIN, KEYWORD, AUTHOR, JOURNAL, LEXICAL = 3.0, 1.0, 1.5, 2.0, 0.5, 6.0
 TITLE_WEIGHT, AUTHOR_WEIGHT, YEAR_WEIGHT = 0.60, 0.25, 0.15
 FLOOR, MATCH, SIGNAL, SIGNALS, CANDIDATES = 0.30, 0.72, 0.5, 2, 5
-
-
-def lookup(works: DataFrame, wanted: DataFrame) -> DataFrame:
-    """query, matched_on, doc_id of each row of `wanted` (query, id, title, author): by id, else by exact title, else by author.
-
-    Only the first way that finds something is told; what it finds is ordered by id."""
-    keyed = works.select("doc_id", t.fold(F.col("title")).alias("title"), t.fold(F.col("author")).alias("author"))
-    ask = wanted.select("query", F.col("id"), t.fold(F.col("title")).alias("wtitle"), t.fold(F.col("author")).alias("wauthor"))
-    by_id = keyed.join(ask, F.col("doc_id") == F.col("id")).select("query", "doc_id", F.lit(0).alias("way"))
-    by_title = keyed.join(ask, (F.col("title") == F.col("wtitle")) & (F.col("title") != "")).select("query", "doc_id", F.lit(1).alias("way"))
-    by_author = keyed.join(ask, (F.col("author") == F.col("wauthor")) & (F.col("author") != "")).select("query", "doc_id", F.lit(2).alias("way"))
-    found = by_id.unionByName(by_title).unionByName(by_author)
-    best = found.groupBy("query").agg(F.min("way").alias("best"))
-    named = F.element_at(F.array(F.lit("id"), F.lit("title"), F.lit("author")), F.col("way") + 1)
-    return found.join(best, "query").where("way = best").select("query", named.alias("matched_on"), "doc_id").distinct()
+LEAST_WORKS, FEW_WORKS, THIN = 30, 100, 3
+
+WAYS = ("paper_id", "doi", "title", "author", "journal", "author", "lexical")
+CONFIDENCES = ("EXACT", "EXACT", "EXACT", "AUTHOR_SET", "FIELD", "AUTHOR_SET", "APPROXIMATE")
+#: Queries of a lookup that are held against all works; a larger table of them is not a lookup.
+MOST_QUERIES = 10_000
+
+
+def same_name(wanted: Column, actual: Column) -> Column:
+    """Whether two folded names are equal, or one of two characters or more is in the other."""
+    return (wanted == actual) | ((F.length(wanted) >= 2) & actual.contains(wanted)) | ((F.length(actual) >= 2) & wanted.contains(actual))
+
+
+def lookup(works: DataFrame, wanted: DataFrame, lexical: DataFrame | None = None) -> DataFrame:
+    """query, status, matched_on, confidence, doc_id of each row of `wanted` (query, id, doi, title, author, bare, journal, exact).
+
+    A work is told once, by the first way that finds it: its id, its DOI (the first work of it), the exact title, names of an author, the
+    journal. Where these find nothing and the query is not `exact`, `bare` is taken for an author's name, and then `lexical` (query, doc_id), the
+    results of a search, are approximate. A query without any work is NOT_IN_LIBRARY. works: doc_id, doi, title, authors, journal."""
+    if wanted.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"a lookup takes {MOST_QUERIES} queries at most")
+    w = works.select("doc_id", t.normalize_doi(F.col("doi")).alias("wdoi"), t.fold(F.col("title")).alias("wtitle"), F.transform("authors", t.fold).alias("wauthors"), t.fold(F.col("journal")).alias("wjournal"))
+    ask = F.broadcast(wanted.select("query", "id", t.normalize_doi(F.col("doi")).alias("doi"), t.fold(F.col("title")).alias("title"), t.fold(F.col("author")).alias("author"), t.fold(F.col("bare")).alias("bare"), t.fold(F.col("journal")).alias("journal"), "exact"))
+    one = lambda df, way: df.select("query", "doc_id", F.lit(way).alias("way"))
+    first_doi = w.where("wdoi IS NOT NULL").groupBy("wdoi").agg(F.min("doc_id").alias("doc_id"))
+    named = w.select("doc_id", F.explode("wauthors").alias("name")).where("name <> ''")
+    found = one(w.join(ask, F.col("doc_id") == F.col("id")), 0).unionByName(one(first_doi.join(ask, F.col("wdoi") == F.col("doi")), 1))
+    found = found.unionByName(one(w.join(ask, (F.col("wtitle") == F.col("title")) & (F.col("wtitle") != "")), 2))
+    found = found.unionByName(one(named.join(ask.where("author <> ''"), same_name(F.col("author"), F.col("name"))), 3))
+    found = found.unionByName(one(w.join(ask.where("journal <> ''"), F.col("wjournal").contains(F.col("journal"))), 4))
+    best = lambda df: df.groupBy("query", "doc_id").agg(F.min("way").alias("way"))
+    found = best(found)
+    told = found.select("query").distinct()
+    open_ = wanted.where("NOT exact").select("query", t.fold(F.col("bare")).alias("bare")).join(told, "query", "left_anti")
+    loose = one(named.join(F.broadcast(open_.where("bare <> ''")), same_name(F.col("bare"), F.col("name"))), 5)
+    if lexical is not None:
+        nothing = open_.join(loose.select("query").distinct(), "query", "left_anti")
+        loose = loose.unionByName(one(lexical.join(F.broadcast(nothing.select("query")), "query"), 6))
+    found = found.unionByName(best(loose))
+    out = wanted.select("query").join(found, "query", "left")
+    at = lambda names: F.when(F.col("way").isNotNull(), F.element_at(F.array(*map(F.lit, names)), F.coalesce("way", F.lit(0)) + 1))
+    status = F.when(F.col("way").isNull(), "NOT_IN_LIBRARY").when(F.col("way") < 5, "FOUND").otherwise("FOUND_APPROXIMATE")
+    return out.select("query", status.alias("status"), at(WAYS).alias("matched_on"), at(CONFIDENCES).alias("confidence"), "doc_id")
 
 
 def related(works: DataFrame, seed: int, lexical: DataFrame, n: int = 10) -> DataFrame:
-    """doc_id, score of the works nearest to the seed: shared topics, domain, author and journal, and a capped lexical part.
+    """doc_id, score of the works nearest to the seed: shared subtopics, domains, keywords and authors (arrays), the same journal, and a
+    capped lexical part.
 
-    lexical: doc_id, score of all works for the seed's title, the seed included, whose best counts as the cap. The domain
-    counts beside the subtopic. The seed is one row."""
-    s = works.where(F.col("doc_id") == seed).select(*(F.col(c).alias(f"seed_{c}") for c in ("subtopic", "domain", "author", "journal")))
+    lexical: doc_id, score of all works for the seed's title, the seed included, whose best counts as the cap. Domains
+    count beside subtopics. The seed is one row."""
+    sets = {"subtopics": SUBTOPIC, "domains": DOMAIN, "keywords": KEYWORD, "authors": AUTHOR}
+    s = works.where(F.col("doc_id") == seed).select(*(F.col(c).alias(f"seed_{c}") for c in (*sets, "journal")))
     lead = lexical.agg(F.max("score").alias("lead"))
     found = works.where(F.col("doc_id") != seed).join(lexical, "doc_id", "left").join(F.broadcast(s)).join(F.broadcast(lead))
-    same = lambda c, w: F.when(F.col(c) == F.col(f"seed_{c}"), w).otherwise(0.0)
-    score = same("subtopic", SUBTOPIC) + same("domain", DOMAIN) + same("author", AUTHOR) + same("journal", JOURNAL)
-    score = score + F.least(F.lit(LEXICAL), F.coalesce(F.col("score") / F.col("lead") * LEXICAL, F.lit(0.0)))
+    score = sum((F.size(F.array_intersect(c, f"seed_{c}")) * w for c, w in sets.items()), F.lit(0.0))
+    score += F.when(F.col("journal") == F.col("seed_journal"), JOURNAL).otherwise(0.0)
+    score += F.least(F.lit(LEXICAL), F.coalesce(F.col("score") / F.col("lead") * LEXICAL, F.lit(0.0)))
     found = found.select("doc_id", F.round(score, 6).alias("score")).where("score > 0")
     return found.orderBy(F.col("score").desc(), "doc_id").limit(n)
 
 
-def coverage(hits: DataFrame, lexicon: DataFrame, thin: int = 3) -> DataFrame:
-    """concept, works, level of each concept of `lexicon`, those without works included."""
-    counts = hits.groupBy("concept").agg(F.count_distinct("doc_id").alias("works"))
-    out = lexicon.select("concept").distinct().join(counts, "concept", "left").withColumn("works", F.coalesce("works", F.lit(0)))
+def coverage(hits: DataFrame, lexicon: DataFrame, thin: int = THIN) -> DataFrame:
+    """concept, works, examples, level of each concept of `lexicon`, those without works included; the examples are its five first works."""
+    one = hits.select("concept", "doc_id").distinct().withColumn("rank", F.row_number().over(W.partitionBy("concept").orderBy("doc_id")))
+    counts = one.groupBy("concept").agg(F.count("*").alias("works"), F.sort_array(F.collect_list(F.when(F.col("rank") <= 5, F.col("doc_id")))).alias("examples"))
+    out = lexicon.select("concept").distinct().join(counts, "concept", "left").withColumn("works", F.coalesce("works", F.lit(0))).withColumn("examples", F.coalesce("examples", F.array().cast("array<long>")))
     return out.withColumn("level", F.when(F.col("works") == 0, "ABSENT").when(F.col("works") < thin, "THIN").otherwise("COVERED"))
 
 
@@ -62,21 +94,95 @@ def pair_coverage(hits: DataFrame, lexicon: DataFrame) -> DataFrame:
     return grid.join(joint, ["phenomenon", "other"], "left").select("phenomenon", "other", F.coalesce("joint", F.lit(0)).alias("joint"))
 
 
+def sufficient(works: DataFrame) -> DataFrame:
+    """works, verdict: whether there are enough works to tell gaps: refused below 30, warned up to 100."""
+    return works.agg(F.count("*").alias("works")).withColumn("verdict", F.when(F.col("works") < LEAST_WORKS, "REFUSED").when(F.col("works") < FEW_WORKS, "FEW").otherwise("ENOUGH"))
+
+
+def missing_roles(roles: DataFrame, wanted: tuple[str, ...] = ("CORE", "MECHANISM", "OUTCOME", "METHOD")) -> DataFrame:
+    """role of those that no work has."""
+    return roles.sparkSession.createDataFrame([(r,) for r in wanted], "role string").join(roles.select("role").distinct(), "role", "left_anti")
+
+
 def overlap(wanted: Column, have: Column) -> Column:
     """The share of the wanted tokens that are there."""
     return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, have)) / F.size(wanted)).otherwise(F.lit(None))
 
 
-def citation_scores(citations: DataFrame, works: DataFrame) -> DataFrame:
-    """citation, doc_id, score, signals: the candidates of each row of `citations` (citation, title, author, year), five at most.
+def cites_name(wanted: Column, actual: Column) -> Column:
+    """Whether a cited name is an author's: equal, all its words among theirs, or, with CJK characters and two of them at least, inside."""
+    words = F.size(F.array_except(F.split(wanted, " "), F.split(actual, " "))) == 0
+    return (wanted != "") & ((wanted == actual) | words | (wanted.rlike(f"[{t.CJK}]") & (F.length(wanted) >= 2) & actual.contains(wanted)))
+
+
+def parse_citation(text: Column) -> Column:
+    """struct(doi, year, authors, title) of a citation in any style: what stands before the year names authors, the title follows it.
+
+    Quoted words are the title; "et al." and initials are no names; eight names at most. A citation of names and a year has no title."""
+    raw = F.trim(F.coalesce(text, F.lit("")))
+    doi = t.normalize_doi(raw)
+    year = F.regexp_extract(raw, r"\b(1[89]\d{2}|20\d{2})\b", 1)
+    bare = F.when(doi.isNotNull(), F.regexp_replace(raw, r"(?i)(doi\s*[:：]?\s*)?(https?://(dx\.)?doi\.org/)?10\.\S+", " ")).otherwise(raw)
+    bare = F.regexp_replace(bare, r"(?i)\bet\.?\s*al\.?", " ")
+    quoted = F.trim(F.regexp_extract(bare, "[\"“”'‘’《〈]([^\"“”'‘’》〉]{4,})[\"“”'‘’》〉]", 1))
+    place = F.instr(bare, year)
+    head = F.when(year != "", F.substring(bare, F.lit(1), place - 1)).otherwise(bare)
+    tail = F.regexp_replace(F.when(year != "", F.substring(bare, place + 4, F.length(bare))).otherwise(F.lit("")), r"^[ .,;:)：）]+|[ .,;:)：）]+$", "")
+    parts = F.transform(F.array(*map(F.lit, (".", "。", "，", ",", "//"))), lambda s: F.trim(F.split_part(tail, s, F.lit(1))))
+    after = F.coalesce(F.get(F.filter(parts, lambda x: F.length(x) >= 8), 0), tail)
+    blocks = F.split(F.regexp_replace(F.regexp_replace(head, r"[()（）\[\]&]", " "), r"\b(and|与|和)\b", " "), r"[,;，；、]|\s{2,}")
+    blocks = F.filter(F.transform(blocks, lambda b: F.regexp_replace(b, "^[ .,;、]+|[ .,;、]+$", "")), lambda b: b != "")
+    cjk = rf"[{t.CJK}]"
+
+    def of_block(b: Column) -> Column:
+        own = F.filter(F.transform(F.split(b, r"\s+"), lambda x: F.regexp_replace(x, "等人?", "")), lambda x: (F.length(x) >= 2) & (F.length(x) <= 5))
+        latin = (F.size(F.split(b, r"\s+")) <= 4) & b.rlike(r"\p{L}") & (F.length(F.trim(F.replace(b, F.lit("."), F.lit("")))) > 1)
+        return F.when(b.rlike(cjk), own).when(latin, F.array(b)).otherwise(F.array().cast("array<string>"))
+
+    authors = F.slice(F.array_distinct(F.flatten(F.transform(blocks, of_block))), 1, 8)
+    whole = F.trim(F.regexp_replace(bare, r"[()（）\[\]]", " "))
+    title = F.when(quoted != "", quoted).when(year != "", F.when(after != "", after).when(F.size(authors) > 0, "").otherwise(whole)).otherwise(F.trim(bare))
+    return F.struct(doi.alias("doi"), year.alias("year"), authors.alias("authors"), title.alias("title"))
+
+
+def candidates(ask: DataFrame, have: DataFrame) -> DataFrame:
+    """citation, doc_id of the works that a citation may mean: those with an author whom it cites, and those with so many of its title's
+    tokens that they can be a match.
+
+    No pair that shares only common tokens is made: a work with at least the share s of n tokens has one of the n - ceil(s n) + 1 rarest, and a
+    cited name meets authors by its rarest word. ask: citation, want, names; have: doc_id, have, authors."""
+    least = (MATCH - AUTHOR_WEIGHT - YEAR_WEIGHT) / TITLE_WEIGHT  # of the title's tokens, when all else agrees
+    tokens = have.select("doc_id", F.explode("have").alias("token"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    wanted = ask.select("citation", F.size("want").alias("n"), F.explode("want").alias("token")).join(df, "token", "left")
+    rarity = F.row_number().over(W.partitionBy("citation").orderBy(F.coalesce("df", F.lit(0)), "token"))
+    rare = wanted.withColumn("k", rarity).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    by_title = rare.select("citation", "token").join(tokens, "token").select("citation", "doc_id").distinct()
+    words = have.select("doc_id", F.explode("authors").alias("author")).select("doc_id", F.explode(F.array_distinct(F.split("author", " "))).alias("word")).distinct()
+    common = words.groupBy("word").agg(F.count("*").alias("df"))
+    cited = ask.select("citation", F.explode("names").alias("name")).where("name <> ''")
+    latin = cited.where(~F.col("name").rlike(f"[{t.CJK}]")).select("citation", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word")).join(common, "word", "left")
+    key = latin.groupBy("citation", "name").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    by_author = key.join(words, "word").select("citation", "doc_id", "name")
+    inside = have.select("doc_id", F.explode("authors").alias("author")).where(F.col("author").rlike(f"[{t.CJK}]"))
+    pairs = by_title.unionByName(by_author.select("citation", "doc_id"))
+    cjk = cited.where(F.col("name").rlike(f"[{t.CJK}]"))
+    by_cjk = inside.join(F.broadcast(cjk.limit(MOST_QUERIES)) if cjk.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES else cjk, F.col("author").contains(F.col("name")) & (F.length("name") >= 2))
+    return pairs.unionByName(by_cjk.select("citation", "doc_id")).distinct()
+
 
-    Candidates share a title token; the score is the mean agreement over the fields that the citation has."""
-    ask = citations.select("citation", F.array_distinct(t.tokens(F.col("title"))).alias("want"), t.fold(F.col("author")).alias("cauthor"), F.col("year").alias("cyear"))
-    have = works.select("doc_id", F.array_distinct(t.tokens(F.col("title"))).alias("have"), t.fold(F.col("author")).alias("wauthor"), "year")
-    shared = ask.select("citation", F.explode("want").alias("token")).join(have.select("doc_id", F.explode("have").alias("token")), "token").select("citation", "doc_id").distinct()
-    pairs = shared.join(ask, "citation").join(have, "doc_id")
+def citation_scores(citations: DataFrame, works: DataFrame) -> DataFrame:
+    """citation, doc_id, score, signals, rank: the candidates of each row of `citations` (citation, title, authors, year), five at most.
+
+    The score is the mean agreement over the fields that the citation has; signals are fields that agree by half. works: doc_id, title,
+    authors (array), year (text)."""
+    fold_all = lambda c: F.filter(F.transform(c, t.fold), lambda x: x != "")
+    ask = citations.select("citation", F.array_distinct(t.tokens(F.col("title"))).alias("want"), F.array_distinct(fold_all(F.col("authors"))).alias("names"), F.nullif(F.col("year"), F.lit("")).alias("cyear"))
+    have = works.select("doc_id", F.array_distinct(t.tokens(F.col("title"))).alias("have"), fold_all(F.col("authors")).alias("authors"), "year")
+    pairs = candidates(ask, have).join(ask, "citation").join(have, "doc_id")
     title = overlap(F.col("want"), F.col("have"))
-    author = F.when(F.col("cauthor") != "", (F.col("cauthor") == F.col("wauthor")).cast("double"))
+    hits = F.size(F.filter("names", lambda n: F.exists("authors", lambda a: cites_name(n, a))))
+    author = F.when(F.size("names") > 0, hits / F.size("names"))
     year = F.when(F.col("cyear").isNotNull(), (F.col("cyear") == F.col("year")).cast("double"))
     parts = [(title, TITLE_WEIGHT), (author, AUTHOR_WEIGHT), (year, YEAR_WEIGHT)]
     total = sum((F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for v, w in parts), F.lit(0.0))
@@ -87,10 +193,19 @@ def citation_scores(citations: DataFrame, works: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES)
 
 
-def verdicts(citations: DataFrame, scored: DataFrame) -> DataFrame:
-    """citation, verdict, doc_id: in the library if exactly one candidate qualifies, ambiguous if several, else not."""
-    fits = scored.where((F.col("score") >= MATCH) & (F.col("signals") >= SIGNALS))
+def verdicts(citations: DataFrame, works: DataFrame) -> DataFrame:
+    """citation, verdict, match, doc_id of each row of `citations` (citation, doi, title, authors, year).
+
+    The first work of its DOI, else of its exact title, else the one candidate that qualifies is in the library; several that qualify
+    are ambiguous. works: doc_id, doi, title, authors, year."""
+    dois = works.select(t.normalize_doi(F.col("doi")).alias("doi"), "doc_id").where("doi IS NOT NULL").groupBy("doi").agg(F.min("doc_id").alias("by_doi"))
+    titles = works.select(t.normalize_title(F.col("title")).alias("title"), "doc_id").where("title IS NOT NULL").groupBy("title").agg(F.min("doc_id").alias("by_title"))
+    ask = citations.select("citation", t.normalize_doi(F.col("doi")).alias("doi"), t.normalize_title(F.col("title")).alias("title"))
+    known = ask.join(dois, "doi", "left").join(titles, "title", "left")
+    left = citations.join(known.where("by_doi IS NULL AND by_title IS NULL").select("citation"), "citation", "left_semi")
+    fits = citation_scores(left, works).where((F.col("score") >= MATCH) & (F.col("signals") >= SIGNALS))
     found = fits.groupBy("citation").agg(F.count("*").alias("n"), F.min("doc_id").alias("only"))
-    out = citations.select("citation").join(found, "citation", "left")
-    verdict = F.when(F.col("n") == 1, "IN_LIBRARY").when(F.col("n") > 1, "AMBIGUOUS").otherwise("NOT_IN_LIBRARY")
-    return out.select("citation", verdict.alias("verdict"), F.when(F.col("n") == 1, F.col("only")).alias("doc_id"))
+    out = known.join(found, "citation", "left")
+    verdict = F.when(F.col("by_doi").isNotNull() | F.col("by_title").isNotNull() | (F.col("n") == 1), "IN_LIBRARY").when(F.col("n") > 1, "AMBIGUOUS").otherwise("NOT_IN_LIBRARY")
+    match = F.when(F.col("by_doi").isNotNull(), "DOI").when(F.col("by_title").isNotNull(), "EXACT_TITLE").when(F.col("n") == 1, "FIELD_AGREEMENT")
+    return out.select("citation", verdict.alias("verdict"), match.alias("match"), F.coalesce("by_doi", "by_title", F.when(F.col("n") == 1, F.col("only"))).alias("doc_id"))

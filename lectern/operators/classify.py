@@ -8,9 +8,19 @@ from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
 
+# What a field's evidence weighs, and when a label is assigned.
 FIELD_WEIGHTS = {"title": 3.0, "keywords": 2.0, "abstract": 1.5, "journal": 0.5, "fulltext": 1.0}
 HALF = 3.0  # the score of confidence one half
 ASSIGN, SPLIT, SHARE, MOST = 0.75, 0.30, 0.70, 3
+FULLTEXT_TERMS = 3
+# Titles that are about a method itself, what such a title counts, and the phrase that is no evidence beside it.
+METHOD_TITLE = (
+    r"(?i)^(?:double(?:\s*[/\-]\s*debiased)?|debiased)\s+machine\s+learning\s+for\s+"
+    r"(?:treatment\s+and\s+structural\s+parameters|treatment\s+parameters|structural\s+parameters|treatment\s+effects|causal\s+parameters|"
+    r"causal\s+inference|semiparametric\s+(?:estimation|inference)|difference[\s-]+in[\s-]+differences(?:\s+models)?)\s*[.?!]?$"
+)
+METHOD_WEIGHT = 9.0
+METHOD_PHRASE = r"(?i)\bmachine\s+learning\b|机器学习"
 
 
 def name_terms(taxonomy: DataFrame) -> DataFrame:
@@ -19,36 +29,70 @@ def name_terms(taxonomy: DataFrame) -> DataFrame:
     return taxonomy.select("label", F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array(t.fold(F.col("name"))))).alias("term"))
 
 
-def signals(works: DataFrame, concepts: DataFrame, names: DataFrame, fields: list[str]) -> DataFrame:
+def signals(works: DataFrame, concepts: DataFrame, names: DataFrame, fields: list[str], aliases: DataFrame | None = None, method_label: str | None = None) -> DataFrame:
     """doc_id, label, score, named: the evidence of each label in the fields of each work.
 
-    concepts: label, term; each counts its field's weight. names: label, term; each counts weight * min(1.5 * length, 6) / 3. The
-    taxonomy is closed and small: its terms, a few hundred, are held against each text where it is read."""
-    rows = [(r["label"], r["term"], False) for r in concepts.select("label", "term").distinct().collect()] + [(r["label"], r["term"], True) for r in names.select("label", "term").distinct().collect()]
-    folded = works.select("doc_id", *[F.concat(F.lit(" "), t.fold(F.col(f)), F.lit(" ")).alias(f) for f in fields])
+    concepts: concept, label, term; each term counts its field's weight for each label of its concept, in full texts the three longest of a
+    concept. names: label, term; each counts weight * min(1.5 * length, 6) / 3. aliases: label, term; of a label's one alias of a field counts, that of most
+    words, then the longest: weight * min(3 * words, 6) / 3. A title about a method counts 9 for `method_label`, and its phrase is no evidence then.
+    The taxonomy is closed and small: its terms, a few hundred, are held against each text where it is read."""
+    rows = [("concept", r["concept"], r["label"], r["term"], 1.0) for r in concepts.select("concept", "label", "term").distinct().collect()]
+    rows += [("name", "", r["label"], r["term"], min(1.5 * len(r["term"]), 6.0) / 3) for r in names.select("label", "term").distinct().collect()]
+    rows += [("alias", "", r["label"], r["term"], min(3.0 * len(r["term"].split(" ")), 6.0) / 3) for r in (aliases.select("label", "term").distinct().collect() if aliases is not None else [])]
+    method = F.trim(F.regexp_replace("title", r"\s+", " ")).rlike(METHOD_TITLE) if method_label else F.lit(False)
+    said = lambda f: F.when(method, F.regexp_replace(f, METHOD_PHRASE, " ")).otherwise(F.col(f)) if method_label else F.col(f)
+    folded = works.select("doc_id", method.alias("method"), *[F.concat(F.lit(" "), t.fold(said(f)), F.lit(" ")).alias(f) for f in fields])
     found = []
     for f in fields:
-        for label, term, named in sorted(rows):
-            weight = FIELD_WEIGHTS[f] * (min(1.5 * len(term), 6.0) / 3 if named else 1.0)
-            found.append(F.when(F.col(f).contains(f" {term} "), F.struct(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.lit(named).alias("named"))))
-    hits = folded.select("doc_id", F.explode(F.array(*found)).alias("h")).where("h IS NOT NULL")
-    return hits.groupBy("doc_id", "h.label").agg(F.round(F.sum("h.weight"), 6).alias("score"), F.bool_or("h.named").alias("named"))
-
-
-def decide(scored: DataFrame) -> DataFrame:
-    """doc_id, label, score, confidence, decision of each signal.
+        for kind, concept, label, term, times in sorted(rows):
+            item = F.struct(F.lit(kind).alias("kind"), F.lit(concept).alias("concept"), F.lit(label).alias("label"), F.lit(f).alias("field"), F.lit(term).alias("term"), F.lit(FIELD_WEIGHTS[f] * times).alias("weight"))
+            found.append(F.when(t.contains_word(F.col(f), term), item))
+    hits = folded.select("doc_id", F.explode(F.array(*found)).alias("h")).where("h IS NOT NULL").select("doc_id", "h.*")
+    place = F.dense_rank().over(W.partitionBy("doc_id", "kind", "concept", "field").orderBy(F.length("term").desc(), "term"))
+    best = F.row_number().over(W.partitionBy("doc_id", "kind", "label", "field").orderBy(F.size(F.split("term", " ")).desc(), F.length("term").desc(), "term"))
+    hits = hits.withColumns({"place": place, "best": best})
+    hits = hits.where(F.when(F.col("kind") == "alias", F.col("best") == 1).when((F.col("kind") == "concept") & (F.col("field") == "fulltext"), F.col("place") <= FULLTEXT_TERMS).otherwise(True))
+    hits = hits.select("doc_id", "label", "weight", F.col("kind").isin("name", "alias").alias("named"))
+    if method_label:
+        hits = hits.unionByName(folded.where("method").select("doc_id", F.lit(method_label).alias("label"), F.lit(METHOD_WEIGHT).alias("weight"), F.lit(False).alias("named")))
+    return hits.groupBy("doc_id", "label").agg(F.round(F.sum("weight"), 6).alias("score"), F.bool_or("named").alias("named"))
+
+
+def decide(scored: DataFrame, works: DataFrame | None = None) -> DataFrame:
+    """doc_id, label, score, confidence, decision, reason, status of each signal, and one row for each of `works` (doc_id) without any.
 
     The leader, by score and then label, is assigned from confidence 0.75 on. Others of at least 0.70 of its score are assigned if their
-    name was found, three in all, else suggested. A weak leader leaves all for review."""
+    name was found, three in all, else suggested. A weak leader leaves all for review; so does a work without a signal."""
     order = W.partitionBy("doc_id").orderBy(F.col("score").desc(), "label")
     s = scored.withColumn("rank", F.row_number().over(order)).withColumn("lead", F.max("score").over(W.partitionBy("doc_id")))
     s = s.withColumn("confidence", F.round(F.col("score") / (F.col("score") + HALF), 6)).withColumn("lead_confidence", F.col("lead") / (F.col("lead") + HALF))
     close = (F.col("rank") > 1) & F.col("named") & (F.col("score") >= SHARE * F.col("lead"))
     s = s.withColumn("place", F.when(close, F.sum(close.cast("int")).over(order)))
-    decision = (
-        F.when(F.col("lead_confidence") < SPLIT, "NO_SIGNAL").when(F.col("lead_confidence") < ASSIGN, "REVIEW_REQUIRED").when(F.col("rank") == 1, "ASSIGNED").when(F.col("place") < MOST, "ASSIGNED").when(F.col("score") >= SHARE * F.col("lead"), "SUGGESTED").otherwise("IGNORED")
+    if works is not None:
+        s = works.select("doc_id").join(s, "doc_id", "left")
+    weak = F.col("lead").isNull() | (F.col("lead_confidence") < ASSIGN)
+    decision = F.when(weak, "REVIEW_REQUIRED").when((F.col("rank") == 1) | (F.col("place") < MOST), "ASSIGNED").when(F.col("score") >= SHARE * F.col("lead"), "SUGGESTED").otherwise("IGNORED")
+    reason = (
+        F.when(F.col("lead").isNull(), "NO_TAXONOMY_CONCEPT_MATCHED").when(F.col("lead_confidence") < SPLIT, "BELOW_REVIEW_THRESHOLD").when(weak, "BELOW_AUTO_ASSIGN_THRESHOLD").otherwise("AUTO_ASSIGNED_FROM_FROZEN_TAXONOMY")
     )
-    return s.select("doc_id", "label", "score", "confidence", decision.alias("decision"))
+    s = s.withColumn("decision", decision).withColumn("reason", reason)
+    suggested = F.max((F.col("decision") == "SUGGESTED").cast("int")).over(W.partitionBy("doc_id")) == 1
+    status = F.when(F.col("decision") == "REVIEW_REQUIRED", "REVIEW_REQUIRED").when(suggested, "CLASSIFIED_WITH_REVIEW_SUGGESTIONS").otherwise("CLASSIFIED")
+    return s.select("doc_id", "label", "score", "confidence", "decision", "reason", status.alias("status"))
+
+
+def confirm(topics: DataFrame, proposals: DataFrame, chosen: DataFrame, preview: str, shown: str) -> DataFrame:
+    """doc_id, labels, status of each work of `topics` (doc_id, labels: array): what a person's choice (doc_id, label) makes of it.
+
+    Topics that are there stay. Else the chosen labels that were proposed (doc_id, label) are confirmed; a label that was not proposed refuses
+    the work's choice, and so does every choice if the fingerprint of the preview is not the one that was shown."""
+    pick = chosen.distinct().join(proposals.select("doc_id", "label").distinct().withColumn("raised", F.lit(True)), ["doc_id", "label"], "left")
+    pick = pick.groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("picked"), F.bool_and(F.coalesce("raised", F.lit(False))).alias("raised"))
+    out = topics.join(pick, "doc_id", "left")
+    there = F.size(F.coalesce("labels", F.array().cast("array<string>"))) > 0
+    status = F.when(there, "SKIPPED_EXISTING").when(F.col("picked").isNull(), "REVIEW_REQUIRED").when(F.lit(preview != shown), "FAILED_SAFE").when(~F.col("raised"), "FAILED_SAFE").otherwise("HUMAN_CONFIRMED")
+    labels = F.when(status == "HUMAN_CONFIRMED", F.col("picked")).otherwise(F.coalesce("labels", F.array().cast("array<string>")))
+    return out.select("doc_id", labels.alias("labels"), status.alias("status"))
 
 
 def outside(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -56,12 +100,19 @@ def outside(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return labels.select("label").distinct().join(taxonomy.select("label").distinct(), "label", "left_anti")
 
 
-def backtest(predicted: DataFrame, settled: DataFrame) -> DataFrame:
-    """works, precision, recall, coverage of predicted (doc_id, label) against settled (doc_id, label)."""
-    p = predicted.select("doc_id", "label").distinct().withColumn("p", F.lit(1))
+def backtest(predicted: DataFrame, settled: DataFrame, review: DataFrame | None = None) -> DataFrame:
+    """works, precision, recall, top1, coverage, review of predicted (doc_id, label, score) against settled (doc_id, label): top1 is the share of
+    leaders that are right, review the share of settled works that `review` (doc_id) holds."""
+    p = predicted.groupBy("doc_id", "label").agg(F.max("score").alias("score"))
+    p = p.withColumn("p", F.lit(1)).withColumn("lead", (F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("score").desc(), "label")) == 1).cast("int"))
     s = settled.select("doc_id", "label").distinct().withColumn("s", F.lit(1))
     both = s.join(p, ["doc_id", "label"], "full").join(settled.select("doc_id").distinct(), "doc_id", "left_semi")
-    per = both.groupBy("doc_id").agg(F.sum(F.col("p") * F.col("s")).alias("hits"), F.sum("p").alias("p"), F.sum("s").alias("s"))
+    per = both.groupBy("doc_id").agg(F.sum(F.col("p") * F.col("s")).alias("hits"), F.sum("p").alias("p"), F.sum("s").alias("s"), F.sum(F.col("lead") * F.col("s")).alias("first"))
+    if review is not None:
+        per = per.join(review.select("doc_id").distinct().withColumn("r", F.lit(1)), "doc_id", "left")
+    else:
+        per = per.withColumn("r", F.lit(0))
     return per.agg(
-        F.count("*").alias("works"), F.round(F.sum("hits") / F.sum("p"), 6).alias("precision"), F.round(F.coalesce(F.sum("hits"), F.lit(0)) / F.sum("s"), 6).alias("recall"), F.round(F.count_if(F.col("p") > 0) / F.count("*"), 6).alias("coverage")
-    )
+        F.count("*").alias("works"), F.round(F.sum("hits") / F.sum("p"), 6).alias("precision"), F.round(F.coalesce(F.sum("hits"), F.lit(0)) / F.sum("s"), 6).alias("recall"),
+        F.round(F.coalesce(F.sum("first"), F.lit(0)) / F.count_if(F.col("p") > 0), 6).alias("top1"), F.round(F.count_if(F.col("p") > 0) / F.count("*"), 6).alias("coverage"), F.round(F.coalesce(F.sum("r"), F.lit(0)) / F.count("*"), 6).alias("review"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
+from lectern.sources.shared import keep
 
 # How good a publication status is.
 STATUS_RANK = {
@@ -29,16 +30,17 @@ def components(keyed: DataFrame, rounds: int = 50) -> DataFrame:
     """position, component: the smallest position that a record reaches over shared keys.
 
     Each key links its records to its smallest, so that a key of any number of records gives one link each; labels then fall along
-    links and jump along labels until none changes. Each round is checkpointed."""
-    first = keyed.groupBy("kind", "key").agg(F.min("position").alias("low"))
+    links and jump along labels until none changes. Each round is written to the shared folder."""
+    keyed = keep(keyed.select("position", "kind", "key"), "keys")
+    first = keep(keyed.groupBy("kind", "key").agg(F.min("position").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared-keys")
     links = keyed.join(first, ["kind", "key"]).where("position <> low").select(F.col("position").alias("a"), F.col("low").alias("b")).distinct()
-    links = _keep(links.union(links.select("b", "a")))
-    label = _keep(links.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("l")))
+    links = keep(links.union(links.select("b", "a")))
+    label = keep(links.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("l")))
     for _ in range(rounds):
         seen = links.join(label, F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("m"))
         hooked = label.join(seen, F.col("n") == F.col("a")).select("n", "l", F.least("l", "m").alias("x"))
         up = label.select(F.col("n").alias("un"), F.col("l").alias("ul"))
-        moved = _keep(hooked.join(up, F.col("x") == F.col("un")).select("n", F.least("x", "ul").alias("l"), (F.least("x", "ul") != F.col("l")).alias("moved")))
+        moved = keep(hooked.join(up, F.col("x") == F.col("un")).select("n", F.least("x", "ul").alias("l"), (F.least("x", "ul") != F.col("l")).alias("moved")))
         label = moved.select("n", "l")
         if not moved.where("moved").limit(1).count():
             break
@@ -48,16 +50,6 @@ def components(keyed: DataFrame, rounds: int = 50) -> DataFrame:
     return alone.select("position", F.coalesce("l", "position").alias("component"))
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder that spark.checkpoint.dir names, or to a temporary one where it names none."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
-
-
 class _Group:
     """Records that are one work so far, and its known DOIs by publication status."""
 
@@ -96,15 +88,20 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
 def deduplicate(records: DataFrame) -> DataFrame:
     """position, canonical, duplicate, versions, reason of each record (position, doi, title, year, first_author, sha256, status, downloaded).
 
-    Records interact only through shared keys, so the rule that depends on their order runs inside components. The canonical record
+    Records interact only through shared keys, so the rule that depends on their order runs inside components, and only in those that
+    hold different DOIs under one status: such a component, records without their texts, is folded in one task. The canonical record
     of a group is the best by status, known DOI, download and year, the first of equals."""
-    keyed = keys(records)
-    own = keyed.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("kind", "key"))).alias("keys"))
+    keyed = keep(keys(records), "record-keys")
     base = records.select("position", t.normalize_doi(F.col("doi")).alias("doi"), t.normalize_title(F.col("title")).alias("title"), "year", t.normalize_title(F.col("first_author")).alias("author"), F.lower("sha256").alias("sha256"), "status", "downloaded")
-    members = base.join(own, "position").join(components(keyed), "position")
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    several = members.join(sizes.where("size > 1"), "component", "left_semi")
-    grouped = several.groupBy("component").applyInPandas(lambda pdf: _ordered(pdf), "position long, grp long")
+    base = keep(base.join(components(keyed), "position", "left").withColumn("component", F.coalesce("component", "position")), "records")
+    # Only where records of one status have different DOIs can a title key fail to join: elsewhere the component is the group.
+    dois = base.where("doi IS NOT NULL").groupBy("component", "status").agg(F.min("doi").alias("low"), F.max("doi").alias("high"))
+    disputed = keep(dois.where("low <> high").select("component").distinct(), "disputed")
+    several = base.join(disputed, "component", "left_semi")
+    own = keyed.join(several.select("position"), "position", "left_semi").groupBy("position").agg(F.sort_array(F.collect_list(F.struct("kind", "key"))).alias("keys"))
+    members = several.select("position", "component", "status", "doi").join(own, "position")
+    folded = members.groupBy("component").applyInPandas(lambda pdf: _ordered(pdf), "position long, grp long")
+    grouped = folded.unionByName(base.join(disputed, "component", "left_anti").select("position", F.col("component").cast("long").alias("grp")))
     rows = base.join(grouped, "position", "left").withColumn("grp", F.coalesce("grp", "position"))
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS_RANK.items() for x in kv]), F.col("status")), F.lit(0))
     quality = F.struct(rank.alias("a"), F.col("doi").isNotNull().alias("b"), "downloaded", F.coalesce(F.col("year").cast("int"), F.lit(0)).alias("c"), (-F.col("position")).alias("d"))
@@ -122,8 +119,3 @@ def deduplicate(records: DataFrame) -> DataFrame:
     )
     duplicate = F.col("position") != b["position"]
     return out.select("position", b["position"].alias("canonical"), duplicate.alias("duplicate"), (F.col("s") & F.col("t")).alias("versions"), F.when(duplicate, reason).alias("reason"))
-
-
-def latest(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """The last row of each key by position."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.col(position).desc()))).where("_n = 1").drop("_n")

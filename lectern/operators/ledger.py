@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,25 +21,16 @@ def admit(attempts: DataFrame, per_identifier: int = 2, limit: int = 15) -> Data
     """attempt, admitted of attempts (attempt, day, source, identifier, ts, refetch).
 
     In time order, an attempt is refused if its identifier has used its limit of the day, which a refetch lifts, or its source has. A
-    refusal uses nothing up, so that the rule is a fold over a source's day. Without refetches, attempts of an identifier after its first
-    `per_identifier` cannot be admitted: they are refused before the fold, which also ends at the limit."""
-    free = attempts.withColumn("free", F.max(F.col("refetch").cast("int")).over(W.partitionBy("day", "source", "identifier")) == 1)
+    refusal uses nothing up. Before a source's limit is met, an attempt passes if it is a refetch or if fewer than `per_identifier` of its
+    identifier passed before it; so it depends on its identifier alone, and the source then admits the first `limit` that pass.
+
+    Of an identifier's attempts in a day the first `per_identifier` pass, refetch or not, and of the others the refetches do: what has passed is
+    never fewer than the limit from there on."""
     nth = F.row_number().over(W.partitionBy("day", "source", "identifier").orderBy("ts", "attempt"))
-    free = free.withColumn("open", F.col("free") | (nth <= per_identifier))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict = {}
-        total, out = 0, []
-        for r in pdf.sort_values(["ts", "attempt"]).itertuples():
-            ok = total < limit and (r.refetch or seen.get(r.identifier, 0) < per_identifier)
-            if ok:
-                total += 1
-                seen[r.identifier] = seen.get(r.identifier, 0) + 1
-            out.append((r.attempt, ok))
-        return pd.DataFrame(out, columns=["attempt", "admitted"])
-
-    folded = free.where("open").groupBy("day", "source").applyInPandas(fold, "attempt long, admitted boolean")
-    return folded.unionByName(free.where("NOT open").select("attempt", F.lit(False).alias("admitted")))
+    rows = attempts.withColumn("passes", F.col("refetch") | (nth <= per_identifier))
+    first = F.row_number().over(W.partitionBy("day", "source").orderBy("ts", "attempt"))
+    admitted = rows.where("passes").select("attempt", (first <= limit).alias("admitted"))
+    return admitted.unionByName(rows.where("NOT passes").select("attempt", F.lit(False).alias("admitted")))
 
 
 def pacing(attempts: DataFrame, scope: list[str], interval: float = 15.0, window: float = 600.0, limit: int = 12) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -21,12 +20,21 @@ def meta(html: Column, name: str) -> Column:
 
 
 def article(pages: DataFrame) -> DataFrame:
-    """page_id, title, authors, journal, doi of article pages: citation_* elements, else the title in JSON-LD, else the first heading."""
+    """page_id, title, authors, journal, doi, keywords, status of article pages: citation_* elements, else JSON-LD, else the first heading.
+
+    A journal with a DOI, or with the type of an article in JSON-LD, makes it a peer-reviewed article; keywords are split at , and ;."""
     names = F.regexp_extract_all("html", F.lit(r'(?is)<meta\b(?=[^>]*\bname="citation_author")[^>]*\bcontent="([^"]*)"'), F.lit(1))
     ld = F.regexp_extract("html", r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    people = F.transform(F.from_json(F.get_json_object(ld, "$.author"), "array<struct<name:string>>"), lambda a: a["name"])
+    authors = F.when(F.size(names) > 0, names).otherwise(F.coalesce(people, F.array().cast("array<string>")))
     heading = F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")
     title = F.coalesce(meta(F.col("html"), "citation_title"), F.get_json_object(ld, "$.headline"), F.nullif(F.trim(heading), F.lit("")))
-    return pages.select("page_id", title.alias("title"), names.alias("authors"), meta(F.col("html"), "citation_journal_title").alias("journal"), F.lower(meta(F.col("html"), "citation_doi")).alias("doi"))
+    listed = F.coalesce(meta(F.col("html"), "citation_keywords"), F.get_json_object(ld, "$.keywords"), F.lit(""))
+    keywords = F.filter(F.transform(F.split(listed, "[;,；，]"), lambda k: F.trim(k)), lambda k: k != "")
+    journal, doi = meta(F.col("html"), "citation_journal_title"), F.lower(meta(F.col("html"), "citation_doi"))
+    typed = F.coalesce(F.get_json_object(ld, "$['@type']").isin("ScholarlyArticle", "Article"), F.lit(False))
+    status = F.when(journal.isNotNull() & (doi.isNotNull() | typed), "PeerReviewedJournalArticle").otherwise("Unknown")
+    return pages.select("page_id", title.alias("title"), authors.alias("authors"), journal.alias("journal"), doi.alias("doi"), keywords.alias("keywords"), status.alias("status"))
 
 
 def page_kind(links: Column, html: Column) -> Column:
@@ -96,7 +104,3 @@ def latest_finished(queues: DataFrame) -> DataFrame:
 def whole_table(downloads: DataFrame, share: float = 0.99) -> DataFrame:
     """task, outcome of downloads (task, format, wanted, rows, total)."""
     return downloads.select("task", F.when(F.col("format") != F.col("wanted"), "WRONG_FORMAT").when(F.col("rows") < share * F.col("total"), "INCOMPLETE").otherwise("WHOLE").alias("outcome"))
-
-
-def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(order)))

@@ -1,4 +1,4 @@
-"""Fielded BM25 search with per-term contributions, passages and roles."""
+"""Fielded BM25 search over stored postings, with per-term contributions, passages and roles."""
 
 from __future__ import annotations
 
@@ -8,111 +8,247 @@ from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
 from lectern.operators import passages
+from lectern.operators.index import Index, postings
 
+# Saturation, length normalisation, and the weights of fields and of kinds of terms.
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"title": 3.0, "topics": 2.5, "keywords": 2.0, "authors": 1.6, "journal": 1.0, "human_name": 0.8, "text": 1.0}
+LITERAL, LITERAL_PHENOMENON, EXPANDED, EXPANDED_PHENOMENON, TOPIC = 1.0, 1.5, 0.6, 0.9, 0.8
+DEPTH, SHARE, PASSAGES = 40, 0.45, 3
+ROLE_SHARE = 0.40
+ROLE_WEIGHTS = {"title": 3, "topics": 2, "keywords": 2, "journal": 1, "body": 1}
 
+#: Terms of queries up to which they are broadcast; beyond, the join shuffles postings by token.
+BROADCAST_TERMS = 100_000
 
-Terms = list[tuple[str, float]]
 
+def query_terms(text: Column) -> Column:
+    """Distinct tokens of a query, in order."""
+    return F.array_distinct(t.tokens(text))
 
-def token_rows(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
-    """key, field, token: every token of the named fields, one row each. Words are split off first, so that stop words and
-    stems are compiled expressions on rows; only texts with CJK characters go through the array form."""
-    parts = []
-    for f in fields:
-        folded = docs.select(key, F.lit(f).alias("field"), t.fold(F.col(f)).alias("text"))
-        words = folded.select(key, "field", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9a-z]+"), F.lit(0))).alias("w")).where(~F.col("w").isin(*t.STOP_WORDS))
-        stem = t.stem(F.col("w"))
-        parts.append(words.select(key, "field", F.explode(F.when(stem == F.col("w"), F.array("w")).otherwise(F.array(F.col("w"), stem))).alias("token")))
-        parts.append(folded.where(F.col("text").rlike(f"[{t.CJK}]")).select(key, "field", F.explode(t.cjk_tokens(F.col("text"))).alias("token")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+def plain_terms(queries: DataFrame) -> DataFrame:
+    """query, token, weight of each row of `queries` (query, text): its tokens, of weight 1."""
+    return queries.select("query", F.explode(query_terms(F.col("text"))).alias("token"), F.lit(LITERAL).alias("weight"))
 
-def postings(docs: DataFrame, fields: list[str], terms: Terms, key: str = "doc_id") -> DataFrame:
-    """key, field, len, tfs: how many tokens each field of each document has, and how often each term is among them.
 
-    The terms are one query's. A document's tokens are counted where they are read; what is shuffled is a row for each
-    document and field, whatever their texts."""
-    counts = F.array(*[F.count_if(F.col("token") == token) for token, _ in terms]) if terms else F.array().cast("array<long>")
-    return token_rows(docs, fields, key).groupBy(key, "field").agg(F.count("*").alias("len"), counts.alias("tfs"))
+def _hits(posted: DataFrame, terms: DataFrame, on: list[str]) -> DataFrame:
+    """Postings that a query asks for. A token that stands in a query several times counts as often: its weights are added."""
+    asked = terms.groupBy("query", "token").agg(F.sum("weight").alias("weight"))
+    if "query" not in posted.columns:
+        tokens = [r["token"] for r in asked.select("token").distinct().limit(1001).collect()]
+        posted = posted.where(F.col("token").isin(tokens)) if len(tokens) <= 1000 else posted  # a filter that reaches the files
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+    return posted.join(asked, on)
 
 
-def term_scores(docs: DataFrame, terms: Terms, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """key, term, token, field, contribution: what each field of a document adds to its score for each of the terms (token, weight).
+def contributions(hits: DataFrame, stats: DataFrame, df: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """query, key, token, field, contribution: what each field of a document adds to its score for each token of a query.
 
-    idf and average lengths are over all of `docs`. Saturation comes after the fields are summed, per term; a token that
-    stands in two terms counts twice. The tables of statistics have a row for each term and each field."""
-    n = docs.count()
-    posted = postings(docs, list(fields), terms, key).cache()
-    average = posted.groupBy("field").agg((F.sum("len") / F.lit(float(max(n, 1)))).alias("avg_len"))
-    hits = posted.select(key, "field", "len", F.posexplode("tfs").alias("term", "tf")).where("tf > 0")
-    df = hits.groupBy("term").agg(F.count_distinct(key).alias("df"))
-    idf = df.select("term", F.greatest(F.lit(0.05), F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+    stats: n and avg_len by field (and query), df: by token (and query). Saturation comes after the fields are summed, per token."""
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in fields.items() for x in kv]), F.col("field"))
+    hits = hits.where(F.col("field").isin(*fields)).join(F.broadcast(stats), [c for c in ("query", "field") if c in stats.columns])
+    hits = hits.join(F.broadcast(df), [c for c in ("query", "token") if c in df.columns])  # a row for each token of a query
     x = weight * F.col("tf") / (1 - B + B * F.col("len") / F.col("avg_len"))
-    hits = hits.join(F.broadcast(idf), "term").join(F.broadcast(average), "field")
-    hits = hits.withColumn("x", x).withColumn("total", F.sum("x").over(W.partitionBy(key, "term")))
-    at = (F.col("term") + 1).cast("int")
-    token = F.element_at(F.array(*[F.lit(w) for w, _ in terms]), at) if terms else F.lit("")
-    own = F.element_at(F.array(*[F.lit(float(w)) for _, w in terms]), at) if terms else F.lit(0.0)
-    score = F.col("idf") * F.col("total") / (K1 + F.col("total")) * (K1 + 1) * own
-    return hits.select(key, "term", token.alias("token"), "field", (score * F.col("x") / F.col("total")).alias("contribution"))
+    hits = hits.withColumn("x", x).withColumn("total", F.sum("x").over(W.partitionBy("query", key, "token")))
+    idf = F.greatest(F.lit(0.05), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    score = idf * F.col("total") / (K1 + F.col("total")) * (K1 + 1) * F.col("weight")
+    return hits.select("query", key, "token", "field", (score * F.col("x") / F.col("total")).alias("contribution"))
+
+
+def term_scores(index: Index, terms: DataFrame, fields: dict[str, float], indexed: list[str] | None = None) -> DataFrame:
+    """contributions() of terms (query, token, weight) over an index. df counts documents that have a token in any field, or any of `indexed`."""
+    posted = index.postings.where(F.col("field").isin(*indexed)) if indexed else index.postings
+    hits = _hits(posted, terms, ["token"])
+    df = hits.groupBy("token").agg(F.count_distinct("doc_id").alias("df"))
+    return contributions(hits, index.stats, df, fields)
+
+
+def ranked(parts: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """query, key, score, rank: the n best of each query, ties by key; scores are rounded to 6 places so that ties are ties."""
+    scored = parts.groupBy("query", key).agg(F.round(F.sum("contribution"), 6).alias("score")).where("score > 0")
+    order = W.partitionBy("query").orderBy(F.col("score").desc(), F.col(key).asc())
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def passage_scores(candidates: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """query, doc_id, ordinal, score of every passage of the candidates (query, doc_id) that has a term, from texts (doc_id, text).
+
+    idf and average length are those of a query's candidates' passages alone."""
+    mine = texts.join(F.broadcast(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
+    cut = passages.chunks(mine).withColumn("chunk", F.concat_ws(":", "doc_id", "ordinal"))
+    posted = postings(cut, ["text"], "chunk").withColumn("doc_id", F.substring_index("chunk", ":", 1).cast("long"))
+    posted = posted.join(F.broadcast(candidates.select("query", "doc_id")), "doc_id")
+    chunks = cut.select("chunk", "doc_id").join(F.broadcast(candidates.select("query", "doc_id")), "doc_id")
+    total = posted.select("query", "chunk", "len").distinct().groupBy("query").agg(F.sum("len").alias("total"))
+    stats = chunks.groupBy("query").agg(F.count("*").alias("n")).join(total, "query").select("query", F.lit("text").alias("field"), "n", (F.col("total") / F.col("n")).alias("avg_len"))
+    hits = _hits(posted, terms, ["query", "token"])
+    df = hits.groupBy("query", "token").agg(F.count_distinct("chunk").alias("df"))
+    parts = contributions(hits, stats, df, {"text": 1.0}, "chunk")
+    scored = parts.groupBy("query", "chunk").agg(F.round(F.sum("contribution"), 6).alias("score")).where("score > 0")
+    at = F.split("chunk", ":")
+    return scored.select("query", at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("ordinal"), "score")
+
+
+def two_stage(first: DataFrame, found: DataFrame, share: float = SHARE) -> DataFrame:
+    """query, doc_id, stage1, passage, score: candidates (query, doc_id, score) ranked again with their best passage (passage_scores()).
+
+    score = stage1 + share * best stage1 * passage, where passage is the document's best over the best of all."""
+    best = found.groupBy("query", "doc_id").agg(F.max("score").alias("best"))
+    lead = F.max("best").over(W.partitionBy("query"))
+    best = best.select("query", "doc_id", F.least(F.lit(1.0), F.col("best") / lead).alias("passage"))
+    out = first.select("query", "doc_id", F.col("score").alias("stage1")).join(best, ["query", "doc_id"], "left")
+    score = F.col("stage1") + F.lit(share) * F.max("stage1").over(W.partitionBy("query")) * F.coalesce("passage", F.lit(0.0))
+    return out.select("query", "doc_id", "stage1", F.round("passage", 6).alias("passage"), F.round(score, 6).alias("score"))
+
+
+def best_passages(found: DataFrame, n: int = PASSAGES) -> DataFrame:
+    """The n best passages of each document for each query, ties by ordinal."""
+    order = W.partitionBy("query", "doc_id").orderBy(F.col("score").desc(), "ordinal")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+PREFIXES = {"doi": "doi", "paper_id": "id", "paperid": "id", "id": "id", "title": "title", "author": "author", "authors": "author", "journal": "journal", "year": "year", "topic": "topic", "keyword": "keyword"}
+
 
+def field_filters(text: Column) -> Column:
+    """Map of filters in a query like "words author:Li Ming year:2019": a field's value reaches to the next field; repeats are joined.
 
-def bm25f(docs: DataFrame, terms: Terms, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """key, score of every document that has a term; the score is rounded to 6 places so that ties are ties."""
-    return term_scores(docs, terms, fields, key).groupBy(key).agg(F.round(F.sum("contribution"), 6).alias("score")).where("score > 0")
+    Words before the first field are under "text"; other names before a colon are words."""
+    names = "|".join(sorted(PREFIXES, key=len, reverse=True))
+    marked = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), rf"(?i)\s({names}):", "\u0001$1\u0002")
+    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.when(p.contains("\u0002"), F.struct(F.lower(F.substring_index(p, "\u0002", 1)).alias("k"), F.trim(F.regexp_replace(p, "^[^\u0002]*\u0002", "")).alias("v"))).otherwise(F.struct(F.lit("text").alias("k"), F.trim(p).alias("v"))))
+    named = F.create_map(*[F.lit(x) for kv in (PREFIXES | {"text": "text"}).items() for x in kv])
+    parts = F.filter(F.transform(parts, lambda p: F.struct(F.element_at(named, p["k"]).alias("k"), p["v"].alias("v"))), lambda p: p["v"] != "")
+    keys = F.array_distinct(F.transform(parts, lambda p: p["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(parts, lambda p: p["k"] == k), lambda p: p["v"]), " ")))
 
 
-def top(scored: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """The n best by score, ties by key."""
-    return scored.orderBy(F.col("score").desc(), F.col(key).asc()).limit(n)
+def parse(queries: DataFrame) -> DataFrame:
+    """query, filters, tokens, doi, id, years, authors, exact of each row of `queries` (query, text).
 
+    exact: the query names one work (a DOI, an id, or a title filter), so that nothing but that work may be given."""
+    filters = field_filters(F.col("text"))
+    out = queries.select("query", filters.alias("filters"), "text")
+    words = F.coalesce(F.try_element_at("filters", F.lit("text")), F.lit(""))
+    doi = t.normalize_doi(F.coalesce(F.try_element_at("filters", F.lit("doi")), F.nullif(F.regexp_extract("text", r"10\.\d{4,9}/\S+", 0), F.lit(""))))
+    work = F.coalesce(F.try_element_at("filters", F.lit("id")), F.nullif(F.regexp_extract("text", r"(?:^|\s)(P[0-9A-F]{12})(?:\s|$)", 1), F.lit("")))
+    years = t.years(F.coalesce(F.try_element_at("filters", F.lit("year")), words))
+    authors = F.coalesce(t.names(F.try_element_at("filters", F.lit("author"))), F.array().cast("array<string>"))
+    exact = doi.isNotNull() | work.isNotNull() | F.map_contains_key("filters", "title")
+    return out.select("query", "filters", query_terms(words).alias("tokens"), doi.alias("doi"), work.alias("id"), years.alias("years"), authors.alias("authors"), exact.alias("exact"))
 
-def query_terms(text: Column, words: int = 12) -> Column:
-    """Distinct tokens of the first words of a query."""
-    return F.array_distinct(t.tokens(F.concat_ws(" ", F.slice(F.split(text, r"\s+"), 1, words))))
 
+def passes(works: DataFrame, filters: DataFrame) -> DataFrame:
+    """query, doc_id of the works (doc_id, year, journal, topics: array) that pass a query's filters (query, years: array, journal, topic).
 
-def two_stage(docs: DataFrame, terms: Terms, fields: dict[str, float], depth: int = 40, share: float = 0.45) -> DataFrame:
-    """doc_id, stage1, passage, score: the `depth` best by their fields, ranked again with their best passage.
+    A year is in the list, a journal and a topic contain the folded words; an empty list and null ask for nothing. The filters
+    are a query table, broadcast."""
+    w = works.select("doc_id", "year", t.fold(F.col("journal")).alias("_journal"), F.transform("topics", t.fold).alias("_topics"))
+    f = filters.select("query", "years", t.fold(F.col("journal")).alias("journal"), t.fold(F.col("topic")).alias("topic"))
+    fits = (F.size("years") == 0) | F.array_contains("years", F.col("year").cast("string"))
+    fits &= (F.col("journal") == "") | F.col("_journal").contains(F.col("journal"))
+    fits &= (F.col("topic") == "") | F.exists("_topics", lambda x: x.contains(F.col("topic")))
+    return w.join(F.broadcast(f), fits).select("query", "doc_id")
 
-    The passages' statistics are those of the candidates' passages alone. score = stage1 + share * best stage1 * passage, where
-    passage is the document's best passage over the best of all. The candidates, `depth` rows, are kept before they are used twice."""
-    first = top(bm25f(docs, terms, {k: v for k, v in fields.items() if k != "text"}), depth)
-    first = first.withColumnRenamed("score", "stage1").cache()
-    mine = docs.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi")
-    cut = passages.chunks(mine.select("doc_id", F.col("body").alias("text"))).withColumn("chunk", F.concat_ws(":", "doc_id", "ordinal"))
-    scored = bm25f(cut, terms, {"text": 1.0}, "chunk").withColumn("doc_id", F.substring_index("chunk", ":", 1).cast("long"))
-    best = scored.groupBy("doc_id").agg(F.max("score").alias("best"))
-    best = best.withColumn("passage", F.least(F.lit(1.0), F.col("best") / F.max("best").over(W.partitionBy()))).select("doc_id", "passage")
-    out = first.join(F.broadcast(best), "doc_id", "left").withColumn("lead", F.max("stage1").over(W.partitionBy()))
-    score = F.col("stage1") + F.lit(share) * F.col("lead") * F.coalesce("passage", F.lit(0.0))
-    return out.select("doc_id", "stage1", F.round("passage", 6).alias("passage"), F.round(score, 6).alias("score"))
+
+def expanded_terms(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """query, token, weight: a query's tokens, those of other words for its concepts, and those of its concepts' topics.
+
+    lexicon: concept, facet, term, topic. A literal token weighs 1, 1.5 if it is of a phenomenon's term in the query; a token of another
+    term of a concept 0.6, 0.9 for a phenomenon, unless the query has it; a token of a topic's name 0.8, beside what is there already. Of each
+    concept the last term found, in order, is the one that is not expanded."""
+    terms = lexicon.select("concept", "facet", t.fold(F.col("term")).alias("term"), "topic").distinct()
+    small = F.broadcast(terms)  # a lexicon has some hundreds of terms
+    folded = queries.select("query", F.concat(F.lit(" "), t.fold(F.col("text")), F.lit(" ")).alias("folded"))
+    found = folded.join(small, contains_term(F.col("folded"), F.col("term"))).select("query", "concept", "facet", "term").distinct()
+    literal = queries.select("query", F.posexplode(query_terms(F.col("text"))).alias("position", "token"))
+    strong = found.where("facet = 'PHENOMENON'").select("query", F.explode(query_terms(F.col("term"))).alias("token")).distinct().withColumn("strong", F.lit(True))
+    first = literal.join(strong, ["query", "token"], "left").select("query", "token", F.when(F.col("strong"), LITERAL_PHENOMENON).otherwise(LITERAL).alias("weight"))
+    shown = found.groupBy("query", "concept", "facet").agg(F.max(F.struct((-F.length("term")).alias("n"), "term")).alias("last"))
+    others = shown.join(F.broadcast(terms.select("concept", F.col("term").alias("other")).distinct()), "concept").where(F.col("other") != F.col("last.term"))
+    others = others.select("query", "facet", F.explode(query_terms(F.col("other"))).alias("token"))
+    others = others.groupBy("query", "token").agg(F.max(F.when(F.col("facet") == "PHENOMENON", EXPANDED_PHENOMENON).otherwise(EXPANDED)).alias("weight"))
+    others = others.join(literal.select("query", "token"), ["query", "token"], "left_anti")
+    topics = shown.join(F.broadcast(terms.where("topic IS NOT NULL").select("concept", "topic").distinct()), "concept").select("query", "topic").distinct()
+    topics = topics.select("query", F.explode(query_terms(F.col("topic"))).alias("token"), F.lit(TOPIC).alias("weight"))
+    return first.unionByName(others).unionByName(topics)
+
+
+def contains_term(text: Column, term: Column) -> Column:
+    """Whether a folded text, with a space at each end, has a folded term: between spaces, or anywhere if the term has CJK characters."""
+    return F.when(term.rlike(f"[{t.CJK}]"), text.contains(term)).otherwise(text.contains(F.concat(F.lit(" "), term, F.lit(" "))))
 
 
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, column: str, key: str = "doc_id", in_row: int = 200) -> DataFrame:
-    """key, concept, term: the terms of `lexicon` (concept, term) that a folded text has between other characters.
+    """key, concept, term: the terms of `lexicon` (concept, term) that a folded text has: between other characters, or anywhere for
+    terms with CJK characters.
 
-    A lexicon of up to `in_row` terms is held against each text where it is read. A larger one meets the texts' distinct
-    words by its terms' first words, an equal join without the texts, and those come back for terms of several words."""
+    A lexicon of up to `in_row` terms is held against each text where it is read. Of a larger one, terms without CJK characters meet the
+    texts' distinct words by their first words, an equal join without the texts, which come back for terms of several words;
+    the others are held against the texts that have such characters."""
     folded = docs.select(key, F.concat(F.lit(" "), t.fold(F.col(column)), F.lit(" ")).alias("text"))
-    terms = lexicon.select("concept", "term").distinct()
+    terms = lexicon.select("concept", t.fold(F.col("term")).alias("term")).distinct().where("term <> ''")
     few = terms.limit(in_row + 1).collect()
     if len(few) <= in_row:
         if not few:
             return folded.select(key, F.lit("").alias("concept"), F.lit("").alias("term")).limit(0)
-        rows = F.array(*[F.struct(F.lit(r["concept"]).alias("concept"), F.lit(r["term"]).alias("term"), F.col("text").contains(f" {r['term']} ").alias("there")) for r in few])
+        rows = F.array(*[F.struct(F.lit(r["concept"]).alias("concept"), F.lit(r["term"]).alias("term"), t.contains_word(F.col("text"), r["term"]).alias("there")) for r in few])
         return folded.select(key, F.explode(rows).alias("hit")).where("hit.there").select(key, "hit.concept", "hit.term").distinct()
     words = folded.select(key, F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("word"))
-    found = words.join(terms.withColumn("word", F.substring_index("term", " ", 1)), "word").select(key, "concept", "term")
+    cjk = F.col("term").rlike(f"[{t.CJK}]")
+    found = words.join(terms.where(~cjk).withColumn("word", F.substring_index("term", " ", 1)), "word").select(key, "concept", "term")
     whole = found.where(~F.col("term").contains(" "))
     longer = found.where(F.col("term").contains(" ")).join(folded, key).where(F.col("text").contains(F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
-    return whole.unionByName(longer.select(key, "concept", "term")).distinct()
+    inside = folded.where(F.col("text").rlike(f"[{t.CJK}]")).join(F.broadcast(terms.where(cjk)), F.col("text").contains(F.col("term")))
+    return whole.unionByName(longer.select(key, "concept", "term")).unionByName(inside.select(key, "concept", "term")).distinct()
+
+
+def evidence(docs: DataFrame, lexicon: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id, concept, field, term: for each concept and field of a work the first term found, in the order of terms."""
+    parts = [lexicon_hits(docs, lexicon, f).withColumn("field", F.lit(f)) for f in fields]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("doc_id", "concept", "field").agg(F.min("term").alias("term"))
+
+
+def roles(works: DataFrame, found: DataFrame, facets: DataFrame, title_share: Column | None = None, names_phenomenon: bool = True) -> DataFrame:
+    """doc_id, role of each work from its evidence() (doc_id, concept, field) and the facets of concepts (concept, facet).
+
+    CORE with evidence of a phenomenon; else, where the query names none and the share of its tokens in the title is 0.40 or more, CORE; else
+    the facet of the most weighted evidence among MECHANISM, OUTCOME and METHOD, in this order on ties; else BACKGROUND."""
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_WEIGHTS.items() for x in kv]), F.col("field"))
+    per = found.join(F.broadcast(facets), "concept").groupBy("doc_id").pivot("facet", ["PHENOMENON", "MECHANISM", "OUTCOME", "METHOD"]).agg(F.sum(F.coalesce(weight, F.lit(1))))
+    out = works.join(per, "doc_id", "left")
+    of = lambda f: F.coalesce(F.col(f), F.lit(0))
+    most = F.greatest(of("MECHANISM"), of("OUTCOME"), of("METHOD"))
+    by_title = F.coalesce(title_share >= ROLE_SHARE, F.lit(False)) if title_share is not None and not names_phenomenon else F.lit(False)
+    role_of = F.when(of("PHENOMENON") > 0, "CORE").when(by_title, "CORE")
+    for f in ("MECHANISM", "OUTCOME", "METHOD"):
+        role_of = role_of.when((most > 0) & (of(f) == most), f)
+    return out.select("doc_id", role_of.otherwise("BACKGROUND").alias("role"))
+
+
+ROLE_ORDER = ("CORE", "MECHANISM", "OUTCOME", "METHOD", "BACKGROUND")
+
+
+def reading_pack(results: DataFrame, roles_of: DataFrame, hashes: DataFrame, n: int = 20) -> DataFrame:
+    """query, place, role, doc_id, score, sha256: the n best results (query, doc_id, score, rank), by role and then rank."""
+    best = results.where(F.col("rank") <= n).join(roles_of, "doc_id").join(hashes, "doc_id")
+    order = F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.col("role"))
+    return best.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(order, "rank"))).select("query", "place", "role", "doc_id", "score", "sha256")
+
+
+def reranked(results: DataFrame, vectors: DataFrame, wanted: DataFrame, share: float = 0.5) -> DataFrame:
+    """The results (query, doc_id, score) with a semantic part: score + share * best score * cosine of the vectors of query (query, vector) and
+    document (doc_id, vector). Without vectors the lexical order stays."""
+    both = results.join(wanted.withColumnRenamed("vector", "q"), "query", "left").join(vectors.withColumnRenamed("vector", "v"), "doc_id", "left")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    cosine = dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))
+    lead = F.max("score").over(W.partitionBy("query"))
+    return both.select("query", "doc_id", F.round(F.col("score") + share * lead * F.coalesce(cosine, F.lit(0.0)), 6).alias("score"))
 
 
 def role(evidence: Column) -> Column:

@@ -6,27 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lectern.functions import text as t
+
 # The rank of a version's role and of its format.
 ROLE_RANK = {
     "CANONICAL_VERSION": 9, "PEERREVIEWEDJOURNALARTICLE": 8, "FINALPUBLICATION": 8, "PUBLISHERPDF": 7, "VERSIONOFRECORD": 7, "ACCEPTEDMANUSCRIPT": 5,
     "NETWORKFIRST": 4, "网络首发": 4, "HARNESS_DOWNLOAD": 3, "EXTERNAL_IMPORT": 2, "OTHER": 1, "FORMAT_VARIANT": 1, "UNKNOWN": 0,
 }
 FORMAT_RANK = {"PDF": 3, "CAJ": 2}
+READABLE_FORMATS = ("PDF",)
 
 
 def _rank(name: Column, table: dict[str, int]) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.upper(name)), F.lit(0))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.replace(F.upper(F.trim(name)), F.lit(" "), F.lit(""))), F.lit(0))
 
 
-def preferred(versions: DataFrame) -> DataFrame:
-    """doc_id, sha256, score, status of the best row of `versions` (doc_id, sha256, role, format, canonical, readable, present) for each work.
+def preferred(versions: DataFrame, works: DataFrame | None = None) -> DataFrame:
+    """doc_id, sha256, score, status of the best row of `versions` (doc_id, sha256, role, format, canonical, present) for each work.
 
-    Best by 1000 if canonical, 100 a rank of role, 10 a rank of format, 1 if readable; ties by sha256. One pass: no sort."""
-    score = 1000 * F.col("canonical").cast("int") + 100 * _rank(F.col("role"), ROLE_RANK) + 10 * _rank(F.col("format"), FORMAT_RANK) + F.col("readable").cast("int")
-    best = versions.groupBy("doc_id").agg(
-        F.min(F.struct((-score).alias("order"), "sha256", "readable")).alias("best"), F.bool_or("present").alias("any"), F.bool_or("readable").alias("legible")
-    )
-    status = F.when(~F.col("any"), "FILE_MISSING").when(~F.col("legible"), "AVAILABLE_NOT_MACHINE_READABLE").otherwise("AVAILABLE")
+    Best by 1000 if canonical, 100 a rank of role, 10 a rank of format, 1 if readable: there and of a format that machines read; ties by
+    sha256. Works (doc_id) without versions have status NO_VERSION. One pass: no sort."""
+    readable = F.coalesce(F.col("present") & F.upper(F.trim("format")).isin(*READABLE_FORMATS), F.lit(False))
+    score = 1000 * F.coalesce("canonical", F.lit(False)).cast("int") + 100 * _rank(F.col("role"), ROLE_RANK) + 10 * _rank(F.col("format"), FORMAT_RANK) + readable.cast("int")
+    best = versions.groupBy("doc_id").agg(F.min(F.struct((-score).alias("order"), "sha256")).alias("best"), F.bool_or("present").alias("any"), F.bool_or(readable).alias("legible"))
+    if works is not None:
+        best = works.select("doc_id").join(best, "doc_id", "left")
+    status = F.when(F.col("best").isNull(), "NO_VERSION").when(F.col("legible"), "AVAILABLE").when(F.col("any"), "AVAILABLE_NOT_MACHINE_READABLE").otherwise("FILE_MISSING")
     return best.select("doc_id", "best.sha256", (-F.col("best.order")).alias("score"), status.alias("status"))
 
 
@@ -39,26 +44,47 @@ def freshness(catalog: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def dispositions(incoming: DataFrame, held: DataFrame) -> DataFrame:
-    """item, disposition of each row of `incoming` (item, sha256, title, year, author) against the works held (doc_id and the same).
-
-    The first that applies: no title, the same file, the same title with another year and author, the same work in another file, new.
-    A title or hash that many works share meets as one row: the held side is grouped before the join."""
-    files = held.groupBy("sha256").agg(F.count("*").alias("files"))
-    titles = held.groupBy("title").agg(F.collect_set(F.struct("year", "author")).alias("known"))
-    out = incoming.join(files, "sha256", "left").join(titles, "title", "left")
-    same = F.exists("known", lambda k: (k["year"] == F.col("year")) | (k["author"] == F.col("author")))
-    d = F.when(F.coalesce(F.col("title"), F.lit("")) == "", "INSUFFICIENT_IDENTITY").when(F.col("files").isNotNull(), "EXACT_DUPLICATE").when(F.col("known").isNull(), "NEW_PAPER").when(same, "SAME_WORK_DIFFERENT_VERSION").otherwise("IDENTITY_CONFLICT")
+    """item, disposition of each row of `incoming` (item, sha256, doi, title, year, author, signature, verified) against the works held
+    (doc_id and sha256, doi, title, year, author).
+
+    The first that applies: no title and no DOI, bytes of no known kind, an identity from outside that is not verified, the same file, another
+    title under the same DOI, the same DOI, the same title with another DOI or another year and author, the same title, new.
+    Hashes, DOIs and titles meet by equal joins against one row each: a title that very many works share is counted, not collected."""
+    i = incoming.withColumns({"_doi": t.normalize_doi(F.col("doi")), "_title": t.normalize_title(F.col("title"))})
+    h = held.withColumns({"_doi": t.normalize_doi(F.col("doi")), "_title": t.normalize_title(F.col("title"))})
+    files = h.groupBy("sha256").agg(F.lit(True).alias("file"))
+    dois = h.where("_doi IS NOT NULL").groupBy("_doi").agg(F.min("_title").alias("low"), F.max("_title").alias("high"))
+    titles = h.where("_title IS NOT NULL")
+    any_title = titles.groupBy("_title").agg(F.lit(True).alias("known"), F.bool_or(F.col("_doi").isNull()).alias("without"))
+    years = titles.where("year IS NOT NULL").groupBy("_title", "year").agg(F.lit(True).alias("same_year"))
+    authors = titles.where("author IS NOT NULL").groupBy("_title", "author").agg(F.lit(True).alias("same_author"))
+    out = i.join(files, "sha256", "left").join(dois, "_doi", "left").join(any_title, "_title", "left").join(years, ["_title", "year"], "left").join(authors, ["_title", "author"], "left")
+    same = F.coalesce("same_year", F.lit(False)) | F.coalesce("same_author", F.lit(False))
+    clash = F.col("low").isNotNull() & F.col("_title").isNotNull() & (F.col("low") != F.col("_title")) & (F.col("high") != F.col("_title"))
+    other_doi = F.col("_doi").isNotNull() & F.col("low").isNull() & F.col("known") & ~F.col("without")
+    d = (
+        F.when(F.col("_title").isNull() & F.col("_doi").isNull(), "INSUFFICIENT_IDENTITY").when(F.col("signature") == "PDF_BROKEN", "INVALID_PDF").when(F.col("signature") == "UNKNOWN", "INVALID_FULLTEXT").when(~F.col("verified"), "EXTERNAL_IDENTITY_UNVERIFIED")
+        .when(F.col("file"), "EXACT_DUPLICATE").when(clash, "IDENTITY_CONFLICT").when(F.col("low").isNotNull() | (F.col("_doi").isNotNull() & F.col("high").isNotNull()), "SAME_WORK_DIFFERENT_VERSION")
+        .when(F.coalesce(other_doi, F.lit(False)), "NEW_PAPER").when(F.col("known") & same, "SAME_WORK_DIFFERENT_VERSION").when(F.col("known"), "IDENTITY_CONFLICT").otherwise("NEW_PAPER")
+    )
     return out.select("item", d.alias("disposition"))
 
 
-def fingerprints(rows: DataFrame, key: str, group: str, columns: list[str]) -> DataFrame:
-    """group, rows, digest: a SHA-256 over the sorted row hashes of each group, so that equal sets have equal digests.
+def hash_conflicts(versions: DataFrame) -> DataFrame:
+    """sha256, owners, first: files that more than one work owns, from versions (doc_id, sha256)."""
+    owners = versions.groupBy("sha256").agg(F.count_distinct("doc_id").alias("owners"), F.min("doc_id").alias("first"))
+    return owners.where("owners > 1")
+
 
-    Row hashes are first combined in 256 parts by key, then part by part: no task holds a group's rows at once."""
+def fingerprints(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """group, rows, digest: a digest of each group's rows that equal sets, in any order, share.
+
+    A row counts by four 64-bit pieces of the SHA-256 of its canonical JSON, summed: sums meet wherever rows are, so that no task
+    holds a group. The digest is the SHA-256 of the count and the four sums."""
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    part = F.pmod(F.xxhash64(key), F.lit(256))
-    parts = rows.withColumn("part", part).groupBy(group, "part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ","), 256).alias("digest"), F.count("*").alias("n"))
-    return parts.groupBy(group).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda p: p["digest"]), ","), 256).alias("digest"))
+    piece = lambda k: F.conv(F.substring(row, 16 * k + 1, 15), 16, 10).cast("decimal(20,0)")
+    sums = rows.groupBy(group).agg(F.count("*").alias("rows"), *[F.sum(piece(k)).alias(f"s{k}") for k in range(4)])
+    return sums.select(group, "rows", F.sha2(F.concat_ws(",", "rows", *[F.col(f"s{k}").cast("string") for k in range(4)]), 256).alias("digest"))
 
 
 def difference(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -69,9 +95,13 @@ def difference(before: DataFrame, after: DataFrame, key: str, columns: list[str]
 
 
 def correct(works: DataFrame, corrections: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The works with the last correction (position, doc_id, title, year, author; null: unchanged) of each applied, and whether one was."""
-    names = ["title", "year", "author"]
-    last = corrections.groupBy(key).agg(F.max_by(F.struct(*names), "position").alias("new"))
+    """The works with the last correction (position, doc_id, title, year, author, journal; null: unchanged) of each applied, and whether one was.
+
+    A correction that leaves a work without title, or changes title, year and author all at once, would make it another work: it is
+    refused, and the last one that is not refused counts."""
+    names = ["title", "year", "author", "journal"]
+    sane = ~F.coalesce(F.trim("title") == "", F.lit(False)) & ~(F.col("title").isNotNull() & F.col("year").isNotNull() & F.col("author").isNotNull())
+    last = corrections.where(sane).groupBy(key).agg(F.max_by(F.struct(*names), "position").alias("new"))
     out = works.join(last, key, "left")
     return out.select(key, *[F.coalesce(F.col(f"new.{c}"), F.col(c)).alias(c) for c in names], F.col("new").isNotNull().alias("corrected"))
 

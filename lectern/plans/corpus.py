@@ -20,30 +20,51 @@ Q22 = """WITH c AS (SELECT doc_id FROM documents WHERE doc_id % 11 <> 3), i AS (
 SELECT state, count(*) AS n, min(doc_id) AS first FROM b GROUP BY state"""
 
 
-def q26_preferred(spark, d):
-    roles = F.element_at(F.array(*[F.lit(x) for x in ("PublisherPDF", "AcceptedManuscript", "OTHER", "strange")]), (F.pmod("l_partkey", F.lit(4)) + 1).cast("int"))
-    v = table(spark, d, "lineitem").select(
+def versions_of(spark, d):
+    roles = F.element_at(F.array(*[F.lit(x) for x in (" Version of Record", "AcceptedManuscript", "other", "strange")]), (F.pmod("l_partkey", F.lit(4)) + 1).cast("int"))
+    return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), F.concat_ws("-", F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), "l_linenumber").alias("sha256"), roles.alias("role"),
-        F.when(F.col("l_quantity") > 25, "pdf").otherwise("caj").alias("format"), (F.col("l_linenumber") == 2).alias("canonical"), (F.col("l_tax") > 0.02).alias("readable"), (F.col("l_discount") > 0.01).alias("present"),
+        F.when(F.col("l_quantity") > 25, "pdf").otherwise("caj").alias("format"), (F.col("l_linenumber") == 2).alias("canonical"), (F.col("l_discount") > 0.03).alias("present"),
     )
-    return versions.preferred(v)
 
 
-Q26 = """WITH v AS (SELECT l_orderkey AS doc_id, lpad(l_suppkey::VARCHAR, 6, '0') || '-' || l_linenumber AS sha256, l_tax > 0.02 AS readable, l_discount > 0.01 AS present,
-  1000 * (l_linenumber = 2)::INT + 100 * CASE l_partkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 1 ELSE 0 END + 10 * CASE WHEN l_quantity > 25 THEN 3 ELSE 2 END + (l_tax > 0.02)::INT AS score FROM lineitem
-), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sha256) AS k, bool_or(present) OVER (PARTITION BY doc_id) AS a, bool_or(readable) OVER (PARTITION BY doc_id) AS l FROM v)
-SELECT doc_id, sha256, score, CASE WHEN NOT a THEN 'FILE_MISSING' WHEN NOT l THEN 'AVAILABLE_NOT_MACHINE_READABLE' ELSE 'AVAILABLE' END AS status FROM r WHERE k = 1"""
+def q26_preferred(spark, d):
+    """The preferred version of each order's lines, and orders that have none (every one shifted by one)."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    return versions.preferred(versions_of(spark, d), orders.union(orders.selectExpr("-doc_id")))
+
+
+Q26 = """WITH v AS (SELECT l_orderkey AS doc_id, lpad(l_suppkey::VARCHAR, 6, '0') || '-' || l_linenumber AS sha256, l_discount > 0.03 AS present, l_discount > 0.03 AND l_quantity > 25 AS readable,
+  1000 * (l_linenumber = 2)::INT + 100 * CASE l_partkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 1 ELSE 0 END + 10 * CASE WHEN l_quantity > 25 THEN 3 ELSE 2 END + (l_discount > 0.03 AND l_quantity > 25)::INT AS score FROM lineitem
+), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sha256) AS k, bool_or(present) OVER (PARTITION BY doc_id) AS a, bool_or(readable) OVER (PARTITION BY doc_id) AS l FROM v
+), w AS (SELECT o_orderkey AS doc_id FROM orders UNION ALL SELECT -o_orderkey FROM orders)
+SELECT w.doc_id, sha256, score, CASE WHEN k IS NULL THEN 'NO_VERSION' WHEN l THEN 'AVAILABLE' WHEN a THEN 'AVAILABLE_NOT_MACHINE_READABLE' ELSE 'FILE_MISSING' END AS status FROM w LEFT JOIN (SELECT * FROM r WHERE k = 1) r ON r.doc_id = w.doc_id"""
 
 
 def q27_dispositions(spark, d):
-    w = works(spark, d).select("doc_id", F.sha2("body", 256).alias("sha256"), "title", F.col("year").cast("string").alias("year"), "author")
-    held = w.where("doc_id % 2 = 0")
-    return versions.dispositions(w.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "item"), held)
+    """Odd works as they come in against even ones: some with the DOI of another, some without title, some of broken or unknown bytes."""
+    n = F.col("doc_id")
+    w = works(spark, d).select("doc_id", F.sha2("body", 256).alias("sha256"), F.when(n % 10 == 4, F.concat(F.lit("10.1234/d"), n)).alias("doi"), "title", F.col("year").cast("string").alias("year"), "author")
+    doi = F.when(n % 6 == 1, F.concat(F.lit("https://doi.org/10.1234/D"), (n - n % 10) + 4)).when(n % 22 == 3, F.concat(F.lit("10.9/"), n)).otherwise(F.col("doi"))
+    signature = F.when(n % 34 == 5, "PDF_BROKEN").when(n % 34 == 7, "UNKNOWN").otherwise("PDF")
+    incoming = w.where("doc_id % 2 = 1").select(n.alias("item"), "sha256", doi.alias("doi"), F.when(n % 14 == 9, "").otherwise(F.col("title")).alias("title"), "year", "author", signature.alias("signature"), (n % 38 != 11).alias("verified"))
+    return versions.dispositions(incoming, w.where("doc_id % 2 = 0"))
+
+
+Q27 = f"""WITH {WORKS_SQL}, w AS (SELECT doc_id, md5(body) AS h, CASE WHEN doc_id % 10 = 4 THEN '10.1234/d' || doc_id END AS doi, nullif({fold_sql("title")}, '') AS title, year, author FROM works
+), h AS (SELECT * FROM w WHERE doc_id % 2 = 0), i AS (SELECT doc_id, h, CASE WHEN doc_id % 6 = 1 THEN '10.1234/d' || (doc_id - doc_id % 10 + 4) ELSE doi END AS doi, CASE WHEN doc_id % 14 = 9 THEN NULL ELSE title END AS title, year, author FROM w WHERE doc_id % 2 = 1
+), x AS (SELECT *, EXISTS (SELECT 1 FROM h WHERE h.h = i.h) AS file, (SELECT min(coalesce(h.title, '')) FROM h WHERE h.doi = i.doi) AS by_doi, EXISTS (SELECT 1 FROM h WHERE h.title = i.title) AS known, coalesce((SELECT bool_or(h.doi IS NULL) FROM h WHERE h.title = i.title), false) AS without,
+    EXISTS (SELECT 1 FROM h WHERE h.title = i.title AND (h.year = i.year OR h.author = i.author)) AS same FROM i)
+SELECT doc_id AS item, CASE WHEN title IS NULL AND doi IS NULL THEN 'INSUFFICIENT_IDENTITY' WHEN doc_id % 34 = 5 THEN 'INVALID_PDF' WHEN doc_id % 34 = 7 THEN 'INVALID_FULLTEXT' WHEN doc_id % 38 = 11 THEN 'EXTERNAL_IDENTITY_UNVERIFIED' WHEN file THEN 'EXACT_DUPLICATE'
+  WHEN by_doi <> '' AND title IS NOT NULL AND by_doi <> title THEN 'IDENTITY_CONFLICT' WHEN by_doi <> '' THEN 'SAME_WORK_DIFFERENT_VERSION' WHEN doi IS NOT NULL AND by_doi IS NULL AND known AND NOT without THEN 'NEW_PAPER'
+  WHEN known AND same THEN 'SAME_WORK_DIFFERENT_VERSION' WHEN known THEN 'IDENTITY_CONFLICT' ELSE 'NEW_PAPER' END AS disposition FROM x"""
 
 
-Q27 = f"""WITH {WORKS_SQL}, w AS (SELECT doc_id, md5(body) AS h, title, year, author FROM works), h AS (SELECT * FROM w WHERE doc_id % 2 = 0), i AS (SELECT * FROM w WHERE doc_id % 2 = 1)
-SELECT doc_id AS item, CASE WHEN title = '' THEN 'INSUFFICIENT_IDENTITY' WHEN EXISTS (SELECT 1 FROM h WHERE h.h = i.h) THEN 'EXACT_DUPLICATE' WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.title = i.title) THEN 'NEW_PAPER'
-  WHEN EXISTS (SELECT 1 FROM h WHERE h.title = i.title AND (h.year = i.year OR h.author = i.author)) THEN 'SAME_WORK_DIFFERENT_VERSION' ELSE 'IDENTITY_CONFLICT' END AS disposition FROM i"""
+def q27_hash_owners(spark, d):
+    return versions.hash_conflicts(works(spark, d).select("doc_id", F.sha2("body", 256).alias("sha256")))
+
+
+Q27H = "SELECT sha256(text) AS sha256, count(DISTINCT doc_id) AS owners, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) > 1"
 
 
 def q29_difference(spark, d):
@@ -59,19 +80,28 @@ SELECT * FROM x WHERE before IS DISTINCT FROM after"""
 
 def q29_fingerprint(spark, d):
     docs = table(spark, d, "documents")
-    return versions.fingerprints(docs, "doc_id", "source", ["doc_id", "text"])
+    return versions.fingerprints(docs.select("source", "doc_id", F.sha2("text", 256).alias("sha256")), "source", ["doc_id", "sha256"])
+
+
+Q29F = """WITH r AS (SELECT source, sha256('{"doc_id":' || doc_id || ',"sha256":"' || sha256(text) || '"}') AS h FROM documents
+), p AS (SELECT source, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT) AS a, sum(('0x' || substr(h, 17, 15))::BIGINT) AS b, sum(('0x' || substr(h, 33, 15))::BIGINT) AS c, sum(('0x' || substr(h, 49, 15))::BIGINT) AS e FROM r GROUP BY source)
+SELECT source, n AS rows, sha256(n || ',' || a || ',' || b || ',' || c || ',' || e) AS digest FROM p"""
 
 
 def q40_corrections(spark, d):
-    w = works(spark, d).select("doc_id", "title", "year", "author")
-    events = table(spark, d, "events")
+    """Corrections from the event log: some would blank a title or change all that identifies a work."""
+    w = works(spark, d).select("doc_id", "title", "year", "author", "journal")
     n = F.col("event_id")
-    c = events.select(n.alias("position"), F.pmod("user_id", F.lit(50)).alias("doc_id"), F.when(n % 2 == 0, F.concat(F.lit("T"), n)).alias("title"), F.when(n % 3 == 0, (2000 + n % 20).cast("int")).alias("year"), F.lit(None).cast("string").alias("author"))
+    all_ = n % 30 == 0
+    c = table(spark, d, "events").select(
+        n.alias("position"), F.pmod("user_id", F.lit(50)).alias("doc_id"), F.when(n % 14 == 6, " ").when(n % 2 == 0, F.concat(F.lit("T"), n)).alias("title"), F.when(n % 3 == 0, (2000 + n % 20).cast("int")).alias("year"),
+        F.when(all_, F.lit("somebody")).alias("author"), F.when(n % 5 == 0, F.concat(F.lit("j"), n % 9)).alias("journal"),
+    )
     return versions.correct(w, c)
 
 
-Q40 = f"""WITH {WORKS_SQL}, l AS (SELECT user_id % 50 AS doc_id, max(event_id) AS n FROM events GROUP BY 1)
-SELECT w.doc_id, coalesce(CASE WHEN n % 2 = 0 THEN 'T' || n END, title) AS title, coalesce(CASE WHEN n % 3 = 0 THEN (2000 + n % 20)::INT END, year) AS year, author, n IS NOT NULL AS corrected FROM works w LEFT JOIN l USING (doc_id)"""
+Q40 = f"""WITH {WORKS_SQL}, l AS (SELECT user_id % 50 AS doc_id, max(event_id) AS n FROM events WHERE event_id % 14 <> 6 AND event_id % 30 <> 0 GROUP BY 1)
+SELECT w.doc_id, coalesce(CASE WHEN n % 2 = 0 THEN 'T' || n END, title) AS title, coalesce(CASE WHEN n % 3 = 0 THEN (2000 + n % 20)::INT END, year) AS year, author, coalesce(CASE WHEN n % 5 = 0 THEN 'j' || n % 9 END, journal) AS journal, n IS NOT NULL AS corrected FROM works w LEFT JOIN l USING (doc_id)"""
 
 
 def records(spark, d):
@@ -106,11 +136,11 @@ SELECT position, canonical, position <> canonical AS duplicate, versions FROM r
 
 def q43_screen(spark, d):
     w = works(spark, d)
-    r = w.select("doc_id", "title", F.substring("body", 1, 400).alias("abstract"), "year", F.when(F.col("doc_id") % 3 == 0, "PeerReviewedJournalArticle").when(F.col("doc_id") % 3 == 1, "OnlineFirst").alias("status"), (F.col("doc_id") % 5 == 0).alias("accessible"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1234/"), "doc_id")).alias("doi"))
+    r = w.select("doc_id", "title", F.col("body").alias("abstract"), "year", F.when(F.col("doc_id") % 3 == 0, "PeerReviewedJournalArticle").when(F.col("doc_id") % 3 == 1, "OnlineFirst").alias("status"), (F.col("doc_id") % 5 == 0).alias("accessible"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1234/"), "doc_id")).alias("doi"))
     return screening.screen(r, ["the", "que", "der"], ["is"], 2024, 1995, 2020, ("ation", "heit"))
 
 
-Q43 = f"""WITH {WORKS_SQL}, h AS (SELECT doc_id, year, {fold_sql("title || ' ' || substr(body, 1, 400)")} AS hay, {fold_sql("title")} IN ('is') AS exact FROM works
+Q43 = f"""WITH {WORKS_SQL}, h AS (SELECT doc_id, year, {fold_sql("title || ' ' || body")} AS hay, {fold_sql("title")} IN ('is') AS exact FROM works
 ), m AS (SELECT *, contains(hay, 'the')::INT + contains(hay, 'que')::INT + contains(hay, 'der')::INT AS n FROM h
 ), s AS (SELECT doc_id, exact, greatest(0, least(100, CASE WHEN exact THEN 50 WHEN n > 0 THEN least(40, 15 + 10 * n) ELSE 0 END + CASE doc_id % 3 WHEN 0 THEN 20 WHEN 1 THEN 15 ELSE 0 END
   + CASE WHEN 2024 - year <= 5 THEN 15 WHEN 2024 - year <= 10 THEN 8 ELSE 0 END + CASE WHEN year < 1995 THEN -20 ELSE 0 END + CASE WHEN year > 2020 THEN -20 ELSE 0 END
@@ -174,5 +204,5 @@ def q47_route(spark, d):
 
 Q47 = """SELECT conv_id AS request, CASE WHEN conv_id % 9 = 0 THEN 'LITERATURE' ELSE CASE conv_id % 4 WHEN 0 THEN 'LITERATURE' WHEN 1 THEN 'EPS' WHEN 2 THEN 'DATA' ELSE 'UNKNOWN' END END AS task, count(*) * 10 > 30 AS gate FROM conversations GROUP BY conv_id"""
 
-QUERIES = {f.__name__: f for f in (q22_freshness, q26_preferred, q27_dispositions, q29_difference, q29_fingerprint, q40_corrections, q41_components, q42_deduplicate, q43_screen, q44_query_plan, q45_caps, q45_batches, q46_readiness, q47_route)}
-ORACLES = {"q22_freshness": Q22, "q26_preferred": Q26, "q27_dispositions": Q27, "q29_difference": Q29, "q40_corrections": Q40, "q41_components": Q41, "q42_deduplicate": Q42, "q43_screen": Q43, "q44_query_plan": Q44, "q45_caps": Q45, "q45_batches": Q45B, "q46_readiness": Q46, "q47_route": Q47}
+QUERIES = {f.__name__: f for f in (q22_freshness, q26_preferred, q27_dispositions, q27_hash_owners, q29_difference, q29_fingerprint, q40_corrections, q41_components, q42_deduplicate, q43_screen, q44_query_plan, q45_caps, q45_batches, q46_readiness, q47_route)}
+ORACLES = {"q22_freshness": Q22, "q26_preferred": Q26, "q27_dispositions": Q27, "q27_hash_owners": Q27H, "q29_fingerprint": Q29F, "q29_difference": Q29, "q40_corrections": Q40, "q41_components": Q41, "q42_deduplicate": Q42, "q43_screen": Q43, "q44_query_plan": Q44, "q45_caps": Q45, "q45_batches": Q45B, "q46_readiness": Q46, "q47_route": Q47}

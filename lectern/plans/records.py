@@ -54,11 +54,17 @@ SELECT page_id, CAST(len(h) AS BIGINT) AS links, h[1] AS first, CAST(len(list_fi
 
 
 def q32_articles(spark, d):
-    a = pages.article(table(spark, d, "pages"))
-    return a.select("page_id", "title", F.size("authors").alias("authors"), "doi")
+    """Article facts of pages to which citation elements or a JSON-LD block are added, by number."""
+    k = F.col("page_id")
+    head = F.when(k % 3 == 0, F.concat(F.lit('<meta name="citation_title" content="Title '), k, F.lit('"><meta content="A One" name="citation_author"><meta name="citation_author" content="B Two"><meta name="citation_doi" content="10.1000/P'), k, F.lit('"><meta name="citation_journal_title" content="J">')))
+    head = head.when(k % 3 == 1, F.concat(F.lit('<script type="application/ld+json">{"@type": "ScholarlyArticle", "headline": "Head '), k, F.lit('", "author": [{"name": "C Three"}], "keywords": "x; y，z"}</script>'))).otherwise("")
+    a = pages.article(table(spark, d, "pages").select("page_id", F.concat(head, "html").alias("html")))
+    return a.select("page_id", "title", F.array_join("authors", "|").alias("authors"), "journal", "doi", F.array_join("keywords", "|").alias("keywords"), "status")
 
 
-Q32A = """SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') AS title, 0 AS authors, CAST(NULL AS VARCHAR) AS doi FROM pages"""
+Q32A = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Title ' || page_id WHEN 1 THEN 'Head ' || page_id ELSE nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') END AS title,
+  CASE page_id % 3 WHEN 0 THEN 'A One|B Two' WHEN 1 THEN 'C Three' ELSE '' END AS authors, CASE WHEN page_id % 3 = 0 THEN 'J' END AS journal, CASE WHEN page_id % 3 = 0 THEN '10.1000/p' || page_id END AS doi, CASE WHEN page_id % 3 = 1 THEN 'x|y|z' ELSE '' END AS keywords,
+  CASE page_id % 3 WHEN 0 THEN 'PeerReviewedJournalArticle' ELSE 'Unknown' END AS status FROM pages"""
 
 
 def q33_official(spark, d):
@@ -118,11 +124,12 @@ Q36 = "SELECT s_suppkey AS request, (s_suppkey % 30 + 1) * least(20, s_suppkey %
 
 
 def q36_cube_rows(spark, d):
-    c = cubes(spark, d).where("request % 25 = 3")
+    """The cells of every request that cube_size() accepts."""
+    c = cubes(spark, d).join(pages.cube_size(cubes(spark, d), 10_000).where("accepted").select("request"), "request", "left_semi")
     return pages.cube_rows(c).groupBy("request", "region").agg(F.count("*").alias("cells"), F.max("year").alias("last"))
 
 
-Q36R = """WITH r AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 25 = 3), x AS (SELECT DISTINCT k, 'r' || i % 20 AS region FROM r, range(1, 32) t(i) WHERE i <= k % 31 + 1)
+Q36R = """WITH r AS (SELECT s_suppkey AS k FROM supplier WHERE (s_suppkey % 30 + 1) * least(20, s_suppkey % 31 + 1) * (s_suppkey % 70 + 1) < 10000), x AS (SELECT DISTINCT k, 'r' || i % 20 AS region FROM r, range(1, 32) t(i) WHERE i <= k % 31 + 1)
 SELECT k AS request, region, (k % 30 + 1) * (k % 70 + 1) AS cells, CAST(1960 + k % 70 AS INTEGER) AS last FROM x"""
 
 
@@ -135,21 +142,37 @@ def q37_whole_tables(spark, d):
 
 Q37 = "SELECT CASE WHEN o_orderkey % 8 = 0 THEN 'WRONG_FORMAT' WHEN 1000 - o_orderkey % 30 < 990 THEN 'INCOMPLETE' ELSE 'WHOLE' END AS outcome, count(*) AS n FROM orders GROUP BY 1"
 
-TAXONOMY = (("en/tone", "ation与tion"), ("fr/mot", "que"), ("de/wort", "heit、keit"), ("es/voz", "ción"))
-CONCEPTS = (("en/tone", "the"), ("en/tone", "of"), ("fr/mot", "de"), ("fr/mot", "la"), ("de/wort", "der"), ("de/wort", "und"), ("es/voz", "los"), ("es/voz", "el"))
+TAXONOMY = (("en/tone", "ation与tion"), ("fr/mot", "que"), ("de/wort", "heit、keit"), ("es/voz", "ción"), ("en/method", "方法"))
+# concept, label, term: a concept may stand for several labels.
+CONCEPTS = (
+    ("article", "en/tone", "the"), ("article", "en/tone", "of"), ("article", "en/method", "the"), ("mot", "fr/mot", "de"), ("mot", "fr/mot", "la"), ("wort", "de/wort", "der"), ("wort", "de/wort", "und"), ("voz", "es/voz", "los"), ("voz", "es/voz", "el"),
+    ("many", "en/tone", "and"), ("many", "en/tone", "to"), ("many", "en/tone", "in"), ("many", "en/tone", "on"), ("many", "en/tone", "er"),
+)
+ALIASES = (("fr/mot", "que de"), ("fr/mot", "que"), ("de/wort", "das"), ("es/voz", "la de"), ("en/tone", "of the"))
+METHOD_TITLE = "Double machine learning for treatment effects."
+
+
+def classified(spark, d):
+    """Works with their whole texts; every 41st has a title about a method."""
+    return works(spark, d).select("doc_id", F.when(F.col("doc_id") % 41 == 7, METHOD_TITLE).otherwise(F.col("title")).alias("title"), F.col("body").alias("fulltext"), "journal")
 
 
 def scored(spark, d):
     names = classify.name_terms(spark.createDataFrame(TAXONOMY, "label string, name string"))
-    w = works(spark, d).select("doc_id", "title", F.substring("body", 1, 1000).alias("abstract"), "journal")
-    return classify.signals(w, spark.createDataFrame(CONCEPTS, "label string, term string"), names, ["title", "abstract", "journal"])
+    concepts, aliases = spark.createDataFrame(CONCEPTS, "concept string, label string, term string"), spark.createDataFrame(ALIASES, "label string, term string")
+    return classify.signals(classified(spark, d), concepts, names, ["title", "fulltext", "journal"], aliases, "en/method")
 
 
 def _signal_sql():
-    names = [("en/tone", "ation"), ("en/tone", "tion"), ("fr/mot", "que"), ("de/wort", "heit"), ("de/wort", "keit"), ("es/voz", "ción")]
-    rows = [f"('{a}', '{b}', false, 1.0)" for a, b in CONCEPTS] + [f"('{a}', '{b}', true, {min(1.5 * len(b), 6.0) / 3!r})" for a, b in names]
-    return f"""{WORKS_SQL}, terms(label, term, named, w) AS (VALUES {", ".join(rows)}), f AS (SELECT doc_id, 3.0 AS fw, ' ' || {fold_sql("title")} || ' ' AS t FROM works UNION ALL SELECT doc_id, 1.5, ' ' || {fold_sql("substr(body, 1, 1000)")} || ' ' FROM works UNION ALL SELECT doc_id, 0.5, ' ' || {fold_sql("journal")} || ' ' FROM works
-), s AS (SELECT doc_id, label, round(sum(fw::DOUBLE * w::DOUBLE), 6) AS score, bool_or(named) AS named FROM f JOIN terms ON contains(t, ' ' || term || ' ') GROUP BY doc_id, label)"""
+    names = [("en/tone", "ation"), ("en/tone", "tion"), ("fr/mot", "que"), ("de/wort", "heit"), ("de/wort", "keit"), ("es/voz", "ción"), ("en/method", "方法")]
+    rows = [f"('concept', '{c}', '{a}', '{b}', 1.0)" for c, a, b in CONCEPTS] + [f"('name', '', '{a}', '{b}', {min(1.5 * len(b), 6.0) / 3!r})" for a, b in names] + [f"('alias', '', '{a}', '{b}', {min(3.0 * len(b.split()), 6.0) / 3!r})" for a, b in ALIASES]
+    return f"""{WORKS_SQL}, terms(kind, concept, label, term, w) AS (VALUES {", ".join(rows)}
+), src AS (SELECT doc_id, doc_id % 41 = 7 AS method, CASE WHEN doc_id % 41 = 7 THEN 'Double for treatment effects.' ELSE title END AS title, body, journal FROM works
+), f AS (SELECT doc_id, 'title' AS field, 3.0 AS fw, ' ' || {fold_sql("title")} || ' ' AS t FROM src UNION ALL SELECT doc_id, 'fulltext', 1.0, ' ' || {fold_sql("body")} || ' ' FROM src UNION ALL SELECT doc_id, 'journal', 0.5, ' ' || {fold_sql("journal")} || ' ' FROM src
+), h AS (SELECT doc_id, field, fw, kind, concept, label, term, w FROM f JOIN terms ON CASE WHEN term = '方法' THEN contains(t, term) ELSE contains(t, ' ' || term || ' ') END
+), r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, kind, concept, field ORDER BY length(term) DESC, term) AS place, row_number() OVER (PARTITION BY doc_id, kind, label, field ORDER BY len(string_split(term, ' ')) DESC, length(term) DESC, term) AS best FROM h
+), k AS (SELECT doc_id, label, fw::DOUBLE * w::DOUBLE AS w, kind <> 'concept' AS named FROM r WHERE CASE WHEN kind = 'alias' THEN best = 1 WHEN kind = 'concept' AND field = 'fulltext' THEN place <= 3 ELSE true END UNION ALL SELECT doc_id, 'en/method', 9.0, false FROM src WHERE method
+), s AS (SELECT doc_id, label, round(sum(w), 6) AS score, bool_or(named) AS named FROM k GROUP BY doc_id, label)"""
 
 
 def q48_signals(spark, d):
@@ -160,13 +183,29 @@ Q48 = f"WITH {_signal_sql()} SELECT doc_id, label, score, named FROM s"
 
 
 def q49_decisions(spark, d):
-    return classify.decide(scored(spark, d))
+    return classify.decide(scored(spark, d), works(spark, d))
+
+
+DECIDED_SQL = f"""{_signal_sql()}, r2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rank, max(score) OVER (PARTITION BY doc_id) AS lead_score FROM s
+), p AS (SELECT *, rank > 1 AND named AND score >= 0.7 * lead_score AS close FROM r2), q AS (SELECT *, sum(close::INT) OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS place FROM p
+), a AS (SELECT w.doc_id, label, score, round(score / (score + 3), 6) AS confidence, CASE WHEN lead_score IS NULL OR lead_score / (lead_score + 3) < 0.75 THEN 'REVIEW_REQUIRED' WHEN rank = 1 THEN 'ASSIGNED' WHEN close AND place < 3 THEN 'ASSIGNED' WHEN score >= 0.7 * lead_score THEN 'SUGGESTED' ELSE 'IGNORED' END AS decision,
+    CASE WHEN lead_score IS NULL THEN 'NO_TAXONOMY_CONCEPT_MATCHED' WHEN lead_score / (lead_score + 3) < 0.3 THEN 'BELOW_REVIEW_THRESHOLD' WHEN lead_score / (lead_score + 3) < 0.75 THEN 'BELOW_AUTO_ASSIGN_THRESHOLD' ELSE 'AUTO_ASSIGNED_FROM_FROZEN_TAXONOMY' END AS reason FROM works w LEFT JOIN q ON q.doc_id = w.doc_id
+), decided AS (SELECT *, CASE WHEN decision = 'REVIEW_REQUIRED' THEN 'REVIEW_REQUIRED' WHEN bool_or(decision = 'SUGGESTED') OVER (PARTITION BY doc_id) THEN 'CLASSIFIED_WITH_REVIEW_SUGGESTIONS' ELSE 'CLASSIFIED' END AS status FROM a)"""
+Q49 = f"WITH {DECIDED_SQL} SELECT doc_id, label, score, confidence, decision, reason, status FROM decided"
+
+
+def q50_confirm(spark, d):
+    """What choices of a person make of works of which some have topics: a third choose what was proposed, others the label of their language."""
+    n = F.col("doc_id")
+    topics = works(spark, d).select("doc_id", F.when(n % 5 == 0, F.array(F.lit("en/tone"))).alias("labels"))
+    proposals = classify.decide(scored(spark, d)).where("decision IN ('ASSIGNED', 'SUGGESTED')").select("doc_id", "label")
+    chosen = works(spark, d).where("doc_id % 3 < 2").select("doc_id", F.when(n % 3 == 0, "en/tone").otherwise("fr/mot").alias("label"))
+    return classify.confirm(topics, proposals, chosen, "a1", "a1").select("doc_id", F.array_join("labels", ";").alias("labels"), "status")
 
 
-DECIDED_SQL = f"""{_signal_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rank, max(score) OVER (PARTITION BY doc_id) AS lead_score FROM s
-), p AS (SELECT *, rank > 1 AND named AND score >= 0.7 * lead_score AS close FROM r), q AS (SELECT *, sum(close::INT) OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS place FROM p
-), decided AS (SELECT doc_id, label, score, round(score / (score + 3), 6) AS confidence, CASE WHEN lead_score / (lead_score + 3) < 0.3 THEN 'NO_SIGNAL' WHEN lead_score / (lead_score + 3) < 0.75 THEN 'REVIEW_REQUIRED' WHEN rank = 1 THEN 'ASSIGNED' WHEN close AND place < 3 THEN 'ASSIGNED' WHEN score >= 0.7 * lead_score THEN 'SUGGESTED' ELSE 'IGNORED' END AS decision FROM q)"""
-Q49 = f"WITH {DECIDED_SQL} SELECT doc_id, label, score, confidence, decision FROM decided"
+Q50C = f"""WITH {DECIDED_SQL}, pp AS (SELECT DISTINCT doc_id, label FROM decided WHERE decision IN ('ASSIGNED', 'SUGGESTED')), c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'en/tone' ELSE 'fr/mot' END AS label FROM works WHERE doc_id % 3 < 2
+), x AS (SELECT w.doc_id, c.label, pp.label IS NOT NULL AS raised FROM works w LEFT JOIN c USING (doc_id) LEFT JOIN pp ON pp.doc_id = c.doc_id AND pp.label = c.label)
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'en/tone' WHEN label IS NOT NULL AND raised THEN label ELSE '' END AS labels, CASE WHEN doc_id % 5 = 0 THEN 'SKIPPED_EXISTING' WHEN label IS NULL THEN 'REVIEW_REQUIRED' WHEN NOT raised THEN 'FAILED_SAFE' ELSE 'HUMAN_CONFIRMED' END AS status FROM x"""
 
 
 def q50_outside(spark, d):
@@ -174,19 +213,20 @@ def q50_outside(spark, d):
     return classify.outside(labels, spark.createDataFrame(TAXONOMY, "label string, name string"))
 
 
-Q50 = "SELECT DISTINCT lang || '/' || CASE doc_id % 4 WHEN 0 THEN 'tone' WHEN 1 THEN 'mot' WHEN 2 THEN 'wort' ELSE 'voz' END AS label FROM documents WHERE label NOT IN ('en/tone', 'fr/mot', 'de/wort', 'es/voz')"
+Q50 = "SELECT DISTINCT lang || '/' || CASE doc_id % 4 WHEN 0 THEN 'tone' WHEN 1 THEN 'mot' WHEN 2 THEN 'wort' ELSE 'voz' END AS label FROM documents WHERE label NOT IN ('en/tone', 'fr/mot', 'de/wort', 'es/voz', 'en/method')"
 
 
 def q51_backtest(spark, d):
-    predicted = classify.decide(scored(spark, d)).where("decision = 'ASSIGNED'")
+    decided = classify.decide(scored(spark, d), works(spark, d))
     settled = works(spark, d).join(table(spark, d, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    label = F.element_at(F.create_map(*[F.lit(x) for a, _ in TAXONOMY for x in (a[:2], a)]), F.col("domain"))
-    return classify.backtest(predicted, settled.select("doc_id", label.alias("label")))
+    label = F.element_at(F.create_map(*[F.lit(x) for a, _ in TAXONOMY[:4] for x in (a[:2], a)]), F.col("domain"))
+    return classify.backtest(decided.where("decision = 'ASSIGNED'"), settled.select("doc_id", label.alias("label")), decided.where("status = 'REVIEW_REQUIRED'"))
 
 
-Q51 = f"""WITH {DECIDED_SQL}, a AS (SELECT doc_id, label FROM decided WHERE decision = 'ASSIGNED'), t AS (SELECT DISTINCT w.doc_id, CASE domain WHEN 'en' THEN 'en/tone' WHEN 'fr' THEN 'fr/mot' WHEN 'de' THEN 'de/wort' ELSE 'es/voz' END AS label FROM works w JOIN labels l ON w.doc_id = l.doc_id AND quality = 1
-), h AS (SELECT t.doc_id, count(a.label) FILTER (WHERE a.label = t.label) AS hits, count(a.label) AS p FROM t LEFT JOIN a ON t.doc_id = a.doc_id GROUP BY t.doc_id)
-SELECT count(*) AS works, round(sum(hits) / sum(p), 6) AS precision, round(sum(hits) / count(*), 6) AS recall, round(count(*) FILTER (WHERE p > 0) / count(*), 6) AS coverage FROM h"""
+Q51 = f"""WITH {DECIDED_SQL}, asg AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1 AS lead FROM decided WHERE decision = 'ASSIGNED'), t AS (SELECT DISTINCT w.doc_id, CASE domain WHEN 'en' THEN 'en/tone' WHEN 'fr' THEN 'fr/mot' WHEN 'de' THEN 'de/wort' ELSE 'es/voz' END AS label FROM works w JOIN labels l ON w.doc_id = l.doc_id AND quality = 1
+), h2 AS (SELECT t.doc_id, count(g.label) FILTER (WHERE g.label = t.label) AS hits, count(g.label) AS p, count(*) FILTER (WHERE g.label = t.label AND lead) AS first FROM t LEFT JOIN asg g ON t.doc_id = g.doc_id GROUP BY t.doc_id
+), v AS (SELECT DISTINCT doc_id FROM decided WHERE status = 'REVIEW_REQUIRED')
+SELECT count(*) AS works, round(sum(hits) / sum(p), 6) AS precision, round(sum(hits) / count(*), 6) AS recall, round(sum(first) / count(*) FILTER (WHERE p > 0), 6) AS top1, round(count(*) FILTER (WHERE p > 0) / count(*), 6) AS coverage, round(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM v)) / count(*), 6) AS review FROM h2"""
 
 
 def q52_budget(spark, d):
@@ -216,5 +256,5 @@ def q54_pacing(spark, d):
 Q54 = f"""WITH {ATTEMPTS}, l AS (SELECT attempt, epoch_us(ts) / 1e6 AS t, lag(epoch_us(ts) / 1e6) OVER w AS a, lag(epoch_us(ts) / 1e6, 4) OVER w AS b FROM attempts WINDOW w AS (PARTITION BY source, day ORDER BY ts, attempt))
 SELECT attempt, round(greatest(0.0, coalesce(15.0 - (t - a), 0.0), coalesce(7200.0 - (t - b), 0.0)), 6) AS wait FROM l"""
 
-QUERIES = {f.__name__: f for f in (q28_usage, q30_latest_state, q31_misses, q32_anchors, q32_articles, q33_official, q33_links, q34_listing, q35_claims, q35_finished, q36_cube_size, q36_cube_rows, q37_whole_tables, q48_signals, q49_decisions, q50_outside, q51_backtest, q52_budget, q53_admitted, q54_pacing)}
-ORACLES = {"q28_usage": Q28, "q30_latest_state": Q30, "q31_misses": Q31, "q32_anchors": Q32, "q32_articles": Q32A, "q33_official": Q33, "q33_links": Q33L, "q34_listing": Q34, "q35_claims": Q35, "q35_finished": Q35F, "q36_cube_size": Q36, "q36_cube_rows": Q36R, "q37_whole_tables": Q37, "q48_signals": Q48, "q49_decisions": Q49, "q50_outside": Q50, "q51_backtest": Q51, "q52_budget": Q52, "q53_admitted": Q53, "q54_pacing": Q54}
+QUERIES = {f.__name__: f for f in (q28_usage, q30_latest_state, q31_misses, q32_anchors, q32_articles, q33_official, q33_links, q34_listing, q35_claims, q35_finished, q36_cube_size, q36_cube_rows, q37_whole_tables, q48_signals, q49_decisions, q50_confirm, q50_outside, q51_backtest, q52_budget, q53_admitted, q54_pacing)}
+ORACLES = {"q28_usage": Q28, "q30_latest_state": Q30, "q31_misses": Q31, "q32_anchors": Q32, "q32_articles": Q32A, "q33_official": Q33, "q33_links": Q33L, "q34_listing": Q34, "q35_claims": Q35, "q35_finished": Q35F, "q36_cube_size": Q36, "q36_cube_rows": Q36R, "q37_whole_tables": Q37, "q48_signals": Q48, "q49_decisions": Q49, "q50_confirm": Q50C, "q50_outside": Q50, "q51_backtest": Q51, "q52_budget": Q52, "q53_admitted": Q53, "q54_pacing": Q54}

@@ -84,6 +84,16 @@ def q09_chunks(spark, d):
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"), F.sum(F.when(F.col("ordinal") == 0, 1)).alias("firsts"))
 
 
+#: CTE chunks (doc_id, ordinal, text) of the works of a selection of doc_ids, in a WITH RECURSIVE.
+CHUNKS_SQL = """src AS (SELECT doc_id, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS text FROM works WHERE doc_id IN ({0})
+), long AS (SELECT doc_id, text, length(text) AS n FROM src WHERE length(text) >= 12
+), steps AS (SELECT doc_id, text, n, 0 AS ordinal, 0 AS pos, CASE WHEN n <= 1200 THEN n WHEN strpos(reverse(substr(text, 601, 600)), ' ') > 0 THEN 1200 - strpos(reverse(substr(text, 601, 600)), ' ') ELSE 1200 END AS stop FROM long
+  UNION ALL SELECT doc_id, text, n, ordinal + 1, b, CASE WHEN n - b <= 1200 THEN n WHEN strpos(reverse(substr(text, b + 601, 600)), ' ') > 0 THEN b + 1200 - strpos(reverse(substr(text, b + 601, 600)), ' ') ELSE b + 1200 END
+  FROM (SELECT *, greatest(stop - 150, pos + 1) AS b FROM steps WHERE stop < n)
+), chunks AS (SELECT doc_id, ordinal, trim(substr(text, pos + 1, stop - pos)) AS text FROM steps)"""
+Q09 = f"WITH RECURSIVE {WORKS_SQL}, {CHUNKS_SQL.format('SELECT doc_id FROM works')} SELECT doc_id, count(*) AS chunks, CAST(max(length(text)) AS INTEGER) AS longest, count(*) FILTER (ordinal = 0) AS firsts FROM chunks GROUP BY doc_id"
+
+
 def q10_years(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.concat(F.lit("from "), 1990 + F.pmod("conv_id", F.lit(40))), F.concat(F.lit("to "), 2000 + F.pmod("conv_id", F.lit(20)), F.lit(", 20001"))).alias("text"))
     return c.select("conv_id", "turn", F.array_join(t.years(F.col("text")), " ").alias("years"), F.regexp_extract("text", r"(?:18|19|20|21)\d{2}", 0).alias("first"))
@@ -124,4 +134,4 @@ z AS (SELECT doc_id, line, list_filter(regexp_extract_all(s, '(?i)\b({t.SECRET_N
 SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(len(f) AS INTEGER) AS found FROM z WHERE len(f) > 0"""
 
 QUERIES = {f.__name__: f for f in (q01_doi, q02_fold, q03_paper_id, q04_file_name, q05_tokens, q06_stems, q07_names, q08_topics, q09_chunks, q10_years, q11_without_references, q38_redact, q39_leaks)}
-ORACLES = {"q01_doi": Q01, "q02_fold": Q02, "q03_paper_id": Q03, "q04_file_name": Q04, "q05_tokens": Q05, "q06_stems": Q06, "q07_names": Q07, "q08_topics": Q08, "q10_years": Q10, "q11_without_references": Q11, "q38_redact": Q38, "q39_leaks": Q39}
+ORACLES = {"q01_doi": Q01, "q02_fold": Q02, "q03_paper_id": Q03, "q04_file_name": Q04, "q05_tokens": Q05, "q06_stems": Q06, "q07_names": Q07, "q08_topics": Q08, "q09_chunks": Q09, "q10_years": Q10, "q11_without_references": Q11, "q38_redact": Q38, "q39_leaks": Q39}
