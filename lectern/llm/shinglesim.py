@@ -14,12 +14,12 @@ from pyspark.sql import types as T
 from lectern.llm.common import materialise, small
 from lectern.llm.simhash import BROADCAST_CLASSES, BROADCAST_REMOVED, connect, keep_first, majority, shingle_hashes, tile_links
 
-#: Words of 64 bits of a fingerprint, and the differing bits up to which two may be alike: of the first word, and of all. Sets of
-#: similarity 0.8 differ in 78 of 512 bits, 8 more or less by chance, and in 10 of the first 64; unlike sets in 256, 11 more or
-#: less. Of small sets, whose bits depend on few shingles, more differ.
-FINGERPRINT_WORDS = 8
-FIRST_RADIUS, WHOLE_RADIUS = 22, 104
-SMALL_SET, SMALL_RADIUS = 24, 144
+#: Words of 64 bits of a fingerprint, how many of them the tiles hold, and the differing bits up to which two may be alike: of the
+#: first word, of those of a tile, and of all. Sets of similarity 0.8 differ in 155 of 1024 bits, 11 more or less by chance; in 39 of the
+#: first 256, 6 more or less; and in 10 of the first 64; unlike sets in a half of them. Of small sets, whose bits depend on few shingles, more differ.
+FINGERPRINT_WORDS, TILE_WORDS = 16, 4
+FIRST_RADIUS, TILE_RADIUS, WHOLE_RADIUS = 22, 60, 192
+SMALL_SET, SMALL_TILE_RADIUS, SMALL_RADIUS = 24, 84, 288
 #: By how much the pivots of a component of candidates grow from round to round.
 GROWTH = 8
 WORDS = [f"w{k}" for k in range(FINGERPRINT_WORDS)]
@@ -38,9 +38,9 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def whole_radius(size: np.ndarray) -> np.ndarray:
-    """Differing bits up to which two sets may be alike, by the size of the larger."""
-    return np.where(size <= SMALL_SET, SMALL_RADIUS, WHOLE_RADIUS)
+def tile_radius(size: np.ndarray) -> np.ndarray:
+    """Differing bits of a tile's words up to which two sets may be alike, by the size of the larger."""
+    return np.where(size <= SMALL_SET, SMALL_TILE_RADIUS, TILE_RADIUS)
 
 
 def set_key(h: np.ndarray) -> int:
@@ -96,7 +96,7 @@ def similar_classes(docs: DataFrame, sketched: DataFrame, similarity: float, shi
     is not compared, so a large group of near copies costs its size; a component is done when its sets that were no pivots are of
     one class. No candidate is left out otherwise."""
     distinct = materialise(sketched.groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("size", *WORDS))), "distinct-sets")
-    close = connect(tile_links(distinct, ["set_key", "size", *WORDS], "w0", FIRST_RADIUS, whole_radius, similarity, **tiles), "node", "bucket")
+    close = connect(tile_links(distinct, ["set_key", "size", *WORDS[:TILE_WORDS]], "w0", FIRST_RADIUS, tile_radius, similarity, **tiles), "node", "bucket")
     spread = materialise(distinct.join(close, F.col("set_key") == F.col("node")).select(F.col("set_key").alias("key"), "size", *WORDS, "bucket"), "candidates")
     full = materialise(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("first")).withColumnRenamed("bucket", "_bucket"), "components")
     members = materialise(spread.join(small(full, BROADCAST_CLASSES), F.col("bucket") == F.col("_bucket")).drop("_bucket"), "members")
@@ -137,8 +137,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **tiles
     """The documents without near copies: one row of each class stays, with all its columns, as simhash.keep_one chooses it.
 
     A class is a component under links between texts whose sets of `shingle`-word shingles have a Jaccard similarity of
-    `similarity` or more; texts without words are one class. The tiled comparison of 512-bit SimHash fingerprints proposes pairs, and each
-    that could still join two classes is verified. A pair of similarity 0.8 is proposed with a chance of 0.999 and more, a closer
+    `similarity` or more; texts without words are one class. The tiled comparison of SimHash fingerprints, 256 bits of 1024, proposes pairs; those within the radius
+    of all bits that could still join two classes are verified. A pair of similarity 0.8 is proposed with a chance of 0.999 and more, a closer
     one more surely. The radii hold for similarities from 0.8 on.
 
     - A null text is an empty one; null ids, repeated rows, columns of any names and an empty table are as in simhash.keep_one.
