@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +44,28 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_apart(df: DataFrame, apart: Column, what: str = "table") -> tuple[DataFrame, DataFrame, str]:
+    """The rows that do not fulfil `apart` and those that do, stored in one pass, and the path of the latter for delete()."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
+    df.withColumn("_apart", F.coalesce(apart, F.lit(False)).cast("int")).write.partitionBy("_apart").parquet(path)
+    _written.append(path)
+    # Only the parts that have rows are there.
+    stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_apart", T.IntegerType())])).parquet(path)
+    return stored.where("_apart = 0").drop("_apart"), stored.where("_apart = 1").drop("_apart"), f"{path}/_apart=1"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more, which it does when the driver's memory is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that materialise() wrote and nothing reads any more."""
     spark = df.sparkSession

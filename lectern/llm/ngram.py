@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ceil_div, drop, materialise
+from lectern.llm.common import ceil_div, delete, drop, materialise, materialise_apart, tidy
 
 #: Tokens that a task encodes together, and pairs of tokens of a shard of the model.
 BATCH_TOKENS = 1_500_000
@@ -431,11 +431,29 @@ def _asked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndar
     return about[:2], np.repeat(about[0], about[2]), _unzip(row.b, "<u4").astype(np.int64), _unzip(row.d, "<u4").astype(np.int64), _unzip(row.e, "<u4").astype(np.int64)
 
 
+#: Pairs and triples that are asked for together.
+ASKED_TOGETHER = 200_000
+
+
 def _tell(levels: Levels, pdf: pd.DataFrame) -> list[tuple]:
-    rows = []
+    rows: list[tuple] = []
+    held: list[tuple] = []
+
+    def ask() -> None:
+        asked = [np.concatenate([x[k] for _, _, x in held]) for k in range(4)]
+        codes, rest, triples = (x.astype("<u2") for x in levels.ask(*asked))
+        i = j = 0
+        for batch, shard, (a, _, _, c) in held:
+            rows.append((batch, shard, _zip(codes[i : i + len(a)]), _zip(rest[i : i + len(a)]), _zip(triples[j : j + len(c)])))
+            i, j = i + len(a), j + len(c)
+        held.clear()
+
     for row in pdf.itertuples():
-        _, a, b, runs, c = _asked(row)
-        rows.append((int(row.batch), int(row.shard), *(_zip(x.astype("<u2")) for x in levels.ask(a, b, runs, c))))
+        held.append((int(row.batch), int(row.shard), _asked(row)[1:]))
+        if sum(len(x[0]) + len(x[3]) for _, _, x in held) >= ASKED_TOGETHER:
+            ask()
+    if held:
+        ask()
     return rows
 
 
@@ -526,7 +544,7 @@ class Model:
     mu: float
 
     def _finish(self, asked: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-        kept = asked.where("shard < 0").repartition(parts, "batch").groupBy("batch")
+        kept = asked.where("shard < 0").select("batch", "a", "b", "c", "d", "end").repartition(parts, "batch").groupBy("batch")
         answers = answers.where("of >= 0").repartition(parts, "of").groupBy("of")
         return kept.cogroup(answers).applyInPandas(_finish(self.shards, self.most, self.total, self.distinct, self.mu), SCORES_SQL)
 
@@ -561,13 +579,17 @@ def train(docs: DataFrame, held_out: Column, mu: float = MU, discount: float = D
     vocabulary = materialise(words.where("of < 0").select("shard", "totals", "ids", "hashes"), "vocabulary")
     left = encoded.select("batch", "docs", "tokens", "end").repartition(parts, "batch").groupBy("batch")
     known = words.where("of >= 0").select("of", "shard", "totals", "ids").repartition(parts, "of").groupBy("of")
-    asked = materialise(left.cogroup(known).applyInPandas(_prepare(shards, most), PREPARED), "asked")
+    kept, questions, at = materialise_apart(left.cogroup(known).applyInPandas(_prepare(shards, most), PREPARED), F.col("shard") >= 0, "asked")
     drop(encoded)
     drop(words)
-    questions = asked.where("shard >= 0").select("batch", "shard", "a", "b", "c", "d", "e", "f")
+    tidy(docs.sparkSession)
+    questions = questions.select("batch", "shard", "a", "b", "c", "d", "e", "f")
     answers = materialise(questions.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(mu, discount), ANSWERS_SQL), "answers")
+    delete(docs.sparkSession, at)
+    del questions
+    tidy(docs.sparkSession)
     model = Model(vocabulary, answers.where("of < 0").select("shard", "codes"), total, distinct, ranges, shards, most, mu)
-    return model, model._finish(asked, answers, parts)
+    return model, model._finish(kept, answers, parts)
 
 
 def score(docs: DataFrame, held_out: Column, **options) -> DataFrame:
