@@ -36,6 +36,70 @@ def load_catalog(papers: DataFrame, topics: DataFrame, position: str = "line") -
     return first.join(one, "paper_id", "left"), problems
 
 
+def load_last(rows: DataFrame, key: str = "paper_id", position: str = "line") -> DataFrame:
+    """The last row of each id by position, with all its columns; rows without id are left out."""
+    kept = [c for c in rows.columns if c not in (key, position)]
+    last = rows.where(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(F.max_by(F.struct(*kept), position).alias("row"))
+    return last.select(key, "row.*")
+
+
+def refuse(rows: DataFrame, key: str = "paper_id", pattern: str = "^P[0-9A-F]{12}$", version: str | None = None) -> DataFrame:
+    """The rows of a catalog, if all ids are of the pattern and differ, and all rows of the schema version; else an error that names the first fault."""
+    bad = rows.where(~F.coalesce(F.col(key).rlike(pattern), F.lit(False))).limit(1).count()
+    twice = rows.groupBy(key).count().where("count > 1").limit(1).count()
+    other = version is not None and rows.where(~F.coalesce(F.col("schema_version") == version, F.lit(False))).limit(1).count()
+    for fault, found in (("an id of another form", bad), ("an id twice", twice), ("another schema version", other)):
+        if found:
+            raise ValueError(f"the catalog has {fault}")
+    return rows
+
+
+def load_terms(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of a JSON file: `lexicon` (concept, facet, term, topic), `aliases` or `taxonomy` (label, term or domain, label).
+
+    A lexicon is {"concepts": [{"key", "facet", "terms", "topics"}]}, aliases {"aliases": {label: [alias]}}, a taxonomy {"domains": {domain:
+    [label]}} with labels that differ. A file of another form, or a facet that is not known, fails."""
+    whole = spark.read.text(path, wholetext=True).select("value")
+    if kind == "lexicon":
+        parsed = whole.select(F.from_json("value", "concepts array<struct<key string, facet string, terms array<string>, topics array<string>>>", {"mode": "FAILFAST"}).alias("j"))
+        rows = parsed.select(F.inline("j.concepts")).select(F.col("key").alias("concept"), "facet", F.explode("terms").alias("term"), "topics")
+        rows = rows.select("concept", "facet", "term", F.explode_outer("topics").alias("topic"))
+        wrong = rows.where(~F.coalesce(F.col("facet").isin("PHENOMENON", "MECHANISM", "OUTCOME", "METHOD", "CONTEXT"), F.lit(False))).limit(1).count()
+    elif kind in ("aliases", "taxonomy"):
+        name, columns = ("aliases", ("label", "term")) if kind == "aliases" else ("domains", ("domain", "label"))
+        parsed = whole.select(F.from_json("value", f"{name} map<string, array<string>>", {"mode": "FAILFAST"}).alias("j"))
+        rows = parsed.select(F.explode(f"j.{name}").alias("k", "v")).select(F.col("k").alias(columns[0]), F.explode("v").alias(columns[1]))
+        wrong = kind == "taxonomy" and rows.groupBy("label").count().where("count > 1").limit(1).count()
+    else:
+        raise ValueError(f"no kind {kind}")
+    if wrong or not rows.limit(1).count():
+        raise ValueError(f"{path} is no {kind}")
+    return rows
+
+
+def write_run(path: str, request: dict, queries: DataFrame, results: DataFrame, screening: DataFrame) -> DataFrame:
+    """name, rows, digest of what a run leaves under `path`: its request, query log, results and screening, and a manifest of them.
+
+    Digests are sums over the hashes of rows: a table that was changed since has another."""
+    spark = results.sparkSession
+    tables = {"request": spark.createDataFrame([(k, str(v)) for k, v in sorted(request.items())], "key string, value string"), "queries": queries, "results": results, "screening": screening}
+    rows = []
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+        stored = spark.read.parquet(f"{path}/{name}")
+        r = stored.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*stored.columns).cast("decimal(20,0)")).alias("s")).first()
+        rows.append((name, r["n"], str(r["s"])))
+    manifest = spark.createDataFrame(rows, "name string, rows long, digest string")
+    manifest.coalesce(1).write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def envelope(works: DataFrame, problems: DataFrame, index_status: str, version: str = "1") -> DataFrame:
+    """schema_version, index_status, works, problems, degraded: one row that goes with every response."""
+    n = works.agg(F.count("*").alias("works")).join(problems.agg(F.count("*").alias("problems")))
+    return n.select(F.lit(version).alias("schema_version"), F.lit(index_status).alias("index_status"), "works", "problems", ((F.col("problems") > 0) | F.lit(index_status != "FRESH")).alias("degraded"))
+
+
 def write_catalog(works: DataFrame, path: str, key: str = "paper_id") -> str:
     """The works as JSON Lines in the order of their ids, in a new folder under `path` that is complete when its _SUCCESS is there."""
     target = f"{path}/{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,3 +59,24 @@ def test_streams(spark):
     assert {tuple(r) for r in drain(spark, streams.admit(shape(stream), 2, 5), "admitted").collect()} == want
     hours = drain(spark, streams.hourly(stream), "hours").agg(F.sum("n")).first()[0]
     assert 0 < hours <= batch.count()
+
+
+def test_terms_catalogs_and_runs(spark, tmp_path):
+    (tmp_path / "lexicon.json").write_text(json.dumps({"concepts": [{"key": "a", "facet": "METHOD", "terms": ["x", "y"], "topics": ["t"]}, {"key": "b", "facet": "OUTCOME", "terms": ["z"], "topics": []}]}))
+    rows = sorted(map(tuple, files.load_terms(spark, str(tmp_path / "lexicon.json"), "lexicon").collect()), key=repr)
+    assert rows == [("a", "METHOD", "x", "t"), ("a", "METHOD", "y", "t"), ("b", "OUTCOME", "z", None)]
+    (tmp_path / "taxonomy.json").write_text(json.dumps({"domains": {"d": ["s", "t"], "e": ["s"]}}))
+    with pytest.raises(ValueError):
+        files.load_terms(spark, str(tmp_path / "taxonomy.json"), "taxonomy")
+    (tmp_path / "aliases.json").write_text(json.dumps({"aliases": {"s": ["one", "two"]}}))
+    assert files.load_terms(spark, str(tmp_path / "aliases.json"), "aliases").count() == 2
+    topics = spark.createDataFrame([(1, "P0", "a"), (2, "P0", "b"), (3, None, "c")], "line int, paper_id string, topics string")
+    assert list(map(tuple, files.load_last(topics).collect())) == [("P0", "b")]
+    good = spark.createDataFrame([("P0123456789AB", "1"), ("P0123456789AC", "1")], "paper_id string, schema_version string")
+    assert files.refuse(good, version="1").count() == 2
+    for bad in (good.union(good), good.union(spark.createDataFrame([("x", "1")], good.schema)), good.union(spark.createDataFrame([("P0123456789AD", "2")], good.schema))):
+        with pytest.raises(ValueError):
+            files.refuse(bad, version="1").count()
+    manifest = files.write_run(str(tmp_path / "run"), {"q": 1}, topics, good, good)
+    assert {r["name"]: r["rows"] for r in manifest.collect()} == {"request": 1, "queries": 3, "results": 2, "screening": 2}
+    assert tuple(files.envelope(good, topics.limit(0), "FRESH").first()) == ("1", "FRESH", 2, 0, False)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lectern.functions import register
 from lectern.functions import text as t
 from lectern.operators import catalog, dedupe, ledger, pages, passages, screening, versions
 
@@ -96,7 +97,7 @@ def test_article_meta(spark):
 
 
 def test_versions_and_screening_on_empty_tables(spark):
-    empty = spark.createDataFrame([], "doc_id long, sha256 string, role string, format string, canonical boolean, readable boolean, present boolean")
+    empty = spark.createDataFrame([], "doc_id long, sha256 string, role string, format string, canonical boolean, present boolean")
     assert versions.preferred(empty).count() == 0
     none = spark.createDataFrame([], "doc_id long, title string, abstract string, year int, status string, accessible boolean, doi string")
     assert screening.screen(none, ["a"], [], 2024).count() == 0
@@ -106,7 +107,28 @@ def test_versions_and_screening_on_empty_tables(spark):
 
 
 def test_ambiguous_citation(spark):
-    works = spark.createDataFrame([(1, "deep blue sea", "lee", 2001), (2, "deep blue sea", "lee", 2001), (3, "red hill", "kim", 1999)], "doc_id long, title string, author string, year int")
-    cites = spark.createDataFrame([(10, "deep blue sea", "lee", 2001), (11, "red hill", "", 1999), (12, "nothing here", "", None)], "citation long, title string, author string, year int")
-    got = {r["citation"]: (r["verdict"], r["doc_id"]) for r in catalog.verdicts(cites, catalog.citation_scores(cites, works)).collect()}
-    assert got == {10: ("AMBIGUOUS", None), 11: ("IN_LIBRARY", 3), 12: ("NOT_IN_LIBRARY", None)}
+    works = spark.createDataFrame([(1, None, "deep blue sea", ["lee"], "2001"), (2, None, "deep blue sea", ["lee"], "2001"), (3, "10.1000/r", "red hill", ["kim"], "1999"), (4, None, "green", ["gary c biddle"], "2009")], "doc_id long, doi string, title string, authors array<string>, year string")
+    rows = [
+        (10, None, "deep blue sea today", ["lee"], "2001"), (11, None, "red hill", [], "1999"), (12, None, "nothing here", [], None), (13, "doi:10.1000/R", "wrong", [], None), (14, None, "", ["Biddle"], "2009"), (15, None, None, [], "2009"),
+    ]
+    cites = spark.createDataFrame(rows, "citation long, doi string, title string, authors array<string>, year string")
+    got = {r["citation"]: (r["verdict"], r["match"], r["doc_id"]) for r in catalog.verdicts(cites, works).collect()}
+    assert got == {
+        10: ("AMBIGUOUS", None, None), 11: ("IN_LIBRARY", "EXACT_TITLE", 3), 12: ("NOT_IN_LIBRARY", None, None), 13: ("IN_LIBRARY", "DOI", 3), 14: ("IN_LIBRARY", "FIELD_AGREEMENT", 4), 15: ("NOT_IN_LIBRARY", None, None),
+    }
+
+
+def test_preferred_versions(spark):
+    rows = [
+        (1, "a", "Version of Record", "PDF", False, True), (1, "b", "AcceptedManuscript", "PDF", False, True), (2, "c", "OTHER", "CAJ", False, True), (2, "d", "OTHER", "PDF", False, False), (3, "e", None, None, None, False),
+    ]
+    v = spark.createDataFrame(rows, "doc_id long, sha256 string, role string, format string, canonical boolean, present boolean")
+    got = {r["doc_id"]: (r["sha256"], r["score"], r["status"]) for r in versions.preferred(v, spark.range(1, 5).toDF("doc_id")).collect()}
+    assert got == {1: ("a", 731, "AVAILABLE"), 2: ("d", 130, "AVAILABLE_NOT_MACHINE_READABLE"), 3: ("e", 0, "FILE_MISSING"), 4: (None, None, "NO_VERSION")}
+
+
+def test_functions_in_sql(spark):
+    assert set(register.register(spark)) >= {"fold", "chunks", "nfkc"}
+    r = spark.sql("SELECT fold('Groß—Test: (A)') AS a, normalize_doi('https://doi.org/10.1000/ABC.1).') AS b, years_of('from 1999 to 2010, 1999') AS c, squeeze(' a  b ') AS d, nfkc('ＡＢ') AS e, strip_accents('é') AS f").first()
+    assert tuple(r) == ("gross test a", "10.1000/abc.1", ["1999", "2010"], "a b", "AB", "e")
+    assert [x["ordinal"] for x in spark.sql("SELECT * FROM chunks(repeat('word ', 600))").collect()] == [0, 1, 2]
