@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import binpack, mixing, quality, shinglesim
-from lectern.llm.common import crc_remainder, materialise
+from lectern.llm.common import crc_remainder, materialise, release, written
 from lectern.llm.queries import table, tokenizer_path
 
 
@@ -43,7 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the stages make of the documents. Once a stage is stored, what it was made from is deleted."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        release(spark, mark, last=1)
     return STAGES[-1][1](spark, docs, sf_dir)

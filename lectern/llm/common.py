@@ -75,12 +75,18 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that materialise() wrote; call it once the results made from them are stored."""
-    jvm, gone = spark._jvm, 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        gone += path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def written() -> int:
+    """How many tables materialise() has written that are not released: a mark for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> int:
+    """Delete the tables that materialise() wrote since the mark, but the `last` ones; call it once the results made from them are stored."""
+    gone = 0
+    for path in _written[since : len(_written) - last]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _written.remove(path)
     return gone
 
 
