@@ -457,8 +457,8 @@ def _tell(levels: Levels, pdf: pd.DataFrame) -> list[tuple]:
     return rows
 
 
-def _answer(mu: float, discount: float):
-    """All batches' pairs and triples of a shard: the levels of those seen in training (a row of -1), and their codes for each batch."""
+def _answer(mu: float, discount: float, keep: bool):
+    """All batches' pairs and triples of a shard: their codes by the levels of those seen in training, for each batch; and the levels (a row of -1), if they are kept."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found, seen, contexts = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], []
@@ -488,7 +488,7 @@ def _answer(mu: float, discount: float):
         a = key >> 32
         data = Levels.pack(a, key & 0xFFFFFFFF, number, count[np.searchsorted(ids, a)] if len(a) else np.empty(0), triple >> 32, triple & 0xFFFFFFFF, triples, mu, discount)
         del key, number, triple, triples, a
-        rows = [(-1, int(pdf["shard"].iloc[0]), data, None, None), *_tell(Levels.mapped(data), pdf)]
+        rows = [(-1, int(pdf["shard"].iloc[0]), data, None, None)] * keep + _tell(Levels.mapped(data), pdf)
         return pd.DataFrame(rows, columns=["of", "shard", "codes", "rest", "triples"])
 
     return run
@@ -567,8 +567,9 @@ def _rows(docs: DataFrame, held_out: Column) -> DataFrame:
 VOCABULARY_SQL = "shard int, batch long, words binary, counts binary"
 
 
-def train(docs: DataFrame, held_out: Column, mu: float = MU, discount: float = DISCOUNT, batch_tokens: int = BATCH_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[Model, DataFrame]:
-    """The model of the rows of `docs` that are not held out, stored in the shared folder, and the scores of all rows (see score())."""
+def train(docs: DataFrame, held_out: Column, mu: float = MU, discount: float = DISCOUNT, batch_tokens: int = BATCH_TOKENS, shard_tokens: int = SHARD_TOKENS, keep: bool = True) -> tuple[Model, DataFrame]:
+    """The model of the rows of `docs` that are not held out, stored in the shared folder if it is to be kept (some 0.9 times the size of
+    compressed text), and the scores of all rows (see score())."""
     encoded = materialise(_rows(docs, held_out).mapInArrow(_encode(batch_tokens), ENCODED_SQL), "batches")
     size = encoded.agg(F.count("*").alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     shards, ranges, parts, total = ceil_div(size["n"], shard_tokens), ceil_div(size["n"], 4 * shard_tokens), max(1, size["batches"]), int(size["train"])
@@ -576,7 +577,8 @@ def train(docs: DataFrame, held_out: Column, mu: float = MU, discount: float = D
     words = encoded.select("batch", "docs", "tokens", "words").mapInArrow(_vocabulary(ranges), VOCABULARY_SQL)
     words = materialise(words.repartition(ranges, "shard").groupBy("shard").applyInPandas(_number(ranges), WORDS_SQL), "words")
     distinct = int(words.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
-    vocabulary = materialise(words.where("of < 0").select("shard", "totals", "ids", "hashes"), "vocabulary")
+    vocabulary = words.where("of < 0").select("shard", "totals", "ids", "hashes")
+    vocabulary = materialise(vocabulary, "vocabulary") if keep else vocabulary
     left = encoded.select("batch", "docs", "tokens", "end").repartition(parts, "batch").groupBy("batch")
     known = words.where("of >= 0").select("of", "shard", "totals", "ids").repartition(parts, "of").groupBy("of")
     kept, questions, at = materialise_apart(left.cogroup(known).applyInPandas(_prepare(shards, most), PREPARED), F.col("shard") >= 0, "asked")
@@ -584,7 +586,7 @@ def train(docs: DataFrame, held_out: Column, mu: float = MU, discount: float = D
     drop(words)
     tidy(docs.sparkSession)
     questions = questions.select("batch", "shard", "a", "b", "c", "d", "e", "f")
-    answers = materialise(questions.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(mu, discount), ANSWERS_SQL), "answers")
+    answers = materialise(questions.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(mu, discount, keep), ANSWERS_SQL), "answers")
     delete(docs.sparkSession, at)
     del questions
     tidy(docs.sparkSession)
@@ -609,4 +611,4 @@ def score(docs: DataFrame, held_out: Column, **options) -> DataFrame:
     - A null doc_id stays null; repeated rows are scored each, and count each in training. An empty table gives no rows.
     - A very long text is one batch of its own, held whole in one task. Columns beside doc_id and text play no part.
     - Words are told apart by 64-bit hashes: two of a billion words share one with a chance of some 3 in 100. Counts have 64 bits."""
-    return train(docs, held_out, **options)[1]
+    return train(docs, held_out, keep=False, **options)[1]
