@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, binpack, hostrep, mixing, ngram, quality, simhash, sitetree, topk, warc
+from lectern.llm import ann, binpack, fim, hostrep, mixing, ngram, quality, simhash, sitetree, topk, warc
 from lectern.llm.common import crc_remainder
 
 
@@ -69,6 +69,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents"), rate=50, spm_rate=80, seed=42))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_ann": op2_ann,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_fim": op11_fim,
 }
 
-ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE, "op7_host_reputation": hostrep.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE, "op7_host_reputation": hostrep.ORACLE, "op8_warc": warc.ORACLE, "op11_fim": fim.ORACLE}
