@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, binpack, fim, hostrep, mixing, ngram, quality, simhash, sitetree, topk, warc
+from lectern.llm import ann, binpack, fim, hostrep, mixing, ngram, quality, simhash, sitetree, topk, variants, warc
 from lectern.llm.common import crc_remainder
 
 
@@ -73,6 +73,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, sf_dir, "documents"), rate=50, spm_rate=80, seed=42))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"), one_in=199, least_chars=6, least_count=5, times=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_ann": op2_ann,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op11_fim": op11_fim,
+    "op12_variants": op12_variants,
 }
 
-ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE, "op7_host_reputation": hostrep.ORACLE, "op8_warc": warc.ORACLE, "op11_fim": fim.ORACLE}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE, "op7_host_reputation": hostrep.ORACLE, "op8_warc": warc.ORACLE, "op11_fim": fim.ORACLE, "op12_variants": variants.ORACLE}
