@@ -34,6 +34,13 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A place in the shared folder for a table; release() deletes what is there."""
+    path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it again: the lineage ends there, and a lost executor
     costs one read. The table stays until release()."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, binpack, fim, hostrep, mixing, ngram, quality, simhash, sitetree, topk, variants, warc
+from lectern.llm import ann, binpack, fim, hostrep, mixing, ngram, quality, simhash, sitetree, tokenorc, topk, variants, warc
 from lectern.llm.common import crc_remainder
 
 
@@ -77,6 +77,10 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"), one_in=199, least_chars=6, least_count=5, times=5)
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenorc.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_ann": op2_ann,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_fim": op11_fim,
     "op12_variants": op12_variants,
+    "op13_token_ids": op13_token_ids,
 }
 
 ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE, "op7_host_reputation": hostrep.ORACLE, "op8_warc": warc.ORACLE, "op11_fim": fim.ORACLE, "op12_variants": variants.ORACLE}
