@@ -9,6 +9,8 @@ from pyspark.sql.functions import udtf
 
 from lectern.functions import text as t
 from lectern.operators import passages
+from lectern.operators.markup import HtmlElements
+from lectern.operators.nested import JsonNodes, redact
 
 #: name -> (parameters, result, body); the bodies say in SQL what functions.text says in columns.
 SQL_FUNCTIONS = {
@@ -28,11 +30,16 @@ class Chunks:
             yield from enumerate(passages.cut(text))
 
 
+TABLE_FUNCTIONS = {"chunks": Chunks, "html_elements": HtmlElements, "json_nodes": JsonNodes}
+
+
 def register(spark: SparkSession) -> list[str]:
     """Registers them in a session, as temporary functions, and tells their names."""
     for name, (parameters, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
     spark.udf.register("nfkc", t.nfkc)
     spark.udf.register("strip_accents", t.strip_accents)
-    spark.udtf.register("chunks", Chunks)
-    return [*SQL_FUNCTIONS, "nfkc", "strip_accents", "chunks"]
+    spark.udf.register("redact_json", redact)
+    for name, function in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, function)
+    return [*SQL_FUNCTIONS, "nfkc", "strip_accents", "redact_json", *TABLE_FUNCTIONS]

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
+from lectern.operators import nested
+from lectern.operators.markup import JOURNAL_PRODUCTS, JOURNAL_RESOURCE
 
 # Words on a page that say how its text may be read, and pages that stand in for a file.
 OPEN = ("open access", "creative commons", "open archive", "funded by")
 INSTITUTION = ("access provided by", "institutional access", "signed in via", "you have full access")
+# Fixed value: the class of journals in one catalogue.
+JOURNAL_CLASS = "YSTT4HG0"
 CHALLENGE_TITLES = ("just a moment...", "access denied", "attention required!", "security check")
 
 
@@ -139,17 +143,38 @@ def snapshot_rows(snapshots: DataFrame, header: str = "题名", footer: str = "
     return found.select("page_id", (F.row_number().over(w) - 1).alias("position"), "title", "url")
 
 
-def scope(requests: DataFrame) -> DataFrame:
-    """request, field, value of every {"Field": ..., "Value": ...} anywhere in a request's JSON (request, json): what a search really asked for."""
-    parsed = requests.select("request", F.parse_json("json").alias("v"))
-    found = F.regexp_extract_all(F.to_json("v"), F.lit(r'\{"Field":"([^"]*)","Value":"([^"]*)"'), F.lit(1))
-    values = F.regexp_extract_all(F.to_json("v"), F.lit(r'\{"Field":"([^"]*)","Value":"([^"]*)"'), F.lit(2))
-    return parsed.select("request", F.explode(F.arrays_zip(found.alias("field"), values.alias("value"))).alias("x")).select("request", "x.field", "x.value")
-
-
-def journals_only(scopes: DataFrame) -> DataFrame:
-    """request, refused: whether a search's scope (request, field, value) has anything but journals."""
-    return scopes.where("field = 'SCOPE'").groupBy("request").agg(F.bool_or(F.col("value") != "JOURNAL").alias("refused"))
+def scope(requests: DataFrame, below: str = "") -> DataFrame:
+    """request, place, field, value of every condition anywhere in a request's JSON (request, json), at or below a path: an object with a field and a value,
+    whatever else it has and in whatever order and case. Fields are upper-case; an empty value and one that is an object or a list is no condition."""
+    held = nested.nodes(requests, "request").where(F.col("parent").startswith(below) & (F.col("kind") != "null"))
+    first = lambda name: F.min_by("value", F.when(F.lower("name") == name, F.col("place")))
+    pairs = held.where(F.lower("name").isin("field", "value")).groupBy("request", "parent").agg(F.min("place").alias("place"), F.upper(F.trim(first("field"))).alias("field"), first("value").alias("value"))
+    return pairs.where("field <> '' AND value <> ''").select("request", "place", "field", "value")
+
+
+def journals_only(requests: DataFrame, scopes: DataFrame) -> DataFrame:
+    """request, refused of every request: whether its scope() has anything but journals, or says nothing of what was searched."""
+    stated = scopes.where("field = 'SCOPE'").groupBy("request").agg(F.bool_or(F.upper(F.trim("value")) != "JOURNAL").alias("refused"))
+    return requests.select("request").distinct().join(stated, "request", "left").select("request", F.coalesce("refused", F.lit(True)).alias("refused"))
+
+
+def executed(requests: DataFrame) -> DataFrame:
+    """request, cross, classes, resources, products, conditions, journals of what a result page says that was searched (request, json), a row for each
+    request; journals is null where it says nothing that can be read.
+
+    The query is an object under queryJson or a text of one. journals: codes of databases are the journals' alone, or the one class and
+    resource are, and no product is of anything else. conditions: fields and values of its tree, in order."""
+    held = nested.nodes(requests, "request")
+    codes = lambda *paths: F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.when(F.col("path").isin(*paths) & F.col("kind").isin("string", "number"), F.transform(F.split("value", ","), lambda x: F.upper(F.trim(x)))))), lambda x: x != "")))
+    whole = F.bool_or((F.col("path") == "") & (F.col("kind") == "object")) & ~F.bool_or((F.col("path") == "/queryJson") & (F.col("kind") == "string") & ~F.trim("value").startswith("{"))
+    said = held.groupBy("request").agg(
+        whole.alias("readable"), codes("/queryJson/kuaKuCode", "/kuakuCode", "/kuaKuCode").alias("cross"), codes("/queryJson/classid", "/classid").alias("classes"), codes("/queryJson/resource", "/resource").alias("resources"), codes("/queryJson/Products").alias("products")
+    )
+    tree = scope(requests, "/queryJson/qnode").groupBy("request").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "field", "value"))), lambda x: F.concat(x["field"], F.lit("="), x["value"])).alias("conditions"))
+    alone = lambda codes, code: (F.size(codes) == 1) & F.array_contains(codes, code)
+    journals = (alone("cross", JOURNAL_CLASS) | (alone("classes", JOURNAL_CLASS) & alone("resources", JOURNAL_RESOURCE))) & (F.size(F.array_except("products", F.array(*map(F.lit, JOURNAL_PRODUCTS)))) == 0)
+    out = requests.select("request").distinct().join(said, "request", "left").join(tree, "request", "left")
+    return out.select("request", "cross", "classes", "resources", "products", F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"), F.when(F.col("readable"), journals).alias("journals"))
 
 
 def disguised(head: Column) -> Column:

@@ -6,37 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, position, href, label of every link of a page, from the markup."""
-    found = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>.*?</a>'), F.lit(1))
-    labels = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?href="[^"]*"[^>]*>(.*?)</a>'), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(F.arrays_zip(found.alias("href"), labels.alias("label"))).alias("position", "a"))
-    return rows.select("page_id", "position", F.col("a.href").alias("href"), F.trim(F.regexp_replace("a.label", "<[^>]*>", "")).alias("label"))
-
-
-def meta(html: Column, name: str) -> Column:
-    """The content of a meta element by name, null if there is none."""
-    return F.nullif(F.regexp_extract(html, rf'(?is)<meta\b(?=[^>]*\bname="{name}")[^>]*\bcontent="([^"]*)"', 1), F.lit(""))
-
-
-def article(pages: DataFrame) -> DataFrame:
-    """page_id, title, authors, journal, doi, keywords, status of article pages: citation_* elements, else JSON-LD, else the first heading.
-
-    A journal with a DOI, or with the type of an article in JSON-LD, makes it a peer-reviewed article; keywords are split at , and ;."""
-    names = F.regexp_extract_all("html", F.lit(r'(?is)<meta\b(?=[^>]*\bname="citation_author")[^>]*\bcontent="([^"]*)"'), F.lit(1))
-    ld = F.regexp_extract("html", r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
-    people = F.transform(F.from_json(F.get_json_object(ld, "$.author"), "array<struct<name:string>>"), lambda a: a["name"])
-    authors = F.when(F.size(names) > 0, names).otherwise(F.coalesce(people, F.array().cast("array<string>")))
-    heading = F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")
-    title = F.coalesce(meta(F.col("html"), "citation_title"), F.get_json_object(ld, "$.headline"), F.nullif(F.trim(heading), F.lit("")))
-    listed = F.coalesce(meta(F.col("html"), "citation_keywords"), F.get_json_object(ld, "$.keywords"), F.lit(""))
-    keywords = F.filter(F.transform(F.split(listed, "[;,；，]"), lambda k: F.trim(k)), lambda k: k != "")
-    journal, doi = meta(F.col("html"), "citation_journal_title"), F.lower(meta(F.col("html"), "citation_doi"))
-    typed = F.coalesce(F.get_json_object(ld, "$['@type']").isin("ScholarlyArticle", "Article"), F.lit(False))
-    status = F.when(journal.isNotNull() & (doi.isNotNull() | typed), "PeerReviewedJournalArticle").otherwise("Unknown")
-    return pages.select("page_id", title.alias("title"), authors.alias("authors"), journal.alias("journal"), doi.alias("doi"), keywords.alias("keywords"), status.alias("status"))
-
-
 def page_kind(links: Column, html: Column) -> Column:
     """What a search page is: blocked, with results, without any, still loading, or something else."""
     low = F.lower(html)

@@ -223,17 +223,6 @@ def q63_snapshots(spark, d):
 Q63S = f"""WITH {P} SELECT n AS page_id, 0 AS position, 'First ' || n AS title, '/a/' || n AS url FROM p UNION ALL SELECT n, 1, 'Second', '/b' FROM p UNION ALL SELECT n, 2, 'After', '/c' FROM p WHERE n % 2 = 1"""
 
 
-def q63_scope(spark, d):
-    """What searches really asked for, and which are refused for more than journals."""
-    n = F.col("n")
-    body = F.concat(F.lit('{"q": [{"a": {"Value": "'), choose(n, "JOURNAL", "THESIS", "JOURNAL"), F.lit('", "Field": "SCOPE"}}, {"Field": "TI", "Value": "t'), n, F.lit('"}]}'))
-    s = access.scope(parts(spark, d).select(n.alias("request"), body.alias("json")))
-    return s.where("field = 'TI'").select("request", F.col("value").alias("title")).join(access.journals_only(s), "request")
-
-
-Q63C = f"WITH {P} SELECT n AS request, 't' || n AS title, n % 3 = 1 AS refused FROM p"
-
-
 def q63_page_kinds(spark, d):
     from lectern.operators import pages
 
@@ -434,7 +423,7 @@ UNION ALL SELECT 'build', (2 * count(*) FILTER (n % 6 IN (1, 4, 5)) > count(*) F
 
 _ALL = (
     (q61_keywords, Q61K), (q61_file_names, Q61F), (q61_topic_field, Q61T), (q61_titles, Q61S), (q61_spaced_dois, Q61D), (q61_controls, Q61C), (q61_redacted, Q61R), (q62_access, Q62A), (q62_controls, Q62C), (q62_visibility, Q62V), (q62_challenge, Q62H), (q62_static_challenge, Q62S),
-    (q62_page_lock, Q62P), (q62_identity, Q62I), (q62_first_page, Q62F), (q63_results, Q63R), (q63_snapshots, Q63S), (q63_scope, Q63C), (q63_page_kinds, Q63K), (q63_detail_locks, Q63D), (q63_same_records, Q63M), (q64_arrivals, Q64A), (q64_entries, Q64E), (q64_tasks, Q64T),
+    (q62_page_lock, Q62P), (q62_identity, Q62I), (q62_first_page, Q62F), (q63_results, Q63R), (q63_snapshots, Q63S), (q63_page_kinds, Q63K), (q63_detail_locks, Q63D), (q63_same_records, Q63M), (q64_arrivals, Q64A), (q64_entries, Q64E), (q64_tasks, Q64T),
     (q64_requests, Q64R), (q64_headers, Q64H), (q64_long, Q64L), (q64_tables, Q64B), (q65_queues, Q65Q), (q65_accounting, Q65A), (q65_preflight, Q65P), (q65_acquire, Q65C), (q66_doctor, Q66D), (q66_states, Q66S),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import classify, ledger, pages
+from lectern.operators import classify, ledger, markup, pages
 from lectern.sources.tables import WORKS_SQL, fold_sql, table, works
 
 
@@ -45,7 +45,7 @@ SELECT DISTINCT user_id AS key, stops_at FROM events LEFT JOIN s ON user_id = ke
 
 
 def q32_anchors(spark, d):
-    a = pages.anchors(table(spark, d, "pages"))
+    a = markup.anchors(markup.elements(table(spark, d, "pages"), only={"a"}))
     return a.groupBy("page_id").agg(F.count("*").alias("links"), F.min_by("href", "position").alias("first"), F.count_if(F.col("href") == F.concat(F.lit("/"), F.col("label"))).alias("named"))
 
 
@@ -58,7 +58,7 @@ def q32_articles(spark, d):
     k = F.col("page_id")
     head = F.when(k % 3 == 0, F.concat(F.lit('<meta name="citation_title" content="Title '), k, F.lit('"><meta content="A One" name="citation_author"><meta name="citation_author" content="B Two"><meta name="citation_doi" content="10.1000/P'), k, F.lit('"><meta name="citation_journal_title" content="J">')))
     head = head.when(k % 3 == 1, F.concat(F.lit('<script type="application/ld+json">{"@type": "ScholarlyArticle", "headline": "Head '), k, F.lit('", "author": [{"name": "C Three"}], "keywords": "x; y，z"}</script>'))).otherwise("")
-    a = pages.article(table(spark, d, "pages").select("page_id", F.concat(head, "html").alias("html")))
+    a = markup.article(table(spark, d, "pages").select("page_id", F.concat(head, "html").alias("html")))
     return a.select("page_id", "title", F.array_join("authors", "|").alias("authors"), "journal", "doi", F.array_join("keywords", "|").alias("keywords"), "status")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import register
 from lectern.functions import text as t
-from lectern.operators import catalog, dedupe, ledger, pages, passages, screening, versions
+from lectern.operators import catalog, dedupe, ledger, markup, pages, passages, screening, versions
 
 
 def one(spark, column):
@@ -91,7 +91,7 @@ def test_admission_is_a_fold(spark):
 def test_article_meta(spark):
     html = '<html><head><meta name="citation_title" content="T"><meta content="A B" name="citation_author"><meta name="citation_author" content="C"><meta name="citation_doi" content="10.1000/X"></head><h1>no</h1></html>'
     ld = '<script type="application/ld+json">{"headline": "L"}</script><h1>no</h1>'
-    rows = pages.article(spark.createDataFrame([(1, html), (2, ld), (3, "<h1><b>H</b></h1>"), (4, None)], "page_id int, html string")).orderBy("page_id").collect()
+    rows = markup.article(spark.createDataFrame([(1, html), (2, ld), (3, "<h1><b>H</b></h1>"), (4, None)], "page_id int, html string")).orderBy("page_id").collect()
     assert [r["title"] for r in rows] == ["T", "L", "H", None] and rows[0]["authors"] == ["C"] or rows[0]["authors"] == ["A B", "C"]
     assert rows[0]["doi"] == "10.1000/x"
 
