@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,7 +20,10 @@ from pyspark.sql.window import Window as W
 from lectern.llm.common import ceil_div, materialise
 
 #: Chunks of text between white space, and parts of them, whose ids a worker keeps: twice as many at most.
-CHUNKS, PARTS = 250_000, 300_000
+CHUNKS, PARTS = 200_000, 50_000
+#: A-Z in lower case, and marks that end a chunk and are a part of their own after a letter or digit.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+ENDS = b".,;:!?)]}%*&$#@^~=+-"
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -132,45 +136,63 @@ class ChunkTokenizer:
         self.chunks, self.parts = Recent(CHUNKS), Recent(PARTS)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _split(self, text: str) -> list[str] | None:
-        """The parts of a chunk, None if the tokenizer has to see it whole. Most chunks are letters and perhaps one mark after them."""
-        if "\u0130" in text:  # its lower case is two characters
-            return None
-        if text.isalpha() and max(text) < "\u0180":
-            return [text.lower()]
-        if text[:-1].isalpha() and text[-1] in ".,;:!?|-)" and max(text) < "\u0180":
-            return [text[:-1].lower(), text[-1]]
-        return None if self.WHOLE.search(text) else self.PARTS_OF.findall(text.lower())
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _tokenize(self, part: str) -> bytes:
+        seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.visible)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self._tokenize(part)
+            self.parts.put(part, ids)
+        return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters
+            return self._tokenize(chunk.decode().lower())
         text = chunk.decode()
-        parts = self._split(text)
-        if parts is None:
+        # "\u0130" in lower case is two characters.
+        if "\u0130" in text or self.WHOLE.search(text):
             return self._encode(text)
-        out = []
-        for part in parts:
-            ids = self.parts.get(part)
+        text = text.lower()
+        if text.isalpha():
+            return self._tokenize(text)
+        return b"".join(map(self._part, self.PARTS_OF.findall(text)))
+
+    def _ids(self, chunk: bytes) -> bytes:
+        """Ids of a chunk that was not used lately; of a word with marks after it the word is kept, and both once it is used again."""
+        ids = self.chunks.get(chunk)
+        if ids is not None:
+            return ids
+        word = chunk.rstrip(ENDS)
+        if word and len(word) < len(chunk) and (word[-1:].isalnum() or (word[-1] > 127 and word.decode()[-1].isalpha())):
+            ids, end = self.chunks.get(word), self._part(chunk[len(word) :].decode())
             if ids is None:
-                seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.visible)
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(seen)], dtype="<u4").tobytes()
-                self.parts.put(part, ids)
-            out.append(ids)
-        return b"".join(out)
+                ids = self._chunk(word)
+                self.chunks.put(word, ids)
+                return ids + end
+            ids += end
+        else:
+            ids = self._chunk(chunk)
+        self.chunks.put(chunk, ids)
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text and the end id; a null text has the end id alone."""
         if not self.splits:
             return self._encode(text or "") + self.end
-        chunks = (text or "").encode().split()
+        data = (text or "").encode()
+        # Letters may compose with marks (U+0300 to U+037F) in one case alone, and special tokens are told by their case.
+        if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
+            data = data.translate(LOWER)
+        chunks = data.split()
         out = list(map(self.chunks.young.get, chunks))
-        for k in [k for k, ids in enumerate(out) if ids is None]:
-            ids = self.chunks.get(chunks[k])
-            if ids is None:
-                ids = self._chunk(chunks[k])
-                self.chunks.put(chunks[k], ids)
-            out[k] = ids
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    out[k] = self._ids(chunks[k])
         out.append(self.end)
         return b"".join(out)
 

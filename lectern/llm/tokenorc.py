@@ -15,12 +15,12 @@ from pyspark.sql import types as T
 from lectern.llm.binpack import coder
 from lectern.llm.common import ceil_div, new_path, small
 
-#: Bytes of text that a file's task encodes: some 10 MB of stored ids. Bytes of ids in a batch on the way to the writer.
-FILE_BYTES, BATCH_BYTES = 48 << 20, 4 << 20
+#: Bytes of text that a file's task encodes: some 15 MB of stored ids. Bytes of ids in a batch on the way to the writer.
+FILE_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
 #: Settings of the files. Stripes are what tasks read apart from one another, so they are small; a group of rows is the least that the
 #: row index and the Bloom filters can skip. Rows are long here: the writer looks at its memory every 64 of them, not every 5,000.
 LAYOUT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "orc.stripe.size": str(8 << 20),
     "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id",
@@ -64,7 +64,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_byte
 
         def out() -> pa.RecordBatch:
             lengths = np.array([len(data) // 4 for *_, data in held], dtype=np.int64)
-            ids = np.frombuffer(b"".join(data for *_, data in held), dtype="<u4").astype(np.int32)
+            ids = np.frombuffer(b"".join(data for *_, data in held), dtype="<i4")
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             columns = [pa.array([part] * len(held), pa.int32()), pa.array([d for d, *_ in held], pa.int64()), pa.array([p for _, p, _ in held], pa.int64()), pa.array(lengths, pa.int64())]
             return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], STORED.fieldNames())
