@@ -39,13 +39,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PLACES = frozenset("left right top bottom main site page global primary secondary".split())
 ROOTS = frozenset(("html", "body"))
 
-#: A branch whose importance is less is removed. It is the tree's, from so many pages of its site on that have the branch, times what
-#: speaks for or against it in the page: nothing for navigation, footers, forms and the like, and less for a branch that
-#: a class or id names so, or that is outside of the article where the page marks one. Without enough pages it is NEUTRAL.
-#: So a name decides only where the tree agrees (under 0.5), where the page's article is elsewhere, or where nothing is known.
+#: A branch whose importance is less is removed: what says the same on nearly all pages of its site.
 THRESHOLD = 0.2
-NAMED, OUTSIDE, NEUTRAL = 0.4, 0.4, 0.45
-LEAST_PAGES = 5
+#: Pages of a site that have to share a branch before it is compared. A site's text is the same from two pages on.
+LEAST_PAGES = 2
+#: Share of a page's text, parts that are noise by element or name aside, that its article or main elements need to be its article.
+MARKED_SHARE = 0.25
 GAMMA = 0.9
 #: Elements around a piece of text that are told apart; what is deeper counts as part of the last of them.
 DEPTH = 256
@@ -210,50 +209,32 @@ class Page:
                 stack.append(Node(name, key, around or tag, form, named, landmark))
                 path = (*path, key) if len(path) < DEPTH else path
 
-    def text(self, importance: dict[int, float] | None = None) -> str:
-        """The text of the branches that matter, by the site's tree (`importance` of its nodes) and by the page's own elements and names."""
-        known = importance or {}
-        low = {key for key, v in known.items() if v < THRESHOLD}
+    def text(self, low: frozenset[int] = frozenset()) -> str:
+        """The text of the branches that matter: not those that the page says are something else, by element, role, class or id, or by a
+        place outside of the article that it marks, whatever they say; nor those that the site's tree finds of low importance (`low`)."""
+        sizes = [0 if hard or named else len(piece) - piece.count(" ") for piece, _, hard, named, _ in self.pieces]
+        total = sum(sizes)
         # A branch with most of the page's text stays, with all in it: an article may be on many pages of its site.
-        most: set[int] = set()
+        inside: Counter = Counter()
         if low:
-            inside: Counter = Counter()
-            total = 0
-            for piece, path, hard, named, _ in self.pieces:
-                size = 0 if hard or named else len("".join(piece.split()))
+            for (_, path, *_), size in zip(self.pieces, sizes, strict=True):
                 if size:
-                    total += size
                     for key in low.intersection(path):
                         inside[key] += size
-            most = {key for key, size in inside.items() if 2 * size > total}
-        marked = any(landmark and not hard and not named and not piece.isspace() for piece, _, hard, named, landmark in self.pieces if piece)
-        cached: dict[tuple, bool] = {}
-
-        def matters(path: tuple[int, ...], named: int, landmark: bool) -> bool:
-            """Whether the importance of a branch that is noise by no element reaches the threshold."""
-            if not most.isdisjoint(path):
-                value = 1.0
-            else:
-                value = min((known[k] for k in path if k in known), default=1.0)
-            if named:
-                value *= NAMED * (1 if named in known else NEUTRAL)
-            if marked and not landmark:
-                value *= OUTSIDE * (1 if named or (path and path[-1] in known) else NEUTRAL)
-            return value >= THRESHOLD
-
+        most = {key for key, size in inside.items() if 2 * size > total}
+        in_landmarks = sum(size for (*_, landmark), size in zip(self.pieces, sizes, strict=True) if landmark)
+        marked = in_landmarks > 0 and in_landmarks >= MARKED_SHARE * total
         kept, soft = [], []
         for piece, path, hard, named, landmark in self.pieces:
             if piece == " ":
                 kept.append(piece)
                 soft.append(piece)
-            elif not hard:
-                state = (path, named, landmark)
-                if state not in cached:
-                    cached[state] = matters(*state)
-                if cached[state]:
-                    kept.append(piece)
-                elif named:
-                    soft.append(piece)
+            elif hard:
+                continue
+            elif named:
+                soft.append(piece)
+            elif (landmark or not marked) and (low.isdisjoint(path) or not most.isdisjoint(path)):
+                kept.append(piece)
         # Where nothing else has text, the names of classes and ids were wrong about it.
         return " ".join("".join(kept).split()) or " ".join("".join(soft).split())
 
@@ -300,14 +281,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def node_importance(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, nodes (array of keys), importance (array of numbers from 0 to 1): each site's style tree, from `pages` (host, html).
-
-    A node's presentation matters by the entropy of its styles over the m pages that have it, to the base m: one style everywhere
-    is 0, one for each page 1. Copies of a page on its host count as one page. Its content matters by one less the mean entropy of what it says: a text on one
-    page only counts 1, one on all pages 0. A node with children combines its own styles and its children's importance.
-    A host's nodes meet in one task: there are as many as it has different paths of names and classes that `least_pages` of its pages
-    share, however many pages it has."""
+def _nodes(pages: DataFrame, least_pages: int) -> DataFrame:
+    """host, node, parent, m, style, styles, content: what each node's styles and contents say over the pages that have it."""
     pages = pages.select("host", "html", F.xxhash64("html").alias("page"))
     repeated = materialise(pages.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     repeated = repeated.select(F.col("host").alias("_host"), F.col("page").alias("_page"), "copies")
@@ -323,49 +298,80 @@ def node_importance(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFra
     logm = F.log(F.col("m"))
     own = F.when(F.col("kind") == 0, (logm - F.col("nlogn") / F.col("m")) / logm).otherwise(1 - F.col("logs") / F.col("values") / logm)
     nodes = per.where(F.col("m") >= least_pages).withColumn("importance", own)
-    nodes = nodes.groupBy("host", "node", "parent").agg(
+    return nodes.groupBy("host", "node", "parent").agg(
         F.max("m").alias("m"), F.max(F.when(F.col("kind") == 0, F.col("importance"))).alias("style"), F.max(F.when(F.col("kind") == 0, F.col("values"))).alias("styles"), F.max(F.when(F.col("kind") == 1, F.col("importance"))).alias("content")
     )
 
+
+def _importance(rows: dict[int, tuple]) -> dict[int, float]:
+    """The importance of each node of one site, of rows (parent, m, style, styles, content) by node."""
+    children = defaultdict(list)
+    for key, (parent, *_) in rows.items():
+        children[parent].append(key)
+    value: dict[int, float] = {}
+    for top in [k for k, r in rows.items() if r[0] not in rows]:
+        todo = [(top, False)]
+        while todo:
+            key, ready = todo.pop()
+            if not ready:
+                todo += [(key, True), *((c, False) for c in children[key])]
+                continue
+            _, _, style, styles, content = rows[key]
+            kids = children[key]
+            if kids:
+                share = GAMMA ** int(styles)
+                below = sum(value[c] * rows[c][1] for c in kids) / sum(rows[c][1] for c in kids)
+                value[key] = max((1 - share) * style + share * below, content)
+            else:
+                value[key] = content
+    return {k: min(1.0, max(0.0, v)) for k, v in value.items() if math.isfinite(v)}
+
+
+def _site(pdf: pd.DataFrame) -> dict[int, tuple]:
+    return {r.node: (r.parent, r.m, r.style, r.styles, r.content) for r in pdf.itertuples()}
+
+
+def node_importance(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, nodes (array of keys), importance (array of numbers from 0 to 1): each site's style tree, from `pages` (host, html).
+
+    A node's presentation matters by the entropy of its styles over the m pages that have it, to the base m: one style everywhere
+    is 0, one for each page 1. Copies of a page on its host count as one page. Its content matters by one less the mean entropy of what it says: a text on one
+    page only counts 1, one on all pages 0. A node with children combines its own styles and its children's importance.
+    A host's nodes meet in one task: there are as many as it has different paths of names and classes that `least_pages` of its pages
+    share, however many pages it has."""
+
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        children = defaultdict(list)
-        rows = {r.node: r for r in pdf.itertuples()}
-        for r in rows.values():
-            children[r.parent].append(r.node)
-        value: dict[int, float] = {}
-        for top in [k for k, r in rows.items() if r.parent not in rows]:
-            todo = [(top, False)]
-            while todo:
-                key, ready = todo.pop()
-                if not ready:
-                    todo += [(key, True), *((c, False) for c in children[key])]
-                    continue
-                r, kids = rows[key], children[key]
-                if kids:
-                    share = GAMMA ** int(r.styles)
-                    below = sum(value[c] * rows[c].m for c in kids) / sum(rows[c].m for c in kids)
-                    value[key] = max((1 - share) * r.style + share * below, r.content)
-                else:
-                    value[key] = r.content
-        found = sorted((k, min(1.0, max(0.0, v))) for k, v in value.items() if math.isfinite(v))
+        found = sorted(_importance(_site(pdf)).items())
         keys, numbers = np.array([k for k, _ in found], dtype=np.int64), np.array([v for _, v in found])
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "nodes": [keys], "importance": [numbers]})
 
-    return nodes.groupBy("host").applyInPandas(combine, "host string, nodes array<long>, importance array<double>")
+    return _nodes(pages, least_pages).groupBy("host").applyInPandas(combine, "host string, nodes array<long>, importance array<double>")
+
+
+def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, nodes: the nodes of each site's tree of an importance under THRESHOLD that are in no other such node; sites without any are left out.
+    That is all that a page's row has to meet, however large the tree."""
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _site(pdf)
+        low = {k for k, v in _importance(rows).items() if v < THRESHOLD}
+        top = []
+        for key in sorted(low):
+            parent = rows[key][0]
+            while parent in rows and parent not in low:
+                parent = rows[parent][0]
+            if parent not in low:
+                top.append(key)
+        rows = [(pdf["host"].iloc[0], np.array(top, dtype=np.int64))] if top else []
+        return pd.DataFrame(rows, columns=["host", "nodes"], dtype=object)
+
+    return _nodes(pages, least_pages).groupBy("host").applyInPandas(combine, "host string, nodes array<long>")
 
 
 @F.arrow_udf(T.StringType())
-def main_text(html: pa.Array, nodes: pa.Array, importance: pa.Array) -> pa.Array:
-    """The text of a page's branches that matter, by the page and by its site."""
-    sites: dict[tuple, dict[int, float]] = {}
-    out = []
-    for page, keys, numbers in zip(html, nodes, importance, strict=True):
-        site = (*(keys.as_py() or ()), *(numbers.as_py() or ()))
-        if site not in sites:
-            half = len(site) // 2
-            sites[site] = dict(zip(site[:half], site[half:], strict=True))
-        out.append(Page(page.as_py() or "").text(sites[site]))
-    return pa.array(out, pa.string())
+def main_text(html: pa.Array, nodes: pa.Array) -> pa.Array:
+    """The text of a page's branches that matter, by the page and by its site's nodes of low importance."""
+    return pa.array([Page(page.as_py() or "").text(frozenset(keys.as_py() or ())) for page, keys in zip(html, nodes, strict=True)], pa.string())
 
 
 def code_points(text: Column) -> Column:
@@ -375,18 +381,21 @@ def code_points(text: Column) -> Column:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each row of `pages` (page_id, url, html and any more).
 
-    Pages of one host are merged into a style tree, whose entropies give each branch its importance; what elements, roles, names and the
-    place of the page's article say of a branch is multiplied with it, and branches of low importance are removed from each page.
+    Pages of one host are merged into a style tree, whose entropies give each branch its importance; branches of low importance, which say
+    the same on nearly all pages, are removed from each page. So are parts that the page says are no article: by their elements and
+    roles, by names in classes and ids, and by their place outside of the article or main elements, where these hold a quarter of its text.
+    What is removed for one of these reasons does not come back because its text differs from page to page.
 
     - A null or empty html has an empty text. A null url has the empty host. Repeated rows are extracted each.
-    - Branches that fewer than `least_pages` pages of a site have are judged by their page alone. An empty table gives no rows.
+    - Branches that one page of a site alone has are judged by that page. From two on a page's text does not depend on how many there are, as long
+      as a branch says the same on all of them, or something else on each. An empty table gives no rows.
     - A very long page is read whole, in one task; elements nested deeper than 256 count as parts of the 256th.
     - Columns beside the three play no part."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_and_path(F.col("url"))[0].alias("host"))
-    tree = materialise(node_importance(rows, least_pages), "importance").withColumnRenamed("host", "_host")
+    tree = materialise(low_nodes(rows, least_pages), "low-nodes").withColumnRenamed("host", "_host")
     size = tree.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("nodes")).first()
     if size["hosts"] <= BROADCAST_HOSTS and size["nodes"] <= BROADCAST_NODES:
         tree = F.broadcast(tree)
     joined = rows.join(tree, F.col("host") == F.col("_host"), "left")  # of two stored tables: AQE may split a large host
-    out = joined.select("page_id", "url", main_text("html", "nodes", "importance").alias("text"))
+    out = joined.select("page_id", "url", main_text("html", "nodes").alias("text"))
     return out.withColumn("n_chars", code_points(F.col("text")))

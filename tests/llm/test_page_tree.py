@@ -65,26 +65,60 @@ def test_importance_against_brute_force(spark):
     assert sorted(row["importance"]) == pytest.approx(want, abs=1e-9)
 
 
+def texts(spark, sites):
+    """page_id -> text of sites {number: [html]}, page_id being 1000 * site + place."""
+    rows = [(1000 * k + i, f"http://s{k}.example.com/{i}", p) for k, pages in sites.items() for i, p in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def said(i):
+    return " ".join(f"Paragraph {k} of page {i} says {i * 31 + k}." for k in range(1 + i % 3))
+
+
+SIZES = (2, 4, 5, 14, 50)
+
+
 def test_tree_decides_where_no_article_is_marked(spark):
-    rows = [(i, f"http://a.example.com/{i}", page(i)) for i in range(14)] + [(100 + i, f"http://b.example.com/{i}", page(i)) for i in range(4)]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    text = {r["page_id"]: r["text"] for r in sitetree.extract(frame).collect()}
-    alone = {r["page_id"]: r["text"] for r in frame.select("page_id", sitetree.main_text(F.col("html"), F.lit(None).cast("array<long>"), F.lit(None).cast("array<double>")).alias("text")).collect()}
-    for i in range(14):
-        said = " ".join(f"Paragraph {k} of page {i} says {i * 31 + k}." for k in range(1 + i % 3))
-        assert text[i] == f"Title {i} {said}"
-        assert alone[i] == f"Home Topics Title {i} {said} All rights reserved by the site"
-    assert all(text[100 + i] == alone[i] for i in range(4))  # too few pages to tell
-
-
-def test_names_and_places_need_the_tree(spark):
-    unlike = lambda i: f"<html><body><div class='share-box'>Own words {i} of a box {i * 7}</div><p>Text {i} of the page</p></body></html>"
-    alike = lambda i: f"<html><body><div class='share-box'>Tell your {'friends' if i % 2 else 'family'}</div><p>Text {i} of the page</p></body></html>"
-    beside = lambda i: f"<html><body><div class='lead'>Lead {i} before it {i * 7}</div><div class='x'>Try our {'app' if i % 2 else 'game'}</div><article><p>Text {i} of the page</p></article></body></html>"
-    rows = [(100 * k + i, f"http://{k}.example.com/{i}", make(i)) for k, make in enumerate((unlike, alike, beside)) for i in range(12)]
-    text = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for i in range(12):
-        assert text[i] == f"Own words {i} of a box {i * 7} Text {i} of the page"  # the site says otherwise than the name
-        assert text[100 + i] == f"Text {i} of the page"
-        assert text[200 + i] == f"Lead {i} before it {i * 7} Text {i} of the page"  # outside of the article, but of its page
-    assert sitetree.Page(unlike(3)).text() == "Text 3 of the page"  # nothing is known of the site
+    got = texts(spark, {n: [page(i) for i in range(n)] for n in (1, *SIZES)})
+    for n in SIZES:  # at any number of pages of the site
+        assert [got[1000 * n + i] for i in range(n)] == [f"Title {i} {said(i)}" for i in range(n)]
+    assert got[1000] == f"Home Topics Title 0 {said(0)} All rights reserved by the site" == sitetree.Page(page(0)).text()  # a page alone
+
+
+def noisy(i, article=True):
+    """Comments, related stories, adverts and notices, each with words of its own on every page, around and inside of the article."""
+    own = lambda kind: f"{kind} number {i * 37} by reader {i * 11} on {kind} {i}"
+    inner = f"<h1>Title {i}</h1><p>{said(i)}</p><section class='comments'><p>{own('comment')}</p></section><div class='c'><p>More of page {i}.</p></div><div class='advert-box'>{own('advert')}</div>"
+    main = f"<article>{inner}</article>" if article else f"<div class='content'>{inner}</div>"
+    beside = f"<div class='right-sidebar'>{own('sidebar')}</div><div id='related'>{own('story')}</div><div class='cookie-notice'>{own('notice')}</div>"
+    around = f"<div class='x7'>{own('teaser')}</div>" if article else ""
+    return f"<html><body>{MENU}{around}{main}{beside}<div class='b'>All rights reserved</div></body></html>"
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_noise_does_not_come_back_because_it_varies(spark, article):
+    got = texts(spark, {n: [noisy(i, article) for i in range(n)] for n in SIZES})
+    for n in SIZES:
+        assert [got[1000 * n + i] for i in range(n)] == [f"Title {i} {said(i)} More of page {i}." for i in range(n)]
+
+
+def test_tree_decides_inside_of_marked_articles(spark):
+    """What says the same on every page of a site goes from its articles too, though no name or element tells it apart."""
+    line = "<div class='k'><p>This story is part of our series about rivers.</p></div>"
+    story = lambda i: f"<html><body><header>Site</header><article><h1>Title {i}</h1>{line}<p>{said(i)}</p><p>{long(i)}</p></article></body></html>"
+    long = lambda i: f"What page {i} says at more length than the line that all have, {i * 7}."
+    got = texts(spark, {n: [story(i) for i in range(n)] for n in SIZES})
+    for n in SIZES:
+        assert [got[1000 * n + i] for i in range(n)] == [f"Title {i} {said(i)} {long(i)}" for i in range(n)]
+    assert "rivers" in sitetree.Page(story(1)).text()
+
+
+def test_articles_that_pages_share_stay(spark):
+    """An article on all pages of its site, beside what differs, is most of each page; and a small article element is not the page's article."""
+    body = "".join(f"<p>Sentence {k} of the one article of this site.</p>" for k in range(6))
+    same = [f"<html><body><div class='n'>Page {i}</div><div class='c'>{body}</div></body></html>" for i in range(5)]
+    cards = [f"<html><body><div class='c'><p>{said(i)}</p><p>{'and so on ' * 40}{i}</p></div><article class='card'>Next {i}</article></body></html>" for i in range(5)]
+    got = texts(spark, {1: same, 2: cards})
+    for i in range(5):
+        assert "Sentence 0 of the one article" in got[1000 + i] and "Sentence 5" in got[1000 + i]
+        assert said(i) in got[2000 + i]
