@@ -189,10 +189,9 @@ def squeeze_title(text: Column) -> Column:
 def spaced_dois(text: Column) -> Column:
     """Distinct DOIs of an extracted text, in which up to three spaces may stand beside their punctuation."""
     closed = F.regexp_replace(text, r"(?<=10\.\d{4,9}) {0,3}/ {0,3}", "/")
-    for _ in range(4):  # a DOI broken in several places
-        closed = F.regexp_replace(closed, r"(10\.\d{4,9}/[^\s<>\"']*[._/-]) {1,3}(?=[0-9a-zA-Z])(?!10\.\d{4})", "$1")
-        closed = F.regexp_replace(closed, r"(10\.\d{4,9}/[^\s<>\"']*) {1,3}(?=[._/-])", "$1")
-    return F.array_distinct(F.transform(F.regexp_extract_all(closed, F.lit(r"10\.\d{4,9}/[^\s<>\"']+"), F.lit(0)), normalize_doi))
+    # A space inside stands after punctuation and before a letter or digit, or before punctuation; no other DOI begins after it.
+    broken = r"10\.\d{4,9}/(?:[^\s<>\"']|(?<=[._/-]) {1,3}(?=[0-9a-zA-Z])(?!10\.\d{4})| {1,3}(?=[._/-]))+"
+    return F.array_distinct(F.transform(F.regexp_extract_all(closed, F.lit(broken), F.lit(0)), lambda x: normalize_doi(F.replace(x, F.lit(" "), F.lit("")))))
 
 
 def controls(text: Column, as_of: int) -> Column:

@@ -182,3 +182,22 @@ def disguised(head: Column) -> Column:
     low = F.lower(F.ltrim(head))
     title = F.trim(F.regexp_extract(low, r"(?s)<title[^>]*>(.*?)</title>", 1))
     return F.when(title.isin(*CHALLENGE_TITLES), "CHALLENGE").when(low.rlike(r"^(<!doctype html|<html|<head|<\?xml[^>]*>\s*<html)"), "HTML").otherwise("FILE")
+
+
+# What parts a title from a byline after it, lines that name authors, and the least that a title without its byline has to have.
+BYLINE = r"^(.+?)\s*[-\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}\x{2015}:\x{FF1A}]\s*([^\r\n]+?)\s*$"
+AUTHOR_LINE = r"(?im)^\s*(?:作\s*者|authors?)\s*[:\x{FF1A}]\s*([^\r\n]+)"
+LEAST_TITLE = 12
+
+
+def title_in_text(title: Column, text: Column, authors: Column) -> Column:
+    """Whether an extracted text has a claimed title: normalised, or without any spaces; or its core, where what follows a dash or colon is one of the `authors`
+    and the text names that author on a line of authors. Null where title or text says nothing. A DOI never stands in for it."""
+    close = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    fold = lambda x: F.coalesce(t.normalize_title(x), F.lit(""))
+    want, have = fold(title), fold(text)
+    core, byline = fold(F.regexp_extract(title, BYLINE, 1)), close(fold(F.regexp_extract(title, BYLINE, 2)))
+    lines = F.transform(F.regexp_extract_all(text, F.lit(AUTHOR_LINE), F.lit(1)), lambda x: close(fold(x)))
+    named = (byline != "") & F.exists(F.coalesce(authors, F.array().cast("array<string>")), lambda a: close(fold(a)) == byline) & F.exists(lines, lambda line: line.contains(byline))
+    held = lambda x: have.contains(x) | close(have).contains(close(x))
+    return F.when((want == "") | (have == ""), None).otherwise(held(want) | (named & (F.length(close(core)) >= LEAST_TITLE) & held(core)))

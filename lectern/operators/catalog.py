@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
+from lectern.operators import substrings
+from lectern.sources.shared import keep, small
 
 # What shared facts of works count, and what agreement of a citation's fields counts.
 SUBTOPIC, DOMAIN, KEYWORD, AUTHOR, JOURNAL, LEXICAL = 3.0, 1.0, 1.5, 2.0, 0.5, 6.0
@@ -16,13 +18,8 @@ LEAST_WORKS, FEW_WORKS, THIN = 30, 100, 3
 
 WAYS = ("paper_id", "doi", "title", "author", "journal", "author", "lexical")
 CONFIDENCES = ("EXACT", "EXACT", "EXACT", "AUTHOR_SET", "FIELD", "AUTHOR_SET", "APPROXIMATE")
-#: Queries of a lookup that are held against all works; a larger table of them is not a lookup.
-MOST_QUERIES = 10_000
-
-
-def same_name(wanted: Column, actual: Column) -> Column:
-    """Whether two folded names are equal, or one of two characters or more is in the other."""
-    return (wanted == actual) | ((F.length(wanted) >= 2) & actual.contains(wanted)) | ((F.length(actual) >= 2) & wanted.contains(actual))
+#: Rows of a query set up to which they are broadcast; beyond, joins with them shuffle.
+BROADCAST_QUERIES = 100_000
 
 
 def lookup(works: DataFrame, wanted: DataFrame, lexical: DataFrame | None = None) -> DataFrame:
@@ -31,25 +28,33 @@ def lookup(works: DataFrame, wanted: DataFrame, lexical: DataFrame | None = None
     A work is told once, by the first way that finds it: its id, its DOI (the first work of it), the exact title, names of an author, the
     journal. Where these find nothing and the query is not `exact`, `bare` is taken for an author's name, and then `lexical` (query, doc_id), the
     results of a search, are approximate. A query without any work is NOT_IN_LIBRARY. works: doc_id, doi, title, authors, journal."""
-    if wanted.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"a lookup takes {MOST_QUERIES} queries at most")
     w = works.select("doc_id", t.normalize_doi(F.col("doi")).alias("wdoi"), t.fold(F.col("title")).alias("wtitle"), F.transform("authors", t.fold).alias("wauthors"), t.fold(F.col("journal")).alias("wjournal"))
-    ask = F.broadcast(wanted.select("query", "id", t.normalize_doi(F.col("doi")).alias("doi"), t.fold(F.col("title")).alias("title"), t.fold(F.col("author")).alias("author"), t.fold(F.col("bare")).alias("bare"), t.fold(F.col("journal")).alias("journal"), "exact"))
+    ask = small(wanted.select("query", "id", t.normalize_doi(F.col("doi")).alias("doi"), t.fold(F.col("title")).alias("title"), t.fold(F.col("author")).alias("author"), t.fold(F.col("bare")).alias("bare"), t.fold(F.col("journal")).alias("journal"), "exact"), BROADCAST_QUERIES)
     one = lambda df, way: df.select("query", "doc_id", F.lit(way).alias("way"))
     first_doi = w.where("wdoi IS NOT NULL").groupBy("wdoi").agg(F.min("doc_id").alias("doc_id"))
     named = w.select("doc_id", F.explode("wauthors").alias("name")).where("name <> ''")
+    names = keep(named.select("name").distinct(), "names")  # names, not works, are held against names
+
+    def by_name(asked: DataFrame, column: str, way: int) -> DataFrame:
+        pairs = substrings.alike(asked.select(F.col(column).alias("wanted")), names)
+        return one(named.join(pairs, "name").join(asked.select("query", F.col(column).alias("wanted")), "wanted"), way)
+
+    journals = keep(w.select(F.col("wjournal").alias("long")).where("long <> ''").distinct(), "journals")
+    asked_journals = ask.select("query", "journal").where("journal <> ''")
+    in_journal = substrings.inside(asked_journals.select(F.col("journal").alias("short")), journals, 1).join(asked_journals, F.col("short") == F.col("journal")).select("query", F.col("long").alias("wjournal"))
     found = one(w.join(ask, F.col("doc_id") == F.col("id")), 0).unionByName(one(first_doi.join(ask, F.col("wdoi") == F.col("doi")), 1))
     found = found.unionByName(one(w.join(ask, (F.col("wtitle") == F.col("title")) & (F.col("wtitle") != "")), 2))
-    found = found.unionByName(one(named.join(ask.where("author <> ''"), same_name(F.col("author"), F.col("name"))), 3))
-    found = found.unionByName(one(w.join(ask.where("journal <> ''"), F.col("wjournal").contains(F.col("journal"))), 4))
+    found = found.unionByName(by_name(ask.where("author <> ''"), "author", 3))
+    found = found.unionByName(one(w.join(in_journal, "wjournal"), 4))
     best = lambda df: df.groupBy("query", "doc_id").agg(F.min("way").alias("way"))
-    found = best(found)
+    found = keep(best(found), "found")
     told = found.select("query").distinct()
     open_ = wanted.where("NOT exact").select("query", t.fold(F.col("bare")).alias("bare")).join(told, "query", "left_anti")
-    loose = one(named.join(F.broadcast(open_.where("bare <> ''")), same_name(F.col("bare"), F.col("name"))), 5)
+    open_ = keep(open_, "open-queries")
+    loose = by_name(open_.where("bare <> ''"), "bare", 5)
     if lexical is not None:
         nothing = open_.join(loose.select("query").distinct(), "query", "left_anti")
-        loose = loose.unionByName(one(lexical.join(F.broadcast(nothing.select("query")), "query"), 6))
+        loose = loose.unionByName(one(lexical.join(nothing.select("query"), "query"), 6))
     found = found.unionByName(best(loose))
     out = wanted.select("query").join(found, "query", "left")
     at = lambda names: F.when(F.col("way").isNotNull(), F.element_at(F.array(*map(F.lit, names)), F.coalesce("way", F.lit(0)) + 1))
@@ -167,7 +172,8 @@ def candidates(ask: DataFrame, have: DataFrame) -> DataFrame:
     inside = have.select("doc_id", F.explode("authors").alias("author")).where(F.col("author").rlike(f"[{t.CJK}]"))
     pairs = by_title.unionByName(by_author.select("citation", "doc_id"))
     cjk = cited.where(F.col("name").rlike(f"[{t.CJK}]"))
-    by_cjk = inside.join(F.broadcast(cjk.limit(MOST_QUERIES)) if cjk.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES else cjk, F.col("author").contains(F.col("name")) & (F.length("name") >= 2))
+    held = substrings.inside(cjk.select(F.col("name").alias("short")), inside.select(F.col("author").alias("long")))
+    by_cjk = cjk.join(held, F.col("name") == F.col("short")).join(inside, F.col("long") == F.col("author"))
     return pairs.unionByName(by_cjk.select("citation", "doc_id")).distinct()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
+from lectern.operators import matcher
 
 # What a field's evidence weighs, and when a label is assigned.
 FIELD_WEIGHTS = {"title": 3.0, "keywords": 2.0, "abstract": 1.5, "journal": 0.5, "fulltext": 1.0}
@@ -35,26 +36,24 @@ def signals(works: DataFrame, concepts: DataFrame, names: DataFrame, fields: lis
     concepts: concept, label, term; each term counts its field's weight for each label of its concept, in full texts the three longest of a
     concept. names: label, term; each counts weight * min(1.5 * length, 6) / 3. aliases: label, term; of a label's one alias of a field counts, that of most
     words, then the longest: weight * min(3 * words, 6) / 3. A title about a method counts 9 for `method_label`, and its phrase is no evidence then.
-    The taxonomy is closed and small: its terms, a few hundred, are held against each text where it is read."""
-    rows = [("concept", r["concept"], r["label"], r["term"], 1.0) for r in concepts.select("concept", "label", "term").distinct().collect()]
-    rows += [("name", "", r["label"], r["term"], min(1.5 * len(r["term"]), 6.0) / 3) for r in names.select("label", "term").distinct().collect()]
-    rows += [("alias", "", r["label"], r["term"], min(3.0 * len(r["term"].split(" ")), 6.0) / 3) for r in (aliases.select("label", "term").distinct().collect() if aliases is not None else [])]
+    All terms of all kinds are one automaton, which passes over each field of a work once; the terms' table is joined to what it finds."""
+    one = lambda df, kind, times: df.select(F.lit(kind).alias("kind"), (F.col("concept") if kind == "concept" else F.lit("")).alias("concept"), "label", "term", times.alias("times")).distinct()
+    words = F.size(F.split("term", " "))
+    terms = one(concepts, "concept", F.lit(1.0)).unionByName(one(names, "name", F.least(1.5 * F.length("term"), F.lit(6.0)) / 3))
+    if aliases is not None:
+        terms = terms.unionByName(one(aliases, "alias", F.least(3.0 * words, F.lit(6.0)) / 3))
     method = F.trim(F.regexp_replace("title", r"\s+", " ")).rlike(METHOD_TITLE) if method_label else F.lit(False)
     said = lambda f: F.when(method, F.regexp_replace(f, METHOD_PHRASE, " ")).otherwise(F.col(f)) if method_label else F.col(f)
-    folded = works.select("doc_id", method.alias("method"), *[F.concat(F.lit(" "), t.fold(said(f)), F.lit(" ")).alias(f) for f in fields])
-    found = []
-    for f in fields:
-        for kind, concept, label, term, times in sorted(rows):
-            item = F.struct(F.lit(kind).alias("kind"), F.lit(concept).alias("concept"), F.lit(label).alias("label"), F.lit(f).alias("field"), F.lit(term).alias("term"), F.lit(FIELD_WEIGHTS[f] * times).alias("weight"))
-            found.append(F.when(t.contains_word(F.col(f), term), item))
-    hits = folded.select("doc_id", F.explode(F.array(*found)).alias("h")).where("h IS NOT NULL").select("doc_id", "h.*")
+    texts = works.select("doc_id", method.alias("method"), *[said(f).alias(f) for f in fields])
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv]), F.col("field"))
+    hits = matcher.find(texts, terms, fields).select("doc_id", "kind", "concept", "label", "field", "term", (weight * F.col("times")).alias("weight"))
     place = F.dense_rank().over(W.partitionBy("doc_id", "kind", "concept", "field").orderBy(F.length("term").desc(), "term"))
     best = F.row_number().over(W.partitionBy("doc_id", "kind", "label", "field").orderBy(F.size(F.split("term", " ")).desc(), F.length("term").desc(), "term"))
     hits = hits.withColumns({"place": place, "best": best})
     hits = hits.where(F.when(F.col("kind") == "alias", F.col("best") == 1).when((F.col("kind") == "concept") & (F.col("field") == "fulltext"), F.col("place") <= FULLTEXT_TERMS).otherwise(True))
     hits = hits.select("doc_id", "label", "weight", F.col("kind").isin("name", "alias").alias("named"))
     if method_label:
-        hits = hits.unionByName(folded.where("method").select("doc_id", F.lit(method_label).alias("label"), F.lit(METHOD_WEIGHT).alias("weight"), F.lit(False).alias("named")))
+        hits = hits.unionByName(texts.where("method").select("doc_id", F.lit(method_label).alias("label"), F.lit(METHOD_WEIGHT).alias("weight"), F.lit(False).alias("named")))
     return hits.groupBy("doc_id", "label").agg(F.round(F.sum("weight"), 6).alias("score"), F.bool_or("named").alias("named"))
 
 

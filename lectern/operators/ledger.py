@@ -56,3 +56,24 @@ def misses(log: DataFrame, hit: str, most: int = 3) -> DataFrame:
     run = run.where(F.col("outcome") != hit).withColumn("n", F.row_number().over(inside))
     stops = run.where(F.col("n") == most).groupBy("key").agg(F.min("position").alias("stops_at"))
     return log.select("key").distinct().join(stops, "key", "left")
+
+
+# Outcomes that end a batch at once and how it is then said to have ended, and those that reached a source and brought nothing.
+GATES = {"HUMAN_ACTION_REQUIRED": "STOPPED_FOR_HUMAN_ACTION", "DAILY_BUDGET_EXHAUSTED": "STOPPED_DAILY_BUDGET_EXHAUSTED", "CAPABILITY_MISSING": "STOPPED_CAPABILITY_MISSING", "ENV_NOT_READY": "STOPPED_ENV_NOT_READY"}
+MISSES = ("NOT_FOUND", "NOT_DOWNLOADED", "NOT_AUTHORIZED", "DOWNLOAD_FAILED", "FAILED")
+
+
+def stops(log: DataFrame, most: int = 3) -> DataFrame:
+    """batch, status, stopped_at, ran, downloaded of each batch of outcomes (batch, position, outcome): where it ends, and what was done up to there.
+
+    It ends at the first gate, or at the `most`-th miss in a row; a download begins the count anew, what is in the library already does not. A
+    batch is a bounded queue, read in order."""
+    order = W.partitionBy("batch").orderBy("position")
+    rows = log.withColumn("_island", F.sum((F.col("outcome") == "DOWNLOADED").cast("int")).over(order))
+    rows = rows.withColumn("_misses", F.sum(F.col("outcome").isin(*MISSES).cast("int")).over(W.partitionBy("batch", "_island").orderBy("position")))
+    gate = F.try_element_at(F.create_map(*[F.lit(x) for kv in GATES.items() for x in kv]), F.col("outcome"))
+    ends = F.coalesce(gate, F.when(F.col("outcome").isin(*MISSES) & (F.col("_misses") >= most), "STOPPED_CONSECUTIVE_MISSES"))
+    rows = rows.withColumn("_ends", ends)
+    first = F.min(F.when(F.col("_ends").isNotNull(), F.col("position"))).over(W.partitionBy("batch"))
+    rows = rows.withColumn("_at", first).where(F.col("_at").isNull() | (F.col("position") <= F.col("_at")))
+    return rows.groupBy("batch").agg(F.coalesce(F.max_by("_ends", F.when(F.col("_ends").isNotNull(), F.col("position"))), F.lit("COMPLETED")).alias("status"), F.max("_at").alias("stopped_at"), F.count("*").alias("ran"), F.count_if(F.col("outcome") == "DOWNLOADED").alias("downloaded"))

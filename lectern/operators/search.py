@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
-from lectern.operators import passages
-from lectern.operators.index import Index, postings
+from lectern.operators import matcher
+from lectern.operators.index import Index
+from lectern.sources.shared import small
 
 # Saturation, length normalisation, and the weights of fields and of kinds of terms.
 K1, B = 1.2, 0.75
@@ -18,8 +19,9 @@ DEPTH, SHARE, PASSAGES = 40, 0.45, 3
 ROLE_SHARE = 0.40
 ROLE_WEIGHTS = {"title": 3, "topics": 2, "keywords": 2, "journal": 1, "body": 1}
 
-#: Terms of queries up to which they are broadcast; beyond, the join shuffles postings by token.
+#: Rows of terms, candidates, filters and the like of a query set up to which they are broadcast; beyond, joins with them shuffle.
 BROADCAST_TERMS = 100_000
+MOST_FILTERS = 1000
 
 
 def query_terms(text: Column) -> Column:
@@ -38,9 +40,7 @@ def _hits(posted: DataFrame, terms: DataFrame, on: list[str]) -> DataFrame:
     if "query" not in posted.columns:
         tokens = [r["token"] for r in asked.select("token").distinct().limit(1001).collect()]
         posted = posted.where(F.col("token").isin(tokens)) if len(tokens) <= 1000 else posted  # a filter that reaches the files
-    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        asked = F.broadcast(asked)
-    return posted.join(asked, on)
+    return posted.join(small(asked, BROADCAST_TERMS), on)
 
 
 def contributions(hits: DataFrame, stats: DataFrame, df: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
@@ -48,8 +48,8 @@ def contributions(hits: DataFrame, stats: DataFrame, df: DataFrame, fields: dict
 
     stats: n and avg_len by field (and query), df: by token (and query). Saturation comes after the fields are summed, per token."""
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in fields.items() for x in kv]), F.col("field"))
-    hits = hits.where(F.col("field").isin(*fields)).join(F.broadcast(stats), [c for c in ("query", "field") if c in stats.columns])
-    hits = hits.join(F.broadcast(df), [c for c in ("query", "token") if c in df.columns])  # a row for each token of a query
+    hits = hits.where(F.col("field").isin(*fields)).join(small(stats, BROADCAST_TERMS), [c for c in ("query", "field") if c in stats.columns])
+    hits = hits.join(df, [c for c in ("query", "token") if c in df.columns])  # a row for each token of a query: Spark broadcasts it by its size
     x = weight * F.col("tf") / (1 - B + B * F.col("len") / F.col("avg_len"))
     hits = hits.withColumn("x", x).withColumn("total", F.sum("x").over(W.partitionBy("query", key, "token")))
     idf = F.greatest(F.lit(0.05), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -72,23 +72,22 @@ def ranked(parts: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def passage_scores(candidates: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """query, doc_id, ordinal, score of every passage of the candidates (query, doc_id) that has a term, from texts (doc_id, text).
+def passage_scores(index: Index, candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """query, doc_id, ordinal, score of every stored passage of the candidates (query, doc_id; a stored frame) that has a term.
 
-    idf and average length are those of a query's candidates' passages alone."""
-    mine = texts.join(F.broadcast(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
-    cut = passages.chunks(mine).withColumn("chunk", F.concat_ws(":", "doc_id", "ordinal"))
-    posted = postings(cut, ["text"], "chunk").withColumn("doc_id", F.substring_index("chunk", ":", 1).cast("long"))
-    posted = posted.join(F.broadcast(candidates.select("query", "doc_id")), "doc_id")
-    chunks = cut.select("chunk", "doc_id").join(F.broadcast(candidates.select("query", "doc_id")), "doc_id")
-    total = posted.select("query", "chunk", "len").distinct().groupBy("query").agg(F.sum("len").alias("total"))
-    stats = chunks.groupBy("query").agg(F.count("*").alias("n")).join(total, "query").select("query", F.lit("text").alias("field"), "n", (F.col("total") / F.col("n")).alias("avg_len"))
+    idf and average length are those of a query's candidates' passages alone. The index has passages sorted by work: with up to a
+    thousand candidates a filter on works reaches the files."""
+    ids = [r["doc_id"] for r in candidates.select("doc_id").distinct().limit(1001).collect()]
+    near = lambda df: df.where(F.col("doc_id").isin(ids)) if len(ids) <= 1000 else df
+    mine = small(candidates.select("query", "doc_id"), BROADCAST_TERMS)
+    sizes = near(index.chunks).select("doc_id", "ordinal", "len").join(mine, "doc_id")
+    stats = sizes.groupBy("query").agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("avg_len")).where("avg_len > 0").select("query", F.lit("text").alias("field"), "n", "avg_len")
+    posted = near(index.chunk_postings).join(mine, "doc_id").withColumns({"field": F.lit("text"), "chunk": F.struct("doc_id", "ordinal")})
     hits = _hits(posted, terms, ["query", "token"])
     df = hits.groupBy("query", "token").agg(F.count_distinct("chunk").alias("df"))
     parts = contributions(hits, stats, df, {"text": 1.0}, "chunk")
     scored = parts.groupBy("query", "chunk").agg(F.round(F.sum("contribution"), 6).alias("score")).where("score > 0")
-    at = F.split("chunk", ":")
-    return scored.select("query", at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("ordinal"), "score")
+    return scored.select("query", "chunk.doc_id", "chunk.ordinal", "score")
 
 
 def two_stage(first: DataFrame, found: DataFrame, share: float = SHARE) -> DataFrame:
@@ -143,14 +142,28 @@ def parse(queries: DataFrame) -> DataFrame:
 def passes(works: DataFrame, filters: DataFrame) -> DataFrame:
     """query, doc_id of the works (doc_id, year, journal, topics: array) that pass a query's filters (query, years: array, journal, topic).
 
-    A year is in the list, a journal and a topic contain the folded words; an empty list and null ask for nothing. The filters
-    are a query table, broadcast."""
+    A year is in the list, a journal and a topic contain the folded words; an empty list and null ask for nothing. Queries that ask alike are
+    held against the works once: the filters that differ are MOST_FILTERS at most."""
     w = works.select("doc_id", "year", t.fold(F.col("journal")).alias("_journal"), F.transform("topics", t.fold).alias("_topics"))
     f = filters.select("query", "years", t.fold(F.col("journal")).alias("journal"), t.fold(F.col("topic")).alias("topic"))
+    f = f.withColumn("years", F.array_sort(F.array_distinct(F.coalesce("years", F.array().cast("array<string>")))))
+    kinds = f.select("years", "journal", "topic").distinct()
+    if kinds.limit(MOST_FILTERS + 1).count() > MOST_FILTERS:
+        raise ValueError(f"a query set has {MOST_FILTERS} different filters at most")
     fits = (F.size("years") == 0) | F.array_contains("years", F.col("year").cast("string"))
     fits &= (F.col("journal") == "") | F.col("_journal").contains(F.col("journal"))
     fits &= (F.col("topic") == "") | F.exists("_topics", lambda x: x.contains(F.col("topic")))
-    return w.join(F.broadcast(f), fits).select("query", "doc_id")
+    return w.join(F.broadcast(kinds), fits).select("doc_id", "years", "journal", "topic").join(f, ["years", "journal", "topic"]).select("query", "doc_id")
+
+
+def filtered(parts: DataFrame, works: DataFrame, filters: DataFrame) -> DataFrame:
+    """The contributions() (query, doc_id, ...) of works that pass their query's filters, as passes() has them; a query without a row in `filters`, or
+    with one that asks for nothing, keeps all. df and average lengths stay those of all works."""
+    asks = (F.size("years") > 0) | (F.coalesce("journal", F.lit("")) != "") | (F.coalesce("topic", F.lit("")) != "")
+    bound = filters.where(asks)
+    free = parts.join(bound.select("query").distinct(), "query", "left_anti")
+    rest = parts.join(passes(works, bound), ["query", "doc_id"], "left_semi")
+    return free.unionByName(rest)
 
 
 def expanded_terms(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -160,58 +173,34 @@ def expanded_terms(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     term of a concept 0.6, 0.9 for a phenomenon, unless the query has it; a token of a topic's name 0.8, beside what is there already. Of each
     concept the last term found, in order, is the one that is not expanded."""
     terms = lexicon.select("concept", "facet", t.fold(F.col("term")).alias("term"), "topic").distinct()
-    small = F.broadcast(terms)  # a lexicon has some hundreds of terms
-    folded = queries.select("query", F.concat(F.lit(" "), t.fold(F.col("text")), F.lit(" ")).alias("folded"))
-    found = folded.join(small, contains_term(F.col("folded"), F.col("term"))).select("query", "concept", "facet", "term").distinct()
+    found = matcher.find(queries, terms.drop("topic").distinct(), ["text"], "query").select("query", "concept", "facet", "term").distinct()
     literal = queries.select("query", F.posexplode(query_terms(F.col("text"))).alias("position", "token"))
     strong = found.where("facet = 'PHENOMENON'").select("query", F.explode(query_terms(F.col("term"))).alias("token")).distinct().withColumn("strong", F.lit(True))
     first = literal.join(strong, ["query", "token"], "left").select("query", "token", F.when(F.col("strong"), LITERAL_PHENOMENON).otherwise(LITERAL).alias("weight"))
     shown = found.groupBy("query", "concept", "facet").agg(F.max(F.struct((-F.length("term")).alias("n"), "term")).alias("last"))
-    others = shown.join(F.broadcast(terms.select("concept", F.col("term").alias("other")).distinct()), "concept").where(F.col("other") != F.col("last.term"))
+    others = shown.join(terms.select("concept", F.col("term").alias("other")).distinct(), "concept").where(F.col("other") != F.col("last.term"))
     others = others.select("query", "facet", F.explode(query_terms(F.col("other"))).alias("token"))
     others = others.groupBy("query", "token").agg(F.max(F.when(F.col("facet") == "PHENOMENON", EXPANDED_PHENOMENON).otherwise(EXPANDED)).alias("weight"))
     others = others.join(literal.select("query", "token"), ["query", "token"], "left_anti")
-    topics = shown.join(F.broadcast(terms.where("topic IS NOT NULL").select("concept", "topic").distinct()), "concept").select("query", "topic").distinct()
+    topics = shown.join(terms.where("topic IS NOT NULL").select("concept", "topic").distinct(), "concept").select("query", "topic").distinct()
     topics = topics.select("query", F.explode(query_terms(F.col("topic"))).alias("token"), F.lit(TOPIC).alias("weight"))
     return first.unionByName(others).unionByName(topics)
 
 
-def contains_term(text: Column, term: Column) -> Column:
-    """Whether a folded text, with a space at each end, has a folded term: between spaces, or anywhere if the term has CJK characters."""
-    return F.when(term.rlike(f"[{t.CJK}]"), text.contains(term)).otherwise(text.contains(F.concat(F.lit(" "), term, F.lit(" "))))
-
+def lexicon_hits(docs: DataFrame, lexicon: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
+    """key, concept, term: the terms of `lexicon` (concept, term), folded, that a text has: as whole words, or anywhere for terms with CJK characters. One
+    automaton of all terms passes over each text once, however many terms there are."""
+    return matcher.find(docs, _terms(lexicon), [column], key).select(key, "concept", "term").distinct()
 
-def lexicon_hits(docs: DataFrame, lexicon: DataFrame, column: str, key: str = "doc_id", in_row: int = 200) -> DataFrame:
-    """key, concept, term: the terms of `lexicon` (concept, term) that a folded text has: between other characters, or anywhere for
-    terms with CJK characters.
 
-    A lexicon of up to `in_row` terms is held against each text where it is read. Of a larger one, terms without CJK characters meet the
-    texts' distinct words by their first words, an equal join without the texts, which come back for terms of several words;
-    the others are held against the texts that have such characters."""
-    folded = docs.select(key, F.concat(F.lit(" "), t.fold(F.col(column)), F.lit(" ")).alias("text"))
-    terms = lexicon.select("concept", t.fold(F.col("term")).alias("term")).distinct().where("term <> ''")
-    few = terms.limit(in_row + 1).collect()
-    if len(few) <= in_row:
-        if not few:
-            return folded.select(key, F.lit("").alias("concept"), F.lit("").alias("term")).limit(0)
-        rows = F.array(*[F.struct(F.lit(r["concept"]).alias("concept"), F.lit(r["term"]).alias("term"), t.contains_word(F.col("text"), r["term"]).alias("there")) for r in few])
-        return folded.select(key, F.explode(rows).alias("hit")).where("hit.there").select(key, "hit.concept", "hit.term").distinct()
-    words = folded.select(key, F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("word"))
-    cjk = F.col("term").rlike(f"[{t.CJK}]")
-    found = words.join(terms.where(~cjk).withColumn("word", F.substring_index("term", " ", 1)), "word").select(key, "concept", "term")
-    whole = found.where(~F.col("term").contains(" "))
-    longer = found.where(F.col("term").contains(" ")).join(folded, key).where(F.col("text").contains(F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
-    inside = folded.where(F.col("text").rlike(f"[{t.CJK}]")).join(F.broadcast(terms.where(cjk)), F.col("text").contains(F.col("term")))
-    return whole.unionByName(longer.select(key, "concept", "term")).unionByName(inside.select(key, "concept", "term")).distinct()
+def _terms(lexicon: DataFrame) -> DataFrame:
+    return lexicon.select("concept", t.fold(F.col("term")).alias("term")).where("term <> ''").distinct()
 
 
 def evidence(docs: DataFrame, lexicon: DataFrame, fields: list[str]) -> DataFrame:
-    """doc_id, concept, field, term: for each concept and field of a work the first term found, in the order of terms."""
-    parts = [lexicon_hits(docs, lexicon, f).withColumn("field", F.lit(f)) for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id", "concept", "field").agg(F.min("term").alias("term"))
+    """doc_id, concept, field, term: for each concept and field of a work the first term found, in the order of terms. All fields are read in one pass."""
+    found = matcher.find(docs, _terms(lexicon), fields)
+    return found.groupBy("doc_id", "concept", "field").agg(F.min("term").alias("term"))
 
 
 def roles(works: DataFrame, found: DataFrame, facets: DataFrame, title_share: Column | None = None, names_phenomenon: bool = True) -> DataFrame:
@@ -220,7 +209,7 @@ def roles(works: DataFrame, found: DataFrame, facets: DataFrame, title_share: Co
     CORE with evidence of a phenomenon; else, where the query names none and the share of its tokens in the title is 0.40 or more, CORE; else
     the facet of the most weighted evidence among MECHANISM, OUTCOME and METHOD, in this order on ties; else BACKGROUND."""
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_WEIGHTS.items() for x in kv]), F.col("field"))
-    per = found.join(F.broadcast(facets), "concept").groupBy("doc_id").pivot("facet", ["PHENOMENON", "MECHANISM", "OUTCOME", "METHOD"]).agg(F.sum(F.coalesce(weight, F.lit(1))))
+    per = found.join(small(facets, BROADCAST_TERMS), "concept").groupBy("doc_id").pivot("facet", ["PHENOMENON", "MECHANISM", "OUTCOME", "METHOD"]).agg(F.sum(F.coalesce(weight, F.lit(1))))
     out = works.join(per, "doc_id", "left")
     of = lambda f: F.coalesce(F.col(f), F.lit(0))
     most = F.greatest(of("MECHANISM"), of("OUTCOME"), of("METHOD"))
@@ -249,9 +238,3 @@ def reranked(results: DataFrame, vectors: DataFrame, wanted: DataFrame, share: f
     cosine = dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))
     lead = F.max("score").over(W.partitionBy("query"))
     return both.select("query", "doc_id", F.round(F.col("score") + share * lead * F.coalesce(cosine, F.lit(0.0)), 6).alias("score"))
-
-
-def role(evidence: Column) -> Column:
-    """The role of a work from the set of facets that it has evidence for."""
-    for_ = lambda f: F.array_contains(evidence, f)
-    return F.when(for_("PHENOMENON"), "CORE").when(for_("MECHANISM"), "MECHANISM").when(for_("OUTCOME"), "OUTCOME").when(for_("METHOD"), "METHOD").otherwise("BACKGROUND")

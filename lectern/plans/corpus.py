@@ -149,18 +149,23 @@ SELECT doc_id, CAST(score AS INTEGER) AS score, CASE WHEN exact OR score >= 60 T
 
 
 def q44_query_plan(spark, d):
-    n = F.col("n_nationkey")
-    r = table(spark, d, "nation").select(
-        n.alias("request"), F.when(n % 3 == 0, F.array("n_name", F.lower("n_name"))).otherwise(F.array().cast("array<string>")).alias("titles"), F.when(n % 3 == 1, F.array(F.lit("A B"))).otherwise(F.array().cast("array<string>")).alias("authors"),
-        F.when(n % 4 == 0, F.array(F.lit("x"), F.lit("y"), F.lit("z"))).otherwise(F.array().cast("array<string>")).alias("terms"), F.concat(F.lit("about "), "n_name").alias("question"),
+    """The queries of a request for each customer: journals alone, or DOIs, titles, authors and pairs of words in two languages, or the question."""
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
+    some = lambda test, *values: F.when(test, F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values])).otherwise(none)
+    r = table(spark, d, "customer").select(
+        k.alias("request"), some(k % 7 == 0, F.concat(F.lit("J "), k % 4), "K").alias("journals"), some(k % 5 == 1, F.concat(F.lit("https://doi.org/10.1000/D"), k), "no doi").alias("dois"), some(k % 3 == 0, F.col("c_name"), F.upper("c_name")).alias("titles"), some(k % 4 == 2, "A B").alias("authors"),
+        F.when(k % 6 == 0, F.array(F.lit("x"))).when(k % 6 == 1, F.array(F.lit("x"), F.lit("y"), F.lit("z"))).when(k % 6 == 2, F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), i))).otherwise(none).alias("english"),
+        F.when(k % 5 == 0, F.array(F.lit("数"))).when(k % 5 == 2, F.array(F.lit("数"), F.lit("字"))).otherwise(none).alias("chinese"), F.concat(F.lit(" about "), "c_name").alias("question"),
     )
     return screening.query_plan(r)
 
 
-Q44 = """WITH q AS (SELECT n_nationkey AS request, 0 AS p, 'title' AS kind, n_name AS query FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_nationkey, 1, 'author', 'A B' FROM nation WHERE n_nationkey % 3 = 1
-  UNION ALL SELECT n_nationkey, 2, 'pair', 'x AND y' FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT n_nationkey, 3, 'pair', 'x AND z' FROM nation WHERE n_nationkey % 4 = 0
-  UNION ALL SELECT n_nationkey, 4, 'question', 'about ' || n_name FROM nation WHERE n_nationkey % 3 = 2 AND n_nationkey % 4 <> 0)
-SELECT request, CAST(row_number() OVER (PARTITION BY request ORDER BY p) AS INTEGER) AS step, kind, query FROM q"""
+Q44 = """WITH c AS (SELECT c_custkey AS k, c_name AS name FROM customer), o AS (SELECT * FROM c WHERE k % 7 > 0
+), q AS (SELECT k, 0 AS p, 'journal' AS kind, 'source:"J ' || k % 4 || '"' AS query FROM c WHERE k % 7 = 0 UNION ALL SELECT k, 1, 'journal', 'source:"K"' FROM c WHERE k % 7 = 0
+  UNION ALL SELECT k, 2, 'doi', '10.1000/d' || k FROM o WHERE k % 5 = 1 UNION ALL SELECT k, 3, 'title', '"' || name || '"' FROM o WHERE k % 3 = 0 UNION ALL SELECT k, 4, 'author', 'author:"A B"' FROM o WHERE k % 4 = 2
+  UNION ALL SELECT k, 5, 'english', '"x"' FROM o WHERE k % 6 = 0 UNION ALL SELECT k, 5 + i, 'english', '"x" AND "' || ['y', 'z'][i + 1] || '"' FROM o, range(2) t(i) WHERE k % 6 = 1 UNION ALL SELECT k, 5 + i, 'english', '"w0" AND "w' || i || '"' FROM o, range(1, 10) t(i) WHERE k % 6 = 2
+  UNION ALL SELECT k, 20, 'chinese', CASE WHEN k % 5 = 0 THEN '数' ELSE '数 字' END FROM o WHERE k % 5 IN (0, 2) UNION ALL SELECT k, 30, 'question', 'about ' || name FROM o WHERE k % 5 IN (3, 4) AND k % 3 > 0 AND k % 4 <> 2 AND k % 6 > 2)
+SELECT k AS request, CAST(row_number() OVER (PARTITION BY k ORDER BY p) AS INTEGER) AS step, kind, query FROM q QUALIFY step <= 8"""
 
 
 def q45_caps(spark, d):
@@ -177,22 +182,44 @@ Q45 = """WITH s AS (SELECT s_nationkey AS request, s_suppkey AS source, row_numb
 
 
 def q45_batches(spark, d):
-    return screening.batches(table(spark, d, "customer").select(F.col("c_custkey").alias("request"), F.pmod("c_custkey", F.lit(140)).cast("long").alias("downloads")))
-
-
-Q45B = """WITH t AS (SELECT c_custkey AS request, c_custkey % 140 AS t, (c_custkey % 140 + 24) // 25 AS n FROM customer), b AS (SELECT request, t, n, unnest(range(n)) AS batch FROM t WHERE t > 0)
-SELECT request, CAST(batch AS BIGINT) AS batch, CAST(t // n + (batch < t % n)::INT AS BIGINT) AS downloads FROM b"""
+    """Batches of the downloads of each customer, by quotas of groups or without, with their candidates; requests that break a rule."""
+    k = F.col("c_custkey")
+    n = F.pmod(k, F.lit(140)).cast("long")
+    group = lambda name, q: F.struct(F.lit(name).alias("group"), q.cast("long").alias("quota"))
+    half = F.floor(n / 2)
+    quotas = F.when(k % 4 == 1, F.array(group("a", half), group("b", n - half + F.when(k % 12 == 5, 1).otherwise(0))))
+    r = table(spark, d, "customer").select(k.alias("request"), n.alias("downloads"), (n + k % 90 * 3 - F.when(k % 31 == 0, 1).otherwise(0)).cast("long").alias("candidates"), (k % 5).cast("int").alias("retries"), quotas.alias("quotas"))
+    return screening.batches(r, candidates=40)
+
+
+Q45B = """WITH c AS (SELECT c_custkey AS k, c_custkey % 140 AS n, c_custkey % 140 + c_custkey % 90 * 3 - (c_custkey % 31 = 0)::INT AS cand FROM customer
+), x AS (SELECT *, CASE WHEN cand < 0 THEN 'NEGATIVE_TOTAL' WHEN n > cand THEN 'MORE_DOWNLOADS_THAN_CANDIDATES' WHEN k % 5 = 4 THEN 'RETRIES' WHEN k % 4 = 1 AND k % 12 = 5 THEN 'QUOTA_TOTAL' END AS problem FROM c
+), ok AS (SELECT * FROM x WHERE problem IS NULL), g AS (SELECT k, cand, 1 AS o, 'a' AS grp, n // 2 AS q FROM ok WHERE k % 4 = 1 UNION ALL SELECT k, cand, 2, 'b', n - n // 2 FROM ok WHERE k % 4 = 1
+), parts AS (SELECT k, cand, o, i, grp, least(25, q - 25 * i) AS downloads FROM g, range(6) t(i) WHERE 25 * i < q
+  UNION ALL SELECT k, cand, 3, i, NULL, n // c + (i < n % c)::INT FROM (SELECT *, (n + 24) // 25 AS c FROM ok WHERE k % 4 <> 1 AND n > 0), range(6) t(i) WHERE i < c
+  UNION ALL SELECT k, cand, 4, 0, NULL, 0 FROM ok WHERE k % 4 <> 1 AND n = 0
+), held AS (SELECT k, count(*) AS c FROM parts GROUP BY k), more AS (SELECT * FROM parts UNION ALL SELECT k, cand, 5, i, NULL, 0 FROM (SELECT ok.k, cand, coalesce(c, 0) AS c FROM ok LEFT JOIN held ON held.k = ok.k), range(20) t(i) WHERE i < greatest(1, (cand + 39) // 40) - c
+), r AS (SELECT k, cand, grp, downloads, row_number() OVER (PARTITION BY k ORDER BY o, i) - 1 AS batch, count(*) OVER (PARTITION BY k) AS c FROM more)
+SELECT k AS request, CAST(batch AS INTEGER) AS batch, grp AS quota_group, CAST(downloads AS BIGINT) AS downloads, CAST(cand // c + (batch < cand % c)::INT AS BIGINT) AS candidates, NULL AS problem FROM r
+UNION ALL SELECT k, NULL, NULL, NULL, NULL, problem FROM x WHERE problem IS NOT NULL"""
 
 
 def q46_readiness(spark, d):
+    """Sources by what their trial runs said, and by which evidence of theirs is missing."""
     k = F.col("s_suppkey")
-    notes = F.element_at(F.array(*[F.lit(x) for x in ("", "CAPTCHA shown after login", "needs MFA", "Sign in", "fine", "SSO page")]), (k % 6 + 1).cast("int"))
-    s = table(spark, d, "supplier").select(k.alias("source"), notes.alias("note"), (k % 2 == 0).alias("reachable"), (k % 3 < 2).alias("identified"), F.lit(True).alias("entitled"))
-    return screening.readiness(s).groupBy("state", "action").agg(F.count("*").alias("n"))
+    of = lambda n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.pmod(n, F.lit(len(v))) + 1).cast("int"))
+    flags = [(F.pmod(k, F.lit(m)) > 0).alias(f) for m, f in zip((11, 13, 17, 19, 23, 29), screening.EVIDENCE, strict=True)]
+    s = table(spark, d, "supplier").select(
+        k.alias("source"), of(k, "SUCCESS", "SUCCESS", "ACTION_REQUIRED_USER_LOGIN", "SUCCESS", "ACTION_REQUIRED_USER_DOWNLOAD", "FAILED", "SUCCESS").alias("status"), of(k + F.floor(k / 7), "CAPTCHA after Login", "OTP sent", "Sign in with CARSI", "安全验证", "Login", "please wait").alias("note"),
+        of(k, 1, 1, 0, 1, 1, 1, 2).cast("int").alias("downloads"), *flags,
+    )
+    return screening.readiness(s).groupBy("state", "action", "reason").agg(F.count("*").alias("n"), F.min("source").alias("first"))
 
 
-Q46 = """WITH s AS (SELECT s_suppkey % 6 AS m, s_suppkey AS k FROM supplier), a AS (SELECT k, CASE m WHEN 1 THEN 'CAPTCHA' WHEN 2 THEN 'MFA' WHEN 3 THEN 'LOGIN' WHEN 5 THEN 'SSO' END AS action FROM s)
-SELECT CASE WHEN action IS NOT NULL THEN 'ACTION_REQUIRED' WHEN k % 2 = 0 AND k % 3 < 2 THEN 'READY' ELSE 'NOT_READY' END AS state, action, count(*) AS n FROM a GROUP BY 1, 2"""
+Q46 = """WITH s AS (SELECT s_suppkey AS k, ['SUCCESS', 'SUCCESS', 'ACTION_REQUIRED_USER_LOGIN', 'SUCCESS', 'ACTION_REQUIRED_USER_DOWNLOAD', 'FAILED', 'SUCCESS'][s_suppkey % 7 + 1] AS status, (s_suppkey + s_suppkey // 7) % 6 AS m, ['CAPTCHA after Login', 'OTP sent', 'Sign in with CARSI', '安全验证', 'Login', 'please wait'][(s_suppkey + s_suppkey // 7) % 6 + 1] AS note FROM supplier
+), f AS (SELECT *, array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'authorized' END, CASE WHEN k % 13 = 0 THEN 'validated' END, CASE WHEN k % 17 = 0 THEN 'identified' END, CASE WHEN k % 19 = 0 THEN 'current' END, CASE WHEN k % 23 = 0 THEN 'unattended' END, CASE WHEN k % 29 = 0 THEN 'hashed' END], lambda x: x IS NOT NULL), ',') AS missing FROM s
+), r AS (SELECT k, CASE k % 7 WHEN 2 THEN note WHEN 4 THEN 'UNATTENDED_DOWNLOAD_UNSUPPORTED' WHEN 5 THEN 'WORKFLOW_STATUS_FAILED' WHEN 6 THEN 'WORKFLOW_STATUS_SUCCESS' ELSE 'MISSING ' || nullif(missing, '') END AS reason, CASE WHEN k % 7 = 2 THEN ['CAPTCHA', 'MFA', 'SSO', 'SECURITY_CHALLENGE', 'LOGIN', 'MANUAL_AUTHENTICATION'][m + 1] END AS action FROM f)
+SELECT CASE WHEN k % 7 = 2 THEN 'ACTION_REQUIRED' WHEN reason IS NULL THEN 'READY' ELSE 'NOT_READY' END AS state, action, reason, count(*) AS n, min(k) AS first FROM r GROUP BY 1, 2, 3"""
 
 
 def q47_route(spark, d):

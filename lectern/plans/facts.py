@@ -154,12 +154,12 @@ Q62V = f"WITH {NODES_SQL} SELECT n AS node, visible FROM vis"
 
 def q62_challenge(spark, d):
     n = F.col("n")
-    pages = parts(spark, d).where("n < 90").select(n.alias("page_id"), (n % 4 > 0).alias("confirmed"), (n % 9 > 0).alias("complete"), (n % 31 == 0).alias("blocking"))
-    return access.challenge(pages, access.visibility(nodes(spark, d)).where("page_id < 40"))
+    pages = parts(spark, d).select(n.alias("page_id"), (n % 4 > 0).alias("confirmed"), (n % 9 > 0).alias("complete"), (n % 31 == 0).alias("blocking"))
+    return access.challenge(pages, access.visibility(nodes(spark, d)))
 
 
-Q62H = f"""WITH {NODES_SQL}, g AS (SELECT page_id, coalesce(bool_or(visible), false) AS seen, bool_or(visible IS NULL) AS open, bool_or(overlay AND coalesce(visible, true)) AS covers FROM vis WHERE page_id < 40 GROUP BY 1)
-SELECT n AS page_id, CASE WHEN n % 31 = 0 OR coalesce(covers, false) THEN 'BLOCKING' WHEN coalesce(seen, false) THEN 'VISIBLE' WHEN n % 4 = 0 OR n % 9 = 0 OR coalesce(open, false) THEN 'UNCERTAIN' WHEN open IS NOT NULL THEN 'DORMANT' ELSE 'NONE' END AS state FROM p LEFT JOIN g ON page_id = n WHERE n < 90"""
+Q62H = f"""WITH {NODES_SQL}, g AS (SELECT page_id, coalesce(bool_or(visible), false) AS seen, bool_or(visible IS NULL) AS open, bool_or(overlay AND coalesce(visible, true)) AS covers FROM vis GROUP BY 1)
+SELECT n AS page_id, CASE WHEN n % 31 = 0 OR coalesce(covers, false) THEN 'BLOCKING' WHEN coalesce(seen, false) THEN 'VISIBLE' WHEN n % 4 = 0 OR n % 9 = 0 OR coalesce(open, false) THEN 'UNCERTAIN' WHEN open IS NOT NULL THEN 'DORMANT' ELSE 'NONE' END AS state FROM p LEFT JOIN g ON page_id = n"""
 
 
 def q62_static_challenge(spark, d):
@@ -172,13 +172,14 @@ Q62S = f"WITH {P} SELECT n AS page_id, CASE WHEN n % 11 = 0 THEN 'UNCERTAIN' WHE
 
 def q62_page_lock(spark, d):
     n = F.col("n")
-    pages = parts(spark, d).select(n.alias("page_id"), choose(n, "www.a.org", "a.org", "b.net").alias("host"), F.concat(F.lit("https://a.org/p/"), n % 40, F.lit("?s="), n).alias("url"), F.concat(F.lit("Title "), n % 40, F.lit("!")).alias("title"), (n % 80 < 40).alias("active")).where("page_id % 40 < 25 OR page_id < 40")
-    wanted = parts(spark, d).where("n < 45").select(n.alias("key"), F.concat(F.lit("https://a.org/p/"), n).alias("url"), F.concat(F.lit("title "), n).alias("title"))
+    k = F.floor(n / 3) + F.when(n % 7 == 0, 1).otherwise(0)
+    pages = parts(spark, d).select(n.alias("page_id"), choose(n, "www.a.org", "a.org", "b.net").alias("host"), F.concat(F.lit("https://a.org/p/"), k, F.lit("?s="), n).alias("url"), F.concat(F.lit("Title "), k, F.lit("!")).alias("title"), (n % 5 < 2).alias("active"))
+    wanted = parts(spark, d).select(n.alias("key"), F.concat(F.lit("https://a.org/p/"), n).alias("url"), F.concat(F.lit("title "), n).alias("title"))
     return access.page_lock(pages, wanted, ["a.org"])
 
 
-Q62P = f"""WITH {P}, x AS (SELECT n AS page_id, n % 40 AS k, n % 80 < 40 AS active FROM p WHERE n % 3 <> 2 AND (n % 40 < 25 OR n < 40)), g AS (SELECT k, count(*) AS c, min(page_id) AS only_, count(*) FILTER (active) AS a, min(page_id) FILTER (active) AS live FROM x GROUP BY k)
-SELECT n AS key, CASE WHEN c = 1 THEN only_ WHEN a = 1 THEN live END AS page_id, CASE WHEN c = 1 OR a = 1 THEN 'LOCKED' WHEN c > 1 THEN 'AMBIGUOUS' ELSE 'ABSENT' END AS outcome FROM p LEFT JOIN g ON k = n WHERE n < 45"""
+Q62P = f"""WITH {P}, x AS (SELECT n AS page_id, n // 3 + (n % 7 = 0)::INT AS k, n % 5 < 2 AS active FROM p WHERE n % 3 <> 2), g AS (SELECT k, count(*) AS c, min(page_id) AS only_, count(*) FILTER (active) AS a, min(page_id) FILTER (active) AS live FROM x GROUP BY k)
+SELECT n AS key, CASE WHEN c = 1 THEN only_ WHEN a = 1 THEN live END AS page_id, CASE WHEN c = 1 OR a = 1 THEN 'LOCKED' WHEN c > 1 THEN 'AMBIGUOUS' ELSE 'ABSENT' END AS outcome FROM p LEFT JOIN g ON k = n"""
 
 
 def q62_identity(spark, d):
@@ -237,12 +238,12 @@ Q63K = f"WITH {P} SELECT n, CASE WHEN n % 5 = 1 THEN 'PUBLISHER_BLOCKED' WHEN n
 def q63_detail_locks(spark, d):
     """The row of a result list that each detail page is: found by DOI, or by title and year."""
     n = F.col("n")
-    rows = parts(spark, d).select((n % 10).alias("query"), n.alias("position"), F.when(n % 3 == 0, F.concat(F.lit("10.1000/"), n % 50)).alias("doi"), F.concat(F.lit("Title "), n % 50).alias("title"), F.when(n % 4 > 0, (2000 + n % 7).cast("int")).alias("year"))
-    details = parts(spark, d).where("n <= 60").select(n.alias("detail"), (n % 10).alias("query"), F.when(n % 2 == 0, F.concat(F.lit("doi:10.1000/"), n % 50)).alias("doi"), F.concat(F.lit("TITLE "), n % 50, F.lit("!")).alias("title"), F.when(n % 5 > 0, (2000 + n % 7).cast("int")).alias("year"))
+    rows = parts(spark, d).select(F.floor(n / 60).alias("query"), n.alias("position"), F.when(n % 3 == 0, F.concat(F.lit("10.1000/"), n % 50)).alias("doi"), F.concat(F.lit("Title "), n % 50).alias("title"), F.when(n % 4 > 0, (2000 + n % 7).cast("int")).alias("year"))
+    details = parts(spark, d).select(n.alias("detail"), F.floor((n + 7) / 60).alias("query"), F.when(n % 2 == 0, F.concat(F.lit("doi:10.1000/"), n % 50)).alias("doi"), F.concat(F.lit("TITLE "), n % 50, F.lit("!")).alias("title"), F.when(n % 5 > 0, (2000 + n % 7).cast("int")).alias("year"))
     return queues.lock_detail(rows, details)
 
 
-Q63D = f"""WITH {P}, r AS (SELECT n % 10 AS q, n AS position, CASE WHEN n % 3 = 0 THEN n % 50 END AS doi, n % 50 AS title, CASE WHEN n % 4 > 0 THEN 2000 + n % 7 END AS year FROM p), e AS (SELECT n AS detail, n % 10 AS q, CASE WHEN n % 2 = 0 THEN n % 50 END AS doi, n % 50 AS title, CASE WHEN n % 5 > 0 THEN 2000 + n % 7 END AS year FROM p WHERE n <= 60)
+Q63D = f"""WITH {P}, r AS (SELECT n // 60 AS q, n AS position, CASE WHEN n % 3 = 0 THEN n % 50 END AS doi, n % 50 AS title, CASE WHEN n % 4 > 0 THEN 2000 + n % 7 END AS year FROM p), e AS (SELECT n AS detail, (n + 7) // 60 AS q, CASE WHEN n % 2 = 0 THEN n % 50 END AS doi, n % 50 AS title, CASE WHEN n % 5 > 0 THEN 2000 + n % 7 END AS year FROM p)
 SELECT detail, min(position) AS position FROM e LEFT JOIN r ON e.q = r.q AND CASE WHEN e.doi IS NOT NULL AND r.doi IS NOT NULL THEN e.doi = r.doi ELSE e.title = r.title AND (e.year IS NULL OR r.year IS NULL OR e.year = r.year) END GROUP BY detail"""
 
 
@@ -344,12 +345,12 @@ def q64_tables(spark, d):
     n = F.col("n")
     html = F.concat(F.lit('<table><tr class="head"><td>x</td></tr><tr class="odd tableShow"><td> <a href="/t">T'), n, F.lit("</a></td><td>"), n % 3, F.lit('</td></tr><tr class="tableShow"><td>z</td></tr></table>'))
     rows = queues.table_rows(parts(spark, d).select(n.alias("page_id"), html.alias("html")))
-    hits = parts(spark, d).select((n % 20).alias("request"), choose(n, "A", "B").alias("code"), choose(n, "X", "Y", "Z").alias("database"), F.concat(F.lit("/h"), n % 40).alias("href")).where("request < 15")
-    picked = queues.pick_table(hits, parts(spark, d).where("n <= 20").select((n - 1).alias("request"), choose(n - 1, "A", "B").alias("code"), F.when(n < 12, F.array(F.lit("X"))).otherwise(F.array(F.lit("X"), F.lit("Y"))).alias("databases")))
+    hits = parts(spark, d).select(F.floor(n / 4).alias("request"), choose(F.floor(n / 4), "A", "B").alias("code"), choose(n, "X", "Y", "Z").alias("database"), F.concat(F.lit("/h"), F.floor(n / 2)).alias("href"))
+    picked = queues.pick_table(hits, parts(spark, d).select((n - 1).alias("request"), choose(n - 1, "A", "B").alias("code"), F.when(n % 24 < 12, F.array(F.lit("X"))).otherwise(F.array(F.lit("X"), F.lit("Y"))).alias("databases")))
     return rows.select(F.lit("row").alias("kind"), F.concat_ws("-", "page_id", "row").alias("key"), F.array_join("cells", "|").alias("value")).unionByName(picked.select(F.lit("pick").alias("kind"), F.col("request").cast("string").alias("key"), F.concat_ws(" ", "outcome", "href").alias("value")))
 
 
-Q64B = f"""WITH {P}, h AS (SELECT n % 20 AS request, n % 40 AS href, n % 3 AS b FROM p WHERE n % 20 < 15), w AS (SELECT n - 1 AS request, CASE WHEN n < 12 THEN 1 ELSE 2 END AS bs FROM p WHERE n <= 20
+Q64B = f"""WITH {P}, h AS (SELECT n // 4 AS request, n // 2 AS href, n % 3 AS b FROM p), w AS (SELECT n - 1 AS request, CASE WHEN n % 24 < 12 THEN 1 ELSE 2 END AS bs FROM p
 ), g AS (SELECT request, count(DISTINCT href) AS c, min('/h' || href) AS href FROM h JOIN w USING (request) WHERE b < bs GROUP BY request)
 SELECT 'row' AS kind, n || '-0' AS key, 'T' || n || '|' || n % 3 AS value FROM p UNION ALL SELECT 'row', n || '-1', 'z' FROM p UNION ALL SELECT 'pick', request::VARCHAR, CASE WHEN c = 1 THEN 'PICKED ' || href WHEN c > 1 THEN 'AMBIGUOUS' ELSE 'NONE' END FROM w LEFT JOIN g USING (request)"""
 
@@ -368,13 +369,14 @@ SELECT batch, CASE WHEN c > 25 THEN 'TOO_MANY' WHEN batch % 11 = 4 THEN 'UNKNOWN
 
 def q65_accounting(spark, d):
     n = F.col("n")
-    e = parts(spark, d).select((n % 30).alias("batch"), n.alias("attempt"), (n % 3 == 0).alias("ok"), (n % 30 % 4 > 0).alias("retryable"), F.lit(2).alias("count")).where("attempt < 30 OR (batch % 5 = 1 AND attempt < 200)")
-    return queues.accounting(parts(spark, d).where("n <= 40").select((n - 1).alias("batch"), F.when(n % 6 == 1, 1).otherwise(5).alias("budget")), e)
+    batch = F.when(F.floor(n / 64) % 2 == 0, F.floor(n / 2)).otherwise(F.floor(n / 6))
+    e = parts(spark, d).select(batch.alias("batch"), n.alias("attempt"), (n % 3 == 0).alias("ok"), (batch % 4 > 0).alias("retryable"), F.lit(2).alias("count"))
+    return queues.accounting(parts(spark, d).select((n - 1).alias("batch"), F.when(n % 6 == 1, 1).otherwise(5).alias("budget")), e)
 
 
-Q65A = f"""WITH {P}, e AS (SELECT n % 30 AS batch, n, n % 3 = 0 AS ok, n % 30 % 4 > 0 AS retry FROM p WHERE n < 30 OR (n % 30 % 5 = 1 AND n < 200)
+Q65A = f"""WITH {P}, b AS (SELECT n, CASE WHEN n // 64 % 2 = 0 THEN n // 2 ELSE n // 6 END AS batch FROM p), e AS (SELECT batch, n, n % 3 = 0 AS ok, batch % 4 > 0 AS retry FROM b
 ), l AS (SELECT *, lag(CASE WHEN ok THEN 'd' WHEN retry THEN 'a' ELSE 's' END) OVER (PARTITION BY batch ORDER BY n) AS after FROM e), g AS (SELECT batch, sum(CASE WHEN ok THEN 2 ELSE 0 END) AS done, count(*) AS attempts, bool_or(coalesce(after <> 'a', false)) AS odd FROM l GROUP BY batch
-), w AS (SELECT n - 1 AS batch, CASE WHEN n % 6 = 1 THEN 1 ELSE 5 END AS budget, coalesce(done, 0)::BIGINT AS done, coalesce(attempts, 0) AS attempts, coalesce(odd, false) AS odd FROM p LEFT JOIN g ON batch = n - 1 WHERE n <= 40)
+), w AS (SELECT n - 1 AS batch, CASE WHEN n % 6 = 1 THEN 1 ELSE 5 END AS budget, coalesce(done, 0)::BIGINT AS done, coalesce(attempts, 0) AS attempts, coalesce(odd, false) AS odd FROM p LEFT JOIN g ON batch = n - 1)
 SELECT batch, done, attempts, CASE WHEN done > budget THEN 'OVER_BUDGET' WHEN odd THEN 'RETRIED_WRONGLY' WHEN attempts > 4 THEN 'TOO_MANY_RETRIES' WHEN done > 0 THEN 'DONE' ELSE 'NOTHING' END AS verdict FROM w"""
 
 

@@ -44,6 +44,24 @@ Q31 = """WITH r AS (SELECT user_id AS key, event_id AS p, event_type = 'purchase
 SELECT DISTINCT user_id AS key, stops_at FROM events LEFT JOIN s ON user_id = key"""
 
 
+OUTCOMES = ("DOWNLOADED", "NOT_FOUND", "ALREADY_IN_LIBRARY", "FAILED", "NOT_AUTHORIZED", "DOWNLOADED", "NOT_DOWNLOADED", "NOT_FOUND", "OTHER", "DOWNLOAD_FAILED", "DAILY_BUDGET_EXHAUSTED", "NOT_FOUND", "ENV_NOT_READY")
+
+
+def q31_stops(spark, d):
+    """Batches of sixteen outcomes of the event log: which end at a gate or after three misses in a row, and what they did."""
+    k = F.col("event_id")
+    outcome = F.element_at(F.array(*map(F.lit, OUTCOMES)), (F.pmod(F.col("user_id") * 7 + F.floor("value"), F.lit(len(OUTCOMES))) + 1).cast("int"))
+    return ledger.stops(table(spark, d, "events").select(F.floor(k / 16).alias("batch"), k.alias("position"), outcome.alias("outcome")))
+
+
+Q31S = f"""WITH e AS (SELECT event_id // 16 AS batch, event_id AS p, {list(OUTCOMES)!r}[((user_id * 7 + floor(value)::BIGINT) % {len(OUTCOMES)} + {len(OUTCOMES)}) % {len(OUTCOMES)} + 1] AS o FROM events
+), b AS (SELECT batch, list(o ORDER BY p) AS os, list(p ORDER BY p) AS ps FROM e GROUP BY batch
+), t AS (SELECT batch, os, ps, i, os[i] AS o, list_filter(os[:i], lambda x: x NOT IN ('ALREADY_IN_LIBRARY', 'OTHER', 'DAILY_BUDGET_EXHAUSTED', 'ENV_NOT_READY')) AS seen FROM (SELECT *, unnest(range(1, len(os) + 1)) AS i FROM b)
+), s AS (SELECT *, CASE o WHEN 'DAILY_BUDGET_EXHAUSTED' THEN 'STOPPED_DAILY_BUDGET_EXHAUSTED' WHEN 'ENV_NOT_READY' THEN 'STOPPED_ENV_NOT_READY' ELSE CASE WHEN o NOT IN ('DOWNLOADED', 'ALREADY_IN_LIBRARY', 'OTHER') AND len(seen) >= 3 AND NOT list_contains(seen[-3:], 'DOWNLOADED') THEN 'STOPPED_CONSECUTIVE_MISSES' END END AS ends FROM t
+), f AS (SELECT batch, min(i) FILTER (ends IS NOT NULL) AS cut_, arg_min(ends, i) FILTER (ends IS NOT NULL) AS status FROM s GROUP BY batch)
+SELECT b.batch, coalesce(status, 'COMPLETED') AS status, ps[cut_] AS stopped_at, coalesce(cut_, len(os)) AS ran, CAST(len(list_filter(os[:coalesce(cut_, len(os))], lambda x: x = 'DOWNLOADED')) AS BIGINT) AS downloaded FROM b JOIN f ON f.batch = b.batch"""
+
+
 def q32_anchors(spark, d):
     a = markup.anchors(markup.elements(table(spark, d, "pages"), only={"a"}))
     return a.groupBy("page_id").agg(F.count("*").alias("links"), F.min_by("href", "position").alias("first"), F.count_if(F.col("href") == F.concat(F.lit("/"), F.col("label"))).alias("named"))
@@ -256,5 +274,5 @@ def q54_pacing(spark, d):
 Q54 = f"""WITH {ATTEMPTS}, l AS (SELECT attempt, epoch_us(ts) / 1e6 AS t, lag(epoch_us(ts) / 1e6) OVER w AS a, lag(epoch_us(ts) / 1e6, 4) OVER w AS b FROM attempts WINDOW w AS (PARTITION BY source, day ORDER BY ts, attempt))
 SELECT attempt, round(greatest(0.0, coalesce(15.0 - (t - a), 0.0), coalesce(7200.0 - (t - b), 0.0)), 6) AS wait FROM l"""
 
-QUERIES = {f.__name__: f for f in (q28_usage, q30_latest_state, q31_misses, q32_anchors, q32_articles, q33_official, q33_links, q34_listing, q35_claims, q35_finished, q36_cube_size, q36_cube_rows, q37_whole_tables, q48_signals, q49_decisions, q50_confirm, q50_outside, q51_backtest, q52_budget, q53_admitted, q54_pacing)}
-ORACLES = {"q28_usage": Q28, "q30_latest_state": Q30, "q31_misses": Q31, "q32_anchors": Q32, "q32_articles": Q32A, "q33_official": Q33, "q33_links": Q33L, "q34_listing": Q34, "q35_claims": Q35, "q35_finished": Q35F, "q36_cube_size": Q36, "q36_cube_rows": Q36R, "q37_whole_tables": Q37, "q48_signals": Q48, "q49_decisions": Q49, "q50_confirm": Q50C, "q50_outside": Q50, "q51_backtest": Q51, "q52_budget": Q52, "q53_admitted": Q53, "q54_pacing": Q54}
+QUERIES = {f.__name__: f for f in (q28_usage, q30_latest_state, q31_misses, q31_stops, q32_anchors, q32_articles, q33_official, q33_links, q34_listing, q35_claims, q35_finished, q36_cube_size, q36_cube_rows, q37_whole_tables, q48_signals, q49_decisions, q50_confirm, q50_outside, q51_backtest, q52_budget, q53_admitted, q54_pacing)}
+ORACLES = {"q28_usage": Q28, "q30_latest_state": Q30, "q31_misses": Q31, "q31_stops": Q31S, "q32_anchors": Q32, "q32_articles": Q32A, "q33_official": Q33, "q33_links": Q33L, "q34_listing": Q34, "q35_claims": Q35, "q35_finished": Q35F, "q36_cube_size": Q36, "q36_cube_rows": Q36R, "q37_whole_tables": Q37, "q48_signals": Q48, "q49_decisions": Q49, "q50_confirm": Q50C, "q50_outside": Q50, "q51_backtest": Q51, "q52_budget": Q52, "q53_admitted": Q53, "q54_pacing": Q54}

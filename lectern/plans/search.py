@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as t
-from lectern.operators import catalog, index, search
+from lectern.operators import access, catalog, index, screening, search
 from lectern.plans.text import CHUNKS_SQL, STOPS
 from lectern.sources import shared
 from lectern.sources.tables import WORKS_SQL, fold_sql, stem_sql, table, works
@@ -40,17 +40,24 @@ def fields_of(w):
     return w.select("doc_id", "title", "topics", F.concat_ws(" ", "author", "author").alias("authors"), "journal", "body")
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str], tuple[str, tuple]] = {}
+
+
+def indexed(w):
+    return fields_of(w.withColumn("topics", F.concat_ws(" ", "domain", "subtopic")))
 
 
 def index_of(spark, d):
-    """The index of the works of a folder, built once in a session."""
+    """The index of the works of a folder with their passages: made once in a session; where files of the table have changed since, the works that
+    are not as the index has them are indexed anew."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        path = shared.new_path(spark, "index")
-        index.build(fields_of(works(spark, d).withColumn("topics", F.concat_ws(" ", "domain", "subtopic"))), list(WITH_TEXT), path)
-        _INDEXES[key] = path
-    return index.read(spark, _INDEXES[key])
+    w = works(spark, d)
+    path, seen = _INDEXES.get(key) or (shared.new_path(spark, "index"), None)
+    now = shared.state_of_files(w)
+    if seen != now:
+        index.update(indexed(w), list(WITH_TEXT), path, passages_of="body")
+        _INDEXES[key] = path, now
+    return index.read(spark, path)
 
 
 def lexicon(spark):
@@ -147,7 +154,7 @@ UNION ALL SELECT 2, doc_id FROM works WHERE domain LIKE '%de src%' OR subtopic L
 def q14_lookup(spark, d):
     """Looked up: every item of the benchmark by id, DOI, title, author or journal, some by a name alone, some exactly."""
     k = F.col("item_id")
-    wanted = table(spark, d, "benchmark").where("item_id < 40").select(
+    wanted = table(spark, d, "benchmark").select(
         k.alias("query"), F.when(k % 4 == 0, k * 7).alias("id"), F.when(k % 4 == 1, F.concat(F.lit("https://doi.org/10.1000/W"), k * 4)).alias("doi"), F.when(k % 4 == 2, F.substring_index("text", "\n", 1)).alias("title"),
         F.when(k % 9 == 3, F.concat(F.lit("Author "), k)).alias("author"), F.when(k % 4 == 3, F.concat(F.lit("AUTHOR 9"), k % 7)).otherwise(F.substring_index("text", " ", 4)).alias("bare"), F.when(k % 11 == 5, "src4").alias("journal"), (k % 8 == 1).alias("exact"),
     )
@@ -156,7 +163,7 @@ def q14_lookup(spark, d):
     return catalog.lookup(full(spark, d), wanted, lexical)
 
 
-Q14 = f"""WITH {CATALOG_SQL}, k AS (SELECT item_id AS k, text FROM benchmark WHERE item_id < 40
+Q14 = f"""WITH {CATALOG_SQL}, k AS (SELECT item_id AS k, text FROM benchmark
 ), ask AS (SELECT k AS query, CASE WHEN k % 4 = 0 THEN k * 7 END AS id, CASE WHEN k % 4 = 1 THEN '10.1000/w' || k * 4 END AS doi, CASE WHEN k % 4 = 2 THEN {fold_sql("split_part(text, chr(10), 1)")} ELSE '' END AS title, CASE WHEN k % 9 = 3 THEN 'author ' || k ELSE '' END AS author,
   CASE WHEN k % 4 = 3 THEN 'AUTHOR 9' || k % 7 ELSE array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') END AS raw, CASE WHEN k % 11 = 5 THEN 'src4' ELSE '' END AS journal, k % 8 = 1 AS exact FROM k
 ), names AS (SELECT doc_id, unnest(authors) AS name FROM catalog
@@ -182,8 +189,8 @@ Q15 = f"WITH {HITS_SQL} SELECT doc_id, concept, term FROM hits"
 
 
 def q15_titles(spark, d):
-    """Terms of a large lexicon, by equal joins, in titles of which some have Chinese characters."""
-    return search.lexicon_hits(full(spark, d), lexicon(spark), "title", in_row=1)
+    """Terms of the lexicon in titles of which some have Chinese characters."""
+    return search.lexicon_hits(full(spark, d), lexicon(spark), "title")
 
 
 Q15T = f"WITH {CATALOG_SQL}, {LEXICON_SQL}, folded AS (SELECT doc_id, ' ' || {fold_sql('title')} || ' ' AS text FROM catalog) SELECT DISTINCT doc_id, concept, term FROM folded JOIN lexicon ON {HAS}"
@@ -211,6 +218,43 @@ Q17 = f"""WITH {WORKS_SQL}, a AS (SELECT *, [author, 'author ' || doc_id % 11] A
 SELECT doc_id, year, title LIKE 'And%' AS by_title FROM a WHERE year BETWEEN 1995 AND 2015 AND CASE WHEN title LIKE 'And%' THEN list_has_any(authors, ['author 3', 'author 5']) ELSE list_has_all(authors, ['author 3', 'author 5']) END"""
 
 
+def q16_title_in_text(spark, d):
+    """Titles that are claimed of texts: as they are, with an author after them, with somebody else, after other words, or nothing."""
+    n = F.col("doc_id")
+    of = lambda k, *v: F.element_at(F.array(*v), (F.pmod(k, F.lit(len(v))) + 1).cast("int"))
+    w = works(spark, d)
+    claimed = of(n, F.col("title"), F.concat("title", F.lit(" \u2014 "), F.upper("author")), F.concat("title", F.lit(": nobody")), F.concat(F.lit("zzz "), "title"), F.lit(" "))
+    text = of(F.floor(n / 5), F.col("body"), F.concat(F.lit("x\n Authors: somebody; "), "author", F.lit("\n"), "body"), F.regexp_replace("body", "[ \n]", ""))
+    return w.select("doc_id", access.title_in_text(claimed, text, F.array(F.lit("somebody"), F.col("author"))).alias("there"))
+
+
+_SEPARATED = r"'^(.+?)\s*[-\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}\x{2015}:\x{FF1A}]\s*([^\r\n]+?)\s*$'"
+Q16T = f"""WITH {WORKS_SQL}, c AS (SELECT doc_id, author, CASE doc_id % 5 WHEN 0 THEN title WHEN 1 THEN title || ' \u2014 ' || upper(author) WHEN 2 THEN title || ': nobody' WHEN 3 THEN 'zzz ' || title ELSE ' ' END AS t,
+    CASE doc_id // 5 % 3 WHEN 0 THEN body WHEN 1 THEN 'x' || chr(10) || ' Authors: somebody; ' || author || chr(10) || body ELSE regexp_replace(body, '[ \n]', '', 'g') END AS x, doc_id // 5 % 3 = 1 AS lined FROM works
+), f AS (SELECT *, {fold_sql("t")} AS want, {fold_sql("x")} AS have, {fold_sql(f"regexp_extract(t, {_SEPARATED}, 1)")} AS core, replace({fold_sql(f"regexp_extract(t, {_SEPARATED}, 2)")}, ' ', '') AS who FROM c)
+SELECT doc_id, CASE WHEN want <> '' AND have <> '' THEN contains(have, want) OR contains(replace(have, ' ', ''), replace(want, ' ', ''))
+  OR ((who = replace(author, ' ', '') OR who = 'somebody') AND (lined OR regexp_matches(x, '(?im)^\s*authors?\s*[:]')) AND length(replace(core, ' ', '')) >= 12 AND (contains(have, core) OR contains(replace(have, ' ', ''), replace(core, ' ', '')))) END AS there FROM f"""
+
+
+def q17_requested(spark, d):
+    """Works that are what a request names, the kind of request varying by the work: DOIs, titles, authors, years, any of them or nothing."""
+    n = F.col("doc_id")
+    some = lambda test, *v: F.when(test, F.array(*v))
+    record = {"doi": F.col("doi"), "title": F.col("title"), "year": F.col("year").cast("string"), "authors": F.when(n % 13 == 0, F.array().cast("array<string>")).otherwise(F.col("authors"))}
+    wanted = {
+        "dois": some(n % 8 < 2, F.lit("10.1000/none"), F.concat(F.lit("DOI:10.1000/W"), n)), "titles": some((n % 5 == 0) & (n % 8 > 0), F.concat(F.upper("title"), F.lit("!")), F.lit("another")),
+        "authors": F.when(n % 3 == 0, F.array(F.lit("Author 5"), F.concat(F.lit("AUTHOR "), n % 97))).when(n % 3 == 1, F.array(F.lit("author"), F.concat(F.lit(""), n % 11))), "first": F.when(n % 4 == 1, 2000), "last": F.when(n % 6 == 1, 2010),
+    }
+    return full(spark, d).select("doc_id", screening.wanted_target(record, wanted).alias("wanted"))
+
+
+Q17R = f"""WITH {CATALOG_SQL}, r AS (SELECT doc_id AS n, doi, {fold_sql("title")} AS title, year, CASE WHEN doc_id % 13 = 0 THEN [] ELSE authors END AS authors, doc_id % 8 < 2 AS d, doc_id % 5 = 0 AND doc_id % 8 > 0 AND true AS t FROM catalog
+), x AS (SELECT *, CASE n % 3 WHEN 0 THEN ['author 5', 'author ' || n % 97] WHEN 1 THEN ['author', (n % 11)::VARCHAR] ELSE [] END AS who FROM r
+), m AS (SELECT *, list_transform(who, lambda a: len(list_filter(authors, lambda o: o = a OR list_contains(string_split(o, ' '), a))) > 0) AS there FROM x)
+SELECT n AS doc_id, (NOT d AND NOT t AND len(who) = 0) OR ((NOT d OR coalesce(doi = '10.1000/w' || n, false)) AND (NOT t OR title <> '') AND (n % 4 <> 1 OR year >= 2000) AND (n % 6 <> 1 OR year <= 2010)
+  AND CASE WHEN len(who) = 0 THEN true WHEN len(authors) = 0 THEN d OR t WHEN d OR t THEN list_contains(there, true) ELSE NOT list_contains(there, false) END) AS wanted FROM m"""
+
+
 def q18_topic_links(spark, d):
     w = works(spark, d)
     links = w.select("doc_id", F.explode(F.array(F.struct(F.lit("domain").alias("kind"), F.col("domain").alias("name")), F.struct(F.lit("subtopic").alias("kind"), F.col("subtopic").alias("name")))).alias("l"))
@@ -252,7 +296,7 @@ def stages(spark, d):
     """Candidates by what the catalog has of a work, and their passages, for the query set."""
     terms = search.plain_terms(asked(spark, d))
     first = shared.keep(search.ranked(search.term_scores(index_of(spark, d), terms, FIELDS, list(FIELDS)), search.DEPTH), "candidates")
-    return first, shared.keep(search.passage_scores(first, works(spark, d).select("doc_id", F.col("body").alias("text")), terms), "passages")
+    return first, search.passage_scores(index_of(spark, d), first, terms)
 
 
 def q21_two_stage(spark, d):
@@ -331,20 +375,60 @@ SELECT query, doc_id, round(score + 0.5 * max(score) OVER (PARTITION BY query) *
 
 
 def q22_index(spark, d):
-    """The index of the works: validated, then held against the catalog as it is and against one that has changed."""
-    w = fields_of(works(spark, d).withColumn("topics", F.concat_ws(" ", "domain", "subtopic")))
-    path = shared.new_path(spark, "index")
-    small = w.select("doc_id", "title", "journal")
-    rows = [("before", index.status(small, path))]
-    index.build(small, ["title", "journal"], path)
+    """What the index has of each work while the catalog changes: some titles, some works gone, others new; then brought up to date and merged."""
+    w = indexed(works(spark, d))
+    before = w.where("doc_id % 7 <> 2")
+    after = w.where("doc_id % 11 <> 3").withColumn("title", F.when(F.col("doc_id") % 5 == 0, F.concat("title", F.lit(" changed"))).otherwise(F.col("title")))
+    path, fields = shared.new_path(spark, "index"), ["title", "journal"]
+    rows = [("before", index.status(before, path))]
+    index.build(before, fields, path)
+    rows += [("same", index.status(before.repartition(3), path)), ("changed", index.status(after, path))]
+    states = shared.keep(index.freshness(after, path).groupBy("state").agg(F.count("*").alias("n")), "states")
+    rows += [("updated", str(index.update(after, fields, path))), ("again", str(index.update(after, fields, path))), ("now", index.status(after, path))]
     rows += [(r["check"], str(r["ok"])) for r in index.validate(spark, path).collect()]
-    rows += [("same", index.status(small, path)), ("shuffled", index.status(small.repartition(3), path)), ("changed", index.status(small.withColumn("title", F.concat("title", F.lit("x"))), path))]
-    index.rebuild(small.where("doc_id > 0"), ["title"], path)
-    rows += [("less", index.status(small, path)), ("dropped", str(index.drop(spark, path))), ("after", index.status(small, path))]
-    return spark.createDataFrame(rows, "check string, result string")
+    postings = lambda: index.read(spark, path).postings.where("field = 'title'").agg(F.count("*").alias("n")).first()["n"]
+    segments = postings()
+    index.merge(spark, path)
+    rows += [("merged", str(postings() == segments)), ("title postings", str(segments)), ("dropped", str(index.drop(spark, path))), ("after", index.status(after, path))]
+    return states.select("state", F.col("n").cast("string").alias("result")).unionByName(spark.createDataFrame(rows, "state string, result string"))
+
+
+Q22I = f"""WITH {WORKS_SQL}, b AS (SELECT doc_id FROM works WHERE doc_id % 7 <> 2), a AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN title || ' changed' ELSE title END AS title FROM works WHERE doc_id % 11 <> 3
+), f AS (SELECT CASE WHEN b.doc_id IS NULL THEN 'ABSENT' WHEN a.doc_id IS NULL THEN 'GONE' WHEN a.doc_id % 5 = 0 THEN 'STALE' ELSE 'FRESH' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+SELECT state, count(*)::VARCHAR AS result FROM f GROUP BY state UNION ALL SELECT 'updated', count(*)::VARCHAR FROM f WHERE state <> 'FRESH'
+UNION ALL SELECT 'title postings', sum(len(list_distinct({tokens_sql("title")})))::BIGINT::VARCHAR FROM a
+UNION ALL SELECT * FROM (VALUES ('before', 'ABSENT'), ('same', 'FRESH'), ('changed', 'STALE'), ('again', '0'), ('now', 'FRESH'), ('postings', 'True'), ('lengths', 'True'), ('counts', 'True'), ('fields', 'True'), ('merged', 'True'), ('dropped', 'True'), ('after', 'ABSENT')) v(state, result)"""
+
+
+def q22_fulltext(spark, d):
+    """What the index has of the text of every work that an item of the benchmark asks for by its number, some after a change, some that are not there."""
+    path, w = shared.new_path(spark, "index"), indexed(works(spark, d)).select("doc_id", "title", "body")
+    index.build(w.where("doc_id % 6 <> 1"), ["title", "body"], path, passages_of="body")
+    asked_for = table(spark, d, "benchmark").select((F.col("item_id") * 5).alias("doc_id"))
+    now = w.withColumn("title", F.when(F.col("doc_id") % 4 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    return index.fulltext(asked_for, now, path)
+
+
+Q22F = f"""WITH RECURSIVE {WORKS_SQL}, {CHUNKS_SQL.format("SELECT doc_id FROM works WHERE doc_id % 6 <> 1")}, c AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id), q AS (SELECT DISTINCT item_id * 5 AS doc_id FROM benchmark)
+SELECT q.doc_id, CASE WHEN w.doc_id IS NULL THEN 'NOT_IN_LIBRARY' ELSE 'FOUND' END AS status, CASE WHEN w.doc_id IS NOT NULL THEN n IS NOT NULL END AS indexed, CASE WHEN w.doc_id IS NOT NULL THEN coalesce(n, 0) END AS chunks,
+  CASE WHEN w.doc_id IS NOT NULL THEN q.doc_id % 6 <> 1 AND q.doc_id % 4 = 0 END AS stale, CASE WHEN w.doc_id IS NULL THEN NULL WHEN q.doc_id % 6 = 1 THEN 'NOT_INDEXED' WHEN n > 0 THEN 'EXTRACTED' ELSE 'NO_TEXT' END AS extraction
+FROM q LEFT JOIN works w ON w.doc_id = q.doc_id LEFT JOIN c ON c.doc_id = q.doc_id"""
+
+
+def q13_filtered_search(spark, d):
+    """The query set with years, journals and topics of some queries: the ten best of the works that pass, scored over all works."""
+    q = asked(spark, d)
+    k = F.col("query")
+    wanted = q.where("query % 400 <> 0").select(
+        "query", F.when(k % 200 == 0, F.transform(F.sequence(F.lit(1995), F.lit(2010)), lambda y: y.cast("string"))).otherwise(F.array().cast("array<string>")).alias("years"), F.when(k % 300 == 0, "SRC1").alias("journal"), F.when(k % 500 == 0, "En").alias("topic"))
+    w = works(spark, d).select("doc_id", "year", "journal", F.array("domain", "subtopic").alias("topics"))
+    parts = search.term_scores(index_of(spark, d), search.plain_terms(q), FIELDS, list(FIELDS))
+    return search.ranked(search.filtered(parts, w, wanted), 10)
 
 
-Q22I = """SELECT * FROM (VALUES ('before', 'ABSENT'), ('postings', 'True'), ('counts', 'True'), ('fields', 'True'), ('same', 'FRESH'), ('shuffled', 'FRESH'), ('changed', 'STALE'), ('less', 'STALE'), ('dropped', 'True'), ('after', 'ABSENT')) v("check", result)"""
+Q13F = f"""WITH {WORKS_SQL}, {TERMS_SQL}, {bm25_sql("terms", FIELDS)}, pass AS (SELECT query, s.doc_id, score FROM scored s JOIN works w USING (doc_id)
+  WHERE query % 400 = 0 OR ((query % 200 <> 0 OR year BETWEEN 1995 AND 2010) AND (query % 300 <> 0 OR lower(journal) LIKE '%src1%') AND (query % 500 <> 0 OR lower(domain) LIKE '%en%' OR lower(subtopic) LIKE '%en%')))
+{RANKED_SQL.format("", 10).replace("scored", "pass")}"""
 
 
 def q23_related(spark, d):
@@ -431,8 +515,8 @@ SELECT n AS doc_id, CASE WHEN n % 3 = 2 THEN '10.1000/w' || n END AS doi, CASE W
   CASE n % 3 WHEN 0 THEN CASE WHEN length(t) >= 8 THEN t ELSE t || '. Journal, 4(2' END WHEN 1 THEN CASE WHEN length(t) >= 4 THEN t ELSE '' END ELSE t || '.' END AS title FROM x"""
 
 _ALL = (
-    (q12_query_terms, Q12), (q12_parse, Q12P), (q12_expansion, Q12E), (q13_filters, Q13), (q14_lookup, Q14), (q15_lexicon, Q15), (q15_titles, Q15T), (q16_title_match, Q16), (q17_target_match, Q17), (q18_topic_links, Q18), (q19_bm25f, Q19), (q20_contributions, Q20),
-    (q20_repeated_terms, Q20R), (q21_two_stage, Q21), (q21_passages, Q21S), (q21_roles, Q21R), (q21_evidence, Q21E), (q21_pack, Q21P), (q21_rerank, Q21V), (q22_index, Q22I), (q23_related, Q23), (q24_coverage, Q24), (q24_missing, Q24M), (q24_pairs, Q24P), (q25_citations, Q25), (q25_parse, Q25P),
+    (q12_query_terms, Q12), (q12_parse, Q12P), (q12_expansion, Q12E), (q13_filters, Q13), (q14_lookup, Q14), (q15_lexicon, Q15), (q15_titles, Q15T), (q16_title_match, Q16), (q17_target_match, Q17), (q16_title_in_text, Q16T), (q17_requested, Q17R), (q18_topic_links, Q18), (q19_bm25f, Q19), (q20_contributions, Q20),
+    (q20_repeated_terms, Q20R), (q21_two_stage, Q21), (q21_passages, Q21S), (q21_roles, Q21R), (q21_evidence, Q21E), (q21_pack, Q21P), (q21_rerank, Q21V), (q22_index, Q22I), (q22_fulltext, Q22F), (q13_filtered_search, Q13F), (q23_related, Q23), (q24_coverage, Q24), (q24_missing, Q24M), (q24_pairs, Q24P), (q25_citations, Q25), (q25_parse, Q25P),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: sql for f, sql in _ALL}

@@ -48,3 +48,21 @@ def admit(attempts: DataFrame, per_identifier: int = 2, limit: int = 15) -> Data
 def append(rows: DataFrame, path: str, checkpoint: str):
     """Write a stream as an append-only Parquet log, once for each row, whatever is restarted."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def resolved(attempts: DataFrame, outcomes: DataFrame, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """attempt, source, identifier, ts, outcome, outcome_ts: attempts (attempt, source, identifier, ts) with every outcome (source, identifier, ts, outcome)
+    of their source and identifier in the time `within` after them and on their UTC day; attempts without any come once the watermark has passed.
+
+    Both are streams, or both tables. A row a pair: last_outcome() takes the last one of each attempt."""
+    a = attempts.select("attempt", "source", "identifier", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    o = outcomes.select(F.col("source").alias("_source"), F.col("identifier").alias("_identifier"), F.col("ts").cast("timestamp").alias("outcome_ts"), "outcome").withWatermark("outcome_ts", late)
+    same = (F.col("source") == F.col("_source")) & (F.col("identifier") == F.col("_identifier")) & (F.to_date("ts") == F.to_date("outcome_ts"))
+    after = (F.col("outcome_ts") >= F.col("ts")) & (F.col("outcome_ts") <= F.col("ts") + F.expr(f"interval {within}"))
+    return a.join(o, same & after, "leftOuter").select("attempt", "source", "identifier", "ts", "outcome", "outcome_ts")
+
+
+def last_outcome(pairs: DataFrame) -> DataFrame:
+    """attempt, outcome, outcome_ts: the last outcome of each attempt of resolved(), null if it has none."""
+    last = F.max(F.struct("outcome_ts", "outcome"))
+    return pairs.groupBy("attempt").agg(last.alias("o")).select("attempt", "o.outcome", "o.outcome_ts")
