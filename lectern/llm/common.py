@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,12 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, condition: Column, what: str = "table") -> tuple[DataFrame, int]:
+    """materialise(), and how many rows fulfil a condition, counted while they are written: no job more."""
+    seen = Observation()
+    return materialise(df.observe(seen, F.count_if(condition).alias("n")), what), seen.get["n"]
+
+
 def materialise_apart(df: DataFrame, apart: Column, what: str = "table") -> tuple[DataFrame, DataFrame, str]:
     """The rows that do not fulfil `apart` and those that do, stored in one pass, and the path of the latter for delete()."""
     spark = df.sparkSession

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from lectern.llm.common import ceil_div, free_names, materialise, small
+from lectern.llm.common import ceil_div, free_names, materialise, materialise_counted, small
 
 #: Fingerprints of a tile, at least and at most: tiles grow with the table, so that fewer pairs of them are sent around.
 TILE, LARGEST_TILE = 8192, 65536
@@ -146,18 +148,38 @@ def _pack(columns: list[str]):
                 rows = lists.slice(k, 1).flatten()
                 matrix = np.stack([rows.field(c).to_numpy(zero_copy_only=False).astype("<i8") for c in range(len(columns))])
                 blobs.append(matrix[:, np.argsort(matrix[0], kind="stable")].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("tile"), b.column("partners"), pa.array(blobs, pa.binary())], ["tile", "partners", "rows"])
+            yield pa.RecordBatch.from_arrays([b.column("tile"), b.column("ranges"), pa.array(blobs, pa.binary())], ["tile", "ranges", "rows"])
 
     return run
 
 
+def partner_ranges(tiles: list[list[int]], radius: int) -> list[list[tuple[int, int]]]:
+    """Ranges (first, last) of the tiles that each tile meets, of tiles (band, lowest and highest bit count) in order of bands and counts: in its
+    own band and those beside it, counts grow from tile to tile, so that the ones within the radius stand together."""
+    bands: dict[int, list[int]] = defaultdict(list)
+    for k, (b, *_) in enumerate(tiles):
+        bands[b].append(k)
+    bounds = {b: ([tiles[k][1] for k in own], [tiles[k][2] for k in own]) for b, own in bands.items()}
+    out = []
+    for b, low, high in tiles:
+        mine = []
+        for near in (b - 1, b, b + 1):
+            if near in bands:
+                lows, highs = bounds[near]
+                first, last = bisect_left(highs, low - radius), bisect_right(lows, high + radius) - 1
+                if first <= last:
+                    mine.append((bands[near][first], bands[near][last]))
+        out.append(mine)
+    return out
+
+
 def tile_links(rows: DataFrame, columns: list[str], word: str, radius: int, whole=None, similarity: float = 0.0, tile: int = TILE, largest: int = LARGEST_TILE) -> DataFrame:
     """Links (a, b) between the values of the first of `columns`, which connect them exactly as all pairs within the radii do.
 
     Rows (distinct in that column) are dealt over tiles by the number of set bits in column `word`, and, if a similarity of sets is
     asked for, by the size of their set. Two tiles meet only if some of their bit counts differ by the radius at most, since fewer differing
     bits are then impossible, and some of their sizes allow the similarity. The driver sees one count for each pair of bit
-    count and magnitude of size, a few thousand at most."""
+    count and magnitude of size, a few thousand at most, and three ranges of partners for each tile; executors make the pairs of tiles."""
     spark = rows.sparkSession
     step = 1 / similarity if similarity else 2.0
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(step)))).cast("int") if similarity else F.lit(0)
@@ -177,19 +199,20 @@ def tile_links(rows: DataFrame, columns: list[str], word: str, radius: int, whol
             place.append((b, pc, len(tiles), parts))
             tiles += [[b, pc, pc] for _ in range(parts)]
             filled = tile if parts > 1 else n
-    partners = [[j for j, y in enumerate(tiles) if abs(x[0] - y[0]) <= 1 and y[1] - x[2] <= radius and x[1] - y[2] <= radius] for x in tiles]
+    ranges = partner_ranges(tiles, radius)
     at = spark.createDataFrame([(b, pc, first, parts) for b, pc, first, parts in place], "_b int, _c int, first int, parts int")
-    with_partners = spark.createDataFrame([(k, p) for k, p in enumerate(partners)], "_tile int, partners array<int>")
+    with_ranges = spark.createDataFrame(list(enumerate(ranges)), "_tile int, ranges array<struct<first:int,last:int>>")
     dealt = rows.join(F.broadcast(at), (F.col("_band") == F.col("_b")) & (F.col("_pc") == F.col("_c")))  # a few thousand rows at most
     dealt = dealt.select(*columns, (F.col("first") + F.pmod(F.xxhash64(columns[0]), F.col("parts"))).cast("int").alias("tile"))
     packed = dealt.groupBy("tile").agg(F.collect_list(F.struct(*columns)).alias("list"))
-    with_partners = F.broadcast(with_partners) if len(tiles) <= 2000 else with_partners
-    packed = packed.join(with_partners, F.col("tile") == F.col("_tile")).select("tile", "partners", "list")
-    packed = materialise(packed.mapInArrow(_pack(columns), "tile int, partners array<int>, rows binary"), "tiles")
+    with_ranges = F.broadcast(with_ranges) if len(tiles) <= 100_000 else with_ranges  # some 50 bytes each
+    packed = packed.join(with_ranges, F.col("tile") == F.col("_tile")).select("tile", "ranges", "list")
+    packed = materialise(packed.mapInArrow(_pack(columns), "tile int, ranges array<struct<first:int,last:int>>, rows binary"), "tiles")
     # Each tile goes to the pairs in which it is the smaller number (side 0) and those in which it is the larger (side 1).
-    met = packed.select("rows", "tile", F.explode("partners").alias("other"))
+    partners = F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))
+    met = packed.select("rows", "tile", F.explode(partners).alias("other"))
     pairs = met.select("rows", (F.col("tile") > F.col("other")).cast("int").alias("side"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    parts = max(1, min(ceil_div(sum(map(len, partners)), 4), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(ceil_div(sum(z - a + 1 for r in ranges for a, z in r), 4), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     words = len(columns) - 2
     return pairs.repartition(parts, "i", "j").groupBy("i", "j").applyInPandas(_compare_tiles(radius, words, whole, similarity), "a long, b long")
 
@@ -212,9 +235,9 @@ def connect(links: DataFrame, node: str = "node", root: str = "root", rounds: in
         hooked = label.join(seen, F.col("n") == F.col("a")).select("n", "l", F.least("l", "m").alias("x"))
         up = label.select(F.col("n").alias("un"), F.col("l").alias("ul"))
         jumped = hooked.join(up, F.col("x") == F.col("un")).select("n", F.least("x", "ul").alias("l"), (F.least("x", "ul") != F.col("l")).alias("moved"))
-        done = materialise(jumped, "labels")
+        done, moved = materialise_counted(jumped, F.col("moved"), "labels")
         label = done.select("n", "l")
-        if not done.where("moved").limit(1).count():
+        if not moved:
             return label.select(F.col("n").alias(node), F.col("l").alias(root))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
