@@ -94,6 +94,36 @@ def confirm(topics: DataFrame, proposals: DataFrame, chosen: DataFrame, preview:
     return out.select("doc_id", labels.alias("labels"), status.alias("status"))
 
 
+def reclassify(asked: DataFrame, current: DataFrame, proposals: DataFrame) -> DataFrame:
+    """doc_id, status, labels of each request to classify a work anew (doc_id, reason, expected: array or null, fingerprint, authorised, dry): the labels after it.
+
+    current: doc_id, labels (array, in order), source (AUTOMATIC or HUMAN_CONFIRMED, null where unknown), fingerprint of the work as it is. proposals:
+    decide(). No labels are taken from the request: they are what the classifier assigns, by score. To apply, the labels or the
+    fingerprint that the request expects have to be those that are there; labels that a person has confirmed need an authorisation of just this
+    fingerprint; where it is not known who gave the labels nothing is changed."""
+    assigned = proposals.where("decision = 'ASSIGNED'").groupBy(F.col("doc_id").alias("_new")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "label"))).alias("made"))
+    here = current.select(F.col("doc_id").alias("_doc"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "source", F.col("fingerprint").alias("now"))
+    out = asked.join(here, F.col("doc_id") == F.col("_doc"), "left").join(assigned, F.col("doc_id") == F.col("_new"), "left")
+    new = F.transform(F.coalesce("made", F.array().cast("array<struct<minus:double,label:string>>")), lambda x: x["label"])
+    differs = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
+    status = (
+        F.when(F.trim(F.coalesce("reason", F.lit(""))) == "", "REASON_REQUIRED").when(~F.col("dry") & F.col("expected").isNull() & F.col("fingerprint").isNull(), "PRECONDITION_REQUIRED").when(F.col("_doc").isNull(), "WORK_NOT_FOUND")
+        .when(F.size("labels") == 0, "WORK_UNFILED").when(differs("expected", "labels") | differs("fingerprint", "now"), "PRECONDITION_CONFLICT").when(F.size(new) == 0, "REVIEW_REQUIRED").when(F.col("dry"), "DRY_RUN")
+        .when(F.col("source").isNull(), "UNKNOWN_PROVENANCE").when((F.col("source") == "HUMAN_CONFIRMED") & ~F.coalesce(F.col("authorised") == F.col("now"), F.lit(False)), "HUMAN_AUTHORIZATION_REQUIRED")
+        .when(F.col("labels") == new, "ALREADY_CURRENT").otherwise("APPLIED")
+    )
+    out = out.withColumn("status", status)
+    return out.select("doc_id", "status", F.when(F.col("status").isin("APPLIED", "DRY_RUN"), new).otherwise(F.coalesce("labels", F.array().cast("array<string>"))).alias("labels"))
+
+
+def topic_links(works: DataFrame, root: str) -> DataFrame:
+    """doc_id, domain, topic, view_path, link_type, sha256, version_role: a row for each topic of each work (doc_id, name, topics: array of struct (domain, subtopic),
+    sha256, version_role), which says where its view is to stand."""
+    label = works.select("doc_id", "name", "sha256", "version_role", F.posexplode("topics").alias("place", "x"))
+    name = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
+    return label.select("doc_id", F.col("x.domain").alias("domain"), F.col("x.subtopic").alias("topic"), F.concat_ws("/", F.lit(root), "x.domain", "x.subtopic", name).alias("view_path"), F.lit("HARDLINK").alias("link_type"), "sha256", F.coalesce("version_role", F.lit("PRIMARY_CANONICAL")).alias("version_role"))
+
+
 def outside(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Labels that the taxonomy does not have."""
     return labels.select("label").distinct().join(taxonomy.select("label").distinct(), "label", "left_anti")

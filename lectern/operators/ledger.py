@@ -25,22 +25,37 @@ def admit(attempts: DataFrame, per_identifier: int = 2, limit: int = 15) -> Data
     identifier passed before it; so it depends on its identifier alone, and the source then admits the first `limit` that pass.
 
     Of an identifier's attempts in a day the first `per_identifier` pass, refetch or not, and of the others the refetches do: what has passed is
-    never fewer than the limit from there on."""
-    nth = F.row_number().over(W.partitionBy("day", "source", "identifier").orderBy("ts", "attempt"))
-    rows = attempts.withColumn("passes", F.col("refetch") | (nth <= per_identifier))
-    first = F.row_number().over(W.partitionBy("day", "source").orderBy("ts", "attempt"))
-    admitted = rows.where("passes").select("attempt", (first <= limit).alias("admitted"))
-    return admitted.unionByName(rows.where("NOT passes").select("attempt", F.lit(False).alias("admitted")))
+    never fewer than the limit from there on. An attempt without a source or identifier is refused."""
+    first = _first(attempts, ["day", "source", "identifier"], per_identifier, "_own")
+    rows = attempts.join(first, ["day", "source", "identifier"], "left")
+    rows = rows.withColumn("passes", F.col("identifier").isNotNull() & (F.col("refetch") | F.coalesce(F.struct("ts", "attempt") <= F.col("_own"), F.lit(False))))
+    last = _first(rows.where("passes"), ["day", "source"], limit, "_last")
+    rows = rows.join(last, ["day", "source"], "left")
+    return rows.select("attempt", (F.col("passes") & F.coalesce(F.struct("ts", "attempt") <= F.col("_last"), F.lit(False))).alias("admitted"))
+
+
+def _first(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
+    """The keys, and the place (ts, attempt) of the n-th row of each key in time, or of its last: tasks pass on n rows of a key at most, however many it has."""
+    order = W.partitionBy(*keys).orderBy("ts", "attempt")
+    few = rows.select(*keys, "ts", "attempt").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return few.groupBy(*keys).agg(F.max(F.struct("ts", "attempt")).alias(name))
 
 
 def pacing(attempts: DataFrame, scope: list[str], interval: float = 15.0, window: float = 600.0, limit: int = 12) -> DataFrame:
     """attempt, wait: the seconds that each attempt (attempt, ts) would have had to wait for the interval since the last one and for the
-    sliding window of the last `limit` ones, inside its scope."""
-    w = W.partitionBy(*scope).orderBy("ts", "attempt")
+    sliding window of the last `limit` ones, inside its scope.
+
+    Only attempts at most so long ago count. A scope is cut into spans of that length, each read with the one before, so that no task
+    needs all of a busy scope."""
+    span = max(interval, window, 1.0)
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    last, nth = F.lag(at).over(w), F.lag(at, limit).over(w)
-    wait = F.greatest(F.lit(0.0), F.coalesce(F.lit(interval) - (at - last), F.lit(0.0)), F.coalesce(F.lit(window) - (at - nth), F.lit(0.0)))
-    return attempts.select("attempt", F.round(wait, 6).alias("wait"))
+    part = F.floor(F.col("_at") / span)
+    spans = F.explode(F.array(F.struct(part.alias("span"), F.lit(True).alias("own")), F.struct((part + 1).alias("span"), F.lit(False).alias("own"))))
+    rows = attempts.select(*scope, "ts", "attempt", at.alias("_at")).withColumn("_in", spans)
+    w = W.partitionBy(*scope, "_in.span").orderBy("ts", "attempt")
+    rows = rows.withColumns({"_last": F.lag("_at").over(w), "_nth": F.lag("_at", limit).over(w)}).where("_in.own")
+    wait = F.greatest(F.lit(0.0), F.coalesce(F.lit(interval) - (F.col("_at") - F.col("_last")), F.lit(0.0)), F.coalesce(F.lit(window) - (F.col("_at") - F.col("_nth")), F.lit(0.0)))
+    return rows.select("attempt", F.round(wait, 6).alias("wait"))
 
 
 def latest_state(log: DataFrame, terminal: list[str]) -> DataFrame:

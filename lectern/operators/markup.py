@@ -343,3 +343,28 @@ def listing_rows(pages: DataFrame, is_detail: Column, main_class: str = "fz14")
         "page_id", place.alias("position"), "title", F.col("link.href").alias("href"), F.nullif("source", F.lit("")).alias("source"), F.nullif("date", F.lit("")).alias("date"), F.nullif(F.regexp_extract("date", r"(?:18|19|20|21)\d{2}", 0), F.lit("")).alias("year"),
         label.alias("label"), "products", "resources", (F.coalesce("marked", F.lit(False)) | F.array_contains("products", FIRST_PRODUCT)).alias("online_first"), names.alias("authors"), journal.alias("journal_article"),
     )
+
+
+def restricted(rows: DataFrame, scopes: DataFrame, asked: DataFrame) -> DataFrame:
+    """page_id, position, verdict of every row of result pages (listing_rows()) for a search of journals alone: KEPT, or why not.
+
+    scopes: page_id, journals (access.executed(): whether the page says that it searched journals alone; null, or no row, where it does not
+    say). asked: page_id, journal, first, last, most. A page that did not search journals alone is REFUSED_SCOPE with all its rows; one with a
+    row of no stated type REFUSED_UNCONFIRMED, of another type REFUSED_TYPE. Then OTHER_SOURCE (another journal's title), YEAR_UNREADABLE and
+    OUTSIDE_YEARS (only where years are asked for), DUPLICATE (a work that a row before it is, by link or title), BEYOND_LIMIT."""
+    w = W.partitionBy("page_id")
+    ask = asked.select(F.col("page_id").alias("_page"), t.normalize_title(F.col("journal")).alias("_journal"), "first", "last", "most")
+    out = rows.join(ask, F.col("page_id") == F.col("_page")).join(scopes.select(F.col("page_id").alias("_scope"), "journals"), F.col("page_id") == F.col("_scope"), "left")
+    unsure, other = F.max(F.col("journal_article").isNull().cast("int")).over(w), F.max((~F.coalesce("journal_article", F.lit(True))).cast("int")).over(w)
+    page = F.when(~F.coalesce("journals", F.lit(False)), "REFUSED_SCOPE").when(other == 1, "REFUSED_TYPE").when(unsure == 1, "REFUSED_UNCONFIRMED")
+    bounded, year = F.col("first").isNotNull() | F.col("last").isNotNull(), F.col("year").cast("int")
+    row = (
+        F.when(F.col("_journal").isNotNull() & ~F.coalesce(t.normalize_title(F.col("source")) == F.col("_journal"), F.lit(False)), "OTHER_SOURCE").when(bounded & year.isNull(), "YEAR_UNREADABLE")
+        .when(bounded & ((year < F.coalesce("first", F.lit(0))) | (year > F.coalesce("last", F.lit(9999)))), "OUTSIDE_YEARS")
+    )
+    out = out.withColumn("_why", F.coalesce(page, row)).withColumn("_identity", F.coalesce(F.nullif("href", F.lit("")), t.normalize_title(F.col("title"))))
+    nth = F.row_number().over(W.partitionBy("page_id", "_identity", F.col("_why").isNull()).orderBy("position"))
+    out = out.withColumn("_why", F.coalesce("_why", F.when(nth > 1, "DUPLICATE")))
+    place = F.sum(F.col("_why").isNull().cast("int")).over(w.orderBy("position"))
+    verdict = F.coalesce("_why", F.when(place > F.col("most"), "BEYOND_LIMIT"), F.lit("KEPT"))
+    return out.select("page_id", "position", verdict.alias("verdict"))

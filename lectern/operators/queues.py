@@ -98,10 +98,12 @@ def check_requests(requests: DataFrame, databases: list[str], formats: list[str]
 
 
 def confirm_summary(summaries: DataFrame, parts: list[str]) -> DataFrame:
-    """request, missing of each summary (request, text): the first of the required parts, in order, that it does not have, else null."""
-    missing = F.lit(None).cast("string")
-    for p in reversed(parts):
-        missing = F.when(~F.col("text").contains(p), F.lit(p)).otherwise(missing)
+    """request, missing of each summary (request, text): the first of the required parts that does not stand in it after those before, else null."""
+    missing, at = F.lit(None).cast("string"), F.lit(1)
+    for p in parts:
+        found = F.call_function("locate", F.lit(p), F.col("text"), at)
+        missing = F.coalesce(missing, F.when(F.coalesce(found, F.lit(0)) == 0, F.lit(p)))
+        at = F.when(found > 0, found + len(p)).otherwise(at)
     return summaries.select("request", missing.alias("missing"))
 
 

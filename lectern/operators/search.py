@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from lectern.functions import text as t
 from lectern.operators import matcher
 from lectern.operators.index import Index
+from lectern.sources import commits
 from lectern.sources.shared import small
 
 # Saturation, length normalisation, and the weights of fields and of kinds of terms.
@@ -220,6 +221,30 @@ def roles(works: DataFrame, found: DataFrame, facets: DataFrame, title_share: Co
     return out.select("doc_id", role_of.otherwise("BACKGROUND").alias("role"))
 
 
+FIELD_LABELS = {"title": "title", "topics": "topic", "keywords": "keyword", "journal": "journal"}
+REASON_EVIDENCE, REASON_FIELDS, REASON_TOKENS = 3, 3, 3
+
+
+def reasons(results: DataFrame, roles_of: DataFrame, found: DataFrame, facets: DataFrame, parts: DataFrame, passages_of: DataFrame) -> DataFrame:
+    """query, doc_id, reason of each result (query, doc_id): its role and what speaks for it, made of its own evidence.
+
+    That is the first three of evidence() (doc_id, concept, field, term), by field and term; where there is none, the three longest tokens of three
+    fields of contributions() (query, doc_id, field, token); and the places of its best_passages() (query, doc_id, ordinal)."""
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_LABELS.items() for x in kv]), F.col("field")), F.col("field"))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, FIELD_LABELS)), F.col("field")), F.lit(0)), F.lit(9))
+    mine = found.join(results.select("doc_id").distinct(), "doc_id", "left_semi").join(facets.select("concept", "facet").distinct(), "concept")
+    item = F.struct(rank.alias("rank"), "term", "concept", F.concat(label, F.lit("「"), "term", F.lit("」→ "), "concept", F.lit(" ("), F.lower("facet"), F.lit(")")).alias("text"))
+    said = mine.groupBy("doc_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(item)), 1, REASON_EVIDENCE), lambda x: x["text"]), "; ").alias("evidence"))
+    longest = F.array_sort(F.filter(F.collect_set("token"), lambda w: F.length(w) > 1), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    fields = parts.join(results.select("query", "doc_id"), ["query", "doc_id"], "left_semi").groupBy("query", "doc_id", "field").agg(F.slice(longest, 1, REASON_TOKENS).alias("tokens"), F.sum("contribution").alias("weight")).where(F.size("tokens") > 0)
+    shown = F.array_sort(F.collect_list(F.struct((-F.round("weight", 6)).alias("minus"), "field", F.concat("field", F.lit("「"), F.array_join("tokens", "/"), F.lit("」")).alias("text"))))
+    lexical = fields.groupBy("query", "doc_id").agg(F.concat(F.lit("lexical match on "), F.array_join(F.transform(F.slice(shown, 1, REASON_FIELDS), lambda x: x["text"]), ", ")).alias("lexical"))
+    places = passages_of.groupBy("query", "doc_id").agg(F.concat(F.lit("full text p."), F.array_join(F.transform(F.array_sort(F.collect_set(F.col("ordinal") + 1)), lambda x: x.cast("string")), ", ")).alias("places"))
+    out = results.select("query", "doc_id").join(roles_of, "doc_id").join(said, "doc_id", "left").join(lexical, ["query", "doc_id"], "left").join(places, ["query", "doc_id"], "left")
+    detail = F.nullif(F.concat_ws("; ", F.coalesce(F.nullif("evidence", F.lit("")), "lexical"), "places"), F.lit(""))
+    return out.select("query", "doc_id", F.concat("role", F.lit(": "), F.coalesce(detail, F.lit("topic overlap only"))).alias("reason"))
+
+
 ROLE_ORDER = ("CORE", "MECHANISM", "OUTCOME", "METHOD", "BACKGROUND")
 
 
@@ -238,3 +263,25 @@ def reranked(results: DataFrame, vectors: DataFrame, wanted: DataFrame, share: f
     cosine = dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))
     lead = F.max("score").over(W.partitionBy("query"))
     return both.select("query", "doc_id", F.round(F.col("score") + share * lead * F.coalesce(cosine, F.lit(0.0)), 6).alias("score"))
+
+
+# What a reader looks for in a work of each role.
+GUIDANCE = {"CORE": "definitions, claims and main results", "MECHANISM": "channel and how it is tested", "OUTCOME": "measure of the outcome and effect size", "METHOD": "design, assumptions and data", "BACKGROUND": "context"}
+
+
+def write_pack(pack: DataFrame, texts: DataFrame, queries: DataFrame, path: str, batch: str) -> bool:
+    """Store reading packs (reading_pack(): query, place, role, doc_id, score, sha256) below `path` in one commit: their manifests, rankings, evidence plans and a text
+    to read, all or none. False if the batch is there already. Packs refer to works; no text is copied.
+
+    texts: doc_id, title, readable. queries: query, text."""
+    named = F.concat(F.lit("pack-"), F.substring(F.sha2("text", 256), 1, 12))
+    q = queries.select("query", "text", named.alias("pack"))
+    rows = pack.join(texts, "doc_id", "left").join(q, "query")
+    manifest = rows.groupBy("pack", "query", "text").agg(F.count("*").alias("entries"), F.count_distinct("doc_id").alias("works"), F.lit(0).alias("copies"), F.array_sort(F.collect_list(F.struct("place", "doc_id", "sha256"))).alias("contents"))
+    ranking = rows.select("pack", "doc_id", "role", "score", F.row_number().over(W.partitionBy("pack").orderBy(F.col("score").desc(), "doc_id")).alias("rank"))
+    guide = F.element_at(F.create_map(*[F.lit(x) for kv in GUIDANCE.items() for x in kv]), F.col("role"))
+    plan = rows.select("pack", "place", "role", "doc_id", "title", guide.alias("extract"), F.coalesce("readable", F.lit(False)).alias("readable"), "sha256")
+    line = F.concat(F.col("place").cast("string"), F.lit(". ["), "role", F.lit("] "), F.coalesce("title", F.lit("unknown")), F.when(F.coalesce("readable", F.lit(False)), "").otherwise(" (no readable text here)"))
+    readme = rows.groupBy("pack", "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    readme = readme.select("pack", F.concat(F.lit("# Reading pack: "), "text", F.lit("\n\n"), "lines", F.lit("\n")).alias("readme"))
+    return commits.commit(path, "packs", batch, adds={"manifest": manifest, "ranking": ranking, "evidence_plan": plan, "readme": readme})

@@ -105,10 +105,12 @@ SELECT w.doc_id, coalesce(CASE WHEN n % 2 = 0 THEN 'T' || n END, title) AS title
 
 
 def records(spark, d):
-    w = works(spark, d)
+    """Works as records of searches: few years and authors, so that equal titles meet; a quarter have DOIs of their own, some the one of the record before."""
+    w, n = works(spark, d), F.col("doc_id")
+    doi = F.when(n % 4 == 1, F.concat(F.lit("10.1000/D"), n)).when(n % 10 == 2, F.concat(F.lit("doi:10.1000/d"), n - 1))
     return w.select(
-        F.col("doc_id").alias("position"), F.lit(None).cast("string").alias("doi"), "title", F.col("year").cast("string").alias("year"), F.col("author").alias("first_author"), F.sha2("body", 256).alias("sha256"),
-        F.element_at(F.array(F.lit("Preprint"), F.lit("PeerReviewedJournalArticle"), F.lit("Unknown")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("status"), (F.col("doc_id") % 4 == 0).alias("downloaded"),
+        n.alias("position"), doi.alias("doi"), "title", (2000 + n % 3).cast("string").alias("year"), F.concat(F.lit("Author "), n % 5).alias("first_author"), F.sha2("body", 256).alias("sha256"),
+        F.element_at(F.array(F.lit("Preprint"), F.lit("PeerReviewedJournalArticle"), F.lit("Unknown")), (F.pmod(F.floor(n / 2), F.lit(3)) + 1).cast("int")).alias("status"), (n % 4 == 0).alias("downloaded"),
     )
 
 
@@ -116,22 +118,32 @@ def q41_components(spark, d):
     return dedupe.components(dedupe.keys(records(spark, d)))
 
 
-COMPONENTS_SQL = f"""{WORKS_SQL}, b AS (SELECT doc_id AS position, nullif({fold_sql("title")}, '') AS title, year, author, md5(body) AS h FROM works
-), k AS (SELECT position, '1' || title || '|' || year AS key FROM b WHERE title IS NOT NULL UNION ALL SELECT position, '2' || title || '|' || author FROM b WHERE title IS NOT NULL UNION ALL SELECT position, '3' || h FROM b
-), e AS (SELECT DISTINCT a.position AS a, min(a.position) OVER (PARTITION BY a.key) AS b FROM k a
+RECORDS_SQL = f"""{WORKS_SQL}, b AS (SELECT doc_id AS position, nullif({fold_sql("title")}, '') AS title, 2000 + doc_id % 3 AS year, 'author ' || doc_id % 5 AS author, md5(body) AS h, doc_id // 2 % 3 AS status, row_number() OVER (ORDER BY doc_id) AS i,
+    CASE WHEN doc_id % 4 = 1 THEN '10.1000/d' || doc_id WHEN doc_id % 10 = 2 THEN '10.1000/d' || (doc_id - 1) END AS doi FROM works
+), k AS (SELECT position, i, 0 AS kind, doi AS key FROM b WHERE doi IS NOT NULL UNION ALL SELECT position, i, 1, title || '|' || year FROM b WHERE title IS NOT NULL UNION ALL SELECT position, i, 2, title || '|' || author FROM b WHERE title IS NOT NULL UNION ALL SELECT position, i, 3, h FROM b)"""
+Q41 = f"""WITH RECURSIVE {RECORDS_SQL}, e AS (SELECT DISTINCT a.position AS a, min(a.position) OVER (PARTITION BY a.kind, a.key) AS b FROM k a
 ), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e
 ), reach AS (SELECT position AS a, position AS b FROM b UNION SELECT r.a, g.b FROM reach r JOIN g ON r.b = g.a
-), c AS (SELECT a AS position, min(b) AS component FROM reach GROUP BY a)"""
-Q41 = f"WITH RECURSIVE {COMPONENTS_SQL} SELECT position, component FROM c"
+) SELECT a AS position, min(b) AS component FROM reach GROUP BY a"""
 
 
 def q42_deduplicate(spark, d):
-    return dedupe.deduplicate(records(spark, d)).select("position", "canonical", "duplicate", "versions")
-
-
-Q42 = f"""WITH RECURSIVE {COMPONENTS_SQL}, r AS (SELECT c.*, b.title, row_number() OVER (PARTITION BY component ORDER BY CASE position % 3 WHEN 1 THEN 80 WHEN 0 THEN 30 ELSE 0 END DESC, (position % 4 = 0) DESC, year DESC, position) AS k FROM c JOIN b USING (position)
-), x AS (SELECT component, count(DISTINCT position % 3) > 1 AND count(DISTINCT coalesce(title, '')) = 1 AS versions, max(CASE WHEN k = 1 THEN position END) AS canonical FROM r GROUP BY component)
-SELECT position, canonical, position <> canonical AS duplicate, versions FROM r JOIN x USING (component)"""
+    """Records of one work, some of which a DOI of their own keeps apart though their titles agree."""
+    return dedupe.deduplicate(records(spark, d))
+
+
+#: The rule as it is written: records in order, each key's owner the first that has it, groups as one list that every event makes anew.
+Q42 = f"""WITH RECURSIVE {RECORDS_SQL}, ev AS (SELECT row_number() OVER (ORDER BY i, kind) AS n, i AS a, owner AS o, kind IN (1, 2) AS by_title FROM (SELECT i, kind, min(i) OVER (PARTITION BY kind, key) AS owner FROM k) WHERE owner < i
+), c AS (SELECT list(doi ORDER BY i) AS dois, list(status ORDER BY i) AS sts, count(*) AS m FROM b
+), st AS (SELECT 0::BIGINT AS n, (SELECT range(1, m + 1) FROM c) AS grp UNION ALL SELECT ev.n, CASE WHEN grp[a] = grp[o] OR (by_title AND len(list_filter([0, 1, 2], lambda s:
+      len(list_filter(range(1, m + 1), lambda r: grp[r] = grp[a] AND sts[r] = s AND dois[r] IS NOT NULL)) > 0 AND len(list_filter(range(1, m + 1), lambda r: grp[r] = grp[o] AND sts[r] = s AND dois[r] IS NOT NULL)) > 0
+      AND len(list_intersect(list_transform(list_filter(range(1, m + 1), lambda r: grp[r] = grp[a] AND sts[r] = s AND dois[r] IS NOT NULL), lambda r: dois[r]), list_transform(list_filter(range(1, m + 1), lambda r: grp[r] = grp[o] AND sts[r] = s AND dois[r] IS NOT NULL), lambda r: dois[r]))) = 0)) > 0)
+    THEN grp ELSE list_transform(grp, lambda g: CASE WHEN g = grp[o] THEN grp[a] ELSE g END) END FROM st JOIN ev ON ev.n = st.n + 1, c
+), last AS (SELECT unnest(range(1, len(grp) + 1)) AS i, unnest(grp) AS g FROM st WHERE n = (SELECT count(*) FROM ev)
+), r AS (SELECT b.*, g, row_number() OVER (PARTITION BY g ORDER BY [30, 80, 0][status + 1] DESC, (doi IS NOT NULL) DESC, (position % 4 = 0) DESC, year DESC, position) AS place FROM b JOIN last USING (i)
+), x AS (SELECT g, count(DISTINCT status) > 1 AND count(DISTINCT coalesce(title, '')) = 1 AS versions FROM r GROUP BY g)
+SELECT r.position, c.position AS canonical, r.position <> c.position AS duplicate, versions, CASE WHEN r.position = c.position THEN NULL WHEN r.doi = c.doi THEN 'DOI exact match' WHEN r.title = c.title AND r.year = c.year THEN 'normalized title + year' WHEN r.title = c.title AND r.author = c.author THEN 'title + first author'
+  WHEN r.h = c.h THEN 'SHA256 identical file' ELSE 'same-work evidence' END AS reason FROM r JOIN x USING (g) JOIN r c ON c.g = r.g AND c.place = 1"""
 
 
 def q43_screen(spark, d):

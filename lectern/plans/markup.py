@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import access, markup, nested
+from lectern.operators import pages as pages_of
 from lectern.plans.facts import P, choose, parts
 from lectern.sources.tables import table
 
@@ -99,6 +100,79 @@ def q67_redacted(spark, d):
 Q67R = f"""WITH {P}, k AS (SELECT n, name, CASE n % 4 WHEN 0 THEN 'Access-Key' WHEN 1 THEN 'name' WHEN 2 THEN 'Session Id' ELSE 'auth_header' END AS key, CASE n % 5 WHEN 0 THEN '"s3"' WHEN 1 THEN 'false' WHEN 2 THEN 'null' WHEN 3 THEN '{{"x":1}}' ELSE '[7]' END AS v FROM p)
 SELECT n AS request, n % 17 = 3 OR n % 4 <> 1 AS refused, CASE WHEN n % 17 <> 3 THEN '{{"a":{{"' || key || '":' || CASE WHEN n % 4 = 1 OR n % 5 IN (1, 2) THEN v ELSE '"<REDACTED>"' END || '}},"b":[{{"list":[1,true,null,"https://h.example/x"],"note":"token=<REDACTED> ' || name || '"}}]}}' END AS json FROM k"""
 
-_ALL = ((q67_markup, Q67), (q67_articles, Q67A), (q67_listing, Q67L), (q63_scope, Q63C), (q67_executed, Q67E), (q67_redacted, Q67R))
+def result_pages(spark, d):
+    """page_id, html: a result table for each customer, of the customer's orders, each of them twice where its number is divisible by 7."""
+    k = F.col("o_orderkey")
+    row = F.concat(
+        F.lit("<tr><td class=name><a class=fz14 href='/detail?id="), k, F.lit("'>Order "), k, F.lit("</a><td class=source>Journal of "), F.substring("o_orderpriority", F.lit(1), F.lit(1)), F.lit("!<td class=date>"), F.when(k % 9 == 4, "soon").otherwise(F.col("o_orderdate").cast("date").cast("string")), F.lit("<td class=data>"),
+        F.when(F.col("o_custkey") % 31 == 2, F.when(k % 5 == 0, "博士").otherwise("期刊")).when((F.col("o_custkey") % 31 == 3) & (k % 5 == 0), "").otherwise("期刊"), F.lit("</tr>"),
+    )
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), F.struct(k.alias("k"), F.when(k % 7 == 0, F.concat(row, row)).otherwise(row).alias("row")).alias("r"))
+    return rows.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("rows")).select("page_id", F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</table>")).alias("html"))
+
+
+def q34_restricted(spark, d):
+    """Rows of result pages for searches of journals alone: which are kept, and why the others are not."""
+    n = F.col("page_id")
+    pages = result_pages(spark, d)
+    scopes = pages.where("page_id % 17 <> 5").select("page_id", (n % 19 != 6).alias("journals"))
+    asked = pages.select("page_id", F.when(n % 3 == 0, "journal OF 1").alias("journal"), F.when(n % 2 == 0, 1994).alias("first"), F.when(n % 4 == 0, 1996).alias("last"), F.lit(6).alias("most"))
+    return markup.restricted(markup.listing_rows(pages, markup.attribute("href").startswith("/detail?")), scopes, asked).groupBy("page_id", "verdict").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+
+
+Q34R = """WITH o AS (SELECT o_custkey AS p, o_orderkey AS k, o_orderpriority, o_orderdate, unnest(range(CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END)) AS twin FROM orders
+), r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY k, twin) - 1 AS pos, p % 31 = 2 AND k % 5 = 0 AS other, p % 31 = 3 AND k % 5 = 0 AS unsure, CASE WHEN k % 9 <> 4 THEN year(o_orderdate) END AS y FROM o
+), v AS (SELECT *, CASE WHEN p % 17 = 5 OR p % 19 = 6 THEN 'REFUSED_SCOPE' WHEN bool_or(other) OVER (PARTITION BY p) THEN 'REFUSED_TYPE' WHEN bool_or(unsure) OVER (PARTITION BY p) THEN 'REFUSED_UNCONFIRMED' WHEN p % 3 = 0 AND substr(o_orderpriority, 1, 1) <> '1' THEN 'OTHER_SOURCE'
+  WHEN p % 2 = 0 AND y IS NULL THEN 'YEAR_UNREADABLE' WHEN (p % 2 = 0 AND y < 1994) OR (p % 4 = 0 AND y > 1996) THEN 'OUTSIDE_YEARS' WHEN twin = 1 THEN 'DUPLICATE' END AS why FROM r
+), w AS (SELECT *, sum((why IS NULL)::INT) OVER (PARTITION BY p ORDER BY pos) AS place FROM v)
+SELECT p AS page_id, coalesce(why, CASE WHEN place > 6 THEN 'BEYOND_LIMIT' ELSE 'KEPT' END) AS verdict, count(*) AS n, CAST(min(pos) AS INTEGER) AS first FROM w GROUP BY 1, 2"""
+
+
+def linked_pages(spark, d):
+    k = F.col("page_id")
+    links = F.concat(
+        F.lit("<a href='//data.example.org/p/"), k, F.lit("?s=1'>x</a><a HREF=\"/list/"), k, F.lit("?q=2\">E P S <i>data</i></a><a href=https://data.example.org/off>EPS Data (Off-Campus)</a><a>none</a><a href='mailto:eps data'>EPS data</a>"),
+        F.when(k % 3 == 0, F.concat(F.lit("<a aria-label='eps DATA' href='//data.example.org/p/"), k, F.lit("#z'>y</a>"))).otherwise(""),
+    )
+    return table(spark, d, "pages").select("page_id", "url", F.concat(links, "html").alias("html"))
+
+
+def q33_discover(spark, d):
+    """Links of pages to a database, by its name, its hosts or both, each address once."""
+    found = pages_of.discover(linked_pages(spark, d), ["EPS data"], ["data.example.org"], ["example.com"])
+    return found.select("page_id", "url", "basis", "confidence", "name")
+
+
+Q33D = r"""WITH p AS (SELECT page_id AS k, regexp_extract(url, '^([a-z]+:)//', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root FROM pages)
+SELECT k AS page_id, scheme || '//data.example.org/p/' || k AS url, CASE WHEN k % 3 = 0 THEN 'database-name+official-domain' ELSE 'official-domain' END AS basis, CASE WHEN k % 3 = 0 THEN 120 ELSE 90 END AS confidence, CASE WHEN k % 3 = 0 THEN 'y eps DATA' ELSE 'x' END AS name FROM p
+UNION ALL SELECT k, root || '/list/' || k, 'database-name+trusted-page', 100, 'E P S data' FROM p WHERE host = 'example.com' OR ends_with(host, '.example.com')"""
+
+
+def q33_evidence(spark, d):
+    """Pages with an address that they say is theirs, on official, allowed or other hosts, and what bars some of them."""
+    k = F.col("page_id")
+    head = choose(k, "<link href='https://own.example.org/a' rel='alternate Canonical'>", "<link rel=canonical href=/relative>", "<link rel=\"stylesheet\" href='https://own.example.org/b'>", "")
+    body = choose(k, "", "<p>Please log in</p>", "<script>captcha</script>", "<b>Security check</b>", "Subscription required")
+    made = table(spark, d, "pages").select("page_id", "url", F.concat(head, body).alias("html"), F.when(k % 11 == 3, 403).otherwise(200).alias("status"))
+    return pages_of.official_evidence(made, ["tionsh.example.net"], ["example.com"])
+
+
+Q33E = r"""WITH p AS (SELECT page_id AS k, url, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', ''), '\.$', '') AS h FROM pages)
+SELECT k AS page_id, h AS domain, CASE WHEN k % 4 = 0 THEN 'https://own.example.org/a' ELSE url END AS canonical, CASE WHEN h = 'tionsh.example.net' OR ends_with(h, '.tionsh.example.net') THEN 'CONFIRMED' WHEN h = 'example.com' OR ends_with(h, '.example.com') THEN 'PROBABLE' ELSE 'UNVERIFIED' END AS state,
+  CASE WHEN regexp_matches(lower(url), '/login|/signin|/sign-in|/sso|/auth/') OR k % 5 = 1 THEN 'LOGIN' WHEN k % 5 = 3 THEN 'CHALLENGE' WHEN k % 11 = 3 OR k % 5 = 4 THEN 'RESTRICTED' END AS gate FROM p"""
+
+
+def q36_members(spark, d):
+    """Cube requests whose regions name a group among others, with its members in its place."""
+    k = F.col("s_suppkey")
+    r = table(spark, d, "supplier").select(k.alias("request"), choose(k, 0, 1, 2).alias("form"))
+    r = r.select("request", F.when(F.col("form") == 0, F.array(F.lit("x"), F.lit(" Provinces"), F.lit("北京"))).when(F.col("form") == 1, F.array(F.lit("湖南 "), F.lit(""), F.lit("PROVINCES"))).otherwise(F.array(F.lit("y"), F.lit("y"))).alias("regions"))
+    out = pages_of.expand_members(r)
+    return out.select("request", F.size("regions").alias("n"), F.get("regions", F.lit(0)).alias("first"), F.element_at("regions", -1).alias("last"))
+
+
+Q36M = "SELECT s_suppkey AS request, CAST([32, 31, 1][s_suppkey % 3 + 1] AS INTEGER) AS n, ['x', '湖南', 'y'][s_suppkey % 3 + 1] AS first, ['新疆', '新疆', 'y'][s_suppkey % 3 + 1] AS last FROM supplier"
+
+_ALL = ((q34_restricted, Q34R), (q33_discover, Q33D), (q33_evidence, Q33E), (q36_members, Q36M), (q67_markup, Q67), (q67_articles, Q67A), (q67_listing, Q67L), (q63_scope, Q63C), (q67_executed, Q67E), (q67_redacted, Q67R))
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: sql for f, sql in _ALL}

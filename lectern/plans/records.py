@@ -80,7 +80,7 @@ def q32_articles(spark, d):
     return a.select("page_id", "title", F.array_join("authors", "|").alias("authors"), "journal", "doi", F.array_join("keywords", "|").alias("keywords"), "status")
 
 
-Q32A = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Title ' || page_id WHEN 1 THEN 'Head ' || page_id ELSE nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') END AS title,
+Q32A = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Title ' || page_id WHEN 1 THEN 'Head ' || page_id ELSE nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')), '') END AS title,
   CASE page_id % 3 WHEN 0 THEN 'A One|B Two' WHEN 1 THEN 'C Three' ELSE '' END AS authors, CASE WHEN page_id % 3 = 0 THEN 'J' END AS journal, CASE WHEN page_id % 3 = 0 THEN '10.1000/p' || page_id END AS doi, CASE WHEN page_id % 3 = 1 THEN 'x|y|z' ELSE '' END AS keywords,
   CASE page_id % 3 WHEN 0 THEN 'PeerReviewedJournalArticle' ELSE 'Unknown' END AS status FROM pages"""
 
@@ -226,6 +226,26 @@ Q50C = f"""WITH {DECIDED_SQL}, pp AS (SELECT DISTINCT doc_id, label FROM decided
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'en/tone' WHEN label IS NOT NULL AND raised THEN label ELSE '' END AS labels, CASE WHEN doc_id % 5 = 0 THEN 'SKIPPED_EXISTING' WHEN label IS NULL THEN 'REVIEW_REQUIRED' WHEN NOT raised THEN 'FAILED_SAFE' ELSE 'HUMAN_CONFIRMED' END AS status FROM x"""
 
 
+def q50_reclassify(spark, d):
+    """Requests to classify every fourth work anew: some without a reason, some that expect other labels, some of labels that a person gave."""
+    n, none = F.col("doc_id"), F.lit(None).cast("string")
+    w = works(spark, d)
+    current = w.select("doc_id", F.when(n % 5 > 0, F.array(F.when(n % 3 == 0, "en/tone").otherwise("fr/mot"))).alias("labels"), F.when(n % 7 == 1, "HUMAN_CONFIRMED").when(n % 7 > 1, "AUTOMATIC").alias("source"), F.concat(F.lit("f"), n).alias("fingerprint"))
+    asked = w.select(
+        (n + F.when(n % 16 == 4, 1_000_000_000).otherwise(0)).alias("doc_id"), F.when(n % 11 == 0, " ").otherwise("better terms").alias("reason"), F.when(n % 13 == 0, F.array(F.lit("es/voz"))).alias("expected"), F.when(n % 6 > 0, F.concat(F.lit("f"), n)).alias("fingerprint"),
+        F.when(n % 2 == 0, F.concat(F.lit("f"), n)).otherwise(none).alias("authorised"), (n % 9 == 8).alias("dry"),
+    )
+    out = classify.reclassify(asked, current, classify.decide(scored(spark, d)))
+    return out.select("doc_id", "status", F.array_join("labels", ";").alias("labels"))
+
+
+Q50R = f"""WITH {DECIDED_SQL}, made AS (SELECT doc_id AS n, string_agg(label, ';' ORDER BY score DESC, label) AS made FROM decided WHERE decision = 'ASSIGNED' GROUP BY doc_id
+), xx AS (SELECT w.doc_id AS n, w.doc_id + CASE WHEN w.doc_id % 16 = 4 THEN 1000000000 ELSE 0 END AS asked, CASE WHEN w.doc_id % 5 = 0 THEN '' WHEN w.doc_id % 3 = 0 THEN 'en/tone' ELSE 'fr/mot' END AS labels, made FROM works w LEFT JOIN made ON made.n = w.doc_id
+), stated AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'REASON_REQUIRED' WHEN n % 9 <> 8 AND n % 13 > 0 AND n % 6 = 0 THEN 'PRECONDITION_REQUIRED' WHEN n % 16 = 4 THEN 'WORK_NOT_FOUND' WHEN labels = '' THEN 'WORK_UNFILED' WHEN n % 13 = 0 THEN 'PRECONDITION_CONFLICT' WHEN made IS NULL THEN 'REVIEW_REQUIRED'
+  WHEN n % 9 = 8 THEN 'DRY_RUN' WHEN n % 7 = 0 THEN 'UNKNOWN_PROVENANCE' WHEN n % 7 = 1 AND n % 2 = 1 THEN 'HUMAN_AUTHORIZATION_REQUIRED' WHEN labels = made THEN 'ALREADY_CURRENT' ELSE 'APPLIED' END AS status FROM xx)
+SELECT asked AS doc_id, status, CASE WHEN status IN ('APPLIED', 'DRY_RUN') THEN made WHEN n % 16 = 4 THEN '' ELSE labels END AS labels FROM stated"""
+
+
 def q50_outside(spark, d):
     labels = works(spark, d).select(F.concat_ws("/", "domain", F.element_at(F.array(F.lit("tone"), F.lit("mot"), F.lit("wort"), F.lit("voz")), (F.col("doc_id") % 4 + 1).cast("int"))).alias("label"))
     return classify.outside(labels, spark.createDataFrame(TAXONOMY, "label string, name string"))
@@ -274,5 +294,5 @@ def q54_pacing(spark, d):
 Q54 = f"""WITH {ATTEMPTS}, l AS (SELECT attempt, epoch_us(ts) / 1e6 AS t, lag(epoch_us(ts) / 1e6) OVER w AS a, lag(epoch_us(ts) / 1e6, 4) OVER w AS b FROM attempts WINDOW w AS (PARTITION BY source, day ORDER BY ts, attempt))
 SELECT attempt, round(greatest(0.0, coalesce(15.0 - (t - a), 0.0), coalesce(7200.0 - (t - b), 0.0)), 6) AS wait FROM l"""
 
-QUERIES = {f.__name__: f for f in (q28_usage, q30_latest_state, q31_misses, q31_stops, q32_anchors, q32_articles, q33_official, q33_links, q34_listing, q35_claims, q35_finished, q36_cube_size, q36_cube_rows, q37_whole_tables, q48_signals, q49_decisions, q50_confirm, q50_outside, q51_backtest, q52_budget, q53_admitted, q54_pacing)}
-ORACLES = {"q28_usage": Q28, "q30_latest_state": Q30, "q31_misses": Q31, "q31_stops": Q31S, "q32_anchors": Q32, "q32_articles": Q32A, "q33_official": Q33, "q33_links": Q33L, "q34_listing": Q34, "q35_claims": Q35, "q35_finished": Q35F, "q36_cube_size": Q36, "q36_cube_rows": Q36R, "q37_whole_tables": Q37, "q48_signals": Q48, "q49_decisions": Q49, "q50_confirm": Q50C, "q50_outside": Q50, "q51_backtest": Q51, "q52_budget": Q52, "q53_admitted": Q53, "q54_pacing": Q54}
+QUERIES = {f.__name__: f for f in (q28_usage, q30_latest_state, q31_misses, q31_stops, q32_anchors, q32_articles, q33_official, q33_links, q34_listing, q35_claims, q35_finished, q36_cube_size, q36_cube_rows, q37_whole_tables, q48_signals, q49_decisions, q50_confirm, q50_reclassify, q50_outside, q51_backtest, q52_budget, q53_admitted, q54_pacing)}
+ORACLES = {"q28_usage": Q28, "q30_latest_state": Q30, "q31_misses": Q31, "q31_stops": Q31S, "q32_anchors": Q32, "q32_articles": Q32A, "q33_official": Q33, "q33_links": Q33L, "q34_listing": Q34, "q35_claims": Q35, "q35_finished": Q35F, "q36_cube_size": Q36, "q36_cube_rows": Q36R, "q37_whole_tables": Q37, "q48_signals": Q48, "q49_decisions": Q49, "q50_confirm": Q50C, "q50_reclassify": Q50R, "q50_outside": Q50, "q51_backtest": Q51, "q52_budget": Q52, "q53_admitted": Q53, "q54_pacing": Q54}

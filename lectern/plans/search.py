@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as t
-from lectern.operators import access, catalog, index, screening, search
+from lectern.operators import access, catalog, classify, index, screening, search
 from lectern.plans.text import CHUNKS_SQL, STOPS
 from lectern.sources import shared
 from lectern.sources.tables import WORKS_SQL, fold_sql, stem_sql, table, works
@@ -230,10 +230,10 @@ def q16_title_in_text(spark, d):
 
 _SEPARATED = r"'^(.+?)\s*[-\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}\x{2015}:\x{FF1A}]\s*([^\r\n]+?)\s*$'"
 Q16T = f"""WITH {WORKS_SQL}, c AS (SELECT doc_id, author, CASE doc_id % 5 WHEN 0 THEN title WHEN 1 THEN title || ' \u2014 ' || upper(author) WHEN 2 THEN title || ': nobody' WHEN 3 THEN 'zzz ' || title ELSE ' ' END AS t,
-    CASE doc_id // 5 % 3 WHEN 0 THEN body WHEN 1 THEN 'x' || chr(10) || ' Authors: somebody; ' || author || chr(10) || body ELSE regexp_replace(body, '[ \n]', '', 'g') END AS x, doc_id // 5 % 3 = 1 AS lined FROM works
+    CASE doc_id // 5 % 3 WHEN 0 THEN body WHEN 1 THEN 'x' || chr(10) || ' Authors: somebody; ' || author || chr(10) || body ELSE regexp_replace(body, '[ \\n]', '', 'g') END AS x, doc_id // 5 % 3 = 1 AS lined FROM works
 ), f AS (SELECT *, {fold_sql("t")} AS want, {fold_sql("x")} AS have, {fold_sql(f"regexp_extract(t, {_SEPARATED}, 1)")} AS core, replace({fold_sql(f"regexp_extract(t, {_SEPARATED}, 2)")}, ' ', '') AS who FROM c)
 SELECT doc_id, CASE WHEN want <> '' AND have <> '' THEN contains(have, want) OR contains(replace(have, ' ', ''), replace(want, ' ', ''))
-  OR ((who = replace(author, ' ', '') OR who = 'somebody') AND (lined OR regexp_matches(x, '(?im)^\s*authors?\s*[:]')) AND length(replace(core, ' ', '')) >= 12 AND (contains(have, core) OR contains(replace(have, ' ', ''), replace(core, ' ', '')))) END AS there FROM f"""
+  OR ((who = replace(author, ' ', '') OR who = 'somebody') AND (lined OR regexp_matches(x, '(?im)^\\s*authors?\\s*[:]')) AND length(replace(core, ' ', '')) >= 12 AND (contains(have, core) OR contains(replace(have, ' ', ''), replace(core, ' ', '')))) END AS there FROM f"""
 
 
 def q17_requested(spark, d):
@@ -264,6 +264,18 @@ def q18_topic_links(spark, d):
 Q18 = f"WITH {WORKS_SQL}, l AS (SELECT doc_id, 'domain' AS kind, domain AS name FROM works UNION ALL SELECT doc_id, 'subtopic', subtopic FROM works) SELECT kind, name, count(*) AS works, min(doc_id) AS first FROM l GROUP BY kind, name"
 
 
+def q18_link_rows(spark, d):
+    """A row for each topic of each work, with the place of its view."""
+    n = F.col("doc_id")
+    topic = lambda a, b: F.struct(F.col(a).alias("domain"), F.col(b).alias("subtopic"))
+    w = works(spark, d).select("doc_id", F.when(n % 3 > 0, F.concat(F.lit("n"), n, F.lit(".pdf"))).alias("name"), F.when(n % 5 > 0, F.array(topic("domain", "subtopic"), topic("journal", "domain"))).otherwise(F.array(topic("domain", "journal"))).alias("topics"), F.sha2("body", 256).alias("sha256"), F.when(n % 4 == 0, "VOR").alias("version_role"))
+    return classify.topic_links(w, "view")
+
+
+Q18L = f"""WITH {WORKS_SQL}, l AS (SELECT doc_id, domain AS d, CASE WHEN doc_id % 5 > 0 THEN subtopic ELSE journal END AS t, body FROM works UNION ALL SELECT doc_id, journal, domain, body FROM works WHERE doc_id % 5 > 0)
+SELECT doc_id, d AS domain, t AS topic, concat_ws('/', 'view', d, t, CASE WHEN doc_id % 3 > 0 THEN 'n' ELSE '' END || doc_id || '.pdf') AS view_path, 'HARDLINK' AS link_type, sha256(body) AS sha256, CASE WHEN doc_id % 4 = 0 THEN 'VOR' ELSE 'PRIMARY_CANONICAL' END AS version_role FROM l"""
+
+
 def q19_bm25f(spark, d):
     """Ranked top ten for each query of the benchmark's query set, from the stored index."""
     return search.ranked(search.term_scores(index_of(spark, d), search.plain_terms(asked(spark, d)), WITH_TEXT), 10)
@@ -515,7 +527,7 @@ SELECT n AS doc_id, CASE WHEN n % 3 = 2 THEN '10.1000/w' || n END AS doi, CASE W
   CASE n % 3 WHEN 0 THEN CASE WHEN length(t) >= 8 THEN t ELSE t || '. Journal, 4(2' END WHEN 1 THEN CASE WHEN length(t) >= 4 THEN t ELSE '' END ELSE t || '.' END AS title FROM x"""
 
 _ALL = (
-    (q12_query_terms, Q12), (q12_parse, Q12P), (q12_expansion, Q12E), (q13_filters, Q13), (q14_lookup, Q14), (q15_lexicon, Q15), (q15_titles, Q15T), (q16_title_match, Q16), (q17_target_match, Q17), (q16_title_in_text, Q16T), (q17_requested, Q17R), (q18_topic_links, Q18), (q19_bm25f, Q19), (q20_contributions, Q20),
+    (q12_query_terms, Q12), (q12_parse, Q12P), (q12_expansion, Q12E), (q13_filters, Q13), (q14_lookup, Q14), (q15_lexicon, Q15), (q15_titles, Q15T), (q16_title_match, Q16), (q17_target_match, Q17), (q16_title_in_text, Q16T), (q17_requested, Q17R), (q18_topic_links, Q18), (q18_link_rows, Q18L), (q19_bm25f, Q19), (q20_contributions, Q20),
     (q20_repeated_terms, Q20R), (q21_two_stage, Q21), (q21_passages, Q21S), (q21_roles, Q21R), (q21_evidence, Q21E), (q21_pack, Q21P), (q21_rerank, Q21V), (q22_index, Q22I), (q22_fulltext, Q22F), (q13_filtered_search, Q13F), (q23_related, Q23), (q24_coverage, Q24), (q24_missing, Q24M), (q24_pairs, Q24P), (q25_citations, Q25), (q25_parse, Q25P),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}

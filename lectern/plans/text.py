@@ -26,6 +26,18 @@ def q02_fold(spark, d):
 Q02 = f"WITH {WORKS_SQL} SELECT doc_id, nullif({fold_sql('title')}, '') AS title, CAST(length({fold_sql('body')}) AS INTEGER) AS n FROM works"
 
 
+WIDE = "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
+
+
+def q02_compatible(spark, d):
+    """Names in full-width letters, with a ligature and a unit as one character, normalised after NFKC."""
+    raw = F.concat(F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", WIDE), F.lit("　ﬁ㎏"), F.col("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", t.normalize_title(t.nfkc(raw)).alias("title"), t.label_key(t.nfkc(raw)).alias("label"))
+
+
+Q02N = f"SELECT p_partkey, {fold_sql('p_name')} || ' fikg' || p_partkey AS title, regexp_replace(p_name, '\\s', '', 'g') || 'fikg' || p_partkey AS label FROM part"
+
+
 def q03_paper_id(spark, d):
     w = works(spark, d)
     return w.select("doc_id", t.paper_id(F.lit(None).cast("string"), F.col("title"), F.col("year").cast("string"), F.col("author")).alias("paper_id"))
@@ -133,5 +145,5 @@ Q39 = rf"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM docum
 z AS (SELECT doc_id, line, list_filter(regexp_extract_all(s, '(?i)\b({t.SECRET_NAMES})\b\s*[:=]\s*(?:bearer\s+)?([^\s,;&]+)', 2), lambda v: lower(v) NOT IN ('true', 'false', 'none', '<redacted>')) AS f FROM y)
 SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(len(f) AS INTEGER) AS found FROM z WHERE len(f) > 0"""
 
-QUERIES = {f.__name__: f for f in (q01_doi, q02_fold, q03_paper_id, q04_file_name, q05_tokens, q06_stems, q07_names, q08_topics, q09_chunks, q10_years, q11_without_references, q38_redact, q39_leaks)}
-ORACLES = {"q01_doi": Q01, "q02_fold": Q02, "q03_paper_id": Q03, "q04_file_name": Q04, "q05_tokens": Q05, "q06_stems": Q06, "q07_names": Q07, "q08_topics": Q08, "q09_chunks": Q09, "q10_years": Q10, "q11_without_references": Q11, "q38_redact": Q38, "q39_leaks": Q39}
+QUERIES = {f.__name__: f for f in (q01_doi, q02_fold, q02_compatible, q03_paper_id, q04_file_name, q05_tokens, q06_stems, q07_names, q08_topics, q09_chunks, q10_years, q11_without_references, q38_redact, q39_leaks)}
+ORACLES = {"q01_doi": Q01, "q02_fold": Q02, "q02_compatible": Q02N, "q03_paper_id": Q03, "q04_file_name": Q04, "q05_tokens": Q05, "q06_stems": Q06, "q07_names": Q07, "q08_topics": Q08, "q09_chunks": Q09, "q10_years": Q10, "q11_without_references": Q11, "q38_redact": Q38, "q39_leaks": Q39}

@@ -25,6 +25,40 @@ def read_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+#: What the rows of each kind of ledger have to have, and of them what may not be empty.
+LEDGERS = {
+    "fetches": ("record_type string, source string, identifier string, paper_id string, ok boolean, detail string, timestamp string", ("record_type", "source", "identifier", "timestamp")),
+    "searches": ("source string, query string, timestamp string", ("source", "timestamp")),
+    "batches": ("item string, outcome string, reason string, timestamp string", ("item", "outcome", "timestamp")),
+    "assignments": ("paper_id string, topics array<string>, assignment_source string, timestamp string", ("paper_id", "assignment_source", "timestamp")),
+}
+#: A time with its zone: one without says nothing.
+ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
+
+
+def read_ledger(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of a ledger with ts, its time in UTC; the job fails at a line that is no row, has an empty field that it needs, or a time without zone."""
+    schema, needed = LEDGERS[kind]
+    rows = read_strict(spark, path, StructType.fromDDL(schema))
+    whole = F.coalesce(F.col("timestamp").rlike(ZONED), F.lit(False))
+    for c in needed:
+        whole = whole & (F.trim(F.coalesce(c, F.lit(""))) != "")
+    fault = F.raise_error(F.concat(F.lit(f"a row of the ledger of {kind} is not whole: "), F.to_json(F.struct(*rows.columns))))
+    return rows.withColumn("ts", F.when(whole, F.try_to_timestamp("timestamp")).otherwise(fault.cast("timestamp")))
+
+
+def read_provenance(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(rows, malformed): the assignments that can be read, with the last of each paper_id marked `latest`, and how many lines cannot."""
+    schema, needed = LEDGERS["assignments"]
+    rows, bad = read_tolerant(spark, path, StructType.fromDDL(schema))
+    whole = F.coalesce(F.col("timestamp").rlike(ZONED), F.lit(False))
+    for c in needed:
+        whole = whole & (F.trim(F.coalesce(c, F.lit(""))) != "")
+    good = rows.where(whole).withColumn("ts", F.try_to_timestamp("timestamp"))
+    last = F.row_number().over(W.partitionBy("paper_id").orderBy(F.col("ts").desc(), F.col("assignment_source")))
+    return good.withColumn("latest", last == 1), bad.count() + rows.where(~whole).count()
+
+
 def load_catalog(papers: DataFrame, topics: DataFrame, position: str = "line") -> tuple[DataFrame, DataFrame]:
     """(works, problems): the first row of each paper_id with the first topic row of it; rows without id and repeated ids are problems."""
     nth = F.row_number().over(W.partitionBy("paper_id").orderBy(position))
