@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
+from lectern.sources import commits
 
 # The rank of a version's role and of its format.
 ROLE_RANK = {
@@ -106,6 +107,51 @@ def correct(works: DataFrame, corrections: DataFrame, key: str = "doc_id") -> Da
     return out.select(key, *[F.coalesce(F.col(f"new.{c}"), F.col(c)).alias(c) for c in names], F.col("new").isNotNull().alias("corrected"))
 
 
+CORRECTABLE = ("title", "authors", "year", "journal")
+
+
+def correct_catalog(works: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(works, events): the works (paper_id, doi, title, authors: array, year, journal and any more) as corrections (position, paper_id, title, authors, year, journal,
+    reason, evidence; null: as it was) leave them, and what became of each correction (position, paper_id, status, changed, before, after, reason, evidence).
+
+    A correction never changes which work it is. With a DOI the id has to be the DOI's, whatever is corrected; without, a new title, year or
+    author list has to leave the id made of title, year and first author as it is, and none of these may be missing: else it is
+    IDENTITY_CHANGES or IDENTITY_INCOMPLETE. So what is accepted before decides nothing about what comes after, and of each field the last accepted
+    value counts. One that names no field or no work is told as well."""
+    mine = works.select(F.col("paper_id").alias("_id"), t.normalize_doi(F.col("doi")).alias("_doi"), *[F.col(c).alias(f"_{c}") for c in CORRECTABLE])
+    rows = corrections.join(mine, F.col("paper_id") == F.col("_id"), "left")
+    text = lambda c: F.nullif(F.nullif(F.trim(c), F.lit("")), F.lit("unknown"))
+    people = F.filter(F.transform(F.coalesce("authors", "_authors"), lambda x: F.trim(x)), lambda x: x != "")
+    title, year, first = text(F.coalesce("title", "_title")), text(F.coalesce("year", "_year")), F.get(people, F.lit(0))
+    touched = F.col("title").isNotNull() | F.col("authors").isNotNull() | F.col("year").isNotNull()
+    whole = t.normalize_title(title).isNotNull() & year.isNotNull() & t.normalize_title(first).isNotNull()
+    none = F.lit(None).cast("string")
+    status = (
+        F.when(F.col("_id").isNull(), "WORK_NOT_FOUND").when(~touched & F.col("journal").isNull(), "NOTHING_TO_CHANGE").when(F.col("_doi").isNotNull(), F.when(t.paper_id(F.col("_doi"), none, none, none) == F.col("_id"), "APPLIED").otherwise("IDENTITY_CHANGES"))
+        .when(~touched, "APPLIED").when(~F.coalesce(whole, F.lit(False)), "IDENTITY_INCOMPLETE").when(t.paper_id(none, title, year, first) == F.col("_id"), "APPLIED").otherwise("IDENTITY_CHANGES")
+    )
+    values = {"title": F.coalesce(text(F.col("title")), F.lit("unknown")), "authors": F.filter(F.transform("authors", lambda x: F.trim(x)), lambda x: x != ""), "year": F.coalesce(text(F.col("year")), F.lit("unknown")), "journal": F.coalesce(text(F.col("journal")), F.lit("unknown"))}
+    rows = rows.withColumn("status", status).withColumns({f"_new_{c}": F.when(F.col(c).isNotNull(), v) for c, v in values.items()})
+    state = lambda prefix: F.to_json(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in CORRECTABLE]))
+    changed = F.filter(F.array(*[F.when(F.col(c).isNotNull(), c) for c in CORRECTABLE]), lambda x: x.isNotNull())
+    events = rows.select("position", "paper_id", "status", changed.alias("changed"), state("_").alias("before"), state("_new_").alias("after"), F.coalesce("reason", F.lit("bibliographic metadata cleanup")).alias("reason"), "evidence")
+    done = rows.where("status = 'APPLIED'").groupBy(F.col("paper_id").alias("_id")).agg(*[F.max_by(f"_new_{c}", F.when(F.col(f"_new_{c}").isNotNull(), F.col("position"))).alias(f"_new_{c}") for c in CORRECTABLE])
+    out = works.join(done, F.col("paper_id") == F.col("_id"), "left")
+    return out.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in CORRECTABLE else F.col(c) for c in works.columns]), events
+
+
+def commit_corrections(corrections: DataFrame, path: str, batch: str) -> bool:
+    """Apply corrections to the table `works` below `path` and add their events to `corrections`, in one commit, so that no reader sees one without the
+    other; false if the batch is in already. A commit in between makes it begin again on what that one left."""
+    spark = corrections.sparkSession
+    while not any(e.writer == "corrections" and e.batch.rpartition("@")[0] == batch for e in commits.log(spark, path)):
+        version = max(e.version for e in commits.log(spark, path))
+        works, events = correct_catalog(commits.read(spark, path, "works", version), corrections)
+        if commits.commit(path, "corrections", f"{batch}@{version}", adds={"corrections": events}, replaces={"works": works}, at=version):
+            return True
+    return False
+
+
 def first_wins(rows: DataFrame, key: str, position: str) -> DataFrame:
     """The first row of each key by position."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(position))).where("_n = 1").drop("_n")

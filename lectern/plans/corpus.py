@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import text as t
 from lectern.operators import dedupe, screening, versions
 from lectern.sources.tables import WORKS_SQL, fold_sql, table, works
 
@@ -104,6 +105,34 @@ Q40 = f"""WITH {WORKS_SQL}, l AS (SELECT user_id % 50 AS doc_id, max(event_id) A
 SELECT w.doc_id, coalesce(CASE WHEN n % 2 = 0 THEN 'T' || n END, title) AS title, coalesce(CASE WHEN n % 3 = 0 THEN (2000 + n % 20)::INT END, year) AS year, author, coalesce(CASE WHEN n % 5 = 0 THEN 'j' || n % 9 END, journal) AS journal, n IS NOT NULL AS corrected FROM works w LEFT JOIN l USING (doc_id)"""
 
 
+def q40_events(spark, d):
+    """Corrections of a catalog whose ids are made of DOIs or of titles, years and authors: what became of each, and the works after them."""
+    n = F.col("doc_id")
+    w = works(spark, d).where("doc_id >= 0")
+    doi = F.when(n % 4 == 0, F.concat(F.lit("10.1000/c"), n))
+    none = F.lit(None).cast("string")
+    w = w.select(n.alias("n"), doi.alias("doi"), "title", F.array("author", F.lit("B")).alias("authors"), F.col("year").cast("string").alias("year"), "journal")
+    stable = F.when(F.col("n") % 20 == 4, t.paper_id(none, F.col("title"), F.col("year"), F.get("authors", 0))).otherwise(t.paper_id(F.col("doi"), F.col("title"), F.col("year"), F.get("authors", 0)))
+    # Works without a DOI that are alike have one id; the catalog has the first of them.
+    w = w.withColumn("paper_id", F.when(F.trim("title") == "", F.concat(F.lit("Q"), "n")).otherwise(stable)).groupBy("paper_id").agg(*[F.min_by(c, "n").alias(c) for c in ("doi", "title", "authors", "year", "journal")], F.min("n").alias("n"))
+    k = F.col("n")
+    new = {"title": F.when(k % 3 == 0, F.concat(F.lit(" "), "title", F.lit("!"))).when(k % 7 == 1, "other"), "year": F.when(k % 11 == 2, "1900"), "authors": F.when(k % 5 == 1, F.array(F.upper(F.get("authors", 0)), F.lit(" C "))).when(k % 5 == 2, F.array(F.lit("B"))), "journal": F.when(k % 2 == 0, F.concat(F.lit("J"), k % 10))}
+    c = w.select(k.alias("position"), F.when(k % 13 == 5, "P000").otherwise(F.col("paper_id")).alias("paper_id"), *[v.alias(c) for c, v in new.items()], none.alias("reason"), F.lit("page").alias("evidence"))
+    after, events = versions.correct_catalog(w, c)
+    told = events.select(F.col("position").alias("n"), "status", F.array_join("changed", ",").alias("changed"))
+    return told.join(after.select("n", "title", F.array_join("authors", ",").alias("authors"), "year", "journal"), "n")
+
+
+Q40E = f"""WITH {WORKS_SQL}, f AS (SELECT *, {fold_sql("title")} AS folded FROM works), g AS (SELECT *, CASE WHEN trim(title) = '' THEN 'q' || doc_id WHEN doc_id % 4 = 0 AND doc_id % 20 <> 4 THEN 'd' || doc_id ELSE folded || '|' || year || '|' || author END AS id FROM f
+), c AS (SELECT min(doc_id) AS n, arg_min(title, doc_id) AS title, arg_min(folded, doc_id) AS folded, arg_min(year, doc_id)::VARCHAR AS year, arg_min(author, doc_id) AS author, arg_min(journal, doc_id) AS journal FROM g GROUP BY id
+), x AS (SELECT *, CASE WHEN n % 3 = 0 THEN trim(title || '!') WHEN n % 7 = 1 THEN 'other' END AS t2, CASE WHEN n % 11 = 2 THEN '1900' END AS y2, CASE WHEN n % 5 = 1 THEN upper(author) || ',C' WHEN n % 5 = 2 THEN 'B' END AS a2, CASE WHEN n % 2 = 0 THEN 'J' || n % 10 END AS j2 FROM c
+), s AS (SELECT *, t2 IS NULL AND y2 IS NULL AND a2 IS NULL AS untouched, trim(title) = '' AS odd FROM x
+), v AS (SELECT *, CASE WHEN n % 13 = 5 THEN 'WORK_NOT_FOUND' WHEN untouched AND j2 IS NULL THEN 'NOTHING_TO_CHANGE' WHEN n % 4 = 0 THEN CASE WHEN n % 20 = 4 OR odd THEN 'IDENTITY_CHANGES' ELSE 'APPLIED' END WHEN untouched THEN 'APPLIED'
+  WHEN coalesce({fold_sql("coalesce(t2, title)")}, '') = '' THEN 'IDENTITY_INCOMPLETE' WHEN odd OR y2 IS NOT NULL OR n % 5 = 2 OR (t2 = 'other' AND folded <> 'other') THEN 'IDENTITY_CHANGES' ELSE 'APPLIED' END AS status FROM s)
+SELECT n, status, concat_ws(',', CASE WHEN t2 IS NOT NULL THEN 'title' END, CASE WHEN a2 IS NOT NULL THEN 'authors' END, CASE WHEN y2 IS NOT NULL THEN 'year' END, CASE WHEN j2 IS NOT NULL THEN 'journal' END) AS changed,
+  CASE WHEN status = 'APPLIED' THEN coalesce(t2, title) ELSE title END AS title, CASE WHEN status = 'APPLIED' THEN coalesce(a2, author || ',B') ELSE author || ',B' END AS authors, CASE WHEN status = 'APPLIED' THEN coalesce(y2, year) ELSE year END AS year, CASE WHEN status = 'APPLIED' THEN coalesce(j2, journal) ELSE journal END AS journal FROM v"""
+
+
 def records(spark, d):
     """Works as records of searches: few years and authors, so that equal titles meet; a quarter have DOIs of their own, some the one of the record before."""
     w, n = works(spark, d), F.col("doc_id")
@@ -243,5 +272,5 @@ def q47_route(spark, d):
 
 Q47 = """SELECT conv_id AS request, CASE WHEN conv_id % 9 = 0 THEN 'LITERATURE' ELSE CASE conv_id % 4 WHEN 0 THEN 'LITERATURE' WHEN 1 THEN 'EPS' WHEN 2 THEN 'DATA' ELSE 'UNKNOWN' END END AS task, count(*) * 10 > 30 AS gate FROM conversations GROUP BY conv_id"""
 
-QUERIES = {f.__name__: f for f in (q22_freshness, q26_preferred, q27_dispositions, q27_hash_owners, q29_difference, q29_fingerprint, q40_corrections, q41_components, q42_deduplicate, q43_screen, q44_query_plan, q45_caps, q45_batches, q46_readiness, q47_route)}
-ORACLES = {"q22_freshness": Q22, "q26_preferred": Q26, "q27_dispositions": Q27, "q27_hash_owners": Q27H, "q29_fingerprint": Q29F, "q29_difference": Q29, "q40_corrections": Q40, "q41_components": Q41, "q42_deduplicate": Q42, "q43_screen": Q43, "q44_query_plan": Q44, "q45_caps": Q45, "q45_batches": Q45B, "q46_readiness": Q46, "q47_route": Q47}
+QUERIES = {f.__name__: f for f in (q22_freshness, q26_preferred, q27_dispositions, q27_hash_owners, q29_difference, q29_fingerprint, q40_corrections, q40_events, q41_components, q42_deduplicate, q43_screen, q44_query_plan, q45_caps, q45_batches, q46_readiness, q47_route)}
+ORACLES = {"q22_freshness": Q22, "q26_preferred": Q26, "q27_dispositions": Q27, "q27_hash_owners": Q27H, "q29_fingerprint": Q29F, "q29_difference": Q29, "q40_corrections": Q40, "q40_events": Q40E, "q41_components": Q41, "q42_deduplicate": Q42, "q43_screen": Q43, "q44_query_plan": Q44, "q45_caps": Q45, "q45_batches": Q45B, "q46_readiness": Q46, "q47_route": Q47}

@@ -46,40 +46,46 @@ SELECT n, CASE WHEN string_split(x, '.')[1] IN ('con', 'lpt1') THEN '_' || x WHE
 
 
 def q61_topic_field(spark, d):
-    raw = F.concat(F.lit("a \\ b; "), choose(F.col("n"), "x\\y", "none"), F.lit(" ;a\\b;"), choose(F.col("n"), "x\\y", "c\\d"))
+    """Topic fields with repeated pairs, parts of part names among them."""
+    first, rest = F.substring_index("name", " ", 1), F.concat(F.col("name"), F.lit(" "), F.col("n"))
+    raw = F.concat(first, F.lit(" \\ "), rest, F.lit("; "), choose(F.col("n"), "x\\y", "none"), F.lit(" ;"), first, F.lit("\\"), rest, F.lit(";"), choose(F.col("n"), "x\\y", "c\\d"))
     return parts(spark, d).select("n", t.topic_field(t.topic_pairs(raw)).alias("field"))
 
 
-Q61T = f"WITH {P} SELECT n, 'a\\b;' || {pick('n', chr(120) + chr(92) + 'y', 'c' + chr(92) + 'd')} AS field FROM p"
+Q61T = f"WITH {P} SELECT n, split_part(name, ' ', 1) || chr(92) || name || ' ' || n || ';' || {pick('n', chr(120) + chr(92) + 'y', 'c' + chr(92) + 'd')} AS field FROM p"
 
 
 def q61_titles(spark, d):
-    raw = choose(F.col("n"), "数 字 金融 与 企业 - 创新", "审计 、 质量", "A - B", "中国 — — 经验", "a &amp; b  &lt;c&gt;", "盈余 + 管理")
+    """Titles with the spaces that markup leaves, around ideographs, marks and part names."""
+    say = lambda *values: choose(F.col("n"), *values)
+    raw = F.concat(say("数 字 ", "审计 、 质量 、 ", "A - B ", "中国 — — ", "a &amp; b  &lt;c&gt; ", "盈余 + "), "name", say(" 金融 与 企业 - 创新", " 、 风 险", " - C", " — 经验", " &quot;q&quot;", " + 管理  与"), F.col("n"))
     return parts(spark, d).select("n", t.squeeze_title(raw).alias("title"))
 
 
-Q61S = f"WITH {P} SELECT n, {pick('n', '数字金融与企业-创新', '审计、质量', 'A - B', '中国——经验', 'a & b <c>', '盈余+管理')} AS title FROM p"
+Q61S = f"WITH {P} SELECT n, {pick('n', '数字 ', '审计、质量、', 'A - B ', '中国——', 'a & b <c> ', '盈余+')} || name || {pick('n', ' 金融与企业-创新', '、风险', ' - C', '—经验', ' "q"', '+管理与')} || n AS title FROM p"
 
 
 def q61_spaced_dois(spark, d):
-    raw = F.concat(F.lit("see 10.1016 / j. jacc"), F.lit("eco.2008 ."), F.col("n"), F.lit(" and doi 10.1000/AB"), F.col("n"), F.lit(". 10.1000/ab"), F.col("n"))
+    """DOIs that text extraction has broken at their punctuation, in as many places as a part name has words, with others and with words after them."""
+    words = F.replace("name", F.lit(" "), F.lit(". "))
+    raw = F.concat(F.lit("see 10.1016 / j. jacc"), F.lit("eco.2008 ."), F.col("n"), F.lit(" and doi 10.1000/AB"), F.col("n"), F.lit(". 10.1000/ab"), F.col("n"), F.lit(" also 10.5555/ "), words, F.lit(" _ "), words, F.lit(" - "), F.col("n"), F.lit(" end"))
     return parts(spark, d).select("n", F.array_join(t.spaced_dois(raw), " ").alias("dois"))
 
 
-Q61D = f"WITH {P} SELECT n, '10.1016/j.jacceco.2008.' || n || ' 10.1000/ab' || n AS dois FROM p"
+Q61D = f"WITH {P} SELECT n, '10.1016/j.jacceco.2008.' || n || ' 10.1000/ab' || n || ' 10.5555/' || replace(name, ' ', '.') || '_' || replace(name, ' ', '.') || '-' || n AS dois FROM p"
 
 
 def q61_controls(spark, d):
     text = F.concat(
         choose(F.col("n"), "研究 2010-2020 年", "last 7 years of", "2015年以后", "papers on"), F.lit(" "), choose(F.col("n"), "最多候选 300 篇", "最多下载 40 篇", "do not download", "只找英文", "中英文 peer-reviewed"),
-        F.lit(' "A long quoted title" "short" 10.1000/X'), F.col("n"), F.lit("."),
+        F.lit(' "A long '), F.col("name"), F.lit('" "short" 10.1000/X'), F.col("n"), F.lit("."),
     )
     c = parts(spark, d).select("n", t.controls(text, 2026).alias("c"))
     return c.select("n", "c.first", "c.last", "c.results", "c.downloads", "c.languages", F.array_join("c.titles", "|").alias("titles"), F.array_join("c.dois", "|").alias("dois"), "c.reviewed")
 
 
 Q61C = f"""WITH {P} SELECT n, CASE n % 4 WHEN 0 THEN 2010 WHEN 1 THEN 2020 WHEN 2 THEN 2015 END AS first, CASE n % 4 WHEN 0 THEN 2020 WHEN 1 THEN 2026 WHEN 2 THEN 2026 END AS last, {pick('n', 200, 30, 30, 30, 30)} AS results, {pick('n', 5, 25, 0, 5, 5)} AS downloads,
-  {pick('n', 'zh,en', 'zh,en', 'zh,en', 'en', 'zh,en')} AS languages, 'A long quoted title' AS titles, '10.1000/X' || n AS dois, n % 5 = 4 AS reviewed FROM p"""
+  {pick('n', 'zh,en', 'zh,en', 'zh,en', 'en', 'zh,en')} AS languages, 'A long ' || name AS titles, '10.1000/X' || n AS dois, n % 5 = 4 AS reviewed FROM p"""
 
 
 def q61_redacted(spark, d):

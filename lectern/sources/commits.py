@@ -57,12 +57,12 @@ def done(spark: SparkSession, path: str, writer: str, batch) -> bool:
     return any((e.writer, e.batch) == (writer, str(batch)) for e in log(spark, path))
 
 
-def commit(path: str, writer: str, batch, adds: dict[str, DataFrame] | None = None, replaces: dict[str, DataFrame] | None = None) -> bool:
+def commit(path: str, writer: str, batch, adds: dict[str, DataFrame] | None = None, replaces: dict[str, DataFrame] | None = None, at: int | None = None) -> bool:
     """Add rows to some tables and put others in the place of what they were, all in one step; false, and nothing done, if the batch is in already.
 
     Rows are written to folders of their own first, which no reader sees until the entry is there. Of two writers at once the second one's
-    entry goes after the first one's. A replaced table is that of its last entry: who computes it from the table's rows gives the
-    version it read as part of the batch's name, or is the only writer."""
+    entry goes after the first one's, unless `at` says after which version it has to stand: then it is not made, and false. Who computes a
+    replacement from a table's rows gives the version that they are of."""
     frames = {**(adds or {}), **(replaces or {})}
     spark = next(iter(frames.values())).sparkSession
     if done(spark, path, writer, batch):
@@ -74,11 +74,12 @@ def commit(path: str, writer: str, batch, adds: dict[str, DataFrame] | None = No
         tables[name] = {"folder": folder, "replaces": name in (replaces or {}), "schema": rows.schema.json()}
     while True:
         entries = log(spark, path)
-        if any((e.writer, e.batch) == (writer, str(batch)) for e in entries):
+        last = max((e.version for e in entries), default=-1)
+        if any((e.writer, e.batch) == (writer, str(batch)) for e in entries) or at not in (None, last):
             for t in tables.values():
                 shared.delete(spark, f"{path}/{t['folder']}")
             return False
-        if _enter(spark, path, Entry(max((e.version for e in entries), default=-1) + 1, writer, str(batch), tables)):
+        if _enter(spark, path, Entry(last + 1, writer, str(batch), tables)):
             return True
 
 
@@ -102,10 +103,10 @@ def read(spark: SparkSession, path: str, table: str, version: int | None = None)
 
 
 def compact(spark: SparkSession, path: str, table: str, writer: str = "compact") -> bool:
-    """Put all rows of a table into one folder. Old folders stay until vacuum(), for readers that have begun."""
+    """Put all rows of a table into one folder; false, and nothing done, if there is but one or a commit came in between. Old folders stay until vacuum(), for readers that have begun."""
     entries = log(spark, path)
-    last = max((e.version for e in entries if table in e.tables), default=-1)
-    return commit(path, writer, f"{table}-{last}", replaces={table: read(spark, path, table, last)}) if len(_folders(entries, table)[0]) > 1 else False
+    last = max((e.version for e in entries), default=-1)
+    return commit(path, writer, f"{table}-{last}", replaces={table: read(spark, path, table, last)}, at=last) if len(_folders(entries, table)[0]) > 1 else False
 
 
 def vacuum(spark: SparkSession, path: str) -> int:

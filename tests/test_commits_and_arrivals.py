@@ -8,6 +8,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text
+from lectern.operators import versions
 from lectern.sources import commits, shared
 from lectern.streaming import arrivals, ledger
 
@@ -198,3 +200,31 @@ def test_kept_tables_are_released(spark):
     kept = shared.keep(rows(spark, 3))
     assert kept.count() == 3 and shared.kept() == mark + 1
     assert shared.release(spark, mark) == 1 and shared.kept() == mark
+
+
+def test_corrections_and_their_log_come_together(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    known = [("P1", None, "Old title", ["A"], "2001", "J", 1), ("P2", "10.1000/x", "T", ["A"], "2002", "K", 2)]
+    works = spark.createDataFrame(known, "paper_id string, doi string, title string, authors array<string>, year string, journal string, n int")
+    works = works.withColumn("paper_id", text.paper_id(F.col("doi"), F.col("title"), F.col("year"), F.get("authors", 0)))
+    assert commits.commit(path, "load", 0, adds={"works": works})
+    ids = {r["n"]: r["paper_id"] for r in works.collect()}
+    kind = "position int, paper_id string, title string, authors array<string>, year string, journal string, reason string, evidence string"
+    asked = [(1, ids[1], "OLD Title.", None, None, "J1", None, "page"), (2, ids[1], "New", None, None, None, None, "page"), (3, ids[2], "Any title", ["B"], "1999", None, "typo", None), (4, "P9", "x", None, None, None, None, None), (5, ids[1], None, None, None, "J2", None, None), (6, ids[1], None, None, None, None, None, None)]
+    corrections = spark.createDataFrame(asked, kind)
+    plain, between = commits.commit, []
+
+    def commit(p, writer, batch, **more):
+        if writer == "corrections" and not between:
+            between.append(1)
+            plain(p, "other", 0, adds={"notes": rows(spark, 1)})
+        return plain(p, writer, batch, **more)
+
+    monkeypatch.setattr(commits, "commit", commit)
+    assert versions.commit_corrections(corrections, path, "b1") and not versions.commit_corrections(corrections, path, "b1")
+    got = {r["n"]: (r["title"], r["authors"], r["year"], r["journal"], r["paper_id"]) for r in commits.read(spark, path, "works").collect()}
+    assert got == {1: ("OLD Title.", ["A"], "2001", "J2", ids[1]), 2: ("Any title", ["B"], "1999", "K", ids[2])}
+    events = {r["position"]: (r["status"], r["changed"], r["reason"]) for r in commits.read(spark, path, "corrections").collect()}
+    assert {k: v[0] for k, v in events.items()} == {1: "APPLIED", 2: "IDENTITY_CHANGES", 3: "APPLIED", 4: "WORK_NOT_FOUND", 5: "APPLIED", 6: "NOTHING_TO_CHANGE"}
+    assert events[1][1] == ["title", "journal"] and events[3][2] == "typo" and events[5][2] == "bibliographic metadata cleanup"
+    assert [e.writer for e in commits.log(spark, path)] == ["load", "other", "corrections"]

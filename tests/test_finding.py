@@ -26,8 +26,9 @@ def test_terms_in_texts(spark, monkeypatch):
                 x = fold(term)
                 if x and (x in text if re.search("[数字]", x) else f" {x} " in f" {text} "):
                     want.add((k, f, label))
-    for size in (matcher.AUTOMATON, 40):
+    for size, few in ((matcher.AUTOMATON, matcher.IN_DRIVER), (40, 5)):
         monkeypatch.setattr(matcher, "AUTOMATON", size)
+        monkeypatch.setattr(matcher, "IN_DRIVER", few)
         found = matcher.find(docs, lexicon, ["one", "two"])
         assert found.columns == ["doc_id", "field", "label", "term", "n"]
         got = [(r["doc_id"], r["field"], r["label"]) for r in found.collect()]
