@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from lectern.llm.binpack import coder
 from lectern.llm.common import ceil_div, new_path, small
 
-#: Bytes of text that a file's task encodes: some 15 MB of stored ids. Bytes of ids in a batch on the way to the writer.
-FILE_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+#: Bytes of text that a file's task encodes: some 15 MB of stored ids. Bytes of text for one of the files that it is stored in, roughly.
+#: Bytes of ids in a batch on the way to the writer.
+FILE_BYTES, UNPACKED, BATCH_BYTES = 32 << 20, 2, 4 << 20
 #: Settings of the files. Stripes are what tasks read apart from one another, so they are small; a group of rows is the least that the
 #: row index and the Bloom filters can skip. Rows are long here: the writer looks at its memory every 64 of them, not every 5,000.
 LAYOUT = {
@@ -37,6 +38,14 @@ class CorruptFile(ValueError):
     """What a file says of a document is not what its ids are."""
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """About how many bytes of text a frame has: what Spark's statistics say of the files that it reads, or else, where they say nothing, a count."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < 1 << 60:  # the size of a frame that is not made of files is told as the largest there is
+        return known * UNPACKED
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 16), F.lit(0))).first()[0]
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES) -> str:
     """Write the ids of each row of `docs` (doc_id, text) to ORC files below `path`, in ascending order of doc_id; gives `path`.
 
@@ -51,10 +60,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_byte
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc(), F.col("_row").asc()]
     rows = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
-    ranged = rows.repartitionByRange(ceil_div(size, file_bytes), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ranged = rows.repartitionByRange(ceil_div(text_bytes(docs), file_bytes), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(tokenizer, end_id).encode
