@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import text as t
 from lectern.operators import passages
@@ -15,21 +20,87 @@ from lectern.sources import commits, shared
 VERSION = 2
 
 
-def token_rows(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
-    """key, field, token: every token of the named fields, one row each. Words are split off first, so that stop words and
-    stems are compiled expressions on rows; only texts with CJK characters go through the array form."""
-    folded = docs.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), t.fold(F.col(f)).alias("text")) for f in fields])))
-    words = folded.select(key, "field", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9a-z]+"), F.lit(0))).alias("w")).where(~F.col("w").isin(*t.STOP_WORDS))
-    stem = t.stem(F.col("w"))
-    latin = words.select(key, "field", F.explode(F.when(stem == F.col("w"), F.array("w")).otherwise(F.array(F.col("w"), stem))).alias("token"))
-    return latin.unionByName(folded.where(F.col("text").rlike(f"[{t.CJK}]")).select(key, "field", F.explode(t.cjk_tokens(F.col("text"))).alias("token")))
+#: Rows of postings in a batch, characters of a text that are cut into words at a time, and stems that a worker keeps.
+BATCH, PART, STEMS = 100_000, 1 << 20, 200_000
+_WORD, _RUN = re.compile("[0-9a-z]+"), re.compile(f"{t.CJK_TERM.pattern}+")
+_stems: dict[str, str] = {}
+
+
+def stem(word: str) -> str:
+    """What functions.text.stem() makes of a word."""
+    if len(word) > 4:
+        if word.endswith("ies"):
+            return word[:-3] + "y"
+        if word.endswith(("sses", "ches", "shes")):
+            return word[:-2]
+        if word.endswith(("ing", "ers")):
+            return word[:-3]
+    return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith(("ss", "us", "is")) else word
+
+
+def _stem(word: str) -> str:
+    found = _stems.get(word)
+    if found is None:
+        if len(_stems) >= STEMS:
+            _stems.clear()
+        found = _stems[word] = stem(word)
+    return found
+
+
+def token_counts(folded: str) -> Counter:
+    """How often each of the tokens that functions.text.tokens() gives is in a folded text, which is cut at spaces if it is long."""
+    words: Counter = Counter()
+    at = 0
+    while len(folded) - at > PART and (end := folded.find(" ", at + PART)) >= 0:
+        words.update(_WORD.findall(folded, at, end))
+        at = end
+    words.update(_WORD.findall(folded, at))
+    out: Counter = Counter()
+    for word, n in words.items():
+        if word not in _STOPS:
+            out[word] += n
+            if (root := _stem(word)) != word:
+                out[root] += n
+    if not folded.isascii():
+        for run in _RUN.finditer(folded):
+            out.update(c for c in run[0] if c not in t.CJK_STOP)
+            out.update(map("".join, zip(run[0], run[0][1:], strict=False)))
+    return out
+
+
+_STOPS = frozenset(t.STOP_WORDS)
 
 
 def postings(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
-    """key, field, token, tf, len: how often each token is in each field of a document, and how many tokens the field has."""
-    counts = token_rows(docs, fields, key).groupBy(key, "field", "token").agg(F.count("*").alias("tf"))
-    lengths = counts.groupBy(key, "field").agg(F.sum("tf").alias("len"))
-    return counts.join(lengths, [key, "field"])
+    """key, field, token, tf, len: how often each token is in each field of a row, and how many tokens the field has. A work is one row: its
+    tokens are counted where it is read, and nothing is shuffled. Texts are folded before they leave the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at: list[int] = []
+            rows: tuple[list, list, list, list] = ([], [], [], [])
+
+            def out() -> pa.RecordBatch:
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                made = [b.column(key).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))]
+                for c in (at, *rows):
+                    c.clear()
+                return pa.RecordBatch.from_arrays(made, [key, "field", "token", "tf", "len"])
+
+            for f in fields:
+                for k, text in enumerate(b.column(f"_{f}")):
+                    counts = token_counts(text.as_py())
+                    n, total = len(counts), sum(counts.values())
+                    at += [k] * n
+                    for column, values in zip(rows, ([f] * n, counts, counts.values(), [total] * n), strict=True):
+                        column.extend(values)
+                    if len(at) >= BATCH:
+                        yield out()
+            if at:
+                yield out()
+
+    schema = T.StructType([docs.schema[key], T.StructField("field", T.StringType()), T.StructField("token", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("len", T.LongType())])
+    return docs.select(key, *[t.fold(F.col(f)).alias(f"_{f}") for f in fields]).mapInArrow(run, schema)
 
 
 def chunk_postings(chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import extensions
+from lectern.functions import text as text_of
 from lectern.operators import catalog, index, matcher, search, substrings
 
 
@@ -63,6 +64,20 @@ def test_lookup_by_parts_of_names(spark):
     assert got == {(1, 1, "author"), (1, 2, "author"), (2, 1, "author"), (3, 3, "author"), (4, 2, "author"), (5, 1, "journal"), (6, None, None)}
 
 
+def test_postings_are_the_tokens_of_the_texts(spark, monkeypatch):
+    """Counted in Python, as the columns' expressions tokenise: stems, stop words, CJK runs, accents, long texts in parts."""
+    rng = random.Random(3)
+    words = "the classes churches tries ties dies sing singing runners bus kiss this is as glasses ashes os 7s x1y2 Éclairs naïve 数字的金融 了 数 カタカナ 한국어 STRASSE Straße a-b c_d".split()
+    texts = [(k, " ".join(rng.choices(words, k=rng.randint(0, 60))), rng.choice(words) if k % 3 else None) for k in range(150)]
+    docs = spark.createDataFrame(texts, "doc_id int, one string, two string")
+    fields = ("one", "two")
+    each = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text_of.tokens(F.col(f)).alias("ts")) for f in fields])).alias("x")).select("doc_id", "x.field", F.size("x.ts").alias("len"), F.explode("x.ts").alias("token"))
+    want = sorted(map(tuple, each.groupBy("doc_id", "field", "token", "len").agg(F.count("*").alias("tf")).select("doc_id", "field", "token", "tf", "len").collect()))
+    for part in (index.PART, 5):
+        monkeypatch.setattr(index, "PART", part)
+        assert sorted(map(tuple, index.postings(docs, list(fields)).collect())) == want
+
+
 DOCS = "doc_id long, title string, body string"
 
 
