@@ -103,10 +103,18 @@ def postings(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFra
     return docs.select(key, *[t.fold(F.col(f)).alias(f"_{f}") for f in fields]).mapInArrow(run, schema)
 
 
-def chunk_postings(chunks: DataFrame) -> DataFrame:
-    """doc_id, ordinal, token, tf, len of chunks (doc_id, ordinal, text)."""
-    cut = chunks.withColumn("chunk", F.struct("doc_id", "ordinal"))
-    return postings(cut, ["text"], "chunk").select("chunk.doc_id", "chunk.ordinal", "token", "tf", "len")
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """doc_id, ordinal, text, len, tokens, tfs of chunks (doc_id, ordinal, text): each with its distinct tokens and how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [token_counts(x.as_py()) for x in b.column("folded")]
+            sums = pa.array([sum(c.values()) for c in counts], pa.int64())
+            tokens, tfs = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ordinal"), b.column("text"), sums, tokens, tfs], ["doc_id", "ordinal", "text", "len", "tokens", "tfs"])
+
+    kept = [chunks.schema["doc_id"], chunks.schema["ordinal"], T.StructField("text", T.StringType()), T.StructField("len", T.LongType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.LongType()))]
+    return chunks.select("doc_id", "ordinal", "text", t.fold(F.col("text")).alias("folded")).mapInArrow(run, T.StructType(kept))
 
 
 @dataclass
@@ -159,12 +167,12 @@ def _segment(docs: DataFrame, fields: list[str], passages_of: str | None, key: s
     # A frequent token's postings are dealt out by works too, over as many files as they need.
     tables = {"postings": posted.withColumn("segment", F.lit(number)).repartitionByRange("field", "token", "doc_id").sortWithinPartitions("field", "token", "doc_id")}
     if passages_of:
-        cut = shared.keep(passages.chunks(docs.select(F.col(key).alias("doc_id"), F.col(passages_of).alias("text"))), "chunks")
-        found = shared.keep(chunk_postings(cut), "chunk-postings")
-        sizes = found.groupBy(F.col("doc_id").alias("_doc"), F.col("ordinal").alias("_ordinal")).agg(F.max("len").alias("len"))
-        stored = cut.join(sizes, (F.col("doc_id") == F.col("_doc")) & (F.col("ordinal") == F.col("_ordinal")), "left")
-        tables["chunks"] = stored.select("doc_id", "ordinal", F.coalesce("len", F.lit(0)).alias("len"), "text", F.lit(number).alias("segment")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ordinal")
-        tables["chunk_postings"] = found.withColumn("segment", F.lit(number)).repartitionByRange("doc_id", "ordinal").sortWithinPartitions("doc_id", "ordinal")
+        cut = passages.chunks(docs.select(F.col(key).alias("doc_id"), F.col(passages_of).alias("text")))
+        counted = shared.keep(chunk_counts(cut), "chunk-counts").withColumn("segment", F.lit(number))
+        # Dealt by work and sorted: groups of rows tell a reader which works they have.
+        tables["chunks"] = counted.select("doc_id", "ordinal", "len", "text", "segment").repartition("doc_id").sortWithinPartitions("doc_id", "ordinal")
+        rows = counted.select("doc_id", "ordinal", "len", "segment", F.explode(F.arrays_zip("tokens", "tfs")).alias("x"))
+        tables["chunk_postings"] = rows.select("doc_id", "ordinal", F.col("x.tokens").alias("token"), F.col("x.tfs").alias("tf"), "len", "segment").repartition("doc_id").sortWithinPartitions("doc_id", "ordinal")
     return tables, lens
 
 
@@ -239,8 +247,8 @@ def merge(spark: SparkSession, path: str) -> None:
     live = _held(spark, path).where("alive")
     replaces = {"postings": index.postings.withColumn("segment", F.lit(number)).repartitionByRange("field", "token", "doc_id").sortWithinPartitions("field", "token", "doc_id")}
     if index.chunks is not None:
-        replaces["chunks"] = index.chunks.withColumn("segment", F.lit(number)).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ordinal")
-        replaces["chunk_postings"] = index.chunk_postings.withColumn("segment", F.lit(number)).repartitionByRange("doc_id", "ordinal").sortWithinPartitions("doc_id", "ordinal")
+        replaces["chunks"] = index.chunks.withColumn("segment", F.lit(number)).repartition("doc_id").sortWithinPartitions("doc_id", "ordinal")
+        replaces["chunk_postings"] = index.chunk_postings.withColumn("segment", F.lit(number)).repartition("doc_id").sortWithinPartitions("doc_id", "ordinal")
     replaces["works"] = live.select("doc_id", "digest", "alive", F.lit(number).alias("segment"), "lens")
     described = [(about["version"], about["fields"], about["passages_of"], number + 1, 0, uuid.uuid4().hex)]
     replaces["about"] = spark.createDataFrame(described, "version int, fields string, passages_of string, segments int, dead long, mark string").coalesce(1)
