@@ -29,6 +29,7 @@ def lookup(works: DataFrame, wanted: DataFrame, lexical: DataFrame | None = None
     journal. Where these find nothing and the query is not `exact`, `bare` is taken for an author's name, and then `lexical` (query, doc_id), the
     results of a search, are approximate. A query without any work is NOT_IN_LIBRARY. works: doc_id, doi, title, authors, journal."""
     w = works.select("doc_id", t.normalize_doi(F.col("doi")).alias("wdoi"), t.fold(F.col("title")).alias("wtitle"), F.transform("authors", t.fold).alias("wauthors"), t.fold(F.col("journal")).alias("wjournal"))
+    w = keep(w, "catalog")  # what five ways of finding read, without texts
     ask = small(wanted.select("query", "id", t.normalize_doi(F.col("doi")).alias("doi"), t.fold(F.col("title")).alias("title"), t.fold(F.col("author")).alias("author"), t.fold(F.col("bare")).alias("bare"), t.fold(F.col("journal")).alias("journal"), "exact"), BROADCAST_QUERIES)
     one = lambda df, way: df.select("query", "doc_id", F.lit(way).alias("way"))
     first_doi = w.where("wdoi IS NOT NULL").groupBy("wdoi").agg(F.min("doc_id").alias("doc_id"))
