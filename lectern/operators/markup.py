@@ -6,6 +6,7 @@ import html as references
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,16 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+_REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+)|[a-zA-Z][a-zA-Z0-9]*);")
+
+
+def decoded(written: str) -> str:
+    """A text with its character references decoded. One without its semicolon, as where a text was cut off, stays as written."""
+    if "&" not in written:
+        return written
+    return _REFERENCE.sub(lambda m: references.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), written)
+
+
 @dataclass
 class Element:
     node: int
@@ -103,7 +114,7 @@ def attributes_of(written: str) -> dict[str, str]:
     """Attributes by lower-case name, values with references decoded; of a name that is there twice the first counts."""
     out: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(written):
-        out.setdefault(m[1].lower(), references.unescape(next((g for g in m.groups()[1:] if g is not None), "")))
+        out.setdefault(m[1].lower(), decoded(next((g for g in m.groups()[1:] if g is not None), "")))
     return out
 
 
@@ -126,7 +137,7 @@ def parse(page: str, regions: dict[str, dict[str, set[str]]] | None = None) -> l
     for kind, name, rest in tags(page):
         top = stack[-1]
         if kind in ("text", "raw"):
-            said = rest if kind == "raw" and name in ("script", "style") else references.unescape(rest)
+            said = rest if kind == "raw" and name in ("script", "style") else decoded(rest)
             top.own.append(said)
             for kind_, open_ in texts.items():
                 # A script is no text of what is around it; a cell of a table inside a cell is not the outer one's text.
