@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from lectern.functions import text as t
 from lectern.operators import nested
+from lectern.sources.shared import keep
 
 # Fixed values of HTML: elements without content, elements whose content is text alone, and which open elements a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -271,11 +272,11 @@ def _described(found: DataFrame) -> DataFrame:
     """page_id, headline, people, listed, described of the first object of an article in a page's JSON-LD, at any depth."""
     held = nested.nodes(json_ld(found).select(F.struct("page_id", "node").alias("at"), "json"), "at")
     is_type = (F.lower("name") == "@type") | ((F.try_element_at(F.split("path", "/"), F.lit(-2)) == "@type") & (F.col("kind") == "string"))
-    typed = held.where(is_type & F.lower("value").isin("scholarlyarticle", "article"))
+    typed = is_type & F.lower("value").isin("scholarlyarticle", "article")
     # A type stands in the object, or in a list in it.
     owner = F.when(F.lower("name") == "@type", F.col("parent")).otherwise(F.regexp_replace("parent", "/@type$", ""))
-    first = typed.select("at", owner.alias("owner"), "place").groupBy("at.page_id").agg(F.min_by(F.struct("at", "owner"), F.struct("at.node", "place")).alias("f"))
-    inside = held.join(first.select(F.col("f.at").alias("at"), F.col("f.owner").alias("owner")), "at").where(F.col("path").startswith(F.concat("owner", F.lit("/"))))
+    first = F.min_by(F.when(typed, F.struct("at", owner.alias("owner"))), F.when(typed, F.struct("at.node", "place"))).over(W.partitionBy("at.page_id"))
+    inside = held.withColumn("f", first).where((F.col("at") == F.col("f.at")) & F.col("path").startswith(F.concat("f.owner", F.lit("/")))).withColumn("owner", F.col("f.owner"))
     below = F.expr("substring(path, length(owner) + 2)")
     says = lambda *paths: F.min_by("value", F.when(below.isin(*paths) & (F.col("kind") == "string"), F.col("place")))
     # An author is a name, an object with one, or a list of these.
@@ -303,14 +304,16 @@ def article(pages: DataFrame, url: Column | None = None) -> DataFrame:
     Title: citation_title, dc.title or og:title, else the JSON-LD headline or name, else the first h1. Authors: citation_author, else those of
     JSON-LD, else the byline's. DOI: citation_doi, dc.identifier or prism.doi, else the one in the page's url. Keywords are split at
     , and ;. A journal with a DOI, or with an article in JSON-LD, makes it a peer-reviewed article."""
-    held = elements(pages, BYLINE, only=ARTICLE_ELEMENTS)
+    held = keep(elements(pages, BYLINE, only=ARTICLE_ELEMENTS), "article-elements")  # pages are read once
     said = meta(held)
     names = ["citation_title", "dc.title", "og:title", "citation_author", "citation_journal_title", "citation_doi", "dc.identifier", "prism.doi", "citation_keywords"]
     wide = said.where(F.col("name").isin(names)).groupBy("page_id").pivot("name", names).agg(F.first("contents"))
     heading = held.where("name = 'h1'").groupBy("page_id").agg(F.min_by("whole", "node").alias("h1"))
-    out = pages.select("page_id", (url if url is not None else F.lit(None).cast("string")).alias("_url"))
+    # Facts meet by one aggregation: what Spark takes for small sides of joins, as pages are larger than the rows they are made of, would go through the driver.
+    out = pages.select("page_id", (url if url is not None else F.lit(None).cast("string")).alias("_url"), F.lit(True).alias("_page"))
     for part in (wide, heading, _described(held), _byline(held), language(held)):
-        out = out.join(part, "page_id", "left")
+        out = out.unionByName(part, allowMissingColumns=True)
+    out = out.groupBy("page_id").agg(*[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in out.columns if c != "page_id"]).where("_page")
     one = lambda name: F.get(F.col(f"`{name}`"), F.lit(0))
     title = F.coalesce(one("citation_title"), one("dc.title"), one("og:title"), F.nullif(F.trim("headline"), F.lit("")), F.nullif(F.col("h1"), F.lit("")))
     some = lambda x: F.when(F.size(x) > 0, x)

@@ -29,7 +29,8 @@ def q67_articles(spark, d):
     meta = F.concat(F.lit("<html lang=en><META content='"), name, F.lit("' NAME=dc.title><meta name=citation_author content=\"A &amp; "), k, F.lit("\"><meta property='citation_author' content='B'><meta name='prism.doi' content='doi:10.1000/P"), k, F.lit("'><meta content=J name=\"citation_journal_title\"></html>"))
     graph = F.concat(F.lit("<script type='application/LD+json'>{\"@graph\": [{\"@type\": \"Organization\", \"name\": \"O\"}, {\"name\": \""), name, F.lit("\", \"keywords\": [\"x\", \"y; z\"], \"@type\": [\"Thing\", \"ScholarlyArticle\"], \"author\": [{\"name\": \"C "), k, F.lit("\"}, {\"name\": \"D\"}]}]}</script>"))
     byline = F.concat(F.lit("<h1>Of <i>"), name, F.lit("</i></h1><div id=author-group><div><span class='given-name'>E</span> <span class=\"text surname\">"), k, F.lit("</span></div><span class=surname>F</span></div><span class=surname>G</span>"))
-    made = table(spark, d, "part").select(k.alias("page_id"), F.when(k % 3 == 0, meta).when(k % 3 == 1, graph).otherwise(byline).alias("html"), F.concat(F.lit("https://a.example/doi/10.1234/U"), k).alias("url"))
+    # A page is many times the row that it is made of: rows are dealt out before.
+    made = table(spark, d, "part").select("p_partkey", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").select(k.alias("page_id"), F.when(k % 3 == 0, meta).when(k % 3 == 1, graph).otherwise(byline).alias("html"), F.concat(F.lit("https://a.example/doi/10.1234/U"), k).alias("url"))
     a = markup.article(made, F.when(F.col("page_id") % 2 == 0, F.col("url")))
     return a.select("page_id", "title", F.array_join("authors", "|").alias("authors"), "journal", "doi", F.array_join("keywords", "|").alias("keywords"), "status", "language")
 
