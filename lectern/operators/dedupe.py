@@ -51,19 +51,19 @@ def components(keyed: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 class _Group:
-    """Records that are one work so far, and its known DOIs by publication status."""
+    """Records that are one work so far, and the publication statuses under which it has DOIs."""
 
     def __init__(self, position: int, status: str, doi: str | None):
         self.members = [position]
-        self.dois = {status: {doi}} if doi else {}
+        self.known = {status} if doi else set()
 
     def clashes(self, other: _Group) -> bool:
-        return any(self.dois[s].isdisjoint(other.dois[s]) for s in self.dois.keys() & other.dois.keys())
+        """Whether both know DOIs under one status. A DOI's key is a record's first and always joins: no DOI is in two groups, so these are others."""
+        return not self.known.isdisjoint(other.known)
 
     def absorb(self, other: _Group) -> None:
         self.members += other.members
-        for status in other.dois:
-            self.dois[status] = self.dois.get(status, set()) | other.dois[status]
+        self.known |= other.known
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
