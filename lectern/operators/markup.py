@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.entities import html5
 
@@ -332,29 +332,67 @@ JOURNAL_LABELS, JOURNAL_PRODUCTS, JOURNAL_RESOURCE = ("期刊",), ("CJFQ", "CAPJ
 ONLINE_FIRST, FIRST_PRODUCT = "网络首发", "CAPJ"
 
 
-def listing_rows(pages: DataFrame, is_detail: Column, main_class: str = "fz14") -> DataFrame:
+#: What an element of a row of a page says.
+IN_ROW = T.StructType([f for f in ELEMENT.fields if f.name in ("node", "name", "attributes", "classes", "own", "whole", "cell")])
+ROWS = T.ArrayType(T.StructType([T.StructField("row", T.IntegerType()), T.StructField("elements", T.ArrayType(IN_ROW))]))
+
+
+def element_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, rows: one row for each page, with the visible elements() inside of each of its rows (tr or li), in order. A page is read in one place, so
+    that what its rows say needs no grouping, and no element is shuffled. One page is held at a time; pages are passed on by their size."""
+    picked = [k for k, f in enumerate(ELEMENT.fieldNames()) if f in IN_ROW.fieldNames()]
+    inside = pa.struct([(f, _ARROW[k]) for f, k in zip(IN_ROW.fieldNames(), picked, strict=True)])
+    nested_rows = pa.list_(pa.struct([("row", pa.int32()), ("elements", pa.list_(inside))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        made: list[list[tuple]] = []
+        held = 0
+        for b in batches:
+            kind = b.schema.field(key).type
+            for at, page in enumerate(b.column("html")):
+                rows: dict[int, list[tuple]] = {}
+                for e in parse(page.as_py() or ""):
+                    if e.row is not None and e.visible:
+                        said = e.values()
+                        rows.setdefault(e.row, []).append(tuple(said[k] for k in picked))
+                        held += 100 + len(said[6]) + len(said[7] or "")
+                keys.append(b.column(key)[at].as_py())
+                made.append(list(rows.items()))
+                if held >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(made, nested_rows)], [key, "rows"])
+                    keys, made, held = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(made, nested_rows)], [key, "rows"])
+                keys, made, held = [], [], 0
+
+    return pages.select(key, F.col("html").cast("string").alias("html")).mapInArrow(run, T.StructType([pages.schema[key], T.StructField("rows", ROWS)]))
+
+
+def listing_rows(pages: DataFrame, is_detail: Callable[[Column], Column], main_class: str = "fz14") -> DataFrame:
     """page_id, position, title, href, source, date, year, label, products, resources, online_first, authors, journal_article of the rows of
-    result tables: each tr with a link in its name cell that is_detail (a condition on href) holds for.
+    result tables: each tr with a link in its name cell whose href is_detail() holds for.
 
     Cells are known by class, never by place. Of several links one of `main_class` comes first. journal_article is null where the row says
     nothing of its type, false where its label, products or resources are of anything else."""
-    held = elements(pages).where("row IS NOT NULL AND visible")
-    in_name = F.array_contains("cell", "name")
-    href = attribute("href")
-    link = F.when((F.col("name") == "a") & in_name & F.coalesce(is_detail, F.lit(False)), F.struct((~F.array_contains("classes", main_class)).alias("other"), "node", F.col("whole").alias("title"), href.alias("href")))
-    kinds = F.filter(F.array(*map(F.lit, CELLS)), lambda c: F.array_contains("cell", c))
-    cell = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("name") == "td") & (F.get(kinds, F.lit(0)) == kind) & (F.col("whole") != ""), F.struct("node", "whole")))), lambda x: x["whole"]), " ")
-    codes = lambda name: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.trim(attribute(name)) != "", F.struct("node", F.upper(F.trim(attribute(name))).alias("v"))))), lambda x: x["v"]))
-    marked = F.bool_or(in_name & F.array_contains("classes", "marktip") & F.col("own").contains(ONLINE_FIRST))
-    rows = held.groupBy("page_id", "row").agg(F.min(link).alias("link"), *[cell(c).alias(c) for c in CELLS[1:]], codes("data-dbname").alias("products"), codes("data-resource").alias("resources"), marked.alias("marked"))
-    rows = rows.where("link IS NOT NULL").withColumn("title", t.squeeze_title(F.col("link.title"))).where("title <> ''")
+    has = lambda e, name: F.try_element_at(e["attributes"], F.lit(name))
+    in_name = lambda e: F.array_contains(e["cell"], "name")
+    is_link = lambda e: (e["name"] == "a") & in_name(e) & F.coalesce(is_detail(has(e, "href")), F.lit(False))
+    link = lambda e: F.struct((~F.array_contains(e["classes"], main_class)).alias("other"), e["node"].alias("node"), e["whole"].alias("title"), has(e, "href").alias("href"))
+    kind = lambda e: F.get(F.filter(F.array(*map(F.lit, CELLS)), lambda c: F.array_contains(e["cell"], c)), F.lit(0))
+    cell = lambda name: F.array_join(F.transform(F.filter("elements", lambda e: (e["name"] == "td") & (kind(e) == name) & (e["whole"] != "")), lambda e: e["whole"]), " ")
+    codes = lambda name: F.array_distinct(F.filter(F.transform("elements", lambda e: F.upper(F.trim(has(e, name)))), lambda v: v != ""))
+    linked = F.transform("rows", lambda r: F.struct(F.array_min(F.transform(F.filter(r["elements"], is_link), link)).alias("link"), r["elements"].alias("elements")))
+    linked = F.filter(linked, lambda r: r["link"].isNotNull() & (t.squeeze_title(r["link"]["title"]) != ""))
+    rows = element_rows(pages).select("page_id", F.posexplode(linked).alias("position", "r")).select("page_id", "position", "r.link", "r.elements")
+    marked = F.exists("elements", lambda e: in_name(e) & F.array_contains(e["classes"], "marktip") & e["own"].contains(ONLINE_FIRST))
+    rows = rows.select("page_id", "position", "link", t.squeeze_title(F.col("link.title")).alias("title"), *[cell(c).alias(c) for c in CELLS[1:]], codes("data-dbname").alias("products"), codes("data-resource").alias("resources"), marked.alias("marked"))
     label = F.regexp_replace("data", r"\s+", "")
     known = (label != "") | (F.size("products") > 0) | (F.size("resources") > 0)
     journal = F.when(known, ((label == "") | label.isin(*JOURNAL_LABELS)) & (F.size(F.array_except("products", F.array(*map(F.lit, JOURNAL_PRODUCTS)))) == 0) & (F.size(F.array_except("resources", F.array(F.lit(JOURNAL_RESOURCE)))) == 0))
     names = F.array_distinct(F.filter(F.transform(F.split("author", "[;；,，]"), lambda x: F.trim(x)), lambda x: x != ""))
-    place = F.row_number().over(W.partitionBy("page_id").orderBy("row")) - 1
     return rows.select(
-        "page_id", place.alias("position"), "title", F.col("link.href").alias("href"), F.nullif("source", F.lit("")).alias("source"), F.nullif("date", F.lit("")).alias("date"), F.nullif(F.regexp_extract("date", r"(?:18|19|20|21)\d{2}", 0), F.lit("")).alias("year"),
+        "page_id", "position", "title", F.col("link.href").alias("href"), F.nullif("source", F.lit("")).alias("source"), F.nullif("date", F.lit("")).alias("date"), F.nullif(F.regexp_extract("date", r"(?:18|19|20|21)\d{2}", 0), F.lit("")).alias("year"),
         label.alias("label"), "products", "resources", (F.coalesce("marked", F.lit(False)) | F.array_contains("products", FIRST_PRODUCT)).alias("online_first"), names.alias("authors"), journal.alias("journal_article"),
     )
 

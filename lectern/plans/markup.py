@@ -40,17 +40,23 @@ Q67A = """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 2 THEN 'Of ' ||
   CASE WHEN p_partkey % 3 = 0 THEN 'PeerReviewedJournalArticle' ELSE 'Unknown' END AS status, CASE WHEN p_partkey % 3 = 0 THEN 'en' END AS language FROM part"""
 
 
+def orders_of_customers(spark, d):
+    """page_id, orders: each customer's orders by their number. Pages are made of them after they have met, as a page is many times its orders; the
+    customers are dealt over all tasks, as their pages are read there."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    return orders.groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderdate"))).alias("orders"))
+
+
 def q67_listing(spark, d):
     """Rows of one result table a customer, made of the customer's orders, with cells left open, quotes of each kind and links beside the title's."""
-    k = F.col("o_orderkey")
-    row = F.concat(
-        F.lit("<tr><td class=seq>"), k, F.lit("<td class='name'><a class=icon href='/detail?other'>x</a> <a class='x fz14' href=\"/detail?id="), k, F.lit("&amp;db=1\">Order <em>"), k, F.lit("</em> of "), F.col("o_orderpriority"), F.lit("</a>"),
-        F.when(k % 4 == 0, "<b class='marktip'>网络首发</b>").otherwise(""), F.lit("<a href=/elsewhere>y</a></td><td class=\"author\">A "), k, F.lit("；B,A "), k, F.lit("<td class='source'><p>"), F.col("o_orderpriority"), F.lit("</p></td><td class=date>"), F.col("o_orderdate").cast("date").cast("string"),
+    row = lambda k, priority, date: F.concat(
+        F.lit("<tr><td class=seq>"), k, F.lit("<td class='name'><a class=icon href='/detail?other'>x</a> <a class='x fz14' href=\"/detail?id="), k, F.lit("&amp;db=1\">Order <em>"), k, F.lit("</em> of "), priority, F.lit("</a>"),
+        F.when(k % 4 == 0, "<b class='marktip'>网络首发</b>").otherwise(""), F.lit("<a href=/elsewhere>y</a></td><td class=\"author\">A "), k, F.lit("；B,A "), k, F.lit("<td class='source'><p>"), priority, F.lit("</p></td><td class=date>"), date.cast("date").cast("string"),
         F.lit("<td class=data>"), choose(k, "期 刊", "博士", "", "期刊", ""), F.lit("<i data-dbname=' cjfq '></i>"), F.when(k % 3 == 0, "<i data-dbname=CDFD></i>").otherwise(""), F.lit("<tr class=note><td class=name>no link</td></tr>"),
     )
-    pages = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))).alias("rows"))
-    html = F.concat(F.lit("<table><tr><td class=name><a href='/head'>head</a><tbody>"), F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</table><li><a class=fz14 href='/detail?id=0'>beside</a>"))
-    found = markup.listing_rows(pages.select("page_id", html.alias("html")), markup.attribute("href").startswith("/detail?"))
+    pages = orders_of_customers(spark, d)
+    html = F.concat(F.lit("<table><tr><td class=name><a href='/head'>head</a><tbody>"), F.array_join(F.transform("orders", lambda o: row(o["o_orderkey"], o["o_orderpriority"], o["o_orderdate"])), ""), F.lit("</table><li><a class=fz14 href='/detail?id=0'>beside</a>"))
+    found = markup.listing_rows(pages.select("page_id", html.alias("html")), lambda href: href.startswith("/detail?"))
     return found.select("page_id", "position", "title", "href", "source", "year", "label", F.array_join("products", ",").alias("products"), "online_first", F.array_join("authors", "|").alias("authors"), "journal_article")
 
 
@@ -103,13 +109,13 @@ SELECT n AS request, n % 17 = 3 OR n % 4 <> 1 AS refused, CASE WHEN n % 17 <> 3
 
 def result_pages(spark, d):
     """page_id, html: a result table for each customer, of the customer's orders, each of them twice where its number is divisible by 7."""
-    k = F.col("o_orderkey")
-    row = F.concat(
-        F.lit("<tr><td class=name><a class=fz14 href='/detail?id="), k, F.lit("'>Order "), k, F.lit("</a><td class=source>Journal of "), F.substring("o_orderpriority", F.lit(1), F.lit(1)), F.lit("!<td class=date>"), F.when(k % 9 == 4, "soon").otherwise(F.col("o_orderdate").cast("date").cast("string")), F.lit("<td class=data>"),
-        F.when(F.col("o_custkey") % 31 == 2, F.when(k % 5 == 0, "博士").otherwise("期刊")).when((F.col("o_custkey") % 31 == 3) & (k % 5 == 0), "").otherwise("期刊"), F.lit("</tr>"),
+    row = lambda k, priority, date: F.concat(
+        F.lit("<tr><td class=name><a class=fz14 href='/detail?id="), k, F.lit("'>Order "), k, F.lit("</a><td class=source>Journal of "), F.substring(priority, F.lit(1), F.lit(1)), F.lit("!<td class=date>"), F.when(k % 9 == 4, "soon").otherwise(date.cast("date").cast("string")), F.lit("<td class=data>"),
+        F.when(F.col("page_id") % 31 == 2, F.when(k % 5 == 0, "博士").otherwise("期刊")).when((F.col("page_id") % 31 == 3) & (k % 5 == 0), "").otherwise("期刊"), F.lit("</tr>"),
     )
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), F.struct(k.alias("k"), F.when(k % 7 == 0, F.concat(row, row)).otherwise(row).alias("row")).alias("r"))
-    return rows.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("rows")).select("page_id", F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</table>")).alias("html"))
+    twice = lambda o, made: F.when(o["o_orderkey"] % 7 == 0, F.concat(made, made)).otherwise(made)
+    rows = F.transform("orders", lambda o: twice(o, row(o["o_orderkey"], o["o_orderpriority"], o["o_orderdate"])))
+    return orders_of_customers(spark, d).select("page_id", F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
 
 
 def q34_restricted(spark, d):
@@ -118,7 +124,7 @@ def q34_restricted(spark, d):
     pages = result_pages(spark, d)
     scopes = pages.where("page_id % 17 <> 5").select("page_id", (n % 19 != 6).alias("journals"))
     asked = pages.select("page_id", F.when(n % 3 == 0, "journal OF 1").alias("journal"), F.when(n % 2 == 0, 1994).alias("first"), F.when(n % 4 == 0, 1996).alias("last"), F.lit(6).alias("most"))
-    return markup.restricted(markup.listing_rows(pages, markup.attribute("href").startswith("/detail?")), scopes, asked).groupBy("page_id", "verdict").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    return markup.restricted(markup.listing_rows(pages, lambda href: href.startswith("/detail?")), scopes, asked).groupBy("page_id", "verdict").agg(F.count("*").alias("n"), F.min("position").alias("first"))
 
 
 Q34R = """WITH o AS (SELECT o_custkey AS p, o_orderkey AS k, o_orderpriority, o_orderdate, unnest(range(CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END)) AS twin FROM orders
