@@ -57,15 +57,15 @@ def materialise_counted(df: DataFrame, condition: Column, what: str = "table") -
     return materialise(df.observe(seen, F.count_if(condition).alias("n")), what), seen.get["n"]
 
 
-def materialise_apart(df: DataFrame, apart: Column, what: str = "table") -> tuple[DataFrame, DataFrame, str]:
-    """The rows that do not fulfil `apart` and those that do, stored in one pass, and the path of the latter for delete()."""
+def materialise_parts(df: DataFrame, part: Column, parts: int, what: str = "table") -> list[tuple[DataFrame, str]]:
+    """The rows of each part, numbered from 0, stored in one pass, and the path of each part for delete()."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
-    df.withColumn("_apart", F.coalesce(apart, F.lit(False)).cast("int")).write.partitionBy("_apart").parquet(path)
+    df.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(path)
     _written.append(path)
     # Only the parts that have rows are there.
-    stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_apart", T.IntegerType())])).parquet(path)
-    return stored.where("_apart = 0").drop("_apart"), stored.where("_apart = 1").drop("_apart"), f"{path}/_apart=1"
+    stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(path)
+    return [(stored.where(F.col("_part") == k).drop("_part"), f"{path}/_part={k}") for k in range(parts)]
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -8,6 +8,7 @@ import struct
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ceil_div, delete, drop, materialise, materialise_apart, tidy
+from lectern.llm.common import ceil_div, delete, drop, materialise, materialise_parts, tidy
 
 #: Tokens that a task encodes together, and pairs of tokens of a shard of the model.
 BATCH_TOKENS = 1_500_000
 SHARD_TOKENS = 1_500_000
+#: Groups of shards that answer one after another, so that the questions of one alone are on disk twice, and the shards that a group has at least.
+GROUPS, GROUP_SHARDS = 4, 16
 #: Weight of the unigram probabilities beside pairs, in occurrences of the context, and what every seen trigram's count is discounted by.
 MU = 500.0
 DISCOUNT = 0.6
@@ -398,7 +401,7 @@ PREPARED_COLUMNS = ["batch", "shard", "a", "b", "c", "d", "e", "f", "end"]
 
 
 def _prepare(shards: int, most: int):
-    """A batch and its words' counts to one row of what scoring it needs (shard -1) and one for each shard of the model that it asks."""
+    """A batch and its words' counts to one row of what scoring it needs beside the batch (shard -1) and one for each shard of the model that it asks."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
@@ -408,7 +411,7 @@ def _prepare(shards: int, most: int):
         train = np.repeat(about[2] == 0, about[3])
         seen = np.bincount(pairs.of[train], minlength=len(pairs.a)).astype("<u4")
         seen3 = np.bincount(pairs.triple[train[pairs.later]], minlength=len(pairs.triples)).astype("<u4")
-        rows = [(-1, row["docs"], row["tokens"], _zip(count), _zip(ids), None, None)]
+        rows = [(-1, None, None, _zip(count), _zip(ids), None, None)]
         for s, (i, j) in pairs.shards.items():
             if s >= 0:
                 first = np.flatnonzero(np.diff(pairs.a[i:j], prepend=-1))
@@ -501,12 +504,12 @@ def _answer_from(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def _finish(shards: int, most: int, total: int, distinct: int, mu: float):
-    """A batch and the shards' answers to its documents' scores."""
+    """A batch, what scoring it needs beside it, and the shards' answers to its documents' scores."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
+        row, known = left[left["a"].notna()].iloc[0], left[left["a"].isna()].iloc[0]
         about, tokens = _unzip(row["a"], "<i8").reshape(4, -1), _unzip(row["b"], "<i4")
-        count, ids = _unzip(row["c"], "<i8"), _unzip(row["d"], "<i8")
+        count, ids = _unzip(known["c"], "<i8"), _unzip(known["d"], "<i8")
         pairs = _Pairs(tokens, about[3], int(row["end"]), count, ids, shards, most)
         codes, rest = np.zeros(len(pairs.a), dtype=np.int64), np.full(len(pairs.a), (1 << CODE_BITS) - 1, dtype=np.int64)
         triples = np.zeros(len(pairs.triples), dtype=np.int64)
@@ -543,8 +546,9 @@ class Model:
     most: int
     mu: float
 
-    def _finish(self, asked: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-        kept = asked.where("shard < 0").select("batch", "a", "b", "c", "d", "end").repartition(parts, "batch").groupBy("batch")
+    def _finish(self, encoded: DataFrame, asked: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+        kept = encoded.select("batch", F.col("docs").alias("a"), F.col("tokens").alias("b"), "end").unionByName(asked.where("shard < 0").select("batch", "c", "d", "end"), allowMissingColumns=True)
+        kept = kept.repartition(parts, "batch").groupBy("batch")
         answers = answers.where("of >= 0").repartition(parts, "of").groupBy("of")
         return kept.cogroup(answers).applyInPandas(_finish(self.shards, self.most, self.total, self.distinct, self.mu), SCORES_SQL)
 
@@ -557,7 +561,7 @@ class Model:
         left = encoded.select("batch", "docs", "tokens", "end").repartition(parts, "batch").groupBy("batch")
         asked = materialise(left.cogroup(words.repartition(parts, "of").groupBy("of")).applyInPandas(_prepare(self.shards, self.most), PREPARED), "asked")
         answers = asked.where("shard >= 0").groupBy("shard").cogroup(self.levels.groupBy("shard")).applyInPandas(_answer_from, ANSWERS_SQL)
-        return self._finish(asked, answers, parts)
+        return self._finish(encoded, asked, answers, parts)
 
 
 def _rows(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -581,17 +585,21 @@ def train(docs: DataFrame, held_out: Column, mu: float = MU, discount: float = D
     vocabulary = materialise(vocabulary, "vocabulary") if keep else vocabulary
     left = encoded.select("batch", "docs", "tokens", "end").repartition(parts, "batch").groupBy("batch")
     known = words.where("of >= 0").select("of", "shard", "totals", "ids").repartition(parts, "of").groupBy("of")
-    kept, questions, at = materialise_apart(left.cogroup(known).applyInPandas(_prepare(shards, most), PREPARED), F.col("shard") >= 0, "asked")
-    drop(encoded)
+    groups = max(1, min(GROUPS, shards // GROUP_SHARDS))
+    part = F.when(F.col("shard") < 0, 0).otherwise(F.col("shard") % groups + 1)
+    (kept, _), *questions = materialise_parts(left.cogroup(known).applyInPandas(_prepare(shards, most), PREPARED), part, groups + 1, "asked")
     drop(words)
     tidy(docs.sparkSession)
-    questions = questions.select("batch", "shard", "a", "b", "c", "d", "e", "f")
-    answers = materialise(questions.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(mu, discount, keep), ANSWERS_SQL), "answers")
-    delete(docs.sparkSession, at)
-    del questions
-    tidy(docs.sparkSession)
+    answered = []
+    for asked, at in questions:
+        asked = asked.select("batch", "shard", "a", "b", "c", "d", "e", "f").repartition(ceil_div(shards, groups), "shard")
+        answered.append(materialise(asked.groupBy("shard").applyInPandas(_answer(mu, discount, keep), ANSWERS_SQL), "answers"))
+        delete(docs.sparkSession, at)
+        del asked
+        tidy(docs.sparkSession)
+    answers = reduce(DataFrame.unionByName, answered)
     model = Model(vocabulary, answers.where("of < 0").select("shard", "codes"), total, distinct, ranges, shards, most, mu)
-    return model, model._finish(kept, answers, parts)
+    return model, model._finish(encoded, kept, answers, parts)
 
 
 def score(docs: DataFrame, held_out: Column, **options) -> DataFrame:
